@@ -521,8 +521,9 @@ def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: flo
         terms.withColumn("_t", V.scale("w", F.col("activation"))).groupBy("layer", "row_id")
         .agg(mean_vector("_t").alias("_m"), F.count(F.lit(1)).cast("double").alias("_n"))
     )
-    width = decoder.agg(F.max(F.size("w")).alias("_d"))
-    full = rows.select("layer", "row_id").join(summed, ["layer", "row_id"], "left").join(width)
+    width = decoder.groupBy("layer").agg(F.max(F.size("w")).alias("_d"))
+    full = rows.select("layer", "row_id").join(summed, ["layer", "row_id"], "left")
+    full = spread_join(full, width, ["layer"], spread_by=["row_id"])
     total = F.coalesce(V.scale("_m", F.col("_n")), F.array_repeat(F.lit(0.0), F.col("_d")))
     return full.select("layer", "row_id", F.transform(total, lambda x: x + F.lit(bias)).alias("vec"))
 

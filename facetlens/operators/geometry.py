@@ -326,14 +326,14 @@ def layer_stability(directions: DataFrame, layers: DataFrame, reference: int, ke
     there, so the successor comes from the layer list. If the run lacks ``reference``
     its last layer is used.
     """
-    w = Window.orderBy("layer")
     # The layer list is a handful of rows, one per model layer.
-    listed = layers.select("layer").distinct()
-    spine = listed.withColumn("next_layer", F.lead("layer").over(w))
-    ref = listed.agg(
-        F.coalesce(F.max(F.when(F.col("layer") == reference, F.col("layer"))), F.max("layer")).alias("reference_layer")
+    everything = Window.partitionBy(F.lit(1))
+    is_ref = F.when(F.col("layer") == reference, F.col("layer"))
+    spine = layers.select("layer").distinct().select(
+        "layer",
+        F.lead("layer").over(everything.orderBy("layer")).alias("next_layer"),
+        F.coalesce(F.max(is_ref).over(everything), F.max("layer").over(everything)).alias("reference_layer"),
     )
-    spine = spine.join(ref)
     base = directions.join(spine, "layer")
     nxt = directions.select(F.col("layer").alias("next_layer"), *keys, F.col("dir").alias("_next"))
     rf = directions.select(F.col("layer").alias("reference_layer"), *keys, F.col("dir").alias("_ref"))

@@ -130,3 +130,92 @@ def compose(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# ---- sparse features ------------------------------------------------------------
+VIEWS["v_wenc"] = f"""
+SELECT f AS feature_id, (f % 5 - 2) * 0.01::DOUBLE AS b,
+       (SELECT list((((i * 31 + f * 17) % 23) - 11) / 11.0::DOUBLE ORDER BY i) FROM (SELECT unnest(range(0, {DIM})) AS i)) AS w
+FROM (SELECT unnest(range(0, {N_FEATURES})) AS f)"""
+
+VIEWS["v_wdec"] = f"""
+SELECT f::INT AS feature_id, i AS pos, (((f * 13 + i * 7) % 19) - 9) / 9.0::DOUBLE AS w
+FROM (SELECT unnest(range(0, {N_FEATURES})) AS f), (SELECT unnest(range(0, {DIM})) AS i)"""
+
+VIEWS["v_pre"] = """
+SELECT v.layer, v.row_id, e.feature_id::INT AS feature_id, greatest(0.0::DOUBLE, list_dot_product(v.vec, e.w) + e.b) AS activation
+FROM v_vec v, v_wenc e"""
+
+VIEWS["v_codes"] = f"""
+SELECT layer, row_id, feature_id, activation FROM (
+  SELECT *, row_number() OVER (PARTITION BY layer, row_id ORDER BY activation DESC, feature_id) AS rn FROM v_pre)
+WHERE rn <= {TOP_K} AND activation > 0"""
+
+VIEWS["v_dense"] = """
+SELECT p.layer, p.row_id, p.feature_id, coalesce(c.activation, 0.0::DOUBLE) AS activation
+FROM v_pre p LEFT JOIN v_codes c USING (layer, row_id, feature_id)"""
+
+VIEWS["v_csd"] = """
+SELECT d.layer, c.contrast_name, c.axis, c.entity_a, c.entity_b, d.feature_id, d.row_id, m.entity = c.entity_a AS is_a, d.activation AS score
+FROM v_dense d JOIN v_meta m USING (row_id)
+JOIN v_contrasts c ON (m.entity = c.entity_a OR m.entity = c.entity_b) AND c.entity_b IN (SELECT entity FROM v_meta)"""
+
+VIEWS["v_csm"] = metric_sql("v_csd", "layer, contrast_name, axis, entity_a, entity_b, feature_id")
+
+VIEWS["v_csf"] = """
+SELECT layer, contrast_name, feature_id,
+  avg((score > 0)::INT) FILTER (WHERE is_a) AS freq_a, avg((score > 0)::INT) FILTER (WHERE NOT is_a) AS freq_b,
+  coalesce(avg(score) FILTER (WHERE is_a AND score > 0), 0) AS mean_nonzero_a, coalesce(avg(score) FILTER (WHERE NOT is_a AND score > 0), 0) AS mean_nonzero_b
+FROM v_csd GROUP BY layer, contrast_name, feature_id"""
+
+TOP_N = 10
+
+VIEWS["v_sel"] = f"""
+SELECT * EXCLUDE (rn) FROM (
+ SELECT *, row_number() OVER (PARTITION BY layer, contrast_name ORDER BY rank_abs_d NULLS LAST, rank_auc NULLS LAST, rank_abs_diff, feature_id) AS rn FROM (
+  SELECT layer, contrast_name, axis, entity_a, entity_b, feature_id, mean_a, mean_b, freq_a, freq_b, mean_nonzero_a, mean_nonzero_b, diff_mean, cohens_d, auc, n_a, n_b,
+   CASE WHEN cohens_d IS NOT NULL THEN rank() OVER (PARTITION BY layer, contrast_name ORDER BY abs(cohens_d) DESC NULLS LAST) END AS rank_abs_d,
+   rank() OVER (PARTITION BY layer, contrast_name ORDER BY abs(auc - 0.5::DOUBLE) DESC) AS rank_auc,
+   rank() OVER (PARTITION BY layer, contrast_name ORDER BY abs(diff_mean) DESC) AS rank_abs_diff
+  FROM (SELECT m.*, f.freq_a, f.freq_b, f.mean_nonzero_a, f.mean_nonzero_b, mean_a - mean_b AS diff_mean,
+     row_number() OVER (PARTITION BY layer, contrast_name ORDER BY abs(mean_a - mean_b) DESC, feature_id) AS prune
+   FROM v_csm m JOIN v_csf f USING (layer, contrast_name, feature_id)) WHERE prune <= {5 * TOP_N}))
+WHERE rn <= {TOP_N}"""
+
+VIEWS["v_esd"] = """
+SELECT d.layer, e.axis, e.entity, e.canonical_label, d.feature_id, d.row_id, m.entity = e.entity AS is_a, d.activation AS score
+FROM v_dense d JOIN v_meta m USING (row_id) JOIN (SELECT DISTINCT axis, entity, canonical_label FROM v_meta) e ON e.axis = m.axis"""
+
+VIEWS["v_esel"] = f"""
+SELECT * EXCLUDE (rn) FROM (
+ SELECT *, row_number() OVER (PARTITION BY layer, entity ORDER BY abs(cohens_d) DESC NULLS LAST, feature_id) AS rn FROM (
+  SELECT layer, axis, entity, canonical_label, feature_id, mean_a AS mean_entity, mean_b AS mean_other_same_axis, mean_a - mean_b AS diff_mean, cohens_d, auc, n_a AS n_entity, n_b AS n_other, freq_entity, freq_other,
+   row_number() OVER (PARTITION BY layer, entity ORDER BY abs(mean_a - mean_b) DESC, feature_id) AS prune
+  FROM ({metric_sql("v_esd", "layer, axis, entity, canonical_label, feature_id")}) m
+  JOIN (SELECT layer, entity, feature_id, avg((score > 0)::INT) FILTER (WHERE is_a) AS freq_entity, avg((score > 0)::INT) FILTER (WHERE NOT is_a) AS freq_other FROM v_esd GROUP BY ALL) f USING (layer, entity, feature_id))
+ WHERE prune <= {3 * TOP_N})
+WHERE rn <= {TOP_N}"""
+
+VIEWS["v_align"] = """
+SELECT d.layer, d.resid, d.contrast_name, d.axis, d.entity_a, d.entity_b, w.feature_id,
+  sqrt(sum(w.w * w.w)) AS decoder_norm, sum(w.w * d.d) / greatest(sqrt(sum(w.w * w.w)), 1e-12) AS cosine_with_direction, sum(w.w * d.d) AS signed_dot
+FROM v_dir d JOIN v_wdec w USING (pos) GROUP BY d.layer, d.resid, d.contrast_name, d.axis, d.entity_a, d.entity_b, w.feature_id"""
+
+VIEWS["v_sa"] = """
+SELECT s.*, a.resid, a.decoder_norm, a.cosine_with_direction, a.signed_dot
+FROM v_sel s LEFT JOIN v_align a USING (layer, contrast_name, axis, entity_a, entity_b, feature_id)"""
+
+
+def z_sql(x: str) -> str:
+    w = "OVER (PARTITION BY layer, resid, contrast_name)"
+    return f"(CASE WHEN stddev_pop({x}) {w} > 0 THEN ({x} - avg({x}) {w}) / stddev_pop({x}) {w} WHEN {x} IS NOT NULL THEN 0 END)"
+
+
+VIEWS["v_joined"] = f"""
+SELECT *, {z_sql('abs(cohens_d)')} + {z_sql('abs(cosine_with_direction)')} + {z_sql('abs(auc - 0.5::DOUBLE)')} AS combined_score FROM v_sa"""
+
+VIEWS["v_cand"] = """
+SELECT * EXCLUDE (rn) FROM (SELECT layer, resid, contrast_name, axis, entity_a, entity_b, feature_id,
+  CASE WHEN diff_mean >= 0 THEN 'identity_a_positive' ELSE 'identity_b_positive' END AS direction_side,
+  mean_a AS mean_activation_a, mean_b AS mean_activation_b, cosine_with_direction AS decoder_cosine, cohens_d, auc, combined_score,
+  row_number() OVER (PARTITION BY layer, resid, contrast_name ORDER BY combined_score DESC NULLS LAST, feature_id) AS rn FROM v_joined) WHERE rn <= 5"""
