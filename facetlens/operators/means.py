@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
 from facetlens.functions.joins import spread_join
+from facetlens.functions.settle import settle
 
 RAW = "raw"
 
@@ -112,7 +113,7 @@ class VariantMeans:
         self.cell = cell
         self.extra = extra
         factors = {"_cell": cell, **{k: [c] for k, c in variants.items() if c is not None}}
-        self._means = factor_means(vectors, factors)
+        self._means = settle(factor_means(vectors, factors), "factor-means")
 
     @cached_property
     def overall(self) -> DataFrame:
@@ -161,9 +162,10 @@ class VariantMeans:
             .agg(mean_vector("shift", F.col("n").cast("double")).alias("_shift"), F.sum("n").alias("n"))
         )
         raw = self._means.filter("factor = '_cell'").select("layer", F.col("level").alias("_cell"), F.col("mean").alias("_m"))
-        return (
+        return settle(
             moved.withColumn("_cell", level_of(self.cell)).join(raw, ["layer", "_cell"])
-            .select("layer", "resid", *self.cell, *self.extra, V.add("_m", "_shift").alias("mean"), "n")
+            .select("layer", "resid", *self.cell, *self.extra, V.add("_m", "_shift").alias("mean"), "n"),
+            "cell-means",
         )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetlens.functions.numeric import rounded
+from facetlens.functions.settle import settle
 from facetlens.operators import codes as C, geometry as G, means as M
 from facetlens.plans.geometry_queries import K_SQL, explode_vec, r_cols, variant_means
 from facetlens.plans.registry import query
@@ -22,7 +22,7 @@ def rsql(cols):
 
 
 def selectivity(v):
-    return C.contrast_feature_selectivity(v.codes, v.layer_meta, v.contrasts, v.dec_weights, TOP_N)
+    return settle(C.contrast_feature_selectivity(v.codes, v.layer_meta, v.contrasts, v.dec_weights, TOP_N), "selectivity")
 
 
 def alignment(v):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from facetlens.plans.views import CONTRASTS, DIM, LAYERS, N_FEATURES, TOP_K
+from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, UNKNOWN_ALIASES
+from facetlens.plans.views import (
+    CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, TOP_K,
+)
 
 
 def R(expr: str, digits: int = 6) -> str:
@@ -219,3 +222,173 @@ SELECT * EXCLUDE (rn) FROM (SELECT layer, resid, contrast_name, axis, entity_a,
   CASE WHEN diff_mean >= 0 THEN 'identity_a_positive' ELSE 'identity_b_positive' END AS direction_side,
   mean_a AS mean_activation_a, mean_b AS mean_activation_b, cosine_with_direction AS decoder_cosine, cohens_d, auc, combined_score,
   row_number() OVER (PARTITION BY layer, resid, contrast_name ORDER BY combined_score DESC NULLS LAST, feature_id) AS rn FROM v_joined) WHERE rn <= 5"""
+
+
+# ---- prompts and items ------------------------------------------------------------
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def pick_sql(xs, i: str) -> str:
+    return f"([{', '.join(chr(39) + x + chr(39) for x in xs)}])[(({i}) % {len(xs)}) + 1]"
+
+
+VIEWS["v_forms"] = """
+SELECT 'grp_' || k AS entity, 'ax' || (k % 3) AS axis, 'Group ' || k AS canonical_label, lower(n_name) || ' ' || k AS adj_form,
+  CASE WHEN k % 4 <> 0 THEN 'a member of group ' || k END AS noun_form,
+  CASE WHEN k % 7 = 0 THEN '   ' ELSE 'members ' || k END AS plural_noun_form,
+  CASE WHEN k % 5 = 0 THEN 'NA' WHEN k % 3 = 0 THEN '' ELSE ' with tag ' || k || ' ' END AS with_form,
+  CASE WHEN k % 11 = 0 THEN '' ELSE 'Grp-' || k || ';g_' || k || '; dup' || (k // 2) END AS aliases,
+  k AS source_order, s_name AS entity_notes
+FROM (SELECT s_suppkey AS k, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+VIEWS["v_templates"] = f"""
+SELECT replace(p_name, ' ', '_') || '_' || p_type AS template_id, lower(p_type) AS family,
+  CASE WHEN p_type = 'PROMO' AND starts_with(p_name, 'red') THEN 'one a ' || p_name || ' has is {{form}}.' ELSE 'the ' || p_name || ' is {{form}}.' END AS template_text,
+  {pick_sql(FORM_COLUMNS, 'length(p_name)')} AS required_form, 'singular' AS number, ' ' || p_type AS notes
+FROM (SELECT DISTINCT p_name, p_type FROM part)"""
+
+VIEWS["v_forms_long"] = " UNION ALL ".join(
+    f"SELECT entity, axis, canonical_label, entity_notes, source_order, '{c}' AS form_name, {strip_sql(c)} AS form_used FROM v_forms WHERE {strip_sql(f'coalesce({c}, {chr(39)*2})')} <> ''"
+    for c in FORM_COLUMNS
+)
+
+VIEWS["v_prompts"] = f"""
+SELECT template_id || '__' || entity AS prompt_id, template_id, family, template_text, required_form, form_used, number, entity, axis, canonical_label,
+  upper(substr(txt, 1, 1)) || substr(txt, 2) AS prompt, {strip_sql('notes')} AS template_notes, entity_notes
+FROM (SELECT *, replace(template_text, '{{form}}', form_used) AS txt FROM v_templates JOIN v_forms_long ON required_form = form_name)"""
+
+_ALIAS_COLS = ["entity", "canonical_label", *FORM_COLUMNS]
+VIEWS["v_alias_raw"] = (
+    " UNION ALL ".join(
+        f"SELECT 0 AS src, source_order AS row, {i} AS pos, {c} AS t, entity FROM v_forms" for i, c in enumerate(_ALIAS_COLS)
+    )
+    + f" UNION ALL SELECT 0, source_order, {len(_ALIAS_COLS)} + j - 1, (string_split(aliases, ';'))[j], entity FROM v_forms, (SELECT unnest(range(1, 5)) AS j) WHERE j <= len(string_split(aliases, ';'))"
+    + " UNION ALL SELECT 1, 0, pos, t, entity FROM ("
+    + values([(i, k, v) for i, (k, v) in enumerate(MANUAL_ALIASES.items())], "pos, t, entity")
+    + ")"
+)
+VIEWS["v_alias"] = f"""
+SELECT alias, replace(alias, ' ', '') AS compact, arg_max(entity, ord) AS entity, min(ord) AS first_ord
+FROM (SELECT {norm_sql('t')} AS alias, entity, (src, row, pos) AS ord FROM v_alias_raw WHERE {strip_sql("coalesce(t, '')")} <> '')
+GROUP BY alias"""
+
+
+def _label(j: int) -> str:
+    base = pick_sql(ITEM_LABELS, f"doc_id * 3 + {j * 5} + doc_id // 16")
+    if j == 2:
+        return f"CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE {base} END"
+    if j == 1:
+        return f"CASE WHEN doc_id % 13 = 0 THEN 'g_' || (doc_id % 90) ELSE {base} END"
+    return base
+
+
+def _answer(c: str) -> str:
+    return f"CASE WHEN {c} = 'unknown' THEN 'Not enough information' ELSE 'The ' || {c} || ' person' END"
+
+
+VIEWS["v_raw"] = f"""
+SELECT lower(category_raw) || ':' || doc_id || ':' || (doc_id % 7) || ':' || context_condition || ':' || question_polarity || ':' || source AS item_uid,
+  doc_id AS example_id, doc_id % 7 AS question_index, category_raw, context_condition, question_polarity, text AS context,
+  'Who is likely the ' || source || ' speaker of ' || lang || ' words that don''t end?' AS question,
+  {_answer('l0')} AS ans0, {_answer('l1')} AS ans1, {_answer('l2')} AS ans2, l0, l1, l2,
+  CASE WHEN doc_id % 17 <> 0 THEN (doc_id % 3)::INT END AS correct_answer_idx,
+  CASE WHEN doc_id % 5 = 4 THEN ['Jewish'] WHEN doc_id % 4 = 0 THEN [l0, {pick_sql(ITEM_LABELS, 'doc_id * 11')}] ELSE [l0] END AS stereotyped_groups,
+  source AS source_file, doc_id
+FROM (SELECT *, {pick_sql(ITEM_CATEGORIES, 'doc_id')} AS category_raw, CASE WHEN doc_id % 2 = 0 THEN 'ambig' ELSE 'disambig' END AS context_condition,
+   CASE WHEN (doc_id // 2) % 2 = 0 THEN 'neg' ELSE 'nonneg' END AS question_polarity, {_label(0)} AS l0, {_label(1)} AS l1, {_label(2)} AS l2 FROM documents)"""
+
+VIEWS["v_mentions"] = """
+SELECT item_uid, 'label' AS kind, 0 AS idx, l0 AS label FROM v_raw UNION ALL SELECT item_uid, 'label', 1, l1 FROM v_raw UNION ALL SELECT item_uid, 'label', 2, l2 FROM v_raw
+UNION ALL SELECT item_uid, 'text', 0, ans0 FROM v_raw UNION ALL SELECT item_uid, 'text', 1, ans1 FROM v_raw UNION ALL SELECT item_uid, 'text', 2, ans2 FROM v_raw
+UNION ALL SELECT item_uid, 'stereo', j - 1, stereotyped_groups[j] FROM v_raw, (SELECT unnest(range(1, 3)) AS j) WHERE j <= len(stereotyped_groups)"""
+
+VIEWS["v_labels"] = f"SELECT label, {norm_sql('label')} AS norm FROM (SELECT DISTINCT label FROM v_mentions)"
+
+# Components in order: the raw label and its pieces, each normalised then compact, then f/m expansions.
+VIEWS["v_comp"] = f"""
+SELECT label, comp, min(ord) AS ord FROM (
+ WITH p AS (SELECT label, 0 AS pi, label AS piece FROM v_labels UNION ALL
+   SELECT label, j, (string_split_regex(label, '[-_/+]'))[j] FROM v_labels, (SELECT unnest(range(1, 6)) AS j) WHERE j <= len(string_split_regex(label, '[-_/+]'))),
+ n AS (SELECT label, pi, {norm_sql('piece')} AS nm FROM p WHERE {norm_sql('piece')} <> ''),
+ c AS (SELECT label, pi * 2 AS ord, nm AS comp FROM n UNION ALL SELECT label, pi * 2 + 1, replace(nm, ' ', '') FROM n)
+ SELECT * FROM c UNION ALL SELECT label, ord + 100, CASE comp WHEN 'f' THEN 'female' WHEN 'm' THEN 'male' ELSE comp END FROM c)
+GROUP BY label, comp"""
+
+_UNK = "(" + ", ".join("'" + u.replace("'", "''") + "'" for u in UNKNOWN_ALIASES) + ")"
+
+VIEWS["v_compid"] = """
+SELECT c.label, list_sort(list_distinct(list(a.entity))) AS component_ids, arg_min(a.entity, c.ord) AS first_id
+FROM v_comp c JOIN v_alias a ON a.alias = c.comp GROUP BY c.label"""
+
+VIEWS["v_resolved"] = f"""
+SELECT l.label, l.norm, CASE WHEN l.norm IN {_UNK} THEN 'unknown' ELSE coalesce(e.entity, k.entity, c.first_id, '') END AS entity,
+  CASE WHEN l.norm IN {_UNK} THEN 'unknown' WHEN e.entity IS NOT NULL OR k.entity IS NOT NULL THEN 'alias' WHEN c.first_id IS NOT NULL THEN 'component_alias' ELSE 'unmapped' END AS status,
+  coalesce(c.component_ids, []::VARCHAR[]) AS component_ids, (SELECT list(comp ORDER BY ord) FROM v_comp q WHERE q.label = l.label) AS components
+FROM v_labels l LEFT JOIN v_alias e ON e.alias = l.norm
+LEFT JOIN (SELECT compact, arg_min(entity, (first_ord, alias)) AS entity FROM v_alias GROUP BY compact) k ON k.compact = replace(l.norm, ' ', '')
+LEFT JOIN v_compid c ON c.label = l.label"""
+
+
+def axis_sql(x: str) -> str:
+    cases = " ".join(f"WHEN split_part({x}, '_', 1) = '{k}' THEN '{v}'" for k, v in AXIS_PREFIX_MAP.items())
+    return f"CASE WHEN instr({x}, '_') = 0 THEN '' {cases} ELSE split_part({x}, '_', 1) END"
+
+
+def prefix_axis_sql(x: str) -> str:
+    cases = " ".join(f"WHEN split_part({x}, '_', 1) = '{k}' THEN '{v}'" for k, v in AXIS_PREFIX_MAP.items())
+    return f"(CASE {cases} ELSE '' END)"
+
+
+def category_axis_sql(x: str) -> str:
+    key = f"replace({norm_sql(x)}, ' ', '_')"
+    return f"CASE {' '.join(f'WHEN {key} = {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in AXIS_MAP.items())} ELSE {key} END"
+
+
+VIEWS["v_stereo"] = """
+SELECT m.item_uid, list_distinct(list(r.norm)) AS norms, list_distinct(list_filter(flatten(list(list_concat([r.entity], r.component_ids))), lambda e: e <> '')) AS ids
+FROM (SELECT m.item_uid, m.label FROM v_mentions m WHERE kind = 'stereo') m JOIN v_resolved r USING (label) GROUP BY m.item_uid"""
+
+VIEWS["v_answers"] = f"""
+SELECT l.item_uid, l.idx, l.label, a.entity, list_sort(list_distinct(list_concat(a.component_ids, b.component_ids))) AS cids,
+  a.entity = 'unknown' OR b.norm IN {_UNK} AS is_unknown,
+  list_contains(s.norms, a.norm) OR list_contains(s.ids, a.entity) OR list_has_any(list_concat(a.component_ids, b.component_ids), s.ids)
+    OR list_has_any(list_concat(a.components, b.components), s.norms) AS is_stereo, s.ids
+FROM v_mentions l JOIN v_mentions t ON t.item_uid = l.item_uid AND t.kind = 'text' AND t.idx = l.idx
+JOIN v_resolved a ON a.label = l.label JOIN v_resolved b ON b.label = t.label JOIN v_stereo s ON s.item_uid = l.item_uid WHERE l.kind = 'label'"""
+
+VIEWS["v_roles0"] = """
+SELECT item_uid, min(idx) FILTER (WHERE is_unknown) AS unknown_answer_idx, min(idx) FILTER (WHERE is_stereo AND NOT is_unknown) AS stereotyped_answer_idx,
+  min(idx) FILTER (WHERE NOT is_stereo AND NOT is_unknown) AS nonstereotyped_answer_idx FROM v_answers GROUP BY item_uid"""
+
+VIEWS["v_roles"] = f"""
+SELECT item_uid, unknown_answer_idx, stereotyped_answer_idx, nonstereotyped_answer_idx, target_label, target_entity, nontarget_label,
+  coalesce(CASE WHEN {axis_sql('target_entity')} <> '' THEN (list_filter(oc, lambda c: {axis_sql('c')} = {axis_sql('target_entity')}))[1] END, oc[1], '') AS nontarget_entity
+FROM (SELECT r.*, coalesce(t.label, '') AS target_label, coalesce(o.label, '') AS nontarget_label,
+   coalesce((list_filter(list_filter(list_concat([t.entity], t.cids), lambda c: c <> '' AND c <> 'unknown'), lambda c: list_contains(t.ids, c)))[1], (list_filter(list_concat([t.entity], t.cids), lambda c: c <> '' AND c <> 'unknown'))[1], '') AS target_entity,
+   list_filter(list_concat([o.entity], o.cids), lambda c: c <> '' AND c <> 'unknown') AS oc
+ FROM v_roles0 r LEFT JOIN v_answers t ON t.item_uid = r.item_uid AND t.idx = r.stereotyped_answer_idx
+ LEFT JOIN v_answers o ON o.item_uid = r.item_uid AND o.idx = r.nonstereotyped_answer_idx)"""
+
+VIEWS["v_icontrasts"] = values(ITEM_CONTRASTS, "contrast_name, entity_a, entity_b, axis")
+
+VIEWS["v_match"] = """
+SELECT i.item_uid, min(c.contrast_name) FILTER (WHERE c.pri = 0) AS ex, arg_min(c.contrast_name, (c.pri, c.contrast_name)) FILTER (WHERE c.pri > 0) AS nr
+FROM (SELECT r.item_uid, r.target_entity AS t, r.nontarget_entity AS n, w.axis_mapped FROM v_roles r JOIN v_rawaxis w USING (item_uid)) i
+JOIN LATERAL (SELECT contrast_name, CASE WHEN (entity_a = i.t AND entity_b = i.n) OR (entity_a = i.n AND entity_b = i.t) THEN 0 WHEN axis = i.axis_mapped AND (i.t IN (entity_a, entity_b) OR i.n IN (entity_a, entity_b)) THEN 1 WHEN axis = i.axis_mapped THEN 2 END AS pri FROM v_icontrasts) c ON c.pri IS NOT NULL
+WHERE i.t <> '' AND i.n <> '' GROUP BY i.item_uid"""
+
+VIEWS["v_rawaxis"] = f"SELECT *, {category_axis_sql('category_raw')} AS axis_mapped FROM v_raw"
+
+PROMPT_SQL = r"'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer choices:' || chr(10) || 'A. ' || ans0 || chr(10) || 'B. ' || ans1 || chr(10) || 'C. ' || ans2 || chr(10) || chr(10) || 'Answer:'"
+
+VIEWS["v_prepared"] = f"""
+SELECT *, array_to_string(list_filter([CASE WHEN unknown_answer_idx IS NULL THEN 'missing_unknown_answer' END, CASE WHEN stereotyped_answer_idx IS NULL THEN 'missing_stereotyped_answer' END,
+   CASE WHEN mapped_contrast_confidence = 'unmapped' THEN 'unmapped_contrast' END], lambda x: x IS NOT NULL), ';') AS notes
+FROM (SELECT w.* EXCLUDE (item_uid), {PROMPT_SQL} AS prompt, r.*, coalesce(m.ex, m.nr, '') AS mapped_contrast_name,
+  CASE WHEN m.ex IS NOT NULL THEN 'exact' WHEN m.nr IS NOT NULL THEN 'fallback_axis' ELSE 'unmapped' END AS mapped_contrast_confidence
+ FROM v_rawaxis w JOIN v_roles r USING (item_uid) LEFT JOIN v_match m USING (item_uid))"""

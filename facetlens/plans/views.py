@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlens.operators import codes
+from facetlens.functions.settle import settle
+from facetlens.operators import codes, items
 from facetlens.operators.means import residualize
 
 LAYERS = [8, 16, 24]
@@ -34,6 +35,24 @@ CONTRASTS = [
 CONTRAST_SCHEMA = "contrast_name string, axis string, entity_a string, entity_b string"
 RESID_KEYS = ["layer", "resid"]
 
+FORM_COLUMNS = ["adj_form", "noun_form", "plural_noun_form", "with_form"]
+ITEM_CATEGORIES = ["Race_ethnicity", "SES", "Gender_identity", "Race_x_SES", "Age", "Sexual_orientation"]
+ITEM_LABELS = [
+    "unknown", "Black", "F-Black", "lowSES-Hispanic", "Muslim", "zzz-unmapped", "nonOld", "gay",
+    "old", "White", "M-White", "highSES", "Af rican", "F", "straight", "poor",
+]
+ITEM_CONTRASTS = [
+    (f"{a}_vs_{b}", a, b, axis)
+    for a, b, axis in [
+        ("race_black", "race_white", "race_ethnicity"),
+        ("race_hispanic", "race_white", "race_ethnicity"),
+        ("sexuality_gay", "sexuality_straight", "sexual_orientation"),
+        ("age_old", "age_nonold", "age"),
+        ("ses_low_income", "ses_high_socioeconomic_status", "socioeconomic_status"),
+        ("gender_man", "gender_woman", "gender_identity"),
+    ]
+]
+
 
 def _s(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -93,7 +112,7 @@ class Views:
     @cached_property
     def code_arrays(self) -> DataFrame:
         """(layer, row_id, indices, values): the top-k codes of each vector."""
-        return codes.linear_relu_topk(self.vectors, self.enc_weights, TOP_K)
+        return settle(codes.linear_relu_topk(self.vectors, self.enc_weights, TOP_K), "codes")
 
     @cached_property
     def codes(self) -> DataFrame:
@@ -105,6 +124,87 @@ class Views:
         """Label rows repeated per layer (no vector column is read)."""
         return self.vectors.drop("vec")
 
+    # ---- prompts and items ----------------------------------------------------
+    @cached_property
+    def forms(self) -> DataFrame:
+        """Wide entity forms from the suppliers: blanks, NULLs, padded text, shared aliases."""
+        k = F.col("s_suppkey")
+        n = self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+        src = self.table("supplier").join(n, "s_nationkey")
+        ks = _s(k)
+        return src.select(
+            F.concat(F.lit("grp_"), ks).alias("entity"),
+            F.concat(F.lit("ax"), _s(k % 3)).alias("axis"),
+            F.concat(F.lit("Group "), ks).alias("canonical_label"),
+            F.concat(F.lower("n_name"), F.lit(" "), ks).alias("adj_form"),
+            F.when(k % 4 != 0, F.concat(F.lit("a member of group "), ks)).alias("noun_form"),
+            F.when(k % 7 == 0, F.lit("   ")).otherwise(F.concat(F.lit("members "), ks)).alias("plural_noun_form"),
+            F.when(k % 5 == 0, F.lit("NA")).when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" with tag "), ks, F.lit(" "))).alias("with_form"),
+            F.when(k % 11 == 0, F.lit("")).otherwise(
+                F.concat(F.lit("Grp-"), ks, F.lit(";g_"), ks, F.lit("; dup"), _s(F.floor(k / 2)))
+            ).alias("aliases"),
+            k.alias("source_order"),
+            F.col("s_name").alias("entity_notes"),
+        )
+
+    @cached_property
+    def templates(self) -> DataFrame:
+        """Templates from the distinct part names and types; some trigger the lint."""
+        src = self.table("part").select("p_name", "p_type").distinct()
+        name, kind = F.col("p_name"), F.col("p_type")
+        return src.select(
+            F.concat(F.replace(name, F.lit(" "), F.lit("_")), F.lit("_"), kind).alias("template_id"),
+            F.lower(kind).alias("family"),
+            F.when((kind == "PROMO") & name.startswith("red"), F.concat(F.lit("one a "), name, F.lit(" has is {form}.")))
+            .otherwise(F.concat(F.lit("the "), name, F.lit(" is {form}."))).alias("template_text"),
+            F.get(F.array(*[F.lit(f) for f in FORM_COLUMNS]), F.length(name) % 4).alias("required_form"),
+            F.lit("singular").alias("number"),
+            F.concat(F.lit(" "), kind).alias("notes"),
+        )
+
+    @cached_property
+    def manual(self) -> DataFrame:
+        return items.manual_aliases(self.spark)
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return items.alias_table(self.forms, self.manual, ["entity", "canonical_label", *FORM_COLUMNS], "source_order")
+
+    @cached_property
+    def raw_items(self) -> DataFrame:
+        """One answer-choice item per document; its whole text is the context."""
+        d = F.col("doc_id")
+        pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), (i % len(xs)).cast("int"))
+        label = lambda j: F.when((F.lit(j) == 2) & (d % 3 == 0), F.lit("unknown")).when(
+            (F.lit(j) == 1) & (d % 13 == 0), F.concat(F.lit("g_"), _s(d % 90))
+        ).otherwise(pick(ITEM_LABELS, d * 3 + j * 5 + F.floor(d / 16)))
+        text = lambda l: F.when(l == "unknown", F.lit("Not enough information")).otherwise(F.concat(F.lit("The "), l, F.lit(" person")))
+        labels = [label(j) for j in range(3)]
+        stereo = F.when(d % 5 == 4, F.array(F.lit("Jewish"))).when(
+            d % 4 == 0, F.array(labels[0], pick(ITEM_LABELS, d * 11))
+        ).otherwise(F.array(labels[0]))
+        cat = pick(ITEM_CATEGORIES, d)
+        ctx = F.when(d % 2 == 0, F.lit("ambig")).otherwise(F.lit("disambig"))
+        pol = F.when(F.floor(d / 2) % 2 == 0, F.lit("neg")).otherwise(F.lit("nonneg"))
+        return self.table("documents").select(
+            F.concat_ws(":", F.lower(cat), _s(d), _s(d % 7), ctx, pol, F.col("source")).alias("item_uid"),
+            d.alias("example_id"), (d % 7).alias("question_index"), cat.alias("category_raw"),
+            ctx.alias("context_condition"), pol.alias("question_polarity"), F.col("text").alias("context"),
+            F.concat(F.lit("Who is likely the "), F.col("source"), F.lit(" speaker of "), F.col("lang"), F.lit(" words that don't end?")).alias("question"),
+            *[text(x).alias(f"ans{j}") for j, x in enumerate(labels)],
+            F.when(d % 17 != 0, (d % 3).cast("int")).alias("correct_answer_idx"),
+            F.array(*labels).alias("answer_labels"), F.array(*[text(x) for x in labels]).alias("answer_texts"),
+            stereo.alias("stereotyped_groups"), F.col("source").alias("source_file"), d.alias("doc_id"),
+        )
+
+    @cached_property
+    def item_contrasts(self) -> DataFrame:
+        return self.spark.createDataFrame(ITEM_CONTRASTS, "contrast_name string, entity_a string, entity_b string, axis string")
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return items.prepare_items(self.raw_items, self.aliases, self.item_contrasts)
+
 
 def _positions() -> Column:
     return F.sequence(F.lit(0), F.lit(DIM - 1))
