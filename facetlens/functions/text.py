@@ -14,7 +14,7 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_text(c: Column) -> Column:

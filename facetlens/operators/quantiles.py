@@ -35,3 +35,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
         frac = F.max(pos - F.floor(pos))
         out.append((lo + (hi - lo) * frac).alias(name))
     return ranked.groupBy(*keys).agg(*out)
+
+
+def exact_medians(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """(keys, one median per entry of ``columns``), all columns in one pass."""
+    pairs = F.array(*[F.struct(F.lit(out).alias("m"), F.col(c).cast("double").alias("v")) for c, out in columns.items()])
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
+    med = exact_percentiles(long, [*keys, "_m"], "_v", {"_median": 0.5})
+    return med.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == o, F.col("_median"))).alias(o) for o in columns.values()])

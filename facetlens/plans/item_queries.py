@@ -227,7 +227,7 @@ def parse_bool(v):
     return v.raw_items.select("item_uid", T.parse_bool(flag).alias("parsed"))
 
 
-SPAN_FORM = "CASE WHEN doc_id % 3 = 0 THEN upper(w[2]) WHEN doc_id % 3 = 1 THEN w[2] || '--' || w[3] ELSE 'zzqqx' END"
+SPAN_FORM = "CASE WHEN doc_id % 3 = 0 THEN lower(w[2]) WHEN doc_id % 3 = 1 THEN w[2] || '--' || w[3] ELSE 'zzqqx' END"
 
 
 @query(
@@ -244,7 +244,7 @@ SELECT doc_id, CASE WHEN NOT blank AND pos_a > 0 THEN pos_a - 1 WHEN NOT blank A
 def entity_span(v):
     w = F.split("text", " ")
     d = F.col("doc_id")
-    form = F.when(d % 3 == 0, F.upper(F.get(w, 1))).when(d % 3 == 1, F.concat(F.get(w, 1), F.lit("--"), F.get(w, 2))).otherwise(F.lit("zzqqx"))
+    form = F.when(d % 3 == 0, F.lower(F.get(w, 1))).when(d % 3 == 1, F.concat(F.get(w, 1), F.lit("--"), F.get(w, 2))).otherwise(F.lit("zzqqx"))
     s = v.table("documents").select("doc_id", "text", form.alias("form")).select("doc_id", T.entity_span(F.col("text"), F.col("form")).alias("s"))
     return s.select("doc_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), "s.status")
 

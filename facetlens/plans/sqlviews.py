@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, UNKNOWN_ALIASES
+from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, TEMPLATE_WORDS, UNKNOWN_ALIASES
 from facetlens.plans.views import (
-    CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, TOP_K,
+    CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, TOKEN_FEATURES, TOP_K,
 )
 
 
@@ -392,3 +392,75 @@ SELECT *, array_to_string(list_filter([CASE WHEN unknown_answer_idx IS NULL THEN
 FROM (SELECT w.* EXCLUDE (item_uid), {PROMPT_SQL} AS prompt, r.*, coalesce(m.ex, m.nr, '') AS mapped_contrast_name,
   CASE WHEN m.ex IS NOT NULL THEN 'exact' WHEN m.nr IS NOT NULL THEN 'fallback_axis' ELSE 'unmapped' END AS mapped_contrast_confidence
  FROM v_rawaxis w JOIN v_roles r USING (item_uid) LEFT JOIN v_match m USING (item_uid))"""
+
+
+# ---- tokens -------------------------------------------------------------------------
+VIEWS["v_doctok"] = """
+SELECT prompt_id, token_idx::INT AS token_idx, token_str, s::INT AS token_start_char, (CASE WHEN token_idx = 0 THEN s ELSE s + length(token_str) END)::INT AS token_end_char
+FROM (SELECT *, coalesce(sum(CASE WHEN token_idx = 0 THEN 0 ELSE length(token_str) + 1 END) OVER (PARTITION BY prompt_id ORDER BY token_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (SELECT doc_id AS prompt_id, unnest(list_concat(['<|begin_of_text|>'], string_split(text, ' '))) AS token_str, generate_subscripts(list_concat(['<|begin_of_text|>'], string_split(text, ' ')), 1) - 1 AS token_idx FROM documents))"""
+
+VIEWS["v_tok"] = f"""
+SELECT 24 AS layer, f AS feature_id, prompt_id, token_idx, token_str, token_start_char, token_end_char,
+  ((prompt_id * 7 + token_idx * 13 + f * 29) % 101) / 100.0::DOUBLE AS act, token_end_char <= token_start_char AS special, token_idx BETWEEN 3 AND 5 AS in_span,
+  CASE WHEN prompt_id % 3 <> 0 THEN ((prompt_id * 7 + f * 29) % 97) / 100.0::DOUBLE END AS fin,
+  'g' || (prompt_id % 10) AS entity, 'ax' || (prompt_id % 3) AS axis, 'fam' || (prompt_id % 5) AS family, 't' || (prompt_id % 25) AS template_id
+FROM v_doctok, (VALUES {', '.join(f'({x})' for x in TOKEN_FEATURES)}) t(f)"""
+
+VIEWS["v_pact"] = """
+SELECT layer, feature_id, prompt_id, max(act) AS mx, coalesce(max(fin), arg_max(act, token_idx)) AS fi, coalesce(max(act) FILTER (WHERE in_span), 0) AS sm, coalesce(avg(act) FILTER (WHERE in_span), 0) AS sa,
+  arg_max(token_idx, (act, -token_idx)) AS best_idx, arg_max(token_str, (act, -token_idx)) AS best_str, arg_max(in_span, (act, -token_idx)) AS best_in,
+  any_value(entity) AS entity, any_value(axis) AS axis, any_value(family) AS family, any_value(template_id) AS template_id
+FROM v_tok WHERE NOT special GROUP BY layer, feature_id, prompt_id"""
+
+VIEWS["v_tn"] = rf"""
+SELECT layer, feature_id, translate(lower({strip_sql('token_str')}), 'ġ▁Ġ', '') AS token_norm, act, in_span, special FROM v_tok"""
+
+
+def top30_sql(where: str) -> str:
+    return f"""
+SELECT layer, feature_id, string_agg(token_norm, ';' ORDER BY rn) AS top_token_strings, avg((token_norm IN ({", ".join(chr(39) + w + chr(39) for w in TEMPLATE_WORDS)}))::INT) FILTER (WHERE rn <= 20) AS tw,
+  avg(sf) FILTER (WHERE rn <= 20) AS tsf, -sum(CASE WHEN a > 0 THEN (a / tot) * ln(a / tot) END) / ln(count(*) FILTER (WHERE a > 0)) AS te
+FROM (SELECT *, sum(a) OVER (PARTITION BY layer, feature_id) AS tot FROM (
+  SELECT layer, feature_id, token_norm, a, sf, row_number() OVER (PARTITION BY layer, feature_id ORDER BY a DESC, token_norm) AS rn
+  FROM (SELECT layer, feature_id, token_norm, sum(act) AS a, avg(in_span::INT) AS sf FROM v_tn WHERE {where} GROUP BY ALL)) WHERE rn <= 30)
+GROUP BY layer, feature_id"""
+
+
+VIEWS["v_top30"] = top30_sql("NOT special")
+VIEWS["v_top30_all"] = top30_sql("true")
+
+
+def cat_entropy_sql(col: str) -> str:
+    return f"(SELECT layer, feature_id, CASE WHEN count(*) > 1 THEN -sum((n / t) * ln(n / t)) / ln(count(*)) ELSE 0 END AS h, max(n / t) AS share FROM (SELECT layer, feature_id, {col}, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY layer, feature_id) AS t FROM v_pact GROUP BY layer, feature_id, {col}) GROUP BY layer, feature_id)"
+
+
+VIEWS["v_loc"] = f"""
+SELECT *, CASE WHEN span_localization_score >= 0.7 THEN 'identity_span_local' WHEN final_token_integration_score >= 0.7 THEN 'final_token_integrated'
+  WHEN fraction_top_tokens_template_words >= 0.5 THEN 'template_context' ELSE 'diffuse_or_unclear' END AS feature_localization_type
+FROM (SELECT p.layer, p.feature_id, max(mx) AS max_token_activation, median(fi) AS final_token_activation, median(sm) AS max_span_activation, median(sa) AS mean_span_activation,
+  least(1, median(sm / greatest(mx, 1e-9))) AS span_localization_score, least(1, avg(sm / greatest(mx, 1e-9))) AS span_localization_score_mean,
+  least(1, median(fi / greatest(mx, 1e-9))) AS final_token_integration_score, avg(best_in::INT) AS fraction_top_tokens_inside_span,
+  any_value(t.top_token_strings) AS top_token_strings, any_value(t.tw) AS fraction_top_tokens_template_words, any_value(t.tsf) AS top_token_span_fraction, any_value(t.te) AS token_entropy,
+  any_value(a.h) AS family_entropy, any_value(a.share) AS fraction_top_prompts_single_family, any_value(b.h) AS template_entropy, any_value(c.h) AS cross_axis_activation_score
+ FROM v_pact p JOIN v_top30 t USING (layer, feature_id) JOIN {cat_entropy_sql('family')} a USING (layer, feature_id) JOIN {cat_entropy_sql('template_id')} b USING (layer, feature_id) JOIN {cat_entropy_sql('axis')} c USING (layer, feature_id)
+ GROUP BY p.layer, p.feature_id)"""
+
+LABEL_SQL = "CASE WHEN mx > 0 AND sm >= 0.7::DOUBLE * mx THEN 'identity_span_local' WHEN mx > 0 AND fi >= 0.7::DOUBLE * mx THEN 'final_token_integrated' WHEN mx > 0 {outside} THEN 'template_context' ELSE 'diffuse_or_unclear' END"
+
+VIEWS["v_itok"] = """
+SELECT t.layer, t.feature_id, r.item_uid, token_idx, token_str, token_start_char, token_end_char, act AS feature_activation, token_idx % 11 = 2 AS is_target_token, token_idx % 13 = 3 AS is_nontarget_token,
+  token_idx % 7 = 1 AS is_stereotype_language_token, token_idx % 17 = 5 AS is_answer_option_token, token_idx = len(string_split(r.context, ' ')) AS is_final_prompt_token, r.context_condition, r.question_polarity, r.category_raw
+FROM v_tok t JOIN v_raw r ON r.doc_id = t.prompt_id WHERE act > 0"""
+VIEWS["v_itok_content"] = r"SELECT * FROM v_itok WHERE token_end_char > token_start_char AND NOT regexp_matches(token_str, '<\|.*\|>')"
+
+FLAG_SQL = ", ".join(
+    f"avg(feature_activation) FILTER (WHERE {flag}) AS mean_{name}"
+    for name, flag in [("target_identity", "is_target_token"), ("nontarget_identity", "is_nontarget_token"), ("stereotype_language", "is_stereotype_language_token"), ("final_token", "is_final_prompt_token")]
+)
+
+VIEWS["v_behavior"] = f"""
+SELECT *, CASE WHEN v > 0 AND v >= overall_mean * 1.25 THEN CASE WHEN v = mean_target_identity THEN 'target_identity_local' WHEN v = mean_nontarget_identity THEN 'nontarget_identity_local' WHEN v = mean_stereotype_language THEN 'stereotype_language_local' ELSE 'final_token_integrated' END ELSE 'mixed_or_unclear' END AS behavior_role
+FROM (SELECT *, greatest(mean_target_identity, mean_nontarget_identity, mean_stereotype_language, mean_final_token) AS v FROM (
+  SELECT layer, feature_id, coalesce(mean_target_identity, 0) AS mean_target_identity, coalesce(mean_nontarget_identity, 0) AS mean_nontarget_identity, coalesce(mean_stereotype_language, 0) AS mean_stereotype_language, coalesce(mean_final_token, 0) AS mean_final_token, overall_mean
+  FROM (SELECT layer, feature_id, {FLAG_SQL}, avg(feature_activation) AS overall_mean FROM v_itok_content GROUP BY layer, feature_id)))"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions.settle import settle
@@ -35,6 +35,7 @@ CONTRASTS = [
 CONTRAST_SCHEMA = "contrast_name string, axis string, entity_a string, entity_b string"
 RESID_KEYS = ["layer", "resid"]
 
+TOKEN_FEATURES = [3, 17, 40]
 FORM_COLUMNS = ["adj_form", "noun_form", "plural_noun_form", "with_form"]
 ITEM_CATEGORIES = ["Race_ethnicity", "SES", "Gender_identity", "Race_x_SES", "Age", "Sexual_orientation"]
 ITEM_LABELS = [
@@ -205,6 +206,49 @@ class Views:
     def prepared(self) -> DataFrame:
         return items.prepare_items(self.raw_items, self.aliases, self.item_contrasts)
 
+    # ---- tokens ---------------------------------------------------------------
+    @cached_property
+    def doc_tokens(self) -> DataFrame:
+        """Every token of every document with offsets, a zero-width special token first."""
+        src = self.table("documents").select(
+            F.col("doc_id").alias("prompt_id"),
+            F.posexplode(F.concat(F.array(F.lit("<|begin_of_text|>")), F.split("text", " "))).alias("token_idx", "token_str"),
+        )
+        special = F.col("token_idx") == 0
+        width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
+        w = Window.partitionBy("prompt_id").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int")
+        return src.withColumn("token_start_char", start).withColumn(
+            "token_end_char", F.when(special, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
+        )
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        d, i, f = F.col("prompt_id"), F.col("token_idx"), F.col("feature_id")
+        t = self.doc_tokens.withColumn("feature_id", F.explode(F.array(*[F.lit(x) for x in TOKEN_FEATURES])))
+        return t.select(
+            F.lit(24).alias("layer"), "feature_id", "prompt_id", "token_idx", "token_str", "token_start_char", "token_end_char",
+            (((d * 7 + i * 13 + f * 29) % 101) / F.lit(100.0)).alias("token_feature_activation"),
+            (F.col("token_end_char") <= F.col("token_start_char")).alias("is_special_token"),
+            i.between(3, 5).alias("is_entity_span_token"),
+            F.when(d % 3 != 0, ((d * 7 + f * 29) % 97) / F.lit(100.0)).alias("final_token_feature_activation"),
+            F.concat(F.lit("g"), _s(d % 10)).alias("entity"), F.concat(F.lit("ax"), _s(d % 3)).alias("axis"),
+            F.concat(F.lit("fam"), _s(d % 5)).alias("family"), F.concat(F.lit("t"), _s(d % 25)).alias("template_id"),
+        )
+
+    @cached_property
+    def item_tokens(self) -> DataFrame:
+        d, i = F.col("doc_id"), F.col("token_idx")
+        t = self.tokens.withColumnRenamed("prompt_id", "doc_id").withColumnRenamed("token_feature_activation", "feature_activation")
+        last = self.table("documents").select("doc_id", (F.size(F.split("text", " "))).alias("_last"))
+        ids = self.raw_items.select("doc_id", "item_uid", "context_condition", "question_polarity", "category_raw")
+        return t.filter("feature_activation > 0").join(last, "doc_id").join(ids, "doc_id").select(
+            "layer", "feature_id", "item_uid", "token_idx", "token_str", "token_start_char", "token_end_char", "feature_activation",
+            (i % 11 == 2).alias("is_target_token"), (i % 13 == 3).alias("is_nontarget_token"),
+            (i % 7 == 1).alias("is_stereotype_language_token"), (i % 17 == 5).alias("is_answer_option_token"),
+            (i == F.col("_last")).alias("is_final_prompt_token"), "context_condition", "question_polarity", "category_raw",
+        )
+
 
 def _positions() -> Column:
     return F.sequence(F.lit(0), F.lit(DIM - 1))
