@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions.settle import settle
 from facetlens.operators import codes as C, geometry as G, means as M
-from facetlens.plans.geometry_queries import K_SQL, explode_vec, r_cols, variant_means
+from facetlens.plans.geometry_queries import K_SQL, directions, explode_vec, r_cols, variant_means
 from facetlens.plans.registry import query
 from facetlens.plans.sqlviews import R, TOP_N, metric_sql
 from facetlens.plans.views import RESID_KEYS
@@ -21,17 +21,20 @@ def rsql(cols):
     return ", ".join(f"{R(c)} AS {c}" for c in cols)
 
 
+def _settled(v, name, build):
+    return v.memo(name, lambda: settle(build(), name))
+
+
 def selectivity(v):
-    return settle(C.contrast_feature_selectivity(v.codes, v.layer_meta, v.contrasts, v.dec_weights, TOP_N), "selectivity")
+    return _settled(v, "selectivity", lambda: C.contrast_feature_selectivity(v.codes, v.layer_meta, v.contrasts, v.dec_weights, TOP_N))
 
 
 def alignment(v):
-    vm = variant_means(v, extra=())
-    return C.decoder_alignment(v.dec_weights, G.contrast_directions(vm.means, v.contrasts, RESID_KEYS))
+    return _settled(v, "alignment", lambda: C.decoder_alignment(v.dec_weights, directions(v)))
 
 
 def joined(v):
-    return C.zscore_combined(C.selectivity_alignment_join(selectivity(v), alignment(v)))
+    return _settled(v, "joined", lambda: C.zscore_combined(C.selectivity_alignment_join(selectivity(v), alignment(v))))
 
 
 def candidates(v):
@@ -109,7 +112,7 @@ ESEL = ["mean_entity", "mean_other_same_axis", "diff_mean", "cohens_d", "auc", "
 
 
 def entity_selectivity(v):
-    return C.entity_feature_selectivity(v.codes, v.layer_meta, v.dec_weights, TOP_N)
+    return _settled(v, "entity-selectivity", lambda: C.entity_feature_selectivity(v.codes, v.layer_meta, v.dec_weights, TOP_N))
 
 
 @query("entity_feature_selectivity", f"SELECT layer, axis, entity, canonical_label, feature_id, {rsql(ESEL)}, n_entity, n_other FROM v_esel")
@@ -193,7 +196,7 @@ FROM hd LEFT JOIN mt USING (layer, resid, contrast_name, selection_method, k)"""
 )
 def direction_reconstruction(v):
     vm = variant_means(v, extra=())
-    d = G.contrast_directions(vm.means, v.contrasts, RESID_KEYS)
+    d = directions(v)
     # Rounded cosines keep equal decoder rows tied, so the feature id decides.
     a = r_cols(C.decoder_alignment(v.dec_weights, d), ["cosine_with_direction"])
     out = C.direction_reconstruction(vm, d, v.dec_weights, a, joined(v), RECON_KS)

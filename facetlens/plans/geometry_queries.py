@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
 from facetlens.functions.numeric import rounded
+from facetlens.functions.settle import settle
 from facetlens.operators import effects, geometry as G, means as M
 from facetlens.plans.registry import query
 from facetlens.plans.sqlviews import R, metric_sql
@@ -27,7 +28,7 @@ def explode_vec(df, keys, vec, value):
 
 
 def variant_means(v, cell=("entity",), extra=("axis", "canonical_label")):
-    return M.VariantMeans(v.vectors, RESID, list(cell), list(extra))
+    return v.memo((cell, extra), lambda: M.VariantMeans(v.vectors, RESID, list(cell), list(extra)))
 
 
 def family_means(v):
@@ -35,12 +36,13 @@ def family_means(v):
 
 
 def directions(v):
-    return G.contrast_directions(variant_means(v, extra=()).means, v.contrasts, RESID_KEYS)
+    build = lambda: settle(G.contrast_directions(variant_means(v, extra=()).means, v.contrasts, RESID_KEYS), "directions")
+    return v.memo("directions", build)
 
 
 def scores(v, rows):
     vm = variant_means(v, extra=())
-    return G.projection_scores(vm, G.contrast_directions(vm.means, v.contrasts, RESID_KEYS), rows)
+    return G.projection_scores(vm, directions(v), rows)
 
 
 def axis_scores(v):

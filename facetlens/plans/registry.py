@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Views(spark, sf_dir))
+            return fn(Views.of(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -450,8 +450,8 @@ LABEL_SQL = "CASE WHEN mx > 0 AND sm >= 0.7::DOUBLE * mx THEN 'identity_span_loc
 
 VIEWS["v_itok"] = """
 SELECT t.layer, t.feature_id, r.item_uid, token_idx, token_str, token_start_char, token_end_char, act AS feature_activation, token_idx % 11 = 2 AS is_target_token, token_idx % 13 = 3 AS is_nontarget_token,
-  token_idx % 7 = 1 AS is_stereotype_language_token, token_idx % 17 = 5 AS is_answer_option_token, token_idx = len(string_split(r.context, ' ')) AS is_final_prompt_token, r.context_condition, r.question_polarity, r.category_raw
-FROM v_tok t JOIN v_raw r ON r.doc_id = t.prompt_id WHERE act > 0"""
+  token_idx % 7 = 1 AS is_stereotype_language_token, token_idx % 17 = 5 AS is_answer_option_token, token_idx = r.last AS is_final_prompt_token, r.context_condition, r.question_polarity, r.category_raw
+FROM v_tok t JOIN (SELECT doc_id, item_uid, context_condition, question_polarity, category_raw, len(string_split(context, ' ')) AS last FROM v_raw) r ON r.doc_id = t.prompt_id WHERE act > 0"""
 VIEWS["v_itok_content"] = r"SELECT * FROM v_itok WHERE token_end_char > token_start_char AND NOT regexp_matches(token_str, '<\|.*\|>')"
 
 FLAG_SQL = ", ".join(
@@ -464,3 +464,109 @@ SELECT *, CASE WHEN v > 0 AND v >= overall_mean * 1.25 THEN CASE WHEN v = mean_t
 FROM (SELECT *, greatest(mean_target_identity, mean_nontarget_identity, mean_stereotype_language, mean_final_token) AS v FROM (
   SELECT layer, feature_id, coalesce(mean_target_identity, 0) AS mean_target_identity, coalesce(mean_nontarget_identity, 0) AS mean_nontarget_identity, coalesce(mean_stereotype_language, 0) AS mean_stereotype_language, coalesce(mean_final_token, 0) AS mean_final_token, overall_mean
   FROM (SELECT layer, feature_id, {FLAG_SQL}, avg(feature_activation) AS overall_mean FROM v_itok_content GROUP BY layer, feature_id)))"""
+
+
+# ---- triage ---------------------------------------------------------------------------
+VIEWS["v_src_jc"] = """
+SELECT layer, feature_id, contrast_name, axis, entity_a, entity_b, cohens_d, auc, cosine_with_direction, combined_score FROM v_joined
+UNION ALL SELECT layer, feature_id, contrast_name, axis, entity_a, entity_b, cohens_d, auc, decoder_cosine, combined_score FROM v_cand"""
+VIEWS["v_src"] = """
+SELECT * FROM v_src_jc UNION ALL SELECT layer, feature_id, contrast_name, axis, entity_a, entity_b, NULL, NULL, cosine_with_direction, NULL FROM v_align"""
+
+VIEWS["v_signal"] = """
+WITH per AS (SELECT layer, feature_id, contrast_name, max(abs(cohens_d)) AS d, max(abs(cosine_with_direction)) AS c FROM v_src GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY d DESC NULLS LAST, contrast_name) AS rd, row_number() OVER (PARTITION BY layer, feature_id ORDER BY c DESC NULLS LAST, contrast_name) AS rc FROM per),
+ nm AS (SELECT layer, feature_id, string_agg(contrast_name, ';' ORDER BY rd) FILTER (WHERE rd <= 10) AS top_contrasts_by_selectivity, string_agg(contrast_name, ';' ORDER BY rc) FILTER (WHERE rc <= 10) AS top_contrasts_by_alignment,
+   max(contrast_name) FILTER (WHERE rd = 1 AND d IS NOT NULL) AS top_contrast_by_selectivity, max(contrast_name) FILTER (WHERE rc = 1 AND c IS NOT NULL) AS top_contrast_by_decoder_alignment FROM rk GROUP BY layer, feature_id),
+ en AS (SELECT layer, feature_id, count(DISTINCT e) AS n_entities_seen FROM (SELECT layer, feature_id, unnest([entity_a, entity_b]) AS e FROM v_src) GROUP BY layer, feature_id),
+ ax AS (SELECT layer, feature_id, arg_min(axis, (-n, axis)) AS mode_axis FROM (SELECT layer, feature_id, axis, count(*) AS n FROM v_src GROUP BY ALL) GROUP BY layer, feature_id)
+SELECT s.*, en.n_entities_seen, nm.* EXCLUDE (layer, feature_id), coalesce((SELECT any_value(q.axis) FROM v_contrasts q WHERE q.contrast_name = nm.top_contrast_by_selectivity), ax.mode_axis, '') AS signal_top_axis
+FROM (SELECT layer, feature_id, count(DISTINCT contrast_name) AS n_contrasts_seen, count(DISTINCT axis) AS n_axes_seen, max(abs(cohens_d)) AS max_abs_cohens_d, max(abs(auc - 0.5::DOUBLE)) AS max_auc_distance_from_0_5,
+  max(abs(cosine_with_direction)) AS max_abs_decoder_cosine, avg(abs(cosine_with_direction)) AS mean_abs_decoder_cosine, max(combined_score) AS max_combined_score FROM v_src GROUP BY layer, feature_id) s
+JOIN en USING (layer, feature_id) JOIN nm USING (layer, feature_id) JOIN ax USING (layer, feature_id)"""
+
+VIEWS["v_member"] = """
+SELECT layer, feature_id, contrast_name, axis, membership_type FROM (SELECT layer, feature_id, contrast_name, axis, membership_type,
+  row_number() OVER (PARTITION BY layer, contrast_name, membership_type ORDER BY v DESC NULLS LAST, feature_id) AS rn
+ FROM (SELECT layer, feature_id, contrast_name, min(axis) AS axis, unnest(['abs_cohens_d', 'abs_decoder_cosine', 'combined_score']) AS membership_type, unnest([max(abs(cohens_d)), max(abs(cosine_with_direction)), max(combined_score)]) AS v FROM v_src_jc GROUP BY layer, feature_id, contrast_name) WHERE v IS NOT NULL) WHERE rn <= 5"""
+
+VIEWS["v_memagg"] = """
+SELECT layer, feature_id, count(DISTINCT contrast_name) AS n_contrasts_where_top_feature, count(DISTINCT axis) AS n_axes_where_top_feature, array_to_string(list_sort(list_distinct(list(axis))), ';') AS membership_axes FROM v_member GROUP BY layer, feature_id"""
+
+VIEWS["v_espec"] = """
+WITH r AS (SELECT *, greatest(mean_entity, 0) AS v, row_number() OVER (PARTITION BY layer, feature_id ORDER BY greatest(mean_entity, 0) DESC, entity) AS rn FROM v_esel),
+ t AS (SELECT *, first_value(axis) OVER (PARTITION BY layer, feature_id ORDER BY rn) AS ta, sum(v) OVER (PARTITION BY layer, feature_id) AS tot FROM r),
+ ax AS (SELECT layer, feature_id, CASE WHEN count(*) > 1 THEN -sum((n / s) * ln(n / s)) / ln(count(*)) ELSE 0 END AS axis_entropy FROM (SELECT layer, feature_id, axis, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY layer, feature_id) AS s FROM r WHERE v > 0 GROUP BY layer, feature_id, axis) GROUP BY layer, feature_id)
+SELECT g.*, coalesce(ax.axis_entropy, 0) AS axis_entropy FROM (SELECT layer, feature_id, max(entity) FILTER (WHERE rn = 1) AS top_entity, max(canonical_label) FILTER (WHERE rn = 1) AS top_entity_label, any_value(ta) AS top_axis,
+  max(v) FILTER (WHERE rn = 1) AS top_entity_mean_activation, coalesce(max(v) FILTER (WHERE rn = 2), max(v) FILTER (WHERE rn = 1)) AS second_entity_mean_activation,
+  max(v) FILTER (WHERE rn = 1) / greatest(coalesce(max(v) FILTER (WHERE rn = 2), max(v) FILTER (WHERE rn = 1)), 1e-9) AS entity_specificity_ratio, max(v) FILTER (WHERE rn = 1) / greatest(any_value(tot), 1e-9) AS top_entity_share,
+  avg((axis = ta)::INT) FILTER (WHERE rn <= 10) AS top_axis_fraction,
+  CASE WHEN count(*) FILTER (WHERE v > 0) > 1 THEN -sum(CASE WHEN v > 0 THEN (v / tot) * ln(v / tot) END) / ln(count(*) FILTER (WHERE v > 0)) ELSE 0 END AS entity_entropy,
+  string_agg(entity || ':' || canonical_label || ':' || printf('%.4g', v), ';' ORDER BY rn) FILTER (WHERE rn <= 8) AS top_entities_by_activation
+ FROM t GROUP BY layer, feature_id) g LEFT JOIN ax USING (layer, feature_id)"""
+
+VIEWS["v_shared"] = """
+SELECT layer, feature_id, max(abs(signed_dot)) / (SELECT max(abs(signed_dot)) FROM v_align) AS shared_pc_loading_score FROM v_align GROUP BY layer, feature_id"""
+
+VIEWS["v_spine"] = """
+SELECT k.layer, k.feature_id, s.* EXCLUDE (layer, feature_id), m.* EXCLUDE (layer, feature_id), e.* EXCLUDE (layer, feature_id), l.* EXCLUDE (layer, feature_id)
+FROM (SELECT layer, feature_id FROM v_signal UNION SELECT layer, feature_id FROM v_memagg UNION SELECT layer, feature_id FROM v_espec UNION SELECT layer, feature_id FROM v_loc) k
+LEFT JOIN v_signal s USING (layer, feature_id) LEFT JOIN v_memagg m USING (layer, feature_id) LEFT JOIN v_espec e USING (layer, feature_id) LEFT JOIN v_loc l USING (layer, feature_id)"""
+
+
+def _c01(x: str) -> str:
+    return f"greatest(0, least(1, coalesce({x}, 0)))"
+
+
+# DuckDB's least() skips NULLs, so caps are guarded.
+def _cap(x: str) -> str:
+    return f"(CASE WHEN {x} IS NOT NULL THEN least(1, {x}) END)"
+
+
+VIEWS["v_scored"] = f"""
+SELECT * REPLACE (coalesce(shared_pc_loading_score, 0) AS shared_pc_loading_score, {_c01('coalesce(cross_axis_activation_score, axis_entropy)')} AS cross_axis_activation_score),
+ {_c01(f"(1 - {_cap('(CASE WHEN n_axes_where_top_feature IS NOT NULL THEN greatest(n_axes_where_top_feature, 1) END - 1) / 4')}) * 0.6 + coalesce(top_axis_fraction, 0) * 0.2 + {_cap('max_abs_cohens_d / 2')} * 0.2")} AS contrast_specificity_score,
+ {_c01(f"{_cap('n_axes_where_top_feature / 5')} * 0.5 + {_cap('n_contrasts_where_top_feature / 10')} * 0.3 + greatest(0, least(1, coalesce(shared_pc_loading_score, 0))) * 0.2")} AS sharedness_score,
+ {_c01("coalesce(fraction_top_tokens_template_words, 0) * 0.4 + (1 - coalesce(family_entropy, 1)) * 0.3 + (1 - coalesce(template_entropy, 1)) * 0.2 + (1 - coalesce(span_localization_score, 0)) * 0.1")} AS template_artifact_score,
+ {_c01("coalesce(axis_entropy, 0) * 0.35 + coalesce(entity_entropy, 0) * 0.35 + coalesce(token_entropy, 0) * 0.2 + (1 - coalesce(top_axis_fraction, 0)) * 0.1")} AS polysemanticity_score
+FROM v_spine LEFT JOIN v_shared USING (layer, feature_id)"""
+
+VIEWS["v_triage"] = """
+WITH b AS (SELECT *, coalesce(max_abs_cohens_d, 0) AS d, coalesce(max_abs_decoder_cosine, 0) AS cs, template_artifact_score AS art, coalesce(span_localization_score, 0) AS sp, coalesce(final_token_integration_score, 0) AS fi, sharedness_score AS sh, contrast_specificity_score AS spec,
+   coalesce(n_axes_where_top_feature, 0) AS axes FROM v_scored),
+ n AS (SELECT *, greatest(0, least(1, d)) AS nd, greatest(0, least(1, cs / 0.12)) AS nc FROM b),
+ r AS (SELECT *, CASE WHEN d < 0.5 AND cs < 0.03 THEN 'low_signal' WHEN art >= 0.5 THEN 'template_or_syntax_artifact' WHEN sp >= 0.7 AND d >= 0.5 THEN 'identity_token_local' WHEN fi >= 0.7 AND d >= 0.5 THEN 'sentence_final_integrated'
+   WHEN sh >= 0.5 AND axes >= 3 THEN 'shared_social_feature' WHEN spec >= 0.5 AND d >= 0.5 AND cs >= 0.03 THEN 'contrast_specific_identity' ELSE 'polysemantic_or_unclear' END AS provisional_role FROM n),
+ c AS (SELECT *, greatest(0, least(1, CASE provisional_role WHEN 'low_signal' THEN 1 - greatest(nd, nc) WHEN 'template_or_syntax_artifact' THEN art WHEN 'identity_token_local' THEN (sp + nd + 1 - art) / 3 WHEN 'sentence_final_integrated' THEN (fi + nd + 1 - art) / 3
+   WHEN 'shared_social_feature' THEN sh WHEN 'contrast_specific_identity' THEN (spec + nd + nc + 1 - art) / 4 ELSE polysemanticity_score END)) AS role_confidence,
+   provisional_role IN ('identity_token_local', 'sentence_final_integrated', 'shared_social_feature', 'contrast_specific_identity') AND d >= 0.5 AND art < 0.5 AS keep_for_intervention FROM r)
+SELECT *, CASE WHEN keep_for_intervention AND role_confidence >= 0.7 AND d >= 0.75 THEN 'high' WHEN keep_for_intervention THEN 'medium' ELSE 'low' END AS intervention_priority,
+ printf('%s: span=%.2f, final=%.2f, artifact=%.2f, shared=%.2f, specificity=%.2f, max|d|=%.2f, max|cos|=%.3f, top_axis=%s.', provisional_role, sp, fi, art, sh, spec, d, cs, coalesce(top_axis, '0')) AS reason FROM c"""
+
+PRI = "(CASE intervention_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END)"
+
+VIEWS["v_ctri"] = """
+SELECT c.*, t.provisional_role, t.role_confidence, coalesce(t.keep_for_intervention, false) AS keep_for_intervention, t.intervention_priority, t.max_abs_cohens_d, coalesce(t.top_axis, '') AS top_axis,
+  CASE WHEN c.decoder_cosine < 0 OR c.cohens_d < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign
+FROM v_cand c LEFT JOIN v_triage t USING (layer, feature_id) WHERE c.resid = 'raw'"""
+
+PORDER = f"{PRI}, role_confidence DESC NULLS LAST, max_abs_cohens_d DESC NULLS LAST, combined_score DESC NULLS LAST, contrast_name, feature_id"
+
+
+def members_sql(source: str, keys: str, limit: str) -> str:
+    return f"""SELECT {keys}, string_agg(feature_id::VARCHAR, ',' ORDER BY rn) AS feature_ids, string_agg(sign::INT::VARCHAR, ',' ORDER BY rn) AS signs, string_agg(provisional_role, ',' ORDER BY rn) AS roles, max(top_axis) FILTER (WHERE rn = 1) AS first_axis, count(*) AS n_features
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {PORDER}) AS rn FROM {source}) WHERE {limit} GROUP BY {keys}"""
+
+
+_CAX = prefix_axis_sql("contrast_name")
+VIEWS["v_sets"] = f"""
+WITH kept AS (SELECT * FROM v_ctri WHERE keep_for_intervention),
+ s AS (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY {PORDER}) AS rn FROM kept),
+ g AS (SELECT k.*, kk.k, b.bundle FROM kept k, (VALUES (1), (3)) kk(k), LATERAL (SELECT unnest([k.provisional_role, 'combined']) AS bundle) b),
+ tk AS ({members_sql('g', 'layer, contrast_name, bundle, k', 'rn <= k')}),
+ bu AS ({members_sql("(SELECT * FROM kept WHERE top_axis <> '')", 'layer, top_axis, provisional_role', 'true')}),
+ ar AS ({members_sql("(SELECT * FROM v_ctri WHERE provisional_role = 'template_or_syntax_artifact')", 'layer', 'rn <= 20')})
+SELECT layer, 'per_feature' AS mode, 'L' || lpad(layer::VARCHAR, 2, '0') || '_feature_' || lpad(feature_id::VARCHAR, 5, '0') AS set_id, feature_id::VARCHAR AS feature_ids, sign::INT::VARCHAR AS signs, provisional_role AS roles, contrast_name, coalesce(nullif({_CAX}, ''), top_axis) AS axis, 'kept_feature' AS control_type FROM s WHERE rn = 1
+UNION ALL SELECT layer, 'per_contrast_topk', 'L' || lpad(layer::VARCHAR, 2, '0') || '_' || contrast_name || '_' || bundle || '_top' || k, feature_ids, signs, roles, contrast_name, coalesce(nullif({_CAX}, ''), first_axis), 'kept_feature' FROM tk
+UNION ALL SELECT layer, 'role_bundle', 'L' || lpad(layer::VARCHAR, 2, '0') || '_' || top_axis || '_' || provisional_role || '_bundle', feature_ids, signs, roles, '', top_axis, 'kept_feature' FROM bu
+UNION ALL SELECT layer, 'control_bundle', 'L' || lpad(layer::VARCHAR, 2, '0') || '_template_artifact_control_top20', feature_ids, signs, roles, '', first_axis, 'template_artifact_features' FROM ar"""

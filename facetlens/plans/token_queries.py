@@ -126,8 +126,8 @@ def top_token_fallback(v):
 
 @query(
     "normalized_entropy",
-    f"""SELECT layer, feature_id, {R('CASE WHEN count(*) FILTER (WHERE a > 0) > 1 THEN -sum(CASE WHEN a > 0 THEN (a / t) * ln(a / t) END) / ln(count(*) FILTER (WHERE a > 0)) ELSE 0 END')} AS entropy
-FROM (SELECT layer, feature_id, token_norm, sum(act) AS a, sum(sum(act)) OVER (PARTITION BY layer, feature_id) AS t FROM v_tn GROUP BY ALL) GROUP BY layer, feature_id""",
+    f"""SELECT layer, feature_id, {R('CASE WHEN count(*) > 1 THEN -sum((a / t) * ln(a / t)) / ln(count(*)) ELSE 0 END')} AS entropy
+FROM (SELECT *, sum(a) OVER (PARTITION BY layer, feature_id) AS t FROM (SELECT layer, feature_id, token_norm, sum(act) AS a FROM v_tn GROUP BY ALL) WHERE a > 0) GROUP BY layer, feature_id""",
 )
 def normalized_entropy(v):
     return r_cols(K.normalized_entropy(K.token_totals(v.tokens), K.FEATURE, "activation", "entropy"), ["entropy"])
@@ -187,7 +187,7 @@ CONDS = ["context_condition", "question_polarity", "category_raw"]
 
 @query(
     "token_feature_summary",
-    f"""SELECT s.layer, s.feature_id, {rs(MEANS)}, {R('mm')} AS max_activation_per_prompt, {R('na / (SELECT count(*) FROM v_raw)')} AS fraction_prompts_active, {', '.join(f'activation_by_{c}' for c in CONDS)}
+    f"""SELECT s.layer, s.feature_id, {rs(MEANS)}, {R('mm')} AS max_activation_per_prompt, {R('na / (SELECT count(*) FROM documents)')} AS fraction_prompts_active, {', '.join(f'activation_by_{c}' for c in CONDS)}
 FROM (SELECT layer, feature_id, {', '.join(f'avg(feature_activation) FILTER (WHERE {f}) AS mean_{n}' for n, f in K.FLAGS.items())} FROM v_itok GROUP BY layer, feature_id) s
 JOIN (SELECT layer, feature_id, avg(m) AS mm, count(*) AS na FROM (SELECT layer, feature_id, item_uid, max(feature_activation) AS m FROM v_itok GROUP BY ALL) GROUP BY layer, feature_id) p USING (layer, feature_id)
 {' '.join(f'JOIN {_map_sql(c)} j{i} USING (layer, feature_id)' for i, c in enumerate(CONDS))}""",
@@ -213,10 +213,10 @@ def activation_breakdowns(v):
 
 @query(
     "scan_probe_join",
-    f"""SELECT t.layer, t.feature_id, t.item_uid, t.token_idx, t.token_str, {R('t.feature_activation')} AS feature_activation, t.rank::INT AS rank, role AS token_role, r.category_raw, md5({PROMPT_SQL}) AS prompt_md5
+    f"""SELECT t.layer, t.feature_id, t.item_uid, t.token_idx, t.token_str, {R('t.feature_activation')} AS feature_activation, t.rank::INT AS rank, role AS token_role, t.category_raw, prompt_md5
 FROM (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY feature_activation DESC, item_uid, token_idx) AS rank,
    CASE WHEN is_target_token THEN 'target_identity' WHEN is_nontarget_token THEN 'nontarget_identity' WHEN is_stereotype_language_token THEN 'stereotype_language' WHEN is_answer_option_token THEN 'answer_option' WHEN is_final_prompt_token THEN 'final_token' ELSE 'other_context' END AS role FROM v_itok_content) t
-JOIN v_raw r USING (item_uid) WHERE rank <= 50""",
+JOIN (SELECT item_uid, md5({PROMPT_SQL}) AS prompt_md5 FROM v_raw) r USING (item_uid) WHERE rank <= 50""",
 )
 def scan_probe_join(v):
     p = T.item_prompt(F.col("context"), F.col("question"), [F.col(f"ans{i}") for i in range(3)])

@@ -60,9 +60,35 @@ def _s(c: Column | str) -> Column:
 
 
 class Views:
+    """Lazily built working tables of one input folder.
+
+    Within a session the same object is reused, so an intermediate table that one query
+    has settled serves the next. ``forget`` starts afresh (the bench does so every time).
+    """
+
+    _open: dict[tuple[str, str], "Views"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
+
+    @classmethod
+    def forget(cls) -> None:
+        cls._open.clear()
+
+    def memo(self, key, build):
+        """``build()`` once per ``key``."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._memo: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -210,25 +236,15 @@ class Views:
     @cached_property
     def doc_tokens(self) -> DataFrame:
         """Every token of every document with offsets, a zero-width special token first."""
-        src = self.table("documents").select(
-            F.col("doc_id").alias("prompt_id"),
-            F.posexplode(F.concat(F.array(F.lit("<|begin_of_text|>")), F.split("text", " "))).alias("token_idx", "token_str"),
-        )
-        special = F.col("token_idx") == 0
-        width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
-        w = Window.partitionBy("prompt_id").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
-        start = F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int")
-        return src.withColumn("token_start_char", start).withColumn(
-            "token_end_char", F.when(special, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
-        )
+        return _text_tokens(self.table("documents").withColumnRenamed("doc_id", "prompt_id"), "prompt_id", "text", [])
 
     @cached_property
     def tokens(self) -> DataFrame:
         d, i, f = F.col("prompt_id"), F.col("token_idx"), F.col("feature_id")
-        t = self.doc_tokens.withColumn("feature_id", F.explode(F.array(*[F.lit(x) for x in TOKEN_FEATURES])))
+        t = self.doc_tokens.withColumn("feature_id", _token_features())
         return t.select(
             F.lit(24).alias("layer"), "feature_id", "prompt_id", "token_idx", "token_str", "token_start_char", "token_end_char",
-            (((d * 7 + i * 13 + f * 29) % 101) / F.lit(100.0)).alias("token_feature_activation"),
+            _token_activation(d).alias("token_feature_activation"),
             (F.col("token_end_char") <= F.col("token_start_char")).alias("is_special_token"),
             i.between(3, 5).alias("is_entity_span_token"),
             F.when(d % 3 != 0, ((d * 7 + f * 29) % 97) / F.lit(100.0)).alias("final_token_feature_activation"),
@@ -238,18 +254,42 @@ class Views:
 
     @cached_property
     def item_tokens(self) -> DataFrame:
-        d, i = F.col("doc_id"), F.col("token_idx")
-        t = self.tokens.withColumnRenamed("prompt_id", "doc_id").withColumnRenamed("token_feature_activation", "feature_activation")
-        last = self.table("documents").select("doc_id", (F.size(F.split("text", " "))).alias("_last"))
-        ids = self.raw_items.select("doc_id", "item_uid", "context_condition", "question_polarity", "category_raw")
-        return t.filter("feature_activation > 0").join(last, "doc_id").join(ids, "doc_id").select(
-            "layer", "feature_id", "item_uid", "token_idx", "token_str", "token_start_char", "token_end_char", "feature_activation",
+        """Positive token activations of items; item columns travel with the text, no join."""
+        src = self.raw_items.withColumn("_last", F.size(F.split("context", " ")))
+        carry = ["doc_id", "_last", "context_condition", "question_polarity", "category_raw"]
+        i = F.col("token_idx")
+        t = _text_tokens(src, "item_uid", "context", carry).withColumn("feature_id", _token_features())
+        act = _token_activation(F.col("doc_id"))
+        return t.withColumn("feature_activation", act).filter("feature_activation > 0").select(
+            F.lit(24).alias("layer"), "feature_id", "item_uid", "token_idx", "token_str", "token_start_char", "token_end_char", "feature_activation",
             (i % 11 == 2).alias("is_target_token"), (i % 13 == 3).alias("is_nontarget_token"),
             (i % 7 == 1).alias("is_stereotype_language_token"), (i % 17 == 5).alias("is_answer_option_token"),
             (i == F.col("_last")).alias("is_final_prompt_token"), "context_condition", "question_polarity", "category_raw",
         )
 
 
+def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
+    """Space-separated tokens of a text with character offsets, after a special token."""
+    t = src.select(
+        key, *carry, F.posexplode(F.concat(F.array(F.lit("<|begin_of_text|>")), F.split(text, " "))).alias("token_idx", "token_str")
+    )
+    special = F.col("token_idx") == 0
+    width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
+    w = Window.partitionBy(key).orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int")
+    return t.withColumn("token_start_char", start).withColumn(
+        "token_end_char", F.when(special, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
+    )
+
+
+def _token_features() -> Column:
+    return F.explode(F.array(*[F.lit(x) for x in TOKEN_FEATURES]))
+
+
+def _token_activation(doc: Column) -> Column:
+    return ((doc * 7 + F.col("token_idx") * 13 + F.col("feature_id") * 29) % 101) / F.lit(100.0)
+
+
 def _positions() -> Column:
     return F.sequence(F.lit(0), F.lit(DIM - 1))
 
