@@ -6,7 +6,8 @@ import re
 
 from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, TEMPLATE_WORDS, UNKNOWN_ALIASES
 from facetlens.plans.views import (
-    CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, TOKEN_FEATURES, TOP_K,
+    CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, RESULT_ALPHAS, RESULT_POSITIONS,
+    RESULT_SET_COLS, RESULT_SETS, TOKEN_FEATURES, TOP_K,
 )
 
 
@@ -570,3 +571,62 @@ SELECT layer, 'per_feature' AS mode, 'L' || lpad(layer::VARCHAR, 2, '0') || '_fe
 UNION ALL SELECT layer, 'per_contrast_topk', 'L' || lpad(layer::VARCHAR, 2, '0') || '_' || contrast_name || '_' || bundle || '_top' || k, feature_ids, signs, roles, contrast_name, coalesce(nullif({_CAX}, ''), first_axis), 'kept_feature' FROM tk
 UNION ALL SELECT layer, 'role_bundle', 'L' || lpad(layer::VARCHAR, 2, '0') || '_' || top_axis || '_' || provisional_role || '_bundle', feature_ids, signs, roles, '', top_axis, 'kept_feature' FROM bu
 UNION ALL SELECT layer, 'control_bundle', 'L' || lpad(layer::VARCHAR, 2, '0') || '_template_artifact_control_top20', feature_ids, signs, roles, '', first_axis, 'template_artifact_features' FROM ar"""
+
+
+# ---- experiment -----------------------------------------------------------------------
+VIEWS["v_rsets"] = values(RESULT_SETS, ", ".join(RESULT_SET_COLS))
+
+VIEWS["v_scores0"] = f"""
+SELECT *, b0 + alpha * (((doc_id + set_no * 5) % 7) - 3) / 10.0::DOUBLE AS i0, b1 + alpha * (((doc_id + set_no * 5 + 3) % 7) - 3) / 10.0::DOUBLE AS i1, b2 + alpha * (((doc_id + set_no * 5 + 6) % 7) - 3) / 10.0::DOUBLE AS i2
+FROM (SELECT p.item_uid, p.doc_id, p.axis_mapped, p.category_raw, p.context_condition, p.question_polarity, p.mapped_contrast_name, p.stereotyped_answer_idx AS si, p.nonstereotyped_answer_idx AS ni, p.unknown_answer_idx AS ui, p.correct_answer_idx AS ci,
+   s.*, a.alpha, q.intervention_position, -((doc_id * 37 + set_no * 11) % 997) / 100.0::DOUBLE AS b0, -((doc_id * 37 + set_no * 11 + 53) % 997) / 100.0::DOUBLE AS b1, -((doc_id * 37 + set_no * 11 + 106) % 997) / 100.0::DOUBLE AS b2
+ FROM v_prepared p, v_rsets s, ({values([(a,) for a in RESULT_ALPHAS], 'alpha')}) a, ({values([(a,) for a in RESULT_POSITIONS], 'intervention_position')}) q)"""
+
+
+def _at(p: str, idx: str) -> str:
+    return f"(CASE {idx} WHEN 0 THEN {p}0 WHEN 1 THEN {p}1 WHEN 2 THEN {p}2 END)"
+
+
+def _oth(p: str) -> str:
+    return f"(CASE ci WHEN 0 THEN greatest({p}1, {p}2) WHEN 1 THEN greatest({p}0, {p}2) WHEN 2 THEN greatest({p}0, {p}1) END)"
+
+
+def _am(p: str) -> str:
+    return f"(CASE WHEN {p}0 >= {p}1 AND {p}0 >= {p}2 THEN 0 WHEN {p}1 >= {p}2 THEN 1 ELSE 2 END)"
+
+
+VIEWS["v_results"] = f"""
+SELECT *, mi - mb AS bias_margin_delta, pb <> pi AS prediction_changed, coalesce(pb = ci, false) AS correct_base, coalesce(pi = ci, false) AS correct_intervened
+FROM (SELECT *, {_at('i', 'si')} - {_at('b', 'si')} AS stereotyped_delta, {_at('i', 'ni')} - {_at('b', 'ni')} AS nonstereotyped_delta, {_at('i', 'ui')} - {_at('b', 'ui')} AS unknown_delta, {_at('i', 'ci')} - {_at('b', 'ci')} AS correct_delta,
+  CASE WHEN context_condition = 'ambig' THEN {_at('b', 'si')} - {_at('b', 'ui')} ELSE {_at('b', 'ci')} - {_oth('b')} END AS mb, CASE WHEN context_condition = 'ambig' THEN {_at('i', 'si')} - {_at('i', 'ui')} ELSE {_at('i', 'ci')} - {_oth('i')} END AS mi,
+  {_am('b')} AS pb, {_am('i')} AS pi, CASE WHEN set_control = 'kept_feature' AND NOT (axis_mapped <> '' AND set_axis <> '' AND axis_mapped = set_axis) THEN 'wrong_axis_features' ELSE set_control END AS control_type FROM v_scores0)"""
+
+_ROLE_LIST = "coalesce(from_json(CASE WHEN json_valid(feature_roles_json) THEN feature_roles_json END, '[\"VARCHAR\"]'), []::VARCHAR[])"
+_IDAX = " ".join(f"WHEN instr('_' || feature_set_id || '_', '_{k}_') > 0 THEN '{v}'" for k, v in AXIS_PREFIX_MAP.items())
+VIEWS["v_labelled"] = f"""
+SELECT *, CASE WHEN contains(control_type, 'wrong_axis') THEN 'wrong_axis_control' WHEN feature_axis <> '' AND axis_mapped = feature_axis THEN 'matched_axis' WHEN feature_axis <> '' THEN 'wrong_axis_control' ELSE 'unknown_axis_match' END AS axis_match_type,
+  CASE WHEN context_condition = 'ambig' AND bias_margin_delta < -1e-6 THEN 'reduces_stereotype_preference' WHEN context_condition = 'ambig' AND bias_margin_delta > 1e-6 THEN 'increases_stereotype_preference' WHEN context_condition = 'ambig' AND abs(bias_margin_delta) <= 1e-6 THEN 'near_zero' ELSE 'not_ambiguous' END AS ambiguous_bias_effect_label
+FROM (SELECT *, coalesce(({_ROLE_LIST})[1], '') AS feature_role, array_to_string(list_sort(list_distinct({_ROLE_LIST})), ', ') AS feature_roles_readable,
+  coalesce(nullif(CASE WHEN instr(feature_contrast_name, '_vs_') > 0 THEN {prefix_axis_sql('feature_contrast_name')} ELSE '' END, ''), CASE {_IDAX} END, '') AS feature_axis,
+  CASE WHEN alpha > 0 THEN 'amplify_feature_direction' ELSE 'suppress_feature_direction' END AS steering_direction_label, CASE WHEN alpha >= 0 THEN '+' ELSE '-' END || regexp_replace(abs(alpha)::VARCHAR, '\\.0$', '') AS alpha_label FROM v_results)"""
+
+
+def summary_sql(keys: str) -> str:
+    return f"""SELECT *, CASE WHEN coalesce(mean_correct_delta < -0.02, false) OR coalesce(accuracy_change_disambig < -0.02, false) THEN 'capability_degrading' WHEN mean_bias_margin_delta < 0 AND mean_unknown_delta > 0 THEN 'bias_reducing_uncertainty_increasing'
+  WHEN mean_bias_margin_delta < 0 AND mean_nonstereotyped_delta > mean_unknown_delta THEN 'substitution_effect' WHEN abs(mean_bias_margin_delta) < 1e-4 THEN 'no_effect' ELSE 'identity_salience_only' END AS interpretation_label
+FROM (SELECT {keys}, avg(stereotyped_delta) AS mean_stereotyped_delta, avg(unknown_delta) AS mean_unknown_delta, avg(nonstereotyped_delta) AS mean_nonstereotyped_delta, avg(bias_margin_delta) AS mean_bias_margin_delta, avg(correct_delta) AS mean_correct_delta,
+  count(DISTINCT item_uid) AS n_items, count(*) AS n_rows, count(DISTINCT feature_set_id) AS n_featuresets, avg(coalesce(prediction_changed, false)::INT) AS prediction_change_rate,
+  avg(CASE WHEN context_condition = 'disambig' THEN correct_intervened::INT - correct_base::INT END) AS accuracy_change_disambig FROM v_labelled GROUP BY {keys})"""
+
+
+def boot_sql(keys: str, samples: int, limit: int, cdf: list[float]) -> str:
+    """Resampled item means for groups up to ``limit`` items, Poisson weights above."""
+    h = lambda x: f"('0x' || substr(md5(concat_ws(':', '0', rep, {x})), 1, 8))::UBIGINT"
+    w = " + ".join(f"({h('item_uid')} / 4294967296.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in cdf)
+    cond = " AND ".join(f"z.{k.strip()} IS NOT DISTINCT FROM y.{k.strip()}" for k in keys.split(","))
+    return f"""(WITH it AS (SELECT {keys}, item_uid, avg(bias_margin_delta) AS x FROM v_labelled WHERE bias_margin_delta IS NOT NULL GROUP BY {keys}, item_uid),
+ sz AS (SELECT {keys}, count(*) AS n, avg(x) AS m, list(x ORDER BY item_uid) AS vals FROM it GROUP BY {keys}),
+ st AS (SELECT {keys}, rep, avg(vals[1 + ({h('i')} % n)::BIGINT]) AS s FROM (SELECT *, unnest(range(0, n)) AS i FROM sz, (SELECT unnest(range(0, {samples})) AS rep) WHERE n <= {limit}) GROUP BY {keys}, rep
+  UNION ALL SELECT {keys}, rep, sum(w * x) / sum(w) FROM (SELECT z.*, rep, {w} AS w FROM it z JOIN (SELECT * FROM sz WHERE n > {limit}) y ON {cond}, (SELECT unnest(range(0, {samples})) AS rep)) GROUP BY {keys}, rep),
+ q AS (SELECT {keys}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY {keys})
+SELECT {', '.join('z.' + k.strip() for k in keys.split(','))}, CASE WHEN z.n <= 1 THEN z.m ELSE y.lo END AS ci_low, CASE WHEN z.n <= 1 THEN z.m ELSE y.hi END AS ci_high FROM sz z JOIN q y ON {cond})"""

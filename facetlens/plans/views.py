@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions.settle import settle
-from facetlens.operators import codes, items
+from facetlens.operators import codes, experiment, grid, items
 from facetlens.operators.means import residualize
 
 LAYERS = [8, 16, 24]
@@ -36,6 +36,17 @@ CONTRAST_SCHEMA = "contrast_name string, axis string, entity_a string, entity_b
 RESID_KEYS = ["layer", "resid"]
 
 TOKEN_FEATURES = [3, 17, 40]
+RESULT_ALPHAS = [-1.0, -0.5, 0.5, 1.0, 2.0]
+RESULT_POSITIONS = ["final_prompt_token", "target_identity_last_token"]
+RESULT_SET_COLS = ["set_no", "feature_set_id", "layer", "feature_roles_json", "feature_contrast_name", "set_axis", "set_control"]
+RESULT_SETS = [
+    (0, "L08_feature_00003", 8, '["identity_token_local"]', "race_black_vs_race_white", "race_ethnicity", "kept_feature"),
+    (1, "L16_age_bundle", 16, '["shared_social_feature", "low_signal"]', "", "age", "kept_feature"),
+    (2, "L24_low_top3", 24, '["contrast_specific_identity"]', "ses_low_income_vs_ses_rich", "socioeconomic_status", "kept_feature"),
+    (3, "L24_template_artifact_control_top20", 24, '["template_or_syntax_artifact"]', "", "", "template_artifact_features"),
+    (4, "L16_gender_role", 16, "not json", "", "gender_identity", "kept_feature"),
+    (5, "L08_feature_00040", 8, "[]", "sexuality_gay_vs_sexuality_straight", "sexual_orientation", "kept_feature"),
+]
 FORM_COLUMNS = ["adj_form", "noun_form", "plural_noun_form", "with_form"]
 ITEM_CATEGORIES = ["Race_ethnicity", "SES", "Gender_identity", "Race_x_SES", "Age", "Sexual_orientation"]
 ITEM_LABELS = [
@@ -230,7 +241,33 @@ class Views:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return items.prepare_items(self.raw_items, self.aliases, self.item_contrasts)
+        return settle(items.prepare_items(self.raw_items, self.aliases, self.item_contrasts), "prepared")
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """Scored experiment rows: every item x set x alpha x position."""
+        d = F.col("doc_id")
+        sets = F.array(*[
+            F.struct(*[F.lit(x).alias(n) for n, x in zip(RESULT_SET_COLS, row)]) for row in RESULT_SETS
+        ])
+        arr = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+        keep = [
+            "item_uid", "doc_id", "axis_mapped", "category_raw", "context_condition", "question_polarity", "mapped_contrast_name",
+            "stereotyped_answer_idx", "nonstereotyped_answer_idx", "unknown_answer_idx", "correct_answer_idx",
+        ]
+        r = self.prepared.select(*keep, F.explode(sets).alias("_s")).select(*keep, "_s.*")
+        r = r.withColumn("alpha", arr(RESULT_ALPHAS)).withColumn("intervention_position", arr(RESULT_POSITIONS))
+        s = F.col("set_no")
+        base = lambda j: -((d * 37 + s * 11 + j * 53) % 997) / F.lit(100.0)
+        move = lambda j: F.col("alpha") * (((d + s * 5 + j * 3) % 7) - 3) / F.lit(10.0)
+        r = r.withColumns({f"ans{j}_logprob_base": base(j) for j in range(3)})
+        r = r.withColumns({f"ans{j}_logprob_intervened": F.col(f"ans{j}_logprob_base") + move(j) for j in range(3)})
+        r = r.withColumn("control_type", grid.control_type_of(F.col("set_control"), F.col("set_axis"), F.col("axis_mapped")))
+        return experiment.choice_metrics(r.withColumn("feature_set_mode", F.lit("fixture")))
+
+    @cached_property
+    def labelled_results(self) -> DataFrame:
+        return settle(experiment.experiment_labels(self.results), "results")
 
     # ---- tokens ---------------------------------------------------------------
     @cached_property
