@@ -89,7 +89,10 @@ def item_prompt(context: Column, question: Column, answers: list[Column]) -> Col
 
 def pick_by_index(values: list[Column], idx: Column) -> Column:
     """values[idx] for idx in 0..n-1, NULL otherwise."""
-    return F.when(idx.between(0, len(values) - 1), F.get(F.array(*values), idx.cast("int")))
+    out = F.when(idx == 0, values[0])
+    for i, v in enumerate(values[1:], start=1):
+        out = out.when(idx == i, v)
+    return out
 
 
 def answer_label(idx: Column, answers: list[Column]) -> Column:
@@ -115,7 +118,7 @@ def first_of(a: Column) -> Column:
 
 
 def readable_join(a: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(a)), ", ")
+    return F.array_join(F.sort_array(F.array_distinct(a)), ", ")
 
 
 def alpha_label(alpha: Column) -> Column:

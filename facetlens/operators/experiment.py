@@ -28,14 +28,17 @@ def _pick(cols: list[str], idx: str) -> Column:
 
 def _argmax(cols: list[str]) -> Column:
     """Index of the largest score, the first on ties; NULL if none is present."""
-    a = F.array(*[F.col(c) for c in cols])
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    low = F.lit(float("-inf"))
+    x, y, z = [F.coalesce(F.col(c), low) for c in cols]
+    top = F.when((x >= y) & (x >= z), F.lit(0)).when(y >= z, F.lit(1)).otherwise(F.lit(2))
+    return F.when(F.coalesce(*cols).isNotNull(), top)
 
 
 def _best_other(cols: list[str], idx: str) -> Column:
-    a = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(cols)])
-    rest = F.filter(a, lambda s: (s["i"] != F.col(idx)) & s["v"].isNotNull())
-    return F.array_max(F.transform(rest, lambda s: s["v"]))
+    """Largest score among the other two answers; a missing one is skipped."""
+    i = F.col(idx)
+    x, y, z = [F.col(c) for c in cols]
+    return F.when(i == 0, F.greatest(y, z)).when(i == 1, F.greatest(x, z)).when(i == 2, F.greatest(x, y))
 
 
 def choice_metrics(scores: DataFrame) -> DataFrame:

@@ -219,9 +219,12 @@ def triage_roles(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         F.when(high, F.lit("high")).when(F.col("keep_for_intervention"), F.lit("medium")).otherwise(F.lit("low")),
     )
     top_axis = F.coalesce("top_axis", F.lit("0")) if "top_axis" in have else F.lit("")
-    reason = F.format_string(
-        "%s: span=%.2f, final=%.2f, artifact=%.2f, shared=%.2f, specificity=%.2f, max|d|=%.2f, max|cos|=%.3f, top_axis=%s.",
-        "provisional_role", "_span", "_final", "_art", "_shared", "_spec", "_d", "_cos", top_axis,
+    # A number pattern rounds by the exact binary value, as C-style formatting does.
+    fixed = lambda c, digits: F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits))
+    reason = F.concat(
+        "provisional_role", F.lit(": span="), fixed("_span", 2), F.lit(", final="), fixed("_final", 2), F.lit(", artifact="), fixed("_art", 2),
+        F.lit(", shared="), fixed("_shared", 2), F.lit(", specificity="), fixed("_spec", 2), F.lit(", max|d|="), fixed("_d", 2),
+        F.lit(", max|cos|="), fixed("_cos", 3), F.lit(", top_axis="), top_axis, F.lit("."),
     )
     return out.withColumn("reason", reason).drop(*[x for x in out.columns if x.startswith("_")])
 

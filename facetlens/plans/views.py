@@ -104,6 +104,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self) -> int:
+        """Partitions for a small table whose rows are about to multiply."""
+        return max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
     # ---- labelled vectors -------------------------------------------------
     @cached_property
     def meta(self) -> DataFrame:
@@ -255,7 +259,9 @@ class Views:
             "item_uid", "doc_id", "axis_mapped", "category_raw", "context_condition", "question_polarity", "mapped_contrast_name",
             "stereotyped_answer_idx", "nonstereotyped_answer_idx", "unknown_answer_idx", "correct_answer_idx",
         ]
-        r = self.prepared.select(*keep, F.explode(sets).alias("_s")).select(*keep, "_s.*")
+        # An item turns into dozens of rows, so the narrow items are spread out first.
+        spread = self.prepared.select(*keep).repartition(self.spread(), "item_uid")
+        r = spread.select(*keep, F.explode(sets).alias("_s")).select(*keep, "_s.*")
         r = r.withColumn("alpha", arr(RESULT_ALPHAS)).withColumn("intervention_position", arr(RESULT_POSITIONS))
         s = F.col("set_no")
         base = lambda j: -((d * 37 + s * 11 + j * 53) % 997) / F.lit(100.0)
