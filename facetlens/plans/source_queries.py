@@ -21,7 +21,10 @@ from facetlens.sources import tables as S
 
 def out_path(v, name: str) -> str:
     """A fresh folder for a table that a reader query writes first."""
-    return f"{shared_root(v.spark)}/sources/{name}-{uuid.uuid4().hex}"
+    root = shared_root(v.spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root}/sources/{name}-{uuid.uuid4().hex}"
 
 
 @query("read_prompt_metadata", "SELECT * FROM v_prompts")
