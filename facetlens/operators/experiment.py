@@ -133,10 +133,15 @@ def experiment_labels(results: DataFrame) -> DataFrame:
 
 
 def interpretation_label() -> Column:
-    """First matching rule; a NULL metric matches no rule that reads it."""
-    bias, unknown, other = F.col("mean_bias_margin_delta"), F.col("mean_unknown_delta"), F.col("mean_nonstereotyped_delta")
+    """First matching rule; a NULL metric matches no rule that reads it.
+
+    Means enter at 12 decimals: deltas that cancel exactly leave a residue of either sign
+    that depends on the order of summation, and the rules test signs.
+    """
+    m = lambda c: F.round(c, 12)
+    bias, unknown, other = m("mean_bias_margin_delta"), m("mean_unknown_delta"), m("mean_nonstereotyped_delta")
     return (
-        F.when((F.col("mean_correct_delta") < -0.02) | (F.col("accuracy_change_disambig") < -0.02), F.lit("capability_degrading"))
+        F.when((m("mean_correct_delta") < -0.02) | (m("accuracy_change_disambig") < -0.02), F.lit("capability_degrading"))
         .when((bias < 0) & (unknown > 0), F.lit("bias_reducing_uncertainty_increasing"))
         .when((bias < 0) & (other > unknown), F.lit("substitution_effect"))
         .when(F.abs(bias) < 1e-4, F.lit("no_effect"))

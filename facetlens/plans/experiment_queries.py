@@ -8,13 +8,25 @@ from facetlens.functions import text as T
 from facetlens.functions.hashing import job_key
 from facetlens.functions.settle import settle
 from facetlens.operators import experiment as X, grid
-from facetlens.plans import triage_queries as TQ
-from facetlens.plans.geometry_queries import r_cols
+from facetlens.plans import geometry_queries, sqlviews, triage_queries as TQ
 from facetlens.plans.registry import query
-from facetlens.plans.sqlviews import R, boot_sql, summary_sql
+from facetlens.plans.sqlviews import boot_sql, summary_sql
 from facetlens.plans.views import RESULT_ALPHAS, RESULT_POSITIONS, N_FEATURES
 
 
+# The scores are short decimals, so their means can fall exactly between two values at six
+# digits; nine digits are compared here.
+DIGITS = 9
+
+
+def R(expr):
+    return sqlviews.R(expr, DIGITS)
+
+
+def r_cols(df, cols):
+    return geometry_queries.r_cols(df, cols, DIGITS)
+
+
 def rs(cols):
     return ", ".join(f"{R(c)} AS {c}" for c in cols)
 

@@ -18,8 +18,8 @@ R_METRICS = ", ".join(f"{R(c)} AS {c}" for c in METRICS)
 K_SQL = "layer, resid, contrast_name, axis, entity_a, entity_b"
 
 
-def r_cols(df, cols):
-    return df.withColumns({c: rounded(c) for c in cols})
+def r_cols(df, cols, digits=6):
+    return df.withColumns({c: rounded(c, digits) for c in cols})
 
 
 def explode_vec(df, keys, vec, value):
