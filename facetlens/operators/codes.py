@@ -18,7 +18,7 @@ from facetlens.functions.hashing import seeded_order
 from facetlens.functions.joins import spread_join
 from facetlens.functions.numeric import cohens_d_from_moments
 from facetlens.operators import geometry as G
-from facetlens.operators.effects import auc_from_counts, endpoint_metrics
+from facetlens.operators.effects import auc_from_counts
 from facetlens.operators.means import VariantMeans, mean_vector
 from facetlens.operators.quantiles import exact_percentiles
 
@@ -465,14 +465,8 @@ def direction_reconstruction(
     built = built.withColumn("_r", V.scale("_m", F.col("n_features").cast("double"))).withColumn("fraction_norm_captured", V.sq_norm("_r"))
     built = built.withColumn("dir", V.normalize("_r")).withColumn("cosine_with_full_direction", V.dot("_full", "dir"))
     extra = ["selection_method", "k"]
-    placed = G.with_offsets(
-        built.filter(F.col("dir").isNotNull()).select(*group, "dir"), vm.overall, vm.shifts, ["layer"]
-    )
-    packed = G.pack_directions(placed, ["layer"], extra)
-    scores = G._score_rows(
-        vm, vm.vectors.drop("axis"), packed, ["layer"], G.ENDPOINT_ROWS, [*G.CONTRAST, *extra], ["layer", "row_id", "entity"]
-    ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
-    metrics = endpoint_metrics(scores, group).select(*group, "auc", "cohens_d")
+    ready = built.filter(F.col("dir").isNotNull()).select(*group, "dir")
+    metrics = G.endpoint_component_metrics(vm, ready, extra).select(*group, "auc", "cohens_d")
     return built.select(*group, "n_features", "cosine_with_full_direction", "fraction_norm_captured").join(metrics, group, "left")
 
 

@@ -74,7 +74,12 @@ def pack_directions(directions: DataFrame, pack_keys: list[str], extra: list[str
     return directions.groupBy(*pack_keys).agg(F.collect_list(item).alias("dirs"))
 
 
-ENDPOINT_ROWS = lambda d: (d["entity_a"] == F.col("entity")) | (d["entity_b"] == F.col("entity"))
+EVERY = lambda d: F.lit(True)
+
+
+def by_endpoint(directions: DataFrame) -> DataFrame:
+    """Each direction once per endpoint, so a row is joined only to those of its own entity."""
+    return directions.withColumn("entity", F.explode(F.array("entity_a", "entity_b")))
 
 
 def _score_rows(
@@ -99,17 +104,32 @@ def projection_scores(vm: VariantMeans, directions: DataFrame, rows: str = "axis
     ``rows``: ``all`` scores every row, ``axis`` the rows on the contrast's axis, and
     ``endpoints`` only rows of the two entities (adds ``is_a``).
     """
-    keeps = {"all": lambda d: F.lit(True), "axis": lambda d: d["axis"] == F.col("row_axis"), "endpoints": ENDPOINT_ROWS}
-    if rows not in keeps:
+    placed = with_offsets(directions, vm.overall, vm.shifts, ["layer"])
+    if rows == "all":
+        keys = ["layer"]
+    elif rows == "axis":
+        keys, placed = ["layer", "row_axis"], placed.withColumn("row_axis", F.col("axis"))
+    elif rows == "endpoints":
+        keys, placed = ["layer", "entity"], by_endpoint(placed)
+    else:
         raise ValueError(f"unknown rows mode {rows!r}")
-    packed = pack_directions(with_offsets(directions, vm.overall, vm.shifts, ["layer"]), ["layer"])
     src = vm.vectors.withColumnRenamed("axis", "row_axis")
-    out = _score_rows(vm, src, packed, ["layer"], keeps[rows], CONTRAST, ["layer", "row_id", "entity", "row_axis"])
+    out = _score_rows(vm, src, pack_directions(placed, keys), keys, EVERY, CONTRAST, ["layer", "row_id", "entity", "row_axis"])
     if rows == "endpoints":
         out = out.withColumn("is_a", F.col("entity") == F.col("entity_a"))
     return out
 
 
+def endpoint_component_metrics(vm: VariantMeans, directions: DataFrame, extra: list[str]) -> DataFrame:
+    """Endpoint metrics of several directions per contrast, told apart by ``extra`` columns."""
+    placed = by_endpoint(with_offsets(directions, vm.overall, vm.shifts, ["layer"]))
+    pack = ["layer", "entity"]
+    scores = _score_rows(
+        vm, vm.vectors.drop("axis"), pack_directions(placed, pack, extra), pack, EVERY, [*CONTRAST, *extra], [*pack, "row_id"]
+    ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
+    return endpoint_metrics(scores, [*KEYS, *CONTRAST, *extra])
+
+
 def tag_endpoints(vectors: DataFrame, contrasts: DataFrame, spread_by: list[str] = ["row_id"]) -> DataFrame:
     """Rows on a contrast's axis, tagged a / b / other_same_axis."""
     joined = spread_join(vectors, contrasts, ["axis"], spread_by=spread_by)
@@ -182,9 +202,9 @@ def family_holdout(
         placed = with_offsets(dirs, vm.overall, vm.shifts, ["layer"])
     else:
         raise ValueError(f"unknown center {center!r}")
-    packed = pack_directions(placed, ["layer", "family"])
+    pack = ["layer", "family", "entity"]
     scores = _score_rows(
-        vm, vm.vectors.drop("axis"), packed, ["layer", "family"], ENDPOINT_ROWS, CONTRAST, ["layer", "family", "row_id", "entity"]
+        vm, vm.vectors.drop("axis"), pack_directions(by_endpoint(placed), pack), pack, EVERY, CONTRAST, [*pack, "row_id"]
     ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
     m = endpoint_metrics(scores, [*KEYS, *CONTRAST, "family"])
     m = m.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).withColumnRenamed("family", "heldout_family")
@@ -215,10 +235,11 @@ def family_transfer(vm: VariantMeans, contrasts: DataFrame) -> DataFrame:
         F.col("family").alias("test_only"), "dir", "n_train_a", "n_train_b",
     )
     placed = with_offsets(one.unionByName(rest), vm.overall, vm.shifts, ["layer"])
-    packed = pack_directions(placed, ["layer"], extra)
-    keep = lambda d: ENDPOINT_ROWS(d) & ((d["test_only"] == "") | (d["test_only"] == F.col("family")))
+    pack = ["layer", "entity"]
+    keep = lambda d: (d["test_only"] == "") | (d["test_only"] == F.col("family"))
     scores = _score_rows(
-        vm, vm.vectors.drop("axis"), packed, ["layer"], keep, [*CONTRAST, *extra], ["layer", "family", "row_id", "entity"]
+        vm, vm.vectors.drop("axis"), pack_directions(by_endpoint(placed), pack, extra), pack, keep, [*CONTRAST, *extra],
+        [*pack, "family", "row_id"],
     ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
     m = endpoint_metrics(scores, [*KEYS, *CONTRAST, "train_family", "n_train_a", "n_train_b", "family"])
     return m.select(

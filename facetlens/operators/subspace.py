@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from facetlens.functions import vec as V
 from facetlens.functions.joins import spread_join
 from facetlens.operators import geometry as G
-from facetlens.operators.effects import endpoint_metrics
 from facetlens.operators.means import VariantMeans, standardize
 
 KEYS = G.KEYS
@@ -88,11 +87,7 @@ def subspace_decomposition(
     )
     extra = ["k", "component_type"]
     ready = long.filter("part IS NOT NULL").select(*KEYS, *G.CONTRAST, *extra, F.col("part").alias("dir"))
-    packed = G.pack_directions(G.with_offsets(ready, vm.overall, vm.shifts, ["layer"]), ["layer"], extra)
-    scores = G._score_rows(
-        vm, vm.vectors.drop("axis"), packed, ["layer"], G.ENDPOINT_ROWS, [*G.CONTRAST, *extra], ["layer", "row_id", "entity"]
-    ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
-    m = endpoint_metrics(scores, [*KEYS, *G.CONTRAST, *extra])
+    m = G.endpoint_component_metrics(vm, ready, extra)
     return long.drop("part").join(m, [*KEYS, *G.CONTRAST, *extra], "left")
 
 
