@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from facetlens.llm.chat_format import SQL as CHAT_SQL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +36,32 @@ def op1(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, 512)
 
 
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    from facetlens.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    from facetlens.llm.language_id import identify, profiles
+    from facetlens.llm.lm_scoring import split_remainder
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", split_remainder(docs["doc_id"]) == 0)
+    return identify(docs, profiles(docs, ~docs["held_out"]), ["doc_id", "held_out"])
+
+
+@query("op5_chat_format", CHAT_SQL)
+def op5(spark, sf_dir):
+    from facetlens.llm.chat_format import digest
+
+    trick = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", trick), (-7, 1, "assistant", trick)], "conv_id long, turn long, role string, text string")
+    return digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 @query("op6_packing")
 def op6(spark, sf_dir):
     from facetlens.llm.packing import packed_digest
@@ -46,3 +74,11 @@ def op8(spark, sf_dir):
     from facetlens.llm.rans_files import read_files, write_files
 
     return read_files(write_files(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    from facetlens.llm.quality_rules import apply_rules, train
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train(docs, table(spark, sf_dir, "labels")))
