@@ -69,6 +69,13 @@ def op6(spark, sf_dir):
     return packed_digest(table(spark, sf_dir, "documents"), BYTE_BPE, 2048, 1)
 
 
+@query("op7_jaccard_join")
+def op7(spark, sf_dir):
+    from facetlens.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 5, 75)
+
+
 @query("op8_rans_files")
 def op8(spark, sf_dir):
     from facetlens.llm.rans_files import read_files, write_files

@@ -8,17 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetlens.llm import chat_format, language_id, lm_scoring, quality_rules
-
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def words(text, lower=True):
-    raw = (text or "").encode()
-    if lower:
-        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
-    return [w.decode() for w in WORD.findall(raw)]
+from llm_helpers import words
 
+from facetlens.llm import chat_format, language_id, lm_scoring, quality_rules
 
 def part(doc_id, modulus=5):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus
