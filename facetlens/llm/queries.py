@@ -89,3 +89,10 @@ def op9(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    from facetlens.llm.substring_dedup import passages
+
+    return passages(table(spark, sf_dir, "documents"), 50)
