@@ -137,8 +137,8 @@ def shingles(words: Words, size: int, whole_short: bool = True) -> tuple[np.ndar
     """
     n, counts = len(words.codes), words.counts
     h = words.hashes()[words.codes] if n else np.zeros(0, np.uint64)
-    acc = np.full(n, size, np.uint64)
     room = (words.off[1:][words.owner()] - np.arange(n)) if n else np.zeros(0, np.int64)
+    acc = np.minimum(room, size).astype(np.uint64)
     for j in range(size):
         part = np.zeros(n, np.uint64)
         part[: max(0, n - j)] = h[j:] if j < n else part[:0]

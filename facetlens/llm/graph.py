@@ -69,3 +69,21 @@ def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     for at in _places(ids):
         out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id is surely not among ``ids`` (its only column), and the rest: only the rest needs a
+    join, so most texts are never shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids.select(F.col(ids.columns[0]).cast("long"))))
+
+    def part(held: bool):
+        def run(batches):
+            bits = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                own = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+                ok = may_hold(bits, own.fill_null(0).to_numpy(zero_copy_only=False)) & own.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(ok == held))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False), part(True)

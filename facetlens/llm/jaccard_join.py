@@ -24,11 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.llm.common import Words, ids_and_text, mix, runs, shingles, stage, text_slices
-from facetlens.llm.graph import components, id_filter, may_hold
+from facetlens.llm.graph import components, id_filter, may_hold, split_by_ids
 
 #: Slots of the frequency sketch and bits of a parity sketch; neither grows with the data.
 SLOTS, PARITY = 1 << 23, 2048
@@ -326,3 +326,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     group = components(links.unionByName(twice))
     out = own.select("doc_id", F.col("n").alias("n_shingles")).join(group, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group; of a doc_id that occurs twice, one row."""
+    group = stage(jaccard_components(docs, words, percent), "groups")
+    gone = group.where("component_id <> doc_id").select("doc_id").distinct()
+    twice = group.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sure, rest = split_by_ids(docs, gone.unionByName(twice))
+    rest = rest.join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return sure.unionByName(rest.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row"))

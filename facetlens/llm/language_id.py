@@ -95,7 +95,7 @@ def profiles(docs: DataFrame, learn, profile_size: int = 300) -> dict[str, list[
 
 def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], profile_size: int = 300) -> DataFrame:
     """``keep`` columns with lang_pred and score: 1 minus the distance as a share of the largest possible."""
-    rows = docs.select("text", *keep)
+    rows = docs.select(docs["text"].cast("string").alias("__text"), *keep)
     names = sorted(profile)
     grams = np.unique(np.array([g for own in profile.values() for g in own], np.int64))
     rank = np.full((len(grams) + 1, len(names)), profile_size, np.int64)  # the last row: in no profile
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], pr
         rank[np.searchsorted(grams, profile[name]), k] = np.arange(len(profile[name]))
 
     def run(batches):
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "__text"):
             text, gram, own = ranked(batch.column(0), profile_size)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             if len(text) and names:

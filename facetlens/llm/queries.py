@@ -53,6 +53,13 @@ def op3(spark, sf_dir):
     return identify(docs, profiles(docs, ~docs["held_out"]), ["doc_id", "held_out"])
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    from facetlens.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_chat_format", CHAT_SQL)
 def op5(spark, sf_dir):
     from facetlens.llm.chat_format import digest

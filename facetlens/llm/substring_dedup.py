@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.llm.common import Words, ids_and_text, runs, shingles, stage, text_slices
-from facetlens.llm.graph import id_filter, may_hold
+from facetlens.llm.graph import id_filter, may_hold, split_by_ids
 
 K, WINDOW = 6, 16
 #: A word of gap on either side of a chain takes this much from its score; a seed brings K.
@@ -314,9 +314,10 @@ def passages(docs: DataFrame, least: int = 50) -> DataFrame:
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the stretches of ``found`` (doc_id, stretch_begin, stretch_end): later copies of a
     passage go, the first stays. A document of which nothing is left goes too."""
-    spans = found.select("doc_id", F.struct("stretch_begin", "stretch_end").alias("s")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    spans = stage(found.select("doc_id", F.struct("stretch_begin", "stretch_end").alias("s")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spans")), "spans")
     names = docs.columns
-    joined = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    whole, some = split_by_ids(docs, spans.select("doc_id"))
+    joined = some.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     text_at = names.index("text")
 
     def cut(batches):
@@ -347,4 +348,5 @@ def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
     out = joined.select(*names, "spans").mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return whole.unionByName(out)
