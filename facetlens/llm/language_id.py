@@ -93,20 +93,20 @@ def profiles(docs: DataFrame, learn, profile_size: int = 300) -> dict[str, list[
     return out
 
 
-def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], profile_size: int = 300) -> DataFrame:
-    """``keep`` columns with lang_pred and score: 1 minus the distance as a share of the largest possible."""
+def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], profile_size: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with lang_pred and score (called by ``names``): 1 minus the distance as a share of the largest possible."""
     rows = docs.select(docs["text"].cast("string").alias("__text"), *keep)
-    names = sorted(profile)
+    languages = sorted(profile)
     grams = np.unique(np.array([g for own in profile.values() for g in own], np.int64))
-    rank = np.full((len(grams) + 1, len(names)), profile_size, np.int64)  # the last row: in no profile
-    for k, name in enumerate(names):
+    rank = np.full((len(grams) + 1, len(languages)), profile_size, np.int64)  # the last row: in no profile
+    for k, name in enumerate(languages):
         rank[np.searchsorted(grams, profile[name]), k] = np.arange(len(profile[name]))
 
     def run(batches):
         for batch in text_slices(batches, "__text"):
             text, gram, own = ranked(batch.column(0), profile_size)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            if len(text) and names:
+            if len(text) and languages:
                 at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                 row = np.where(grams[at] == gram, at, len(grams))
                 place = rank[row]
@@ -116,8 +116,8 @@ def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], pr
                 pick = total.argmin(axis=1)
                 best[text[first]] = pick
                 score[text[first]] = 1 - total[np.arange(len(pick)), pick] / (profile_size * np.diff(np.append(first, len(text))))
-            pred = pa.array([names[k] if k >= 0 else "und" for k in best])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pred, pa.array(score)], [*keep, "lang_pred", "score"])
+            pred = pa.array([languages[k] if k >= 0 else "und" for k in best])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pred, pa.array(score)], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

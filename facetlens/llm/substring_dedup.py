@@ -314,7 +314,7 @@ def passages(docs: DataFrame, least: int = 50) -> DataFrame:
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the stretches of ``found`` (doc_id, stretch_begin, stretch_end): later copies of a
     passage go, the first stays. A document of which nothing is left goes too."""
-    spans = stage(found.select("doc_id", F.struct("stretch_begin", "stretch_end").alias("s")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spans")), "spans")
+    spans = stage(found.select("doc_id", F.struct("stretch_begin", "stretch_end").alias("s")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("__spans")), "spans")
     names = docs.columns
     whole, some = split_by_ids(docs, spans.select("doc_id"))
     joined = some.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
@@ -347,6 +347,6 @@ def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield batch.select(list(range(batch.num_columns - 1)))
 
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
-    out = joined.select(*names, "spans").mapInArrow(cut, schema)
+    out = joined.select(*names, "__spans").mapInArrow(cut, schema)
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
     return whole.unionByName(out)
