@@ -8,10 +8,10 @@ hit. Which D + 1 is settled by one order for all sets, rarest first by a sketch
 passages are signatures only of sets that have little else. A set whose non-empty partitions are too few
 also sends single features. A set near the lower border of its band also signs for the band below.
 
-Signatures travel to buckets; sets that share one are candidates. A signature of up to GROUP sets gives
-all its pairs, a larger one ties every member to one of them; what is then still unconnected inside such
-groups is compared in blocks, from parity sketches, so no task holds a group and no group's pairs are
-sent. Candidates pass a bound on the difference (the bits in which two parity sketches differ are never
+Signatures travel to buckets; sets that share one are candidates. A signature's group ties every member
+to one of them (another one for each signature); what the links found so do not connect is then compared
+inside the groups, from parity sketches and where components differ: small groups many at a time, larger
+ones in blocks, so no task holds a group and no group's pairs are sent. Candidates pass a bound on the difference (the bits in which two parity sketches differ are never
 more than the features in which the sets do) and are then compared exactly.
 
 Null, empty and blank texts have an empty set: size 0, linked with nothing, their own component. Rows with
@@ -32,7 +32,8 @@ from facetlens.llm.graph import components, id_filter, may_hold, split_by_ids
 
 #: Slots of the frequency sketch and bits of a parity sketch; neither grows with the data.
 SLOTS, PARITY = 1 << 23, 2048
-GROUP, BLOCK = 32, 256
+#: Members of a block; a group of up to so many is compared at once.
+BLOCK = 256
 _CHUNKS = 64
 
 
@@ -154,7 +155,7 @@ def signatures(h: np.ndarray, off: np.ndarray, power: np.ndarray, bound: Bound)
 
 
 def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets: int) -> DataFrame:
-    """a, b (fingerprints): candidate pairs; where ``sig`` is not null, a is a member of that large group."""
+    """a, b (fingerprints): candidate pairs; where ``sig`` is not null, a is a member of that group of three or more."""
     shared = docs.sparkSession.sparkContext.broadcast(power)
 
     def send(batches):
@@ -195,28 +196,27 @@ def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets:
         sig, fp = sig[one], fp[one]
         first = runs(sig)
         count = np.diff(np.append(first, len(sig)))
-        pairs = []
-        small = np.repeat((count > 1) & (count <= GROUP), count)
-        s, f = sig[small], fp[small]
-        for step in range(1, GROUP):
-            same = s[step:] == s[:-step] if len(s) > step else np.zeros(0, bool)
-            if not same.any():
-                break
-            pairs.append(np.stack([f[:-step][same], f[step:][same]]))
-        hot_sig, hot_fp = [], []
-        for g in np.flatnonzero(count > GROUP):
-            own = fp[first[g]:first[g] + count[g]]
-            pivot = own[np.argmin(mix(own.view(np.uint64) ^ sig[first[g]]))]
-            rest = own[own != pivot]
-            pairs.append(np.stack([np.minimum(rest, pivot), np.maximum(rest, pivot)]))
-            hot_sig.append(np.full(len(own), sig[first[g]], np.uint64))
-            hot_fp.append(own)
-        pair = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        big = count > 2
+        # Groups with the same members say the same: one of them is enough.
+        total = np.add.reduceat(mix(fp.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        big = np.flatnonzero(big)
+        once = np.zeros(len(first), bool)
+        once[big[np.unique(total[big] + count[big].astype(np.uint64), return_index=True)[1]]] = True
+        two = first[count == 2]
+        pairs = [np.stack([fp[two], fp[two + 1]])]
+        # The pivot of a group: the least by a hash that differs from signature to signature.
+        inside = np.repeat(once, count)
+        s, f = sig[inside], fp[inside]
+        order = np.lexsort((mix(f.view(np.uint64) ^ mix(s)), s))
+        s, f = s[order], f[order]
+        pivot = f[np.repeat(runs(s), np.diff(np.append(runs(s), len(s))))]
+        rest = f != pivot
+        pairs.append(np.stack([np.minimum(f, pivot)[rest], np.maximum(f, pivot)[rest]]))
+        hs, hf = s, f
+        pair = np.concatenate(pairs, axis=1)
         order = np.lexsort((pair[1], pair[0]))
         pair = pair[:, order]
         pair = pair[:, runs(pair[0], pair[1])]
-        hs = np.concatenate(hot_sig) if hot_sig else np.zeros(0, np.uint64)
-        hf = np.concatenate(hot_fp) if hot_fp else np.zeros(0, np.int64)
         return pa.table([
             pa.array(np.concatenate([pair[0], hf])), pa.array(np.concatenate([pair[1], hf])),
             pa.array(np.concatenate([np.zeros(pair.shape[1], np.int64), hs.astype(np.int64)]), mask=np.concatenate([np.ones(pair.shape[1], bool), np.zeros(len(hs), bool)])),
@@ -274,35 +274,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, bou
 
 
 def _open_pairs(members: DataFrame, sets: DataFrame, reached: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs of fingerprints inside large groups (sig, a) that the links do not connect yet, in blocks."""
+    """Pairs of fingerprints inside groups (sig, a) that the links do not connect yet, in blocks."""
     named = members.join(sets.select(F.col("fp").alias("a"), "rep"), "a").join(reached, F.col("rep") == F.col("node"), "left")
-    named = stage(named.select("sig", "a", F.coalesce("component", "rep").alias("c")), "large-groups")
-    still = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("a").alias("any")).where("lo <> hi")
-    # Groups that share members are one cluster: their pairs are compared once.
-    rows = named.join(still.select("sig", "any"), "sig")
-    cluster = components(rows.select("a", F.col("any").alias("b")), "clusters")
-    inside = stage(rows.select("a", "c").distinct().join(cluster, F.col("a") == F.col("node")).select("component", "a", "c"), "cluster-members")
+    named = stage(named.select("sig", "a", F.coalesce("component", "rep").alias("c")), "groups")
+    still = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("a").alias("any"), F.count("*").alias("size")).where("lo <> hi")
+    rows = stage(named.join(still.select("sig", "any", "size"), "sig"), "open-groups")
+    sketched = sets.select(F.col("fp").alias("a"), "n", "sketch")
+
+    def unlike(left, right, a, c, n, bits):
+        """Pairs of rows in different components that the bounds allow."""
+        out = []
+        for k in left:
+            other = right[c[right] != c[k]]
+            other = other[100 * np.minimum(n[k], n[other]) >= bound.percent * np.maximum(n[k], n[other])]
+            apart = np.bitwise_count(bits[k] ^ bits[other]).sum(axis=1, dtype=np.int64)
+            other = other[apart <= bound.differ(n[k], n[other])]
+            out.extend((int(min(a[k], x)), int(max(a[k], x))) for x in a[other] if x != a[k])
+        out = sorted(set(out))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    def arrays(table: pa.Table, *names: str):
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, PARITY // 8).view(np.uint64)
+        return *(table.column(x).to_numpy() for x in names), bits
+
+    # Small groups, many at a time.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def within(table: pa.Table) -> pa.Table:
+        sig, a, c, n, bits = arrays(table.sort_by("sig"), "sig", "a", "c", "n")
+        stops = np.append(runs(sig), len(sig))
+        return pa.concat_tables([unlike(np.arange(x, y), np.arange(x, y), a, c, n, bits) for x, y in zip(stops[:-1], stops[1:])])
+
+    small = rows.where(F.col("size") <= BLOCK).join(sketched, "a").withColumn("k", F.pmod(F.xxhash64("sig"), F.lit(parts)))
+    small = small.select("k", "sig", "a", "c", "n", "sketch").groupBy("k").applyInArrow(within, "a long, b long")
+
+    # Large groups that share members are one cluster: their pairs are compared once, in blocks.
+    large = rows.where(F.col("size") > BLOCK)
+    cluster = components(large.select("a", F.col("any").alias("b")), "clusters")
+    inside = stage(large.select("a", "c").distinct().join(cluster, F.col("a") == F.col("node")).select("component", "a", "c"), "cluster-members")
     total = inside.groupBy("component").agg(F.count("*").alias("size"))
     blocked = inside.join(total, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    full = blocked.join(sets.select(F.col("fp").alias("a"), "n", "sketch"), "a")
+    full = blocked.join(sketched, "a")
     # A member meets every block, its own included: block pair (i, j) with i <= j.
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "a", "c", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, a, c, n = (table.column(x).to_numpy() for x in ("own", "a", "c", "n"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, PARITY // 8).view(np.uint64)
-        left, right, out = np.flatnonzero(own == i), np.flatnonzero(own == j), []
-        for k in left:
-            apart = np.bitwise_count(bits[k] ^ bits[right]).sum(axis=1, dtype=np.int64)
-            ok = (c[right] != c[k]) & (100 * np.minimum(n[k], n[right]) >= bound.percent * np.maximum(n[k], n[right])) & (apart <= bound.differ(n[k], n[right]))
-            if i == j:
-                ok &= a[right] > a[k]
-            out.extend((min(a[k], b), max(a[k], b)) for b in a[right[ok]])
-        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        own, a, c, n, bits = arrays(table, "own", "a", "c", "n")
+        return unlike(np.flatnonzero(own == i), np.flatnonzero(own == j), a, c, n, bits)
 
-    return spread.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+    return small.unionByName(spread.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -316,9 +338,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stage(_candidates(named, words, bound, _rarity(first), buckets), "candidates")
     links = _verified(found.where("sig is null").select("a", "b").distinct(), sets, named, words, bound)
-    large = found.where("sig is not null").select("sig", "a")
-    if not large.isEmpty():
-        more = stage(_open_pairs(large, sets, components(links), bound).distinct(), "open-pairs")
+    groups = found.where("sig is not null").select("sig", "a")
+    if not groups.isEmpty():
+        more = stage(_open_pairs(groups, sets, components(links), bound).distinct(), "open-pairs")
         if not more.isEmpty():
             links = links.unionByName(_verified(more, sets, named, words, bound))
     # A doc_id with several texts ties their sets together.

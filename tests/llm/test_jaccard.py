@@ -53,11 +53,10 @@ def test_components_of_documents(spark, sf_dir):
     assert got(df) == sorted(brute(rows))
 
 
-@pytest.mark.parametrize("group", [4, 1000])
-def test_components_of_edited_copies(spark, monkeypatch, group):
+@pytest.mark.parametrize("block", [8, 256])
+def test_components_of_edited_copies(spark, monkeypatch, block):
     """Many edited copies around the limit, a frequent passage, short texts; also with small blocks."""
-    monkeypatch.setattr(jaccard_join, "GROUP", group)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], [rng.choice(vocabulary) for _ in range(60)]
