@@ -122,12 +122,6 @@ TEMPLATE_WORDS = [
 # Sub-word markers removed from token text.
 SUBWORD_MARKERS = "Ġ▁"
 
-# Form columns that give aliases, in reading order.
-ALIAS_COLUMNS = [
-    "identity_id", "canonical_label", "adj_form", "noun_form", "person_noun_form",
-    "plural_noun_form", "group_form", "prep_form", "with_form", "has_form",
-]
-
 # Triage roles.
 ROLE_ORDER = [
     "identity_token_local",
