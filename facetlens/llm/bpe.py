@@ -20,7 +20,7 @@ from facetlens.llm.common import binary_array, flat
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct chunks that a worker remembers in each of two generations.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 #: White space of the byte-level pattern beyond ASCII.
 WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

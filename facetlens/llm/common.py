@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _LOCAL: dict[str, str] = {}
 
