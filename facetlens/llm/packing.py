@@ -50,13 +50,14 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> Dat
     """The boundary records, one a piece, with the piece's ids: doc_id, start, length, doc_tokens,
     sequence_id, offset, ids."""
     kept = stage(encoded(docs, path, end_id), "encoded")
-    base = part_offsets(kept.groupBy("part").agg(F.sum("n_tokens").alias("total")))
-    placed = kept.join(base, "part").select("doc_id", (F.col("place") + F.col("base")).alias("at"), "n_tokens", "ids")
+    # One number for each part: what the driver holds grows with the tasks, not with the documents.
+    bases = {r["part"]: r["base"] for r in part_offsets(kept.groupBy("part").agg(F.sum("n_tokens").alias("total"))).collect()}
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc, at, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for part, place, doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                at = bases[part] + place
                 data = ids.as_buffer().to_pybytes()
                 start = 0
                 while start < n:
@@ -70,7 +71,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> Dat
             if out:
                 yield _records(out)
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return kept.select("part", "place", "doc_id", "n_tokens", "ids").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
