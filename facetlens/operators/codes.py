@@ -52,16 +52,28 @@ def _weights_by_layer(weights: DataFrame) -> dict[int, tuple[np.ndarray, np.ndar
     return {int(x): (ids[layers == x], mat[layers == x].T.copy(), bias[layers == x]) for x in np.unique(layers)}
 
 
+def with_decoder_bias(weights: DataFrame, decoder_bias: DataFrame | None) -> DataFrame:
+    """Weights whose bias takes in the centring of the input: relu((x - c) w + b) = relu(x w + (b - c w)).
+
+    ``decoder_bias`` is (layer, vec), one vector c a layer; layers without one are not centred.
+    """
+    if decoder_bias is None:
+        return weights
+    shift = decoder_bias.select("layer", F.col("vec").alias("_c"))
+    return weights.join(shift, "layer", "left").withColumn("b", F.col("b") - F.coalesce(V.dot("w", "_c"), F.lit(0.0))).drop("_c")
+
+
 def linear_relu_topk(
-    vectors: DataFrame, weights: DataFrame, k: int, max_broadcast_bytes: int = 512 << 20, rows_per_chunk: int = 16384
+    vectors: DataFrame, weights: DataFrame, k: int, max_broadcast_bytes: int = 512 << 20, rows_per_chunk: int = 16384, decoder_bias: DataFrame | None = None
 ) -> DataFrame:
-    """(layer, row_id, indices, values): the k largest relu(x . w + b) per vector.
+    """(layer, row_id, indices, values): the k largest relu((x - decoder bias) . w + b) per vector.
 
     The weight table has the size of the model, not of the data. Up to
     ``max_broadcast_bytes`` (measured first) it is broadcast and vectors are encoded where
     they lie, by matrix products over Arrow batches. Beyond that, vectors and weights meet
     in (row chunk, feature block) pairs and the per-block winners are merged.
     """
+    weights = with_decoder_bias(weights, decoder_bias)
     if weight_bytes(weights) <= max_broadcast_bytes:
         return _encode_broadcast(vectors, weights, k)
     return _encode_blocks(vectors, weights, k, max_broadcast_bytes, rows_per_chunk)
@@ -150,9 +162,9 @@ def _encode_blocks(vectors: DataFrame, weights: DataFrame, k: int, block_bytes:
     ).select("layer", "row_id", F.col("_a.feature_id").alias("indices"), F.col("_a.activation").alias("values"))
 
 
-def linear_relu_selected(vectors: DataFrame, weights: DataFrame, feature_ids: list[int]) -> DataFrame:
+def linear_relu_selected(vectors: DataFrame, weights: DataFrame, feature_ids: list[int], decoder_bias: DataFrame | None = None) -> DataFrame:
     """(layer, row_id, feature_id, activation) for a chosen feature list, zeros included."""
-    chosen = weights.filter(F.col("feature_id").isin(feature_ids))
+    chosen = with_decoder_bias(weights, decoder_bias).filter(F.col("feature_id").isin(feature_ids))
     if weight_bytes(chosen) > 512 << 20:
         raise ValueError("too many selected features; encode with linear_relu_topk instead")
     return codes_to_long(_encode_broadcast(vectors, chosen, None), positive_only=False)
@@ -504,9 +516,11 @@ def steer_codes(codes: DataFrame, rows: DataFrame, feature_ids: list[int], alpha
     return codes.unionByName(moved).groupBy("layer", "row_id", "feature_id").agg(F.sum("activation").alias("activation"))
 
 
-def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: float = 0.0) -> DataFrame:
+def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: float | DataFrame = 0.0) -> DataFrame:
     """(layer, row_id, vec): codes . decoder + bias; rows without codes give the bias.
 
+    The bias is a number or a table (layer, vec) with one vector a layer.
+
     One code row becomes one scaled decoder row; they are summed per vector with a partial
     aggregate, so what is shuffled is one vector per (task, row).
     """
@@ -519,6 +533,9 @@ def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: flo
     full = rows.select("layer", "row_id").join(summed, ["layer", "row_id"], "left")
     full = spread_join(full, width, ["layer"], spread_by=["row_id"])
     total = F.coalesce(V.scale("_m", F.col("_n")), F.array_repeat(F.lit(0.0), F.col("_d")))
+    if isinstance(bias, DataFrame):
+        full = full.withColumn("_v", total).join(bias.select("layer", F.col("vec").alias("_c")), "layer", "left")
+        return full.select("layer", "row_id", F.when(F.col("_c").isNull(), F.col("_v")).otherwise(V.add("_v", "_c")).alias("vec"))
     return full.select("layer", "row_id", F.transform(total, lambda x: x + F.lit(bias)).alias("vec"))
 
 

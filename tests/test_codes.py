@@ -106,3 +106,25 @@ def test_edit_and_decode(spark, data):
     for r in vectors.collect():
         key = (r["layer"], r["row_id"])
         assert np.allclose(patched[key], np.array(r["vec"]) - want.get((*key, 4), 0.0) * w[key[0], 4])
+
+
+def test_decoder_bias_vector(spark):
+    rng = np.random.default_rng(11)
+    x, w, b, c = rng.normal(size=(30, 6)), rng.normal(size=(6, 9)), rng.normal(size=9), rng.normal(size=6)
+    vectors = spark.createDataFrame([(2, i, row.tolist()) for i, row in enumerate(x)], "layer int, row_id bigint, vec array<double>")
+    weights = spark.createDataFrame([(2, f, w[:, f].tolist(), float(b[f])) for f in range(9)], "layer int, feature_id int, w array<double>, b double")
+    bias = spark.createDataFrame([(2, c.tolist())], "layer int, vec array<double>")
+    want = np.maximum((x - c) @ w + b, 0)
+    for limit in (512 << 20, 64):
+        got = C.linear_relu_topk(vectors, weights, 9, max_broadcast_bytes=limit, decoder_bias=bias).collect()
+        for r in got:
+            own = np.zeros(9)
+            own[r["indices"]] = r["values"]
+            assert np.allclose(own, want[r["row_id"]])
+    chosen = C.linear_relu_selected(vectors, weights, [1, 4], bias).collect()
+    assert all(abs(r["activation"] - want[r["row_id"], r["feature_id"]]) < 1e-9 for r in chosen)
+    codes = spark.createDataFrame([(2, i, f, float(want[i, f])) for i in range(29) for f in range(9) if want[i, f] > 0], "layer int, row_id bigint, feature_id int, activation double")
+    dec = spark.createDataFrame([(2, f, w[:, f].tolist()) for f in range(9)], "layer int, feature_id int, w array<double>")
+    for r in C.code_decode(codes, vectors, dec, bias).collect():
+        base = want[r["row_id"]] @ w.T if r["row_id"] < 29 else 0
+        assert np.allclose(r["vec"], base + c)
