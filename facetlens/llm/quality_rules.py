@@ -169,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Tree
     """Trees for ``quality``; at most ``sample_rows`` labelled rows, the first by hash, come to the driver."""
     some = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    rows = document_statistics(ids_and_text(docs).join(some.select("doc_id").distinct(), "doc_id", "left_semi")).join(some, "doc_id").select("quality", *FEATURES).toArrow()
+    # The sample's ids go to the tasks (its size is bounded), so no text is shuffled to find its rows.
+    chosen = ids_and_text(docs).join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = document_statistics(chosen).join(F.broadcast(some), "doc_id").select("quality", *FEATURES).toArrow()
     table = np.stack([rows.column(c).to_numpy().astype(np.float64) for c in rows.column_names], axis=1) if rows.num_rows else np.zeros((0, len(FEATURES) + 1))
     table = table[np.lexsort(table.T)]
     return Trees().fit(table[:, 1:], table[:, 0], MONOTONE)
