@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -14,7 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory.
 SLICE_BYTES = 4 << 20
 
+#: Spark hands texts to Python workers in batches of about this size, unless the session names its own.
+BATCH_BYTES = "8m"
+
 _LOCAL: dict[str, str] = {}
+_TRIM = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="facetlens-llm-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches by bytes: rows of texts are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def free_unused() -> None:
+    """Gives memory of freed arrays back to the system, as idle Python workers live on beside the others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,6 +59,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """The two columns the text operators read, whatever else ``docs`` holds."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
@@ -52,6 +74,7 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES):
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
+            free_unused()
             at, base = to, int(ends[to - 1])
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetlens.llm.common import runs, text_slices
+from facetlens.llm.common import runs, small_batches, text_slices
 
 _BITS = 21
 
@@ -73,6 +73,7 @@ def ranked(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def profiles(docs: DataFrame, learn, profile_size: int = 300) -> dict[str, list[int]]:
     """Language to its n-grams by rank. Counts cover all rows of ``learn`` with text and lang; what
     comes back is languages times profile_size numbers."""
+    small_batches(docs.sparkSession)
     rows = docs.where(learn & docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
 
     def count(batches):
@@ -95,6 +96,7 @@ def profiles(docs: DataFrame, learn, profile_size: int = 300) -> dict[str, list[
 
 def identify(docs: DataFrame, profile: dict[str, list[int]], keep: list[str], profile_size: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns with lang_pred and score (called by ``names``): 1 minus the distance as a share of the largest possible."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["text"].cast("string").alias("__text"), *keep)
     languages = sorted(profile)
     grams = np.unique(np.array([g for own in profile.values() for g in own], np.int64))
