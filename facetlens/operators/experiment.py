@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
@@ -150,55 +150,34 @@ def interpretation_label() -> Column:
 
 
 # ---- bootstrap -----------------------------------------------------------------------
-POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
 def _poisson_weight(u: Column) -> Column:
-    """Poisson(1) count by inversion of a uniform in [0, 1)."""
+    """Poisson(1) count by inversion of a 32-bit uniform; its largest value gives 13, so nothing is cut off."""
     return reduce(lambda a, b: a + b, [(u >= F.lit(c)).cast("int") for c in POISSON_CDF])
 
 
 def bootstrap_mean_ci(
-    rows: DataFrame, keys: list[str], item: str, value: str, samples: int, seed: int = 0, resample_limit: int = 1000
+    rows: DataFrame, keys: list[str], item: str, value: str, samples: int, seed: int = 0
 ) -> DataFrame:
     """(keys, ci_low, ci_high): cluster bootstrap of the mean over items, 2.5 and 97.5 percentiles.
 
-    Rows are averaged per item first. Groups of up to ``resample_limit`` items are resampled
-    with replacement from an array of item means. Larger groups use Poisson(1) item weights,
-    the large-sample form of the same bootstrap: each task adds weighted sums per replicate,
-    so nothing but (group, replicate) totals is shuffled. One item gives (mean, mean).
+    Rows are averaged per item first. Every item gets a Poisson(1) weight in each replicate, the
+    distributed form of resampling, at every group size: tasks add weighted sums per replicate,
+    so nothing but (group, replicate) totals is shuffled. A replicate in which no item has a
+    weight is left out. One item gives (mean, mean).
     """
     # NULL keys are groups of their own, so joins below compare keys null-safely.
     per_item = rows.filter(F.col(value).isNotNull()).groupBy(*keys, item).agg(F.avg(value).alias("_x"))
     size = per_item.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_rep")
-
-    def on(a: DataFrame, b: DataFrame) -> Column:
-        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-
-    small_keys = size.filter(F.col("_n") <= resample_limit)
-    small = per_item.join(small_keys, on(per_item, small_keys), "left_semi").groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(item, "_x"))), lambda s: s["_x"]).alias("_v")
-    )
-    n = F.size("_v")
-    drawn = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.get("_v", F.pmod(seeded_hash(seed, F.col("_rep"), i), n.cast("bigint")).cast("int")),
-    )
-    total = F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x)
-    small_stats = small.select(*keys, "_v", reps).select(*keys, (total / n).alias("_stat"))
-
-    large_keys = size.filter(F.col("_n") > resample_limit)
-    large = per_item.join(large_keys, on(per_item, large_keys), "left_semi")
     u = seeded_hash(seed, F.col("_rep"), F.col(item)) / F.lit(float(2**32))
-    weighted = large.select(*keys, item, "_x", reps).withColumn("_w", _poisson_weight(u))
-    large_stats = weighted.groupBy(*keys, "_rep").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_stat")
-    ).drop("_rep")
-
+    weighted = per_item.select(*keys, item, "_x", reps).withColumn("_w", _poisson_weight(u))
+    stats = weighted.groupBy(*keys, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_stat"))
     # At most ``samples`` numbers per group from here on.
-    ci = small_stats.unionByName(large_stats).groupBy(*keys).agg(F.percentile("_stat", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    joined = size.join(ci, on(size, ci))
+    ci = stats.groupBy(*keys).agg(F.percentile("_stat", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    joined = size.join(ci, reduce(lambda x, y: x & y, [size[k].eqNullSafe(ci[k]) for k in keys]))
     one = F.col("_n") <= 1
     return joined.select(
         *[size[k] for k in keys],
@@ -274,8 +253,10 @@ def coverage_report(results: DataFrame, fields: list[str] = COVERAGE_FIELDS) ->
     have = [f for f in fields if f in results.columns]
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in have])
     distinct = results.select(F.explode(pairs).alias("_p")).select("_p.field", "_p.value").filter("value IS NOT NULL").distinct()
-    first = F.slice(F.array_sort(F.collect_set("value")), 1, 50)
-    named = distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n_unique"), F.array_join(first, "; ").alias("_v")).select(
+    # Ranks are limited inside tasks, so an array has 50 values at most.
+    ranked = distinct.withColumn("_rn", F.row_number().over(Window.partitionBy("field").orderBy("value"))).filter("_rn <= 50")
+    first = ranked.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("_v"))
+    named = distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n_unique")).join(first, "field").select(
         "field", "n_unique", F.concat("_v", F.when(F.col("n_unique") > 50, F.lit("; ...")).otherwise(F.lit(""))).alias("values")
     )
     totals = results.agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,28 +199,25 @@ CONTROLS = ["sign_flip", "random_direction_norm_matched", "random_feature_matche
 def control_rows(items: DataFrame, sets: DataFrame, alphas: list[float], scoring: str, n_features: int) -> DataFrame:
     """Sign-flip, random-direction and random-feature controls per item, set and alpha.
 
-    The seed is a hash of the job key. Random features are the first distinct values of a
-    hash sequence modulo the dictionary size; a set too large for that short sequence
-    takes the dictionary in hash order instead. Both are free of partitioning effects.
+    The seed is read from a hash of the job key. Random features are the first values of a seeded
+    permutation (a * i + b modulo the least prime from the dictionary size on) inside the
+    dictionary: distinct by construction, for any set size, free of partitioning effects.
     """
+    prime = next(p for p in count(max(n_features, 2)) if all(p % d for d in range(2, isqrt(p) + 1)))
     base = experiment_grid(items, sets, alphas, ["final_prompt_token"], ["add_vector"], scoring).drop("job_id")
     rows = base.withColumn("control_type", F.explode(F.array(*[F.lit(c) for c in CONTROLS])))
     key = job_key(
         F.col("item_uid"), F.col("layer"), F.col("set_id"), F.col("alpha"), F.col("intervention_position"),
         F.col("control_type"), F.lit(scoring),
     )
-    rows = rows.withColumn("job_id", key).withColumn("seed", seeded_hash("control", F.col("job_id")))
-    size = F.size("feature_ids")
-    hashed = lambda i: F.pmod(seeded_hash("draw", F.col("job_id"), i), F.lit(n_features)).cast("int")
-    quick = F.array_distinct(F.transform(F.sequence(F.lit(0), size * 4 + 31), hashed))
-    ordered = F.transform(
-        F.array_sort(F.transform(
-            F.sequence(F.lit(0), F.lit(n_features - 1)),
-            lambda f: F.struct(F.md5(F.concat_ws(":", F.col("job_id"), f.cast("string"))).alias("h"), f.alias("f")),
-        )),
-        lambda d: d["f"],
+    rows = rows.withColumn("job_id", key).withColumn(
+        "seed", F.conv(F.substring(F.sha1("job_id"), 1, 8), 16, 10).cast("bigint")
     )
-    drawn = F.slice(F.when(F.size(quick) >= size, quick).otherwise(ordered), 1, size)
+    size = F.size("feature_ids")
+    step, start = F.col("seed") % (prime - 1) + 1, seeded_hash("draw", F.col("job_id")) % prime
+    # At most prime - n_features of any distinct values fall outside the dictionary.
+    values = F.transform(F.sequence(F.lit(0), size + (prime - n_features - 1)), lambda i: ((step * i + start) % prime).cast("int"))
+    drawn = F.slice(F.filter(values, lambda f: f < n_features), 1, size)
     ids = F.when(F.col("control_type") == "random_feature_matched", drawn).otherwise(F.col("feature_ids"))
     signs = F.when(F.col("control_type") == "sign_flip", F.transform("signs", lambda s: -s)).otherwise(F.col("signs"))
     return rows.withColumn("feature_ids", ids).withColumn("signs", signs)

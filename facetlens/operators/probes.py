@@ -42,13 +42,17 @@ def cross_validated_predictions(features: DataFrame, label: str, group: str, fol
     data = settle(
         indexer.transform(assigned).select("row_id", "fold", "label", F.col(label).alias("_name"), F.col("pcs")), "probe-rows"
     ).withColumn("features", array_to_vector("pcs"))
-    classes = data.groupBy("fold").agg(F.countDistinct("label").alias("k")).collect()
+    classes = data.groupBy("fold").agg(F.countDistinct("label").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in classes)
     out = []
     for row in sorted(classes, key=lambda r: r["fold"]):
         train, test = data.filter(F.col("fold") != row["fold"]), data.filter(F.col("fold") == row["fold"])
         if row["k"] < 2 or train.select("label").distinct().limit(2).count() < 2:
             continue
-        model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1e-3).fit(balanced_weights(train, "label"))
+        # Balanced weights add up to the number of rows: the penalty is the usual one with C = 1.
+        model = LogisticRegression(
+            family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1.0 / (total - row["n"]), standardization=False
+        ).fit(balanced_weights(train, "label"))
         out.append(model.transform(test).select("row_id", "fold", "label", "prediction"))
     return reduce(DataFrame.unionByName, out) if out else None
 

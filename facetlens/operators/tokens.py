@@ -129,24 +129,49 @@ def localization_label(span_max: Column, final: Column, overall: Column, outside
 PROMPT_LABELS = ["family", "template_id", "axis", "entity"]
 
 
-def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS) -> DataFrame:
-    """(feature, prompt): max, final, span max and mean, arg-max token, label columns."""
+def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, filled: bool = True) -> DataFrame:
+    """(feature, prompt): max, final, span max and mean, arg-max token, label columns.
+
+    The final activation is its column with 0 for missing values, or the last token's where
+    the column is absent. Without ``filled`` it is the first token's value as it stands, NULL
+    included, and 0 where the column is absent.
+    """
+    name = "final_token_feature_activation"
+    if name in tokens.columns:
+        final = F.max(F.coalesce(name, F.lit(0.0))) if filled else F.min_by(name, "token_idx")
+    else:
+        final = F.max_by(F.coalesce(ACT, F.lit(0.0)), "token_idx") if filled else F.max(F.lit(0.0))
     act = F.coalesce(ACT, F.lit(0.0))
     in_span = F.coalesce("is_entity_span_token", F.lit(False))
     best = F.max_by(F.struct("token_idx", "token_str", in_span.alias("in_span")), F.struct(act, -F.col("token_idx")))
     return content_rows(tokens).groupBy(*FEATURE, "prompt_id").agg(
         F.max(act).alias("max_token_activation"),
-        F.coalesce(F.max("final_token_feature_activation"), F.max_by(act, "token_idx")).alias("final_token_activation"),
+        final.alias("final_token_activation"),
         F.coalesce(F.max(F.when(in_span, act)), F.lit(0.0)).alias("max_span_activation"),
         F.coalesce(F.avg(F.when(in_span, act)), F.lit(0.0)).alias("mean_span_activation"),
         best.alias("_best"),
-        *[F.first(c).alias(c) for c in labels],
+        *[F.min(c).alias(c) for c in labels],
     ).select(
         "*", F.col("_best.token_idx").alias("token_idx_of_max"), F.col("_best.token_str").alias("token_str_of_max"),
         F.col("_best.in_span").alias("max_inside_span"),
     ).drop("_best")
 
 
+TOKEN_FLAGS = ["is_special_token", "is_entity_span_token"]
+
+
+def token_input(tokens: DataFrame) -> DataFrame:
+    """A token table as read (``read_token_tables``) in the form the operators take.
+
+    Flags become booleans; without prompt ids a feature is one prompt, without texts they are
+    empty, without span flags nothing is inside a span.
+    """
+    out = tokens.withColumnRenamed("is_identity_span_token", "is_entity_span_token")
+    defaults = {"prompt_id": F.lit(0), "token_str": F.lit(""), "is_entity_span_token": F.lit(False), **{c: F.lit("") for c in PROMPT_LABELS}}
+    out = out.withColumns({c: x for c, x in defaults.items() if c not in out.columns})
+    return out.withColumns({c: T.parse_bool(F.col(c)) for c in TOKEN_FLAGS if c in out.columns})
+
+
 def content_rows(tokens: DataFrame) -> DataFrame:
     if "is_special_token" in tokens.columns:
         return tokens.filter(~F.coalesce("is_special_token", F.lit(False)))
@@ -252,7 +277,7 @@ def top_token_fallback(tokens: DataFrame) -> DataFrame:
 
 def localization_share(prompt_labels: DataFrame) -> DataFrame:
     """Share of prompts per localization label; one label per (feature, prompt)."""
-    one = prompt_labels.groupBy(*FEATURE, "prompt_id").agg(F.first("feature_localization_type").alias("localization_type"))
+    one = prompt_labels.groupBy(*FEATURE, "prompt_id").agg(F.min("feature_localization_type").alias("localization_type"))
     n = one.groupBy(*FEATURE, "localization_type").agg(F.count(F.lit(1)).alias("_n"))
     total = F.sum("_n").over(Window.partitionBy(*FEATURE))
     return n.select(*FEATURE, "localization_type", (F.col("_n") / total).alias("share"))

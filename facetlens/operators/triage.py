@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from facetlens.functions import constants as K
 from facetlens.functions.numeric import clip01, null_safe_mean, safe_ratio
 from facetlens.operators.grid import priority_number
-from facetlens.operators.tokens import _entropy, normalized_entropy
+from facetlens.operators.tokens import normalized_entropy
 
 FEATURE = ["layer", "feature_id"]
 
@@ -105,12 +105,14 @@ def entity_specificity(selectivity: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("_rn") <= 8, F.struct("_rn", "entity", "canonical_label", "_v")))),
         lambda s: F.concat(s["entity"], F.lit(":"), s["canonical_label"], F.lit(":"), significant4(s["_v"])),
     )
+    positive = F.when(F.col("_v") > 0, F.col("_v"))
+    entropy = F.when(F.col("_k") > 1, (F.ln("_total") - F.col("_wl") / F.col("_total")) / F.ln(F.col("_k").cast("double"))).otherwise(F.lit(0.0))
     g = ranked.groupBy(*FEATURE).agg(
         at(1, "entity").alias("top_entity"), at(1, "canonical_label").alias("top_entity_label"), at(1, "axis").alias("top_axis"),
         at(1, "_v").alias("top_entity_mean_activation"), F.coalesce(at(2, "_v"), at(1, "_v")).alias("second_entity_mean_activation"),
         F.sum("_v").alias("_total"),
         F.avg(F.when(F.col("_rn") <= 10, F.col("_same"))).alias("top_axis_fraction"),
-        _entropy(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda s: s["_v"])).alias("entity_entropy"),
+        F.sum(positive * F.ln(positive)).alias("_wl"), F.count(positive).alias("_k"),
         F.array_join(names, ";").alias("top_entities_by_activation"),
     )
     axes = ranked.filter("_v > 0").groupBy(*FEATURE, "axis").agg(F.count(F.lit(1)).alias("c"))
@@ -119,7 +121,7 @@ def entity_specificity(selectivity: DataFrame) -> DataFrame:
         *FEATURE, "top_entity", "top_entity_label", "top_axis", "top_entity_mean_activation", "second_entity_mean_activation",
         safe_ratio(F.col("top_entity_mean_activation"), F.col("second_entity_mean_activation")).alias("entity_specificity_ratio"),
         safe_ratio(F.col("top_entity_mean_activation"), F.col("_total")).alias("top_entity_share"),
-        "top_axis_fraction", F.coalesce("axis_entropy", F.lit(0.0)).alias("axis_entropy"), "entity_entropy", "top_entities_by_activation",
+        "top_axis_fraction", F.coalesce("axis_entropy", F.lit(0.0)).alias("axis_entropy"), entropy.alias("entity_entropy"), "top_entities_by_activation",
     )
 
 

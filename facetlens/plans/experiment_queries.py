@@ -105,21 +105,19 @@ _DETAIL = X.SUMMARIES["by_set_detail"]
 
 @query(
     "experiment_summary",
-    f"""WITH s AS ({summary_sql(', '.join(_BY_SET))}), b AS {boot_sql(', '.join(_BY_SET), 20, 400, X.POISSON_CDF)}
+    f"""WITH s AS ({summary_sql(', '.join(_BY_SET))}), b AS {boot_sql(', '.join(_BY_SET), 20, X.POISSON_CDF)}
 SELECT s.feature_set_id, s.feature_role, {', '.join(f'{R("s." + c)} AS {c}' for c in SUMS)}, {', '.join('s.' + c for c in SUM_ID)}, {R('b.ci_low')} AS ci_low, {R('b.ci_high')} AS ci_high FROM s LEFT JOIN b USING (feature_set_id, feature_role)""",
 )
 def experiment_summary(v):
-    """With bootstrap intervals; the low resampling limit sends these groups to Poisson weights."""
-    g = X.experiment_summary(v.labelled_results, _BY_SET)
-    ci = X.bootstrap_mean_ci(v.labelled_results, _BY_SET, "item_uid", "bias_margin_delta", 20, resample_limit=400)
-    out = g.join(ci, _BY_SET, "left")
+    """With bootstrap intervals."""
+    out = X.experiment_summary(v.labelled_results, _BY_SET, samples=20)
     return r_cols(out.select(*_BY_SET, *SUMS, *SUM_ID, "ci_low", "ci_high"), [*SUMS, "ci_low", "ci_high"])
 
 
 _BOOT = "mapped_contrast_name, axis_mapped"
 
 
-@query("bootstrap_mean_ci", f"SELECT {_BOOT}, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM {boot_sql(_BOOT, 50, 1000, X.POISSON_CDF)}")
+@query("bootstrap_mean_ci", f"SELECT {_BOOT}, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM {boot_sql(_BOOT, 50, X.POISSON_CDF)}")
 def bootstrap_mean_ci(v):
     return r_cols(X.bootstrap_mean_ci(v.labelled_results, ["mapped_contrast_name", "axis_mapped"], "item_uid", "bias_margin_delta", 50), ["ci_low", "ci_high"])
 
@@ -276,20 +274,20 @@ def resume_incremental(v):
     return grid.pending(jobs, done).groupBy("layer", "set_id").agg(F.count(F.lit(1)).alias("n_pending"), F.min("job_id").alias("first_job"))
 
 
+_P = 97  # the least prime from N_FEATURES on
 CTL_SQL = f"""WITH b AS (SELECT r.item_uid, s.layer, s.set_id, s.feature_ids, s.signs, a.alpha, c.control_type,
   substr(sha1(concat_ws('|', r.item_uid, s.layer, s.set_id, a.alpha, 'final_prompt_token', c.control_type, 'answer_logprob')), 1, 16) AS job_id
- FROM v_rawaxis r JOIN (SELECT * FROM {SET_SQL} WHERE mode = 'per_contrast_topk' AND contains(set_id, 'combined')) s ON s.axis = r.axis_mapped, (VALUES (0.5::DOUBLE)) a(alpha), (VALUES ('sign_flip'), ('random_direction_norm_matched'), ('random_feature_matched')) c(control_type)),
+ FROM v_rawaxis r JOIN (SELECT * FROM {SET_SQL}) s ON s.axis = r.axis_mapped, (VALUES (0.5::DOUBLE)) a(alpha), (VALUES ('sign_flip'), ('random_direction_norm_matched'), ('random_feature_matched')) c(control_type)),
  k AS (SELECT *, len(string_split(feature_ids, ',')) AS n FROM b),
- d AS (SELECT job_id, n, (('0x' || substr(md5(concat_ws(':', 'draw', job_id, i)), 1, 8))::UBIGINT % {N_FEATURES})::INT AS f, i FROM (SELECT job_id, n, unnest(range(0, n * 4 + 32)) AS i FROM k WHERE control_type = 'random_feature_matched')),
- f AS (SELECT job_id, string_agg(f::VARCHAR, ',' ORDER BY i) AS ids FROM (SELECT job_id, n, f, min(i) AS i, row_number() OVER (PARTITION BY job_id ORDER BY min(i)) AS rn FROM d GROUP BY job_id, n, f) WHERE rn <= n GROUP BY job_id)
-SELECT item_uid, layer, set_id, alpha, control_type, job_id, ('0x' || substr(md5('control:' || job_id), 1, 8))::UBIGINT::BIGINT AS seed, coalesce(f.ids, feature_ids) AS feature_ids,
- CASE WHEN control_type = 'sign_flip' THEN (SELECT string_agg((-x::INT)::VARCHAR, ',' ORDER BY j) FROM (SELECT unnest(string_split(signs, ',')) AS x, generate_subscripts(string_split(signs, ','), 1) AS j)) ELSE signs END AS signs
+ d AS (SELECT job_id, n, i, (((1 + ('0x' || substr(sha1(job_id), 1, 8))::BIGINT % {_P - 1}) * i + ('0x' || substr(md5(concat_ws(':', 'draw', job_id)), 1, 8))::BIGINT % {_P}) % {_P})::INT AS f FROM (SELECT job_id, n, unnest(range(0, n + {_P - N_FEATURES})) AS i FROM k WHERE control_type = 'random_feature_matched')),
+ f AS (SELECT job_id, string_agg(f::VARCHAR, ',' ORDER BY i) AS ids FROM (SELECT job_id, n, f, i, row_number() OVER (PARTITION BY job_id ORDER BY i) AS rn FROM d WHERE f < {N_FEATURES}) WHERE rn <= n GROUP BY job_id)
+SELECT item_uid, layer, set_id, alpha, control_type, job_id, ('0x' || substr(sha1(job_id), 1, 8))::BIGINT AS seed, coalesce(f.ids, feature_ids) AS feature_ids,
+ CASE WHEN control_type = 'sign_flip' THEN array_to_string(list_transform(string_split(signs, ','), lambda x: (-x::INT)::VARCHAR), ',') ELSE signs END AS signs
 FROM k LEFT JOIN f USING (job_id)"""
 
 
 @query("control_rows", CTL_SQL)
 def control_rows(v):
-    s = _small_sets(v).filter("mode = 'per_contrast_topk' AND set_id LIKE '%combined%'")
-    c = grid.control_rows(v.prepared.select("item_uid", "axis_mapped"), s, [0.5], "answer_logprob", N_FEATURES)
+    c = grid.control_rows(v.prepared.select("item_uid", "axis_mapped"), _small_sets(v), [0.5], "answer_logprob", N_FEATURES)
     join = lambda x: F.array_join(F.transform(x, lambda e: e.cast("int").cast("string")), ",").alias(x)
     return c.select("item_uid", "layer", "set_id", "alpha", "control_type", "job_id", "seed", join("feature_ids"), join("signs"))

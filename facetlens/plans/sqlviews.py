@@ -409,7 +409,7 @@ SELECT 24 AS layer, f AS feature_id, prompt_id, token_idx, token_str, token_star
 FROM v_doctok, (VALUES {', '.join(f'({x})' for x in TOKEN_FEATURES)}) t(f)"""
 
 VIEWS["v_pact"] = """
-SELECT layer, feature_id, prompt_id, max(act) AS mx, coalesce(max(fin), arg_max(act, token_idx)) AS fi, coalesce(max(act) FILTER (WHERE in_span), 0) AS sm, coalesce(avg(act) FILTER (WHERE in_span), 0) AS sa,
+SELECT layer, feature_id, prompt_id, max(act) AS mx, max(coalesce(fin, 0)) AS fi, max(fin) AS fr, coalesce(max(act) FILTER (WHERE in_span), 0) AS sm, coalesce(avg(act) FILTER (WHERE in_span), 0) AS sa,
   arg_max(token_idx, (act, -token_idx)) AS best_idx, arg_max(token_str, (act, -token_idx)) AS best_str, arg_max(in_span, (act, -token_idx)) AS best_in,
   any_value(entity) AS entity, any_value(axis) AS axis, any_value(family) AS family, any_value(template_id) AS template_id
 FROM v_tok WHERE NOT special GROUP BY layer, feature_id, prompt_id"""
@@ -621,14 +621,13 @@ FROM (SELECT {keys}, avg(stereotyped_delta) AS mean_stereotyped_delta, avg(unkno
   avg(CASE WHEN context_condition = 'disambig' THEN correct_intervened::INT - correct_base::INT END) AS accuracy_change_disambig FROM v_labelled GROUP BY {keys})"""
 
 
-def boot_sql(keys: str, samples: int, limit: int, cdf: list[float]) -> str:
-    """Resampled item means for groups up to ``limit`` items, Poisson weights above."""
+def boot_sql(keys: str, samples: int, cdf: list[float]) -> str:
+    """Percentiles of item means under Poisson weights."""
     h = lambda x: f"('0x' || substr(md5(concat_ws(':', '0', rep, {x})), 1, 8))::UBIGINT"
     w = " + ".join(f"({h('item_uid')} / 4294967296.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in cdf)
     cond = " AND ".join(f"z.{k.strip()} IS NOT DISTINCT FROM y.{k.strip()}" for k in keys.split(","))
     return f"""(WITH it AS (SELECT {keys}, item_uid, avg(bias_margin_delta) AS x FROM v_labelled WHERE bias_margin_delta IS NOT NULL GROUP BY {keys}, item_uid),
- sz AS (SELECT {keys}, count(*) AS n, avg(x) AS m, list(x ORDER BY item_uid) AS vals FROM it GROUP BY {keys}),
- st AS (SELECT {keys}, rep, avg(vals[1 + ({h('i')} % n)::BIGINT]) AS s FROM (SELECT *, unnest(range(0, n)) AS i FROM sz, (SELECT unnest(range(0, {samples})) AS rep) WHERE n <= {limit}) GROUP BY {keys}, rep
-  UNION ALL SELECT {keys}, rep, sum(w * x) / sum(w) FROM (SELECT z.*, rep, {w} AS w FROM it z JOIN (SELECT * FROM sz WHERE n > {limit}) y ON {cond}, (SELECT unnest(range(0, {samples})) AS rep)) GROUP BY {keys}, rep),
+ sz AS (SELECT {keys}, count(*) AS n, avg(x) AS m FROM it GROUP BY {keys}),
+ st AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS s FROM (SELECT z.*, rep, {w} AS w FROM it z, (SELECT unnest(range(0, {samples})) AS rep)) GROUP BY {keys}, rep),
  q AS (SELECT {keys}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY {keys})
 SELECT {', '.join('z.' + k.strip() for k in keys.split(','))}, CASE WHEN z.n <= 1 THEN z.m ELSE y.lo END AS ci_low, CASE WHEN z.n <= 1 THEN z.m ELSE y.hi END AS ci_high FROM sz z JOIN q y ON {cond})"""

@@ -146,10 +146,10 @@ def localization_share(v):
 @query(
     "exemplar_prompts",
     f"""SELECT layer, feature_id, prompt_id, rn::INT AS rank, {PA_SQL}, best_idx AS token_idx_of_max, {LABEL_SQL.format(outside='')} AS feature_localization_type
-FROM (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY mx DESC, fi DESC, prompt_id) AS rn FROM v_pact) WHERE rn <= 25""",
+FROM (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY mx DESC, fi DESC, prompt_id) AS rn FROM (SELECT * REPLACE (fr AS fi) FROM v_pact)) WHERE rn <= 25""",
 )
 def exemplar_prompts(v):
-    e = K.exemplar_prompts(K.prompt_activation(v.tokens), 25)
+    e = K.exemplar_prompts(K.prompt_activation(v.tokens, filled=False), 25)
     return r_cols(e.select("layer", "feature_id", "prompt_id", "rank", *PA, "token_idx_of_max", "feature_localization_type"), PA)
 
 

@@ -84,3 +84,18 @@ def test_answer_roles(spark):
     assert (b["stereotyped_answer_idx"], b["nonstereotyped_answer_idx"], b["unknown_answer_idx"]) == (None, 0, None)
     assert (b["target_entity"], b["nontarget_entity"], b["nontarget_label"]) == ("", "", "zzz")
     assert (c["unknown_answer_idx"], c["stereotyped_answer_idx"]) == (0, None)
+
+
+def test_token_tables_reach_localization(spark, tmp_path):
+    from facetlens.operators import tokens as K
+    from facetlens.sources import tables as S
+
+    rows = ["layer,feature,prompt_index,token_idx,token,activation,is_special_token,inside_identity_span,final_activation"]
+    rows += ["24,7,1,0,<s>,9.0,True,False,", "24,7,1,1,old,0.8,False,True,", "24,7,1,2,man,0.4,False,False,", "24,7,2,1,red,0.5,False,False,0.5"]
+    (tmp_path / "t.csv").write_text("\n".join(rows) + "\n")
+    cols = ["layer", "feature_id", "prompt_id", "token_idx", "token_str", "token_feature_activation", "is_special_token", "is_identity_span_token", "final_token_feature_activation"]
+    t = K.token_input(S.read_token_tables(spark, None, str(tmp_path / "t.csv"), 24, cols))
+    r = K.token_localization(t).first()
+    assert (r["max_token_activation"], r["span_localization_score"], r["final_token_activation"]) == (0.8, 0.5, 0.25)
+    p = {x["prompt_id"]: x for x in K.prompt_activation(t, filled=False).collect()}
+    assert p["1"]["final_token_activation"] is None and p["2"]["final_token_activation"] == 0.5
