@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Spark hands texts to Python workers in batches of about this size, unless the session names its own.
 BATCH_BYTES = "8m"

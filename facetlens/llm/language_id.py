@@ -77,7 +77,8 @@ def profiles(docs: DataFrame, learn, profile_size: int = 300) -> dict[str, list[
     rows = docs.where(learn & docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
 
     def count(batches):
-        for batch in text_slices(batches, "text"):
+        # All n-grams of a slice are held as 64-bit numbers a few times over, so slices are small here.
+        for batch in text_slices(batches, "text", 1 << 20):
             names = batch.column(1).dictionary_encode()
             codes = names.indices.to_numpy()
             for k, lang in enumerate(names.dictionary.to_pylist()):
