@@ -19,6 +19,9 @@ SLICE_BYTES = 2 << 20
 #: Spark hands texts to Python workers in batches of about this size, unless the session names its own.
 BATCH_BYTES = "8m"
 
+#: Spark reads Parquet in batches of so many rows, unless the session names its own: rows hold whole texts.
+BATCH_ROWS = "256"
+
 _LOCAL: dict[str, str] = {}
 _TRIM = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
 
@@ -35,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by bytes: rows of texts are long, and a batch is held on both sides."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in spark.conf.getAll:
-        spark.conf.set(name, BATCH_BYTES)
+    """Bounds the batches in which texts are read and go to Python workers: rows of texts are long."""
+    for name, size in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, size)
 
 
 def free_unused() -> None:
