@@ -173,19 +173,28 @@ def eligible_counts(sets: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def experiment_grid(
-    items: DataFrame, sets: DataFrame, alphas: list[float], positions: list[str], modes: list[str], scoring: str
+    items: DataFrame, sets: DataFrame, alphas: list[float], positions: list[str], modes: list[str], scoring: str,
+    axis_match: str = "matched_only",
 ) -> DataFrame:
     """Items x matching feature sets x alphas x positions x modes, with job keys.
 
     Items meet sets by an equi-join on the axis, salted because an axis can hold a large
-    share of the items; the parameter lists are exploded arrays.
+    share of the items; the parameter lists are exploded arrays. ``axis_match="all"`` gives every item every
+    set, off its axis too: the items are dealt by the salt alone, and the sets (bounded by the feature
+    dictionary) go to every salt. The sets' ``axis`` stays beside ``axis_mapped`` then.
     """
+    if axis_match not in ("matched_only", "all"):
+        raise ValueError(f"axis_match: {axis_match!r}")
     arr = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
     params = (
         sets.withColumn("alpha", arr([float(a) for a in alphas])).withColumn("intervention_position", arr(positions))
         .withColumn("intervention_mode", arr(modes))
     )
-    pairs = spread_join(items, params.withColumnRenamed("axis", "axis_mapped"), ["axis_mapped"], spread_by=["item_uid"])
+    if axis_match == "all":
+        parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = spread_join(items, params, [], spread_by=["item_uid"], salts=parts)
+    else:
+        pairs = spread_join(items, params.withColumnRenamed("axis", "axis_mapped"), ["axis_mapped"], spread_by=["item_uid"])
     key = job_key(
         F.col("item_uid"), F.col("layer"), F.col("set_id"), F.col("alpha"), F.col("intervention_position"),
         F.col("intervention_mode"), F.lit(scoring),

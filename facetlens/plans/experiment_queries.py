@@ -261,6 +261,19 @@ def experiment_grid(v):
     return _grid(v).select("item_uid", "layer", "set_id", "alpha", "intervention_position", "intervention_mode", "job_id")
 
 
+ALL_SQL = f"""SELECT r.item_uid, s.layer, s.set_id, s.axis AS set_axis, r.axis_mapped,
+ CASE WHEN s.control_type = 'kept_feature' AND NOT coalesce(r.axis_mapped <> '' AND s.axis <> '' AND r.axis_mapped = s.axis, false) THEN 'wrong_axis_features' ELSE s.control_type END AS control_type,
+ substr(sha1(concat_ws('|', r.item_uid, s.layer, s.set_id, 1.0::DOUBLE, 'final_prompt_token', 'add_vector', 'answer_logprob')), 1, 16) AS job_id
+FROM v_rawaxis r CROSS JOIN {SET_SQL} s"""
+
+
+@query("experiment_grid_all", ALL_SQL)
+def experiment_grid_all(v):
+    jobs = grid.experiment_grid(v.prepared.select("item_uid", "axis_mapped"), _small_sets(v), [1.0], ["final_prompt_token"], ["add_vector"], "answer_logprob", "all")
+    label = grid.control_type_of(F.col("control_type"), F.col("axis"), F.col("axis_mapped")).alias("control_type")
+    return jobs.select("item_uid", "layer", "set_id", F.col("axis").alias("set_axis"), "axis_mapped", label, "job_id")
+
+
 @query("job_key", "SELECT l_orderkey, l_linenumber, substr(sha1(concat_ws('|', l_orderkey, l_linenumber, l_returnflag, 0.5::DOUBLE)), 1, 16) AS job_id FROM lineitem")
 def job_key_query(v):
     k = job_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag"), F.lit(0.5))

@@ -91,6 +91,11 @@ def test_grid_controls_and_pending(spark):
     jobs = grid.experiment_grid(items, sets, [0.5, 1.0], ["p"], ["m1", "m2"], "s")
     assert jobs.count() == 3 * 4 and jobs.select("job_id").distinct().count() == 12
     assert grid.pending(jobs, jobs.limit(5)).count() == 7
+    every = grid.experiment_grid(items, sets, [0.5, 1.0], ["p"], ["m1", "m2"], "s", "all")
+    assert every.count() == 6 * 2 * 4 and every.select("job_id").distinct().count() == 48
+    assert every.filter("axis = axis_mapped").select("job_id").exceptAll(jobs.select("job_id")).isEmpty()
+    with pytest.raises(ValueError):
+        grid.experiment_grid(items, sets, [0.5], ["p"], ["m1"], "s", "some")
     controls = grid.control_rows(items, sets, [0.5], "s", n_features=3).collect()
     assert len(controls) == 9
     for r in controls:
