@@ -247,13 +247,12 @@ def axis_match_filter(v):
 
 def _grid(v):
     its = v.prepared.select("item_uid", "axis_mapped", "doc_id")
-    per = _small_sets(v).filter("mode = 'per_feature'")
-    return grid.experiment_grid(its, per, RESULT_ALPHAS, RESULT_POSITIONS, ["add_vector", "ablate_projection"], "answer_logprob")
+    return grid.experiment_grid(its, _small_sets(v), RESULT_ALPHAS, RESULT_POSITIONS, ["add_vector", "ablate_projection"], "answer_logprob")
 
 
 GRID_SQL = f"""SELECT r.item_uid, r.doc_id, s.layer, s.set_id, a.alpha, p.pos AS intervention_position, m.mode AS intervention_mode,
  substr(sha1(concat_ws('|', r.item_uid, s.layer, s.set_id, a.alpha, p.pos, m.mode, 'answer_logprob')), 1, 16) AS job_id
-FROM v_rawaxis r JOIN (SELECT * FROM {SET_SQL} WHERE mode = 'per_feature') s ON s.axis = r.axis_mapped, (VALUES {', '.join(f'({a}::DOUBLE)' for a in RESULT_ALPHAS)}) a(alpha), (VALUES {', '.join(f"('{p}')" for p in RESULT_POSITIONS)}) p(pos), (VALUES ('add_vector'), ('ablate_projection')) m(mode)"""
+FROM v_rawaxis r JOIN {SET_SQL} s ON s.axis = r.axis_mapped, (VALUES {', '.join(f'({a}::DOUBLE)' for a in RESULT_ALPHAS)}) a(alpha), (VALUES {', '.join(f"('{p}')" for p in RESULT_POSITIONS)}) p(pos), (VALUES ('add_vector'), ('ablate_projection')) m(mode)"""
 
 
 @query("experiment_grid", f"SELECT item_uid, layer, set_id, alpha, intervention_position, intervention_mode, job_id FROM ({GRID_SQL})")
