@@ -5,7 +5,10 @@ a query. A term's weight in an item is its BM25 impact as a share of the item's
 item that is wholly inside a passage is 1. Three bounds follow one another: the sum of the passage's terms'
 largest weights anywhere, then their largest weights in each block of items, then the true scores of the
 blocks left. All items with a score of at least ``threshold`` are checked: of the five-word shingles of
-the question and of the answer, ``overlap`` of each must be in the document.
+the question and of the answer, ``overlap`` of each must be in the document. A part of at most eight words
+has so few shingles that one changed word breaks them all; so many of its words may instead be, in order,
+in the document beside a place of the other part. Words are what signs and white space part, so signs
+glued to an item's ends, in it or in the document, do not hide it; words of signs alone stay whole.
 
 Items are indexed in groups of bounded bytes, one pass over the documents each, whatever their number. An
 item's answer is what follows its last question mark; without one, its last sentence; of a single
@@ -16,6 +19,7 @@ searched like others. Repeated rows give repeated results. Empty tables give no
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,58 @@ K1, B = 1.2, 0.75
 #: Items of a block, and bytes of items that are indexed together.
 BLOCK, GROUP_BYTES = 16, 8 << 20
 SHINGLE = 5
+#: Parts of up to so many words are also sought beside the other part, at most SHINGLE words off their place.
+SHORT = 2 * (SHINGLE - 1)
+
+
+class _Signs(dict):
+    """Punctuation and symbols to spaces, for str.translate; marks that belong to letters stay."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = 0x20 if unicodedata.category(chr(code))[0] in "PS" else code
+        return self[code]
+
+
+_SIGNS = _Signs()
+
+
+def bare_words(texts: pa.Array) -> Words:
+    """Words of the texts, parted by signs too."""
+    words, number, flat, size = Words(texts), {}, [], []
+    for value in words.values:
+        own = [value] if value.isalnum() else value.decode().translate(_SIGNS).encode().split() or [value]
+        flat += [number.setdefault(p, len(number)) for p in own]
+        size.append(len(own))
+    if len(words.codes):
+        size = np.array(size, np.int64)
+        n, begin = size[words.codes], (np.cumsum(size) - size)[words.codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        words.codes = np.array(flat, np.int64)[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+        words.off, words.values = ends[words.off], list(number)
+    return words
+
+
+def _in_order(part: np.ndarray, near: np.ndarray) -> int:
+    """Words of ``part`` that are, in order, in ``near``."""
+    row = [0] * (len(near) + 1)
+    for a in part.tolist():
+        new = [0]
+        for j, b in enumerate(near.tolist()):
+            new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def _beside(part: np.ndarray, starts: np.ndarray, text: np.ndarray, enough: float) -> float:
+    """The largest share of ``part``'s words found at one of ``starts`` in ``text``, or the first of ``enough``."""
+    best = 0.0
+    for at in np.unique(starts).tolist():
+        near = text[max(0, at - SHINGLE):max(0, at + len(part) + SHINGLE)]
+        if np.isin(part, near).mean() > best:
+            best = max(best, _in_order(part, near) / len(part))
+        if best >= enough:
+            break
+    return best
 
 
 def parts(text: str) -> tuple[str, str]:
@@ -49,7 +105,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = sorted((i, t) for i, t in items if t and t.split())
         n = len(self.items)
-        words = Words(pa.array([t for _, t in self.items], pa.string()))
+        words = bare_words(pa.array([t for _, t in self.items], pa.string()))
         self.longest = int(words.counts.max()) if n else 0
         self.term = {w: k for k, w in enumerate(words.values)}
         owner = words.owner()
@@ -78,10 +134,11 @@ class Index:
         split = [parts(t) for _, t in self.items]
         self.sides = []
         for k in (0, 1):
-            own = Words(pa.array([p[k] for p in split], pa.string()))
+            own = bare_words(pa.array([p[k] for p in split], pa.string()))
             h, who = shingles(own, SHINGLE)
             cut = np.searchsorted(who, np.arange(n + 1))
-            self.sides.append([(h[a:b], int(c)) for a, b, c in zip(cut[:-1], cut[1:], own.counts)])
+            each = own.hashes()[own.codes] if len(own.codes) else np.zeros(0, np.uint64)
+            self.sides.append([(h[a:b], each[c:d]) for a, b, c, d in zip(cut[:-1], cut[1:], own.off[:-1], own.off[1:])])
 
     def passages(self, words: Words):
         """(passage, term) once each, sorted, and the text of each passage."""
@@ -142,19 +199,29 @@ class Index:
 
     def leaks(self, texts: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
         """(text, item_id, score, question overlap, answer overlap) of the checked items."""
-        found = self.search(Words(texts), threshold)
+        found = self.search(bare_words(texts), threshold)
         out = []
         for d in sorted({d for d, _, _ in found}):
-            own = Words(texts.slice(d, 1))
-            grams = {SHINGLE: np.unique(shingles(own, SHINGLE, whole_short=False)[0])}
+            own = bare_words(texts.slice(d, 1))
+            each = own.hashes()[own.codes]
+            grams: dict[int, np.ndarray] = {}
+
+            def grams_of(size: int) -> np.ndarray:
+                if size not in grams:  # a short part is one shingle of all its words
+                    grams[size] = shingles(own, size, whole_short=False)[0]
+                return grams[size]
+
             for k, score in ((k, s) for e, k, s in found if e == d):
-                share = []
-                for side in self.sides:
-                    h, count = side[k]
-                    size = min(SHINGLE, count)
-                    if size and size not in grams:  # a short part is one shingle of all its words
-                        grams[size] = np.unique(shingles(own, size, whole_short=False)[0])
-                    share.append(float(np.isin(h, grams[size]).mean()) if size else 1.0)
+                (_, question), (_, answer) = both = [side[k] for side in self.sides]
+                share = [float(np.isin(h, grams_of(min(SHINGLE, len(part)))).mean()) if len(part) else 1.0 for h, part in both]
+                for low, other, ahead in ((0, 1, -len(question)), (1, 0, len(question))):
+                    h, part = both[other]
+                    if share[low] < overlap <= share[other] and len(both[low][1]) <= SHORT and len(part):
+                        text_grams = grams_of(min(SHINGLE, len(part)))
+                        at = np.flatnonzero(np.isin(text_grams, h))
+                        order = np.argsort(h, kind="stable")
+                        starts = at - order[np.searchsorted(h[order], text_grams[at])] + ahead
+                        share[low] = max(share[low], _beside(both[low][1], starts, each, overlap))
                 if min(share) >= overlap:
                     out.append((d, self.items[k][0], score, *share))
         return out

@@ -71,3 +71,28 @@ def test_odd_rows(spark, odd_docs):
     assert dc.without_leaks(odd_docs, items).count() == odd_docs.count() - 1
     assert dc.find_leaks(odd_docs, items.limit(0)).count() == 0 and dc.find_leaks(odd_docs.limit(0), items).count() == 0
     assert dc.without_leaks(odd_docs, items).columns == odd_docs.columns
+
+
+def test_signs_glued_to_items():
+    """Items with signs, or signs and words, glued to both ends; short answers with a changed word."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = [(n, f"{text(30)}? {text(n)}.") for n in range(1, 12)] + [(20, f"{text(3)}? {text(30)}."), (21, f"{text(2)}? {text(1)}.")]
+    texts, want = [], []
+    for i, t in items:
+        for form in ("{}", "***{}***", "&&&{}%%%x y", "x.{}$$$y", "\u201c{}\u201d\u2014z", "x({})"):
+            want.append((len(texts), i))
+            texts.append(f"{text(40)} {form.format(t)} {text(40)}")
+    found = {(d, i) for d, i, *_ in dc.Index(items).leaks(pa.array(texts), 0.6, 0.75)}
+    assert found == set(want)
+
+
+def test_short_answers_beside_the_question():
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    question, answer = text(30), text(6)
+    item = [(1, f"{' '.join(question)}? {' '.join(answer)}.")]
+    changed, other = answer[:2] + ["edit"] + answer[3:], text(6)
+    far = question + text(40) + changed
+    texts = [" ".join(text(40) + q + text(40)) for q in (question + changed, question + other, question, answer, far)]
+    assert [(d, i) for d, i, *_ in dc.Index(item).leaks(pa.array(texts), 0.6, 0.75)] == [(0, 1)]
