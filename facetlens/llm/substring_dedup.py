@@ -2,8 +2,9 @@
 
 Each text gives the minimizers of its k-mers (of 16 k-mers in a row at least one is taken). A seed that
 occurs in several documents ties every later one to the first (by doc_id): first within a slice of a
-task, then, for one occurrence a slice, within the seed's bucket, so a seed that is everywhere costs one
-row a slice. The matches of two documents are chained: a chain's score is its seeds' words less the gaps
+task, then, for one document a slice, within the seed's bucket, so a seed that is everywhere costs the
+rows of one document a slice. All places of a seed in the later document are tied, each to the first place
+in the first document. The matches of two documents are chained: a chain's score is its seeds' words less the gaps
 on both sides, and the best chain ending at a match is found with a Fenwick tree of prefix maxima. Chains
 are aligned word by word between and beyond their seeds. Passages next to one another in a document,
 whatever their sources, form a stretch; stretches of at least ``least`` words are reported.
@@ -41,7 +42,7 @@ def _slide(x: np.ndarray, f) -> np.ndarray:
 
 
 def minimizers(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and word place of each text's minimizers; a hash counts once a text, where it is first."""
+    """Hash, text and word place of each text's minimizers, at every place."""
     h, owner = shingles(words, K, whole_short=False)
     use = words.counts[owner] >= max(least, K + WINDOW)
     h, owner = h[use], owner[use]
@@ -52,18 +53,15 @@ def minimizers(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     low[owner[: len(low)] != owner[WINDOW - 1:]] = 0  # not within one text
     pad = np.zeros(WINDOW - 1, np.uint64)
     taken = h == _slide(np.concatenate([pad, low, pad]), np.maximum)
-    h, owner, pos = h[taken], owner[taken], pos[taken]
-    order = np.lexsort((pos, h, owner))
-    order = order[runs(owner[order], h[order])]
-    return h[order], owner[order], pos[order]
+    return h[taken], owner[taken], pos[taken]
 
 
 def _tie(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """Rows sorted by seed, document and place; which are the first of their seed; the first one's row."""
+    """Rows sorted by seed, document and place; the row of each one's seed that is first."""
     order = np.lexsort((pos, doc, h))
     h, doc, pos = h[order], doc[order], pos[order]
     first = runs(h)
-    return h, doc, pos, first, np.repeat(first, np.diff(np.append(first, len(h))))
+    return h, doc, pos, np.repeat(first, np.diff(np.append(first, len(h))))
 
 
 def _matches(rows: DataFrame, least: int) -> DataFrame:
@@ -77,8 +75,9 @@ def _matches(rows: DataFrame, least: int) -> DataFrame:
         for batch in text_slices(batches):
             h, owner, pos = minimizers(Words(batch.column(1)), least)
             doc = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            h, doc, pos, first, head = _tie(h, doc, pos)
+            h, doc, pos, head = _tie(h, doc, pos)
             later = np.flatnonzero(doc != doc[head])
+            first = np.flatnonzero(doc == doc[head])
             none = [None] * len(later)
             yield batch_of(none, none, doc[later], pos[later], doc[head[later]], pos[head[later]])
             h, doc, pos = h[first], doc[first], pos[first]
@@ -104,7 +103,7 @@ def _matches(rows: DataFrame, least: int) -> DataFrame:
             seed.append(low.astype(np.uint64) | np.frombuffer(blob, "<u2", n, at + 12 * n).astype(np.uint64) << np.uint64(32))
             doc.append(np.frombuffer(blob, "<i8", k, 8)[which])
             pos.append(place.astype(np.int64))
-        _, doc, pos, _, head = _tie(np.concatenate(seed), np.concatenate(doc), np.concatenate(pos))
+        _, doc, pos, head = _tie(np.concatenate(seed), np.concatenate(doc), np.concatenate(pos))
         later = np.flatnonzero(doc != doc[head])
         return pa.table([pa.array(doc[later]), pa.array(pos[later]), pa.array(doc[head[later]]), pa.array(pos[head[later]])], ["doc", "pos", "src", "spos"])
 

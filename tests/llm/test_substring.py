@@ -87,3 +87,24 @@ def test_odd_rows(spark, odd_docs):
     kept = substring_dedup.without_passages(odd_docs, found)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert substring_dedup.passages(odd_docs.limit(0)).count() == 0
+
+
+def spans(spark, rows):
+    """The reported stretches of each document."""
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(3)
+    out = {}
+    for r in substring_dedup.passages(df).collect():
+        out.setdefault(r["doc_id"], set()).update(range(r["stretch_begin"], r["stretch_end"]))
+    return out
+
+
+def test_passage_repeated_inside_a_document(spark):
+    """Every run of 50 words that an earlier document holds is reported, at each of its places."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = text(50)
+    found = spans(spark, [(1, text(20) + passage + text(20)), (2, text(80) + passage + text(150) + passage + text(100) + passage)])
+    assert set(found) == {2}
+    for at in (80, 280, 430):
+        assert set(range(at, at + 50)) <= found[2]
+    assert len(found[2]) <= 3 * 52
