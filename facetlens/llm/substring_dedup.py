@@ -4,7 +4,10 @@ Each text gives the minimizers of its k-mers (of 16 k-mers in a row at least one
 occurs in several documents ties every later one to the first (by doc_id): first within a slice of a
 task, then, for one document a slice, within the seed's bucket, so a seed that is everywhere costs the
 rows of one document a slice. All places of a seed in the later document are tied, each to the first place
-in the first document. The matches of two documents are chained: a chain's score is its seeds' words less the gaps
+in the first document. A seed is a minimizer, and once more the SHORTEST words from there on, which have a
+first document of their own: where a passage's minimizers each occur in other earlier texts, the passage
+is still tied to the first that has it, or to texts that each have SHORTEST words of it or more. (Words
+at its ends that no such seed reaches may then stay unreported, up to WINDOW at either end.) The matches of two documents are chained: a chain's score is its seeds' words less the gaps
 on both sides, and the best chain ending at a match is found with a Fenwick tree of prefix maxima. Chains
 are aligned word by word between and beyond their seeds. Passages next to one another in a document,
 whatever their sources, form a stretch; stretches of at least ``least`` words are reported.
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetlens.llm.common import Words, ids_and_text, runs, shingles, stage, text_slices
+from facetlens.llm.common import Words, ids_and_text, mix, runs, shingles, stage, text_slices
 from facetlens.llm.graph import id_filter, may_hold, split_by_ids
 
 K, WINDOW = 6, 16
@@ -42,7 +45,7 @@ def _slide(x: np.ndarray, f) -> np.ndarray:
 
 
 def minimizers(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and word place of each text's minimizers, at every place."""
+    """Hash, text and word place of each text's minimizers, at every place, and of the SHORTEST words from each on."""
     h, owner = shingles(words, K, whole_short=False)
     use = words.counts[owner] >= max(least, K + WINDOW)
     h, owner = h[use], owner[use]
@@ -53,7 +56,14 @@ def minimizers(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     low[owner[: len(low)] != owner[WINDOW - 1:]] = 0  # not within one text
     pad = np.zeros(WINDOW - 1, np.uint64)
     taken = h == _slide(np.concatenate([pad, low, pad]), np.maximum)
-    return h[taken], owner[taken], pos[taken]
+    h, owner, pos = h[taken], owner[taken], pos[taken]
+    at = words.off[:-1][owner] + pos
+    long = at + SHORTEST <= words.off[1:][owner]
+    each, at = words.hashes(), at[long]
+    more = np.full(len(at), SHORTEST, np.uint64)
+    for j in range(SHORTEST):
+        more = mix(more + each[words.codes[at + j]] * np.uint64(2 * j + 3))
+    return np.concatenate([h, more]), np.concatenate([owner, owner[long]]), np.concatenate([pos, pos[long]])
 
 
 def _tie(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
@@ -138,13 +148,17 @@ class Fenwick:
 
 
 def chain(pos: list[int], spos: list[int]) -> list[list[int]]:
-    """Chains of matches (given by ascending pos, each pos once), as lists of their indices."""
+    """Chains of matches (given by ascending pos), as lists of their indices."""
     n = len(pos)
     if n == 1:
         return [[0]]
     ranks = {s: r for r, s in enumerate(sorted(set(spos)))}
     tree, score, before = Fenwick(len(ranks)), [0.0] * n, [-1] * n
+    added = 0
     for i in range(n):
+        while pos[added] < pos[i]:  # matches of one place do not follow one another
+            tree.add(ranks[spos[added]], (score[added] + GAP_COST * (pos[added] + spos[added]), added))
+            added += 1
         far = GAP_COST * (pos[i] + spos[i])
         best, j = tree.upto(ranks[spos[i]])
         # The gap is what lies between the ends of one seed and the next; overlapping seeds add less.
@@ -154,7 +168,6 @@ def chain(pos: list[int], spos: list[int]) -> list[list[int]]:
             score[i], before[i] = gain + min(K, pos[i] - pos[j], spos[i] - spos[j]), j
         else:
             score[i] = K
-        tree.add(ranks[spos[i]], (score[i] + far, i))
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: -score[i]):
         own = []
@@ -189,7 +202,7 @@ def _chains(matches: DataFrame) -> DataFrame:
         rows = [[], [], [], []]
         stops = np.append(first, table.shape[1])
         for a, b in zip(stops[:-1], stops[1:]):
-            one = a + runs(table[2, a:b])  # a repeated row matches a place twice
+            one = a + runs(table[2, a:b], table[3, a:b])  # two seeds, or a repeated row, match a place twice
             pos, spos = table[2, one].tolist(), table[3, one].tolist()
             for own in chain(pos, spos):
                 for column, x in zip(rows, (table[0, a], table[1, a], [pos[i] for i in own], [spos[i] for i in own])):

@@ -108,3 +108,14 @@ def test_passage_repeated_inside_a_document(spark):
     for at in (80, 280, 430):
         assert set(range(at, at + 50)) <= found[2]
     assert len(found[2]) <= 3 * 52
+
+
+def test_passage_whose_seeds_other_texts_have_first(spark):
+    """Each seed of a passage, and all its 15 words in a row, occur in several earlier texts."""
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = text(120)
+    rows = [(at, text(30) + passage[at:at + 15] + text(30)) for at in range(120)]
+    rows += [(1000, text(50) + passage + text(50)), (1001, text(70) + passage + text(50))]
+    found = spans(spark, rows)
+    assert set(found) == {1001} and set(range(70, 190)) <= found[1001] and len(found[1001]) <= 122
