@@ -8,7 +8,7 @@ in the first document. A seed is a minimizer, and once more the SHORTEST words f
 first document of their own: where a passage's minimizers each occur in other earlier texts, the passage
 is still tied to the first that has it, or to texts that each have SHORTEST words of it or more. (Words
 at its ends that no such seed reaches may then stay unreported, up to WINDOW at either end.) The matches of two documents are chained: a chain's score is its seeds' words less the gaps
-on both sides, and the best chain ending at a match is found with a Fenwick tree of prefix maxima. Chains
+on both sides, and the best chain ending at a match is found with a Fenwick tree of prefix maxima; where that one is out of reach, among the matches within reach. Chains
 are aligned word by word between and beyond their seeds. Passages next to one another in a document,
 whatever their sources, form a stretch; stretches of at least ``least`` words are reported.
 
@@ -154,7 +154,7 @@ def chain(pos: list[int], spos: list[int]) -> list[list[int]]:
         return [[0]]
     ranks = {s: r for r, s in enumerate(sorted(set(spos)))}
     tree, score, before = Fenwick(len(ranks)), [0.0] * n, [-1] * n
-    added = 0
+    added = near = 0
     for i in range(n):
         while pos[added] < pos[i]:  # matches of one place do not follow one another
             tree.add(ranks[spos[added]], (score[added] + GAP_COST * (pos[added] + spos[added]), added))
@@ -163,8 +163,14 @@ def chain(pos: list[int], spos: list[int]) -> list[list[int]]:
         best, j = tree.upto(ranks[spos[i]])
         # The gap is what lies between the ends of one seed and the next; overlapping seeds add less.
         gain = best - far + 2 * GAP_COST * K
-        # A gap beyond REACH is not bridged, however long the chain before it.
-        if j >= 0 and gain > 0 and max(pos[i] - pos[j], spos[i] - spos[j]) <= REACH + K:
+        # A gap beyond REACH is not bridged, however long the chain before it: then the best within it counts.
+        if j >= 0 and gain > 0 and max(pos[i] - pos[j], spos[i] - spos[j]) > REACH + K:
+            while pos[i] - pos[near] > REACH + K:
+                near += 1
+            within = [(score[m] + GAP_COST * (pos[m] + spos[m]), m) for m in range(near, added) if 0 < spos[i] - spos[m] <= REACH + K]
+            best, j = max(within, default=(-1e18, -1))
+            gain = best - far + 2 * GAP_COST * K
+        if j >= 0 and gain > 0:
             score[i], before[i] = gain + min(K, pos[i] - pos[j], spos[i] - spos[j]), j
         else:
             score[i] = K

@@ -119,3 +119,34 @@ def test_passage_whose_seeds_other_texts_have_first(spark):
     rows += [(1000, text(50) + passage + text(50)), (1001, text(70) + passage + text(50))]
     found = spans(spark, rows)
     assert set(found) == {1001} and set(range(70, 190)) <= found[1001] and len(found[1001]) <= 122
+
+
+def test_chains_are_the_best_within_reach():
+    """The first chain is the best of all, whatever lies out of reach before it."""
+    rng, far = random.Random(14), substring_dedup.REACH + substring_dedup.K
+    K, cost = substring_dedup.K, substring_dedup.GAP_COST
+    for _ in range(400):
+        dense, sparse = rng.randrange(6), rng.randrange(2, 10)
+        pos, spos = ([*range(0, dense * K, K), *sorted(rng.sample(range(90, 270, K), sparse))] for _ in range(2))
+        if rng.random() < 0.2:
+            rng.shuffle(spos)
+        n = len(pos)
+        best = [K] * n
+        for i in range(n):
+            for j in range(i):
+                if 0 < spos[i] - spos[j] <= far and pos[i] - pos[j] <= far:
+                    best[i] = max(best[i], best[j] + K - cost * (pos[i] - pos[j] + spos[i] - spos[j] - 2 * K))
+        first = substring_dedup.chain(pos, spos)[0]
+        value = K * len(first) - sum(cost * (pos[i] - pos[j] + spos[i] - spos[j] - 2 * K) for j, i in zip(first, first[1:]))
+        assert abs(value - max(best)) < 1e-9
+
+
+def test_fuzzy_passage_after_a_long_one(spark):
+    """A second passage of the same two documents, with words inserted, 150 words after a first one."""
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    first, a, b = text(100), text(25), text(25)
+    for k in range(6):
+        edited = a + text(5) + b
+        found = spans(spark, [(1, text(10) + first + text(150) + a + b + text(9)), (2, text(30) + first + text(150) + edited)])
+        assert set(range(282, 332)) <= found[2], k
