@@ -176,3 +176,10 @@ def test_trees_learn_and_keep_their_constraints(spark, sf_dir, docs):
         assert (trees.score(more) <= trees.score(x) + 1e-12).all()
     none = labels.limit(0)
     assert quality_rules.apply_rules(docs.limit(0), quality_rules.train(docs, none)).count() == 0
+
+
+def test_levels_end_in_a_full_filter(spark):
+    """With all bits set the levels end at the largest stored one, and the bigram term has no weight."""
+    rows = [(i, " ".join(f"w{i * k % 50}" for k in range(60))) for i in range(200)]
+    out = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), max_filter_bytes=1).collect()
+    assert len(out) == 200 and all(abs(r["score"] - r["base_score"]) < 1e-6 for r in out)
