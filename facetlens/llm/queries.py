@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from facetlens.llm.chat_format import SQL as CHAT_SQL
+from facetlens.llm.merkle_manifest import SQL as MERKLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,11 @@ def op10(spark, sf_dir):
     from facetlens.llm.substring_dedup import passages
 
     return passages(table(spark, sf_dir, "documents"), 50)
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark, sf_dir):
+    from facetlens.llm.merkle_manifest import audit, seventh
+
+    docs = table(spark, sf_dir, "documents")
+    return audit(docs, seventh(docs["doc_id"]))
