@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from facetlens.llm.chat_format import SQL as CHAT_SQL
+from facetlens.llm.hard_negatives import SQL as NEGATIVES_SQL
 from facetlens.llm.merkle_manifest import SQL as MERKLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +108,23 @@ def op10(spark, sf_dir):
     return passages(table(spark, sf_dir, "documents"), 50)
 
 
+@query("op11_license_scan")
+def op11(spark, sf_dir):
+    from facetlens.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_manifest", MERKLE_SQL)
 def op12(spark, sf_dir):
     from facetlens.llm.merkle_manifest import audit, seventh
 
     docs = table(spark, sf_dir, "documents")
     return audit(docs, seventh(docs["doc_id"]))
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark, sf_dir):
+    from facetlens.llm.hard_negatives import mine, relabelled
+
+    return mine(relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
