@@ -5,10 +5,11 @@ two neighbours become a node, and the roots of all groups, ordered by group, for
 are lowercase hex SHA-256 texts, inputs are concatenated, the last run of a level may hold one node.
 
 Built levels are stored as node rows linked to a parent: a node's row holds its siblings up to the next
-stored level, the digest there and the key of the node there. Levels are stored every ``stride`` levels
-(1: each of them), so one grouped job builds ``stride`` levels out of at most 2^stride nodes and one
-step of the recursive query climbs as many. The query starts from every leaf with the digest to be
-checked, appends the siblings, folds the digest with them, and goes on until no node row matches.
+stored level and the key of the node there. Levels are stored every ``stride`` levels (1: each of them),
+so one grouped job builds ``stride`` levels out of at most 2^stride nodes and one step of the recursive
+query climbs as many. The query starts from the row of every leaf with the digest to be checked, appends
+the siblings, folds the digest with them, and goes on with the parent's row up to the root. Rows hold
+digests as 32 bytes; they are hashed as hex texts.
 
 A node high in a tree is met by all leaves below it. Its row is repeated once per ``SALT_ROWS`` leaves
 below (counts that the build measured), and leaves choose a copy by their number.
@@ -35,7 +36,6 @@ STRIDE = 10
 SALT_ROWS = 4096
 #: The tree of all groups' roots.
 TOP = -1
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def field(value: Column) -> Column:
@@ -66,111 +66,140 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
 
 @dataclass
 class Manifest:
-    """leaves (the given columns, leaf, spot: number in the group, and the node key tree, level, idx, salt, subroot),
-    nodes: rows linked to their parents; height: levels above the groups' roots."""
+    """leaves: the lowest node rows, with id, leaf, claimed, spot (number in the group), home and copy (key of the
+    group's root); nodes: the rows above; subroots: the groups' roots; root; height: levels above the groups' roots."""
 
     leaves: DataFrame
     nodes: DataFrame
+    subroots: DataFrame
+    root: str | None
     height: int
 
 
+def _copies(below: Column) -> Column:
+    return F.ceil(below / SALT_ROWS)
+
+
 def _height(n: Column) -> Column:
     return F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
 
 
-def _levels(nodes: DataFrame, level: int, stride: int) -> DataFrame:
-    """tree, block, height, below, levels: the digests of each level from ``level`` on, of one block of 2^stride nodes."""
+def _blocks(nodes: DataFrame, level: int, stride: int, carried: list[str]) -> DataFrame:
+    """tree, block, height, below, items, levels: digests of each level from ``level`` on, of blocks of 2^stride nodes, and ``carried`` of each node."""
+    own = ", ".join(f"x.{c}" for c in ["digest", *carried])
     blocks = nodes.groupBy("tree", F.shiftright("idx", stride).alias("block")).agg(
-        F.expr("transform(sort_array(collect_list(struct(idx, digest))), x -> x.digest)").alias("digests"),
+        F.expr(f"transform(sort_array(collect_list(struct({', '.join(['idx', 'digest', *carried])}))), x -> struct({own}))").alias("items"),
         F.max("height").alias("height"), F.sum("below").alias("below"),
     )
     steps = f"least({stride}, height - {level})"
     up = "transform(sequence(0, (size(element_at(a, -1)) - 1) div 2), i -> sha2(concat(element_at(a, -1)[2 * i], coalesce(get(element_at(a, -1), 2 * i + 1), '')), 256))"
-    return blocks.withColumn("levels", F.expr(f"aggregate(sequence(1, {steps}), array(digests), (a, j) -> concat(a, array({up})))"))
+    levels = F.expr(f"aggregate(sequence(1, {steps}), array(items.digest), (a, j) -> concat(a, array({up})))")
+    return blocks.withColumn("levels", levels).withColumns({"grown": F.size("levels") - 1, "goal": F.element_at(F.element_at("levels", -1), 1)})
+
+
+def _linked(blocks: DataFrame, level: int, stride: int, top: bool, carried: list[str]) -> DataFrame:
+    """Node rows of the lowest level of ``blocks``: key, ``carried``, siblings up to the next stored level, key of the parent."""
+    into_top = (F.col("grown") + level == F.col("height")) & F.lit(not top)
+    own = "".join(f", items[i].{c} AS {c}" for c in carried) + ", unhex(items[i].digest) AS digest" * bool(carried)
+    row = f"struct(i{own}, transform(sequence(0, grown - 1), j -> unhex(get(levels[j], shiftright(i, j) ^ 1))) AS siblings)"
+    return blocks.select(
+        "tree", "block", "below", "grown", into_top.alias("into_top"), F.explode(F.expr(f"transform(sequence(0, size(items) - 1), i -> {row})")).alias("node"),
+    ).select(
+        "tree", F.lit(level).cast("long").alias("level"), (F.shiftleft("block", stride) + F.col("node.i")).alias("idx"), *[F.col(f"node.{c}") for c in [*carried, *["digest"] * bool(carried)]], "node.siblings",
+        F.when(F.col("into_top"), F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("ptree"),
+        F.when(F.col("into_top"), 0).otherwise(level + F.col("grown")).cast("long").alias("plevel"),
+        F.when(F.col("into_top"), F.col("tree")).otherwise(F.col("block")).cast("long").alias("pidx"), _copies(F.col("below")).alias("psalts"),
+    )
 
 
-def _grow(nodes: DataFrame, level: int, stride: int, top: bool, tallest: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Node rows and finished roots (tree, digest, below) of all trees; ``nodes``: tree, idx, digest, height, below."""
-    made, roots = [], []
+def _grow(nodes: DataFrame, level: int, stride: int, top: bool, tallest: int, carried: list[str]) -> tuple[list[DataFrame], DataFrame | None]:
+    """Node rows by stored level, and the finished roots (tree, digest, below); ``nodes``: tree, idx, digest, height, below, carried."""
+    made, roots = [], None
     while level < tallest:
-        levels = _levels(nodes.where(F.col("height") > level), level, stride).drop("digests")
-        blocks = stage(levels.withColumns({"grown": F.size("levels") - 1, "goal": F.element_at(F.element_at("levels", -1), 1)}), "merkle-levels")
+        blocks = stage(_blocks(nodes.where(F.col("height") > level), level, stride, carried), "merkle-levels")
+        linked = _linked(blocks, level, stride, top, carried)
+        if not carried:
+            # A node row has as many copies as leaves below it ask for.
+            copies = nodes.where(F.col("height") > level).select("tree", "idx", F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("below")) - 1)).alias("salt"))
+            linked = linked.join(copies, ["tree", "idx"])
+        made.append(linked)
         ends = F.col("grown") + level == F.col("height")
-        row = "struct(i, levels[0][i] AS digest, transform(sequence(0, grown - 1), j -> get(levels[j], shiftright(i, j) ^ 1)) AS siblings)"
-        linked = blocks.select(
-            "tree", "block", "goal", "below", "grown", ends.alias("ends"), F.explode(F.expr(f"transform(sequence(0, size(levels[0]) - 1), i -> {row})")).alias("node"),
-        ).select(
-            "tree", F.lit(level).cast("long").alias("level"), (F.shiftleft("block", stride) + F.col("node.i")).alias("idx"), F.col("node.siblings").alias("siblings"), F.col("goal").alias("pdigest"),
-            F.when(F.col("ends") & F.lit(not top), F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("ptree"),
-            F.when(F.col("ends") & F.lit(not top), 0).otherwise(level + F.col("grown")).cast("long").alias("plevel"),
-            F.when(F.col("ends") & F.lit(not top), F.col("tree")).otherwise(F.col("block")).cast("long").alias("pidx"),
-            F.ceil(F.col("below") / SALT_ROWS).alias("psalts"),
-        )
-        # A node row has as many copies as leaves below it ask for.
-        copies = nodes.where(F.col("height") > level).select("tree", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("below") / SALT_ROWS) - 1)).alias("salt"))
-        made.append(linked.join(copies, ["tree", "idx"]) if level or top else linked.withColumn("salt", F.lit(0).cast("long")))
-        roots.append(blocks.where(ends).select("tree", F.col("goal").alias("digest"), "below"))
-        nodes = blocks.where(~ends).select("tree", F.col("block").alias("idx"), F.col("goal").alias("digest"), "height", "below")
+        done = blocks.where(ends).select("tree", F.col("goal").alias("digest"), "below")
+        roots = done if roots is None else roots.unionByName(done)
+        nodes, carried = blocks.where(~ends).select("tree", F.col("block").alias("idx"), F.col("goal").alias("digest"), "height", "below"), []
         level += stride
     return made, roots
 
 
-def build(rows: DataFrame, group: str = "lang", order: str = "doc_id", stride: int = STRIDE) -> Manifest:
-    """The manifest of ``rows``, which have the columns ``group``, ``order`` and ``leaf`` besides others."""
-    placed, totals = numbered(rows, [group], [order, "leaf"], "merkle-leaves")
-    groups, spans = numbered(totals.select(group, "n").distinct(), [], [group], "merkle-groups")
+_ROW = "tree long, level long, idx long, siblings array<binary>, ptree long, plevel long, pidx long, psalts long"
+
+
+def build(rows: DataFrame, group: str = "lang", order: str = "doc_id", claimed: str = "claimed", stride: int = STRIDE) -> Manifest:
+    """The manifest of ``rows``, which have the columns ``group``, ``order``, ``leaf`` and ``claimed`` (hex digests)."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col(group).alias("in"), F.col(order).alias("id"), F.unhex("leaf").alias("leaf"), F.unhex(F.nullif(F.col(claimed), F.col("leaf"))).alias("claimed"))
+    placed, totals = numbered(rows, ["in"], ["id", "leaf"], "merkle-leaves")
+    groups, spans = numbered(totals.select("in", "n").distinct(), [], ["in"], "merkle-groups")
     ranks = groups.alias("g").join(spans.alias("s"), F.shiftright("g.place", 33) == F.col("s.part")).select(
-        F.col(f"g.{group}").alias("__group"), F.col("g.n").alias("size"), (F.col("g.place") - F.col("s.first") + F.col("s.before")).alias("tree"))
-    known = totals.join(ranks, F.col(group).eqNullSafe(F.col("__group"))).select(F.col(group).alias("__g"), "part", "first", "before", "size", "tree")
+        F.col("g.in").alias("__in"), F.col("g.n").alias("size"), (F.col("g.place") - F.col("s.first") + F.col("s.before")).alias("tree"))
+    known = totals.join(ranks, F.col("in").eqNullSafe(F.col("__in"))).select("__in", "part", "first", "before", "size", "tree")
     leaves = stage(
-        placed.join(known, (F.shiftright("place", 33) == F.col("part")) & F.col(group).eqNullSafe(F.col("__g")))
-        .select(*rows.columns, (F.col("place") - F.col("first") + F.col("before")).alias("spot"), F.col("tree").alias("__tree"), "size"), "merkle-numbered")
-    size = ranks.agg(F.count(F.lit(1)), F.max("size")).first()
-    trees, largest = int(size[0]), int(size[1] or 0)
-    made, roots = _grow(leaves.select(F.col("__tree").alias("tree"), F.col("spot").alias("idx"), F.col("leaf").alias("digest"), _height(F.col("size")).alias("height"), F.lit(1).cast("long").alias("below")), 0, stride, False, max(largest - 1, 0).bit_length())
-    subroots = leaves.where("size = 1").select(F.col("__tree").alias("tree"), F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("below"))
-    for part in roots:
-        subroots = subroots.unionByName(part)
-    height = max(trees - 1, 0).bit_length()
-    above, _ = _grow(stage(subroots, "merkle-subroots").select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest", F.lit(height).alias("height"), "below"), 0, stride, True, height)
-    nodes = None
-    for part in (*made, *above):
-        nodes = part if nodes is None else nodes.unionByName(part)
-    alone = F.col("size") == 1
+        placed.join(known, (F.shiftright("place", 33) == F.col("part")) & F.col("in").eqNullSafe(F.col("__in")))
+        .select("id", "leaf", "claimed", (F.col("place") - F.col("first") + F.col("before")).alias("idx"), "tree", "size"), "merkle-numbered")
+    trees, largest = (int(x or 0) for x in ranks.agg(F.count(F.lit(1)), F.max("size")).first())
+    one, hexed = F.lit(1).cast("long"), F.lower(F.hex("leaf"))
+    low = leaves.select("tree", "idx", hexed.alias("digest"), _height(F.col("size")).alias("height"), one.alias("below"), "id", "claimed", "size")
+    made, roots = _grow(low, 0, stride, False, max(largest - 1, 0).bit_length(), ["id", "claimed", "size"])
     # A lone leaf is its group's root already.
-    start = leaves.select(
-        *rows.columns, "spot", F.when(alone, F.col("leaf")).alias("subroot"), F.when(alone, F.lit(TOP)).otherwise(F.col("__tree")).cast("long").alias("tree"),
-        F.lit(0).cast("long").alias("level"), F.when(alone, F.col("__tree")).otherwise(F.col("spot")).alias("idx"), F.lit(0).cast("long").alias("salt"))
-    if nodes is None:
-        key = "tree long, level long, idx long, salt long"
-        nodes = rows.sparkSession.createDataFrame([], f"{key}, siblings array<string>, pdigest string, ptree long, plevel long, pidx long, psalts long")
-    return Manifest(start, stage(nodes, "merkle-nodes"), height)
-
-
-_CLIMB = """
-WITH RECURSIVE climb(id, leaf, subroot, at, folded, proof, spot, tree, level, idx, salt) AS (
-  SELECT id, leaf, subroot, leaf, claimed, '', spot, tree, level, idx, salt FROM {start}
+    lone = leaves.where("size = 1")
+    subroots = lone.select("tree", hexed.alias("digest"), one.alias("below"))
+    subroots = stage(subroots if roots is None else subroots.unionByName(roots), "merkle-subroots")
+    height = max(trees - 1, 0).bit_length()
+    upper = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest", F.lit(height).alias("height"), "below")
+    above, last = _grow(upper, 0, stride, True, height, [])
+    root = (subroots if last is None else last).select("digest").first()
+    rows = lone.select(
+        "id", "leaf", "claimed", F.col("idx").alias("spot"), F.col("tree").alias("home"), F.lit(0).cast("long").alias("copy"), F.expr("CAST(array() AS array<binary>)").alias("siblings"),
+        F.lit(TOP).cast("long").alias("ptree"), F.lit(0).cast("long").alias("plevel"), F.col("tree").alias("pidx"), one.alias("psalts"))
+    if made:
+        rows = rows.unionByName(made[0].select(
+            "id", F.col("digest").alias("leaf"), "claimed", F.col("idx").alias("spot"), F.col("tree").alias("home"), F.pmod("idx", _copies(F.col("size"))).alias("copy"), "siblings", "ptree", "plevel", "pidx", "psalts"))
+    nodes = spark.createDataFrame([], _ROW + ", salt long")
+    for part in (*made[1:], *above):
+        nodes = nodes.unionByName(part)
+    heads = subroots.select(F.col("tree").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("below")) - 1)).alias("copy"), F.col("digest").alias("subroot"))
+    return Manifest(rows, stage(nodes, "merkle-nodes"), heads, root[0] if root else None, height)
+
+
+def _fold(idx: str, siblings: str, digest: str) -> str:
+    """SQL: ``digest`` of node number ``idx`` hashed with its siblings, level by level."""
+    own, other = "lower(hex(h))", f"lower(hex({siblings}[j]))"
+    pair = f"CASE WHEN shiftright({idx}, j) & 1 = 1 THEN concat({other}, {own}) ELSE concat({own}, coalesce({other}, '')) END"
+    return f"CASE WHEN size({siblings}) = 0 THEN {digest} ELSE aggregate(sequence(0, size({siblings}) - 1), {digest}, (h, j) -> unhex(sha2({pair}, 256))) END"
+
+
+def _append(proof: str, siblings: str) -> str:
+    return f"aggregate({siblings}, {proof}, (p, s) -> concat(p, coalesce(s, X'')))"
+
+
+# The default ends a recursive query at a million rows; LIMIT ALL lifts that, as the tree's levels bound it.
+_CLIMB = f"""
+WITH RECURSIVE climb(id, leaf, folded, proof, spot, home, copy, tree, level, idx, salt) AS (
+  SELECT id, leaf, {_fold('spot', 'siblings', 'coalesce(claimed, leaf)')}, {_append("X''", 'siblings')}, spot, home, copy, ptree, plevel, pidx, pmod(spot, psalts) FROM {{leaves}}
   UNION ALL
-  SELECT c.id, c.leaf, CASE WHEN n.ptree = -1 AND n.plevel = 0 THEN n.pdigest ELSE c.subroot END, n.pdigest,
-    aggregate(sequence(0, size(n.siblings) - 1), c.folded, (h, j) -> sha2(CASE WHEN shiftright(c.idx, j) & 1 = 1 THEN concat(n.siblings[j], h) ELSE concat(h, coalesce(n.siblings[j], '')) END, 256)),
-    concat(c.proof, array_join(n.siblings, '')), c.spot, n.ptree, n.plevel, n.pidx, pmod(c.spot, n.psalts)
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx AND c.salt = n.salt
+  SELECT c.id, c.leaf, {_fold('c.idx', 'n.siblings', 'c.folded')}, {_append('c.proof', 'n.siblings')}, c.spot, c.home, c.copy, n.ptree, n.plevel, n.pidx, pmod(c.spot, n.psalts)
+  FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx AND c.salt = n.salt
+  WHERE NOT (c.tree = -1 AND c.level = {{height}})
 )
-SELECT id, leaf, subroot, at AS root, proof, folded FROM climb WHERE tree = -1 AND level = {height}
+SELECT id, lower(hex(leaf)) AS leaf, sha2(lower(hex(proof)), 256) AS proof_sha256, lower(hex(folded)) AS folded, home, copy
+FROM (SELECT * FROM climb LIMIT ALL) WHERE tree = -1 AND level = {{height}}
 """
 
 
-def climb(manifest: Manifest, id_column: str = "doc_id", claimed: str = "claimed") -> DataFrame:
-    """id, leaf, subroot, root, proof (all siblings), folded: the root recomputed from the ``claimed`` leaf digest."""
-    spark = manifest.leaves.sparkSession
-    start = manifest.leaves.select(F.col(id_column).alias("id"), "leaf", F.col(claimed).alias("claimed"), "subroot", "spot", "tree", "level", "idx", "salt")
-    # The default ends a recursive query at a million rows; the levels of the tree bound this one.
-    before = spark.conf.get(_ROW_LIMIT)
-    spark.conf.set(_ROW_LIMIT, "-1")
-    try:
-        return stage(spark.sql(_CLIMB, start=start, nodes=manifest.nodes, height=manifest.height), "merkle-climb")
-    finally:
-        spark.conf.set(_ROW_LIMIT, before)
+def climb(manifest: Manifest) -> DataFrame:
+    """id, leaf, subroot, root, proof_sha256 (of all siblings), folded: the root recomputed from the claimed digest."""
+    found = manifest.leaves.sparkSession.sql(_CLIMB, leaves=manifest.leaves, nodes=manifest.nodes, height=manifest.height)
+    return found.join(manifest.subroots, ["home", "copy"]).select("id", "leaf", "subroot", F.lit(manifest.root).cast("string").alias("root"), "proof_sha256", "folded")
 
 
 def audit(docs: DataFrame, changed: Column | None = None, stride: int = STRIDE) -> DataFrame:
@@ -183,10 +212,9 @@ def audit(docs: DataFrame, changed: Column | None = None, stride: int = STRIDE)
     leaf = row_digest([*values.values()])
     other = row_digest([v.cast("decimal(38,0)") + 1 if c == "n_chars" else v for c, v in values.items()])
     wrong = F.lit(False) if changed is None else F.coalesce(changed, F.lit(False))
-    rows = stage(docs.select(docs["doc_id"], docs["lang"], leaf.alias("leaf"), F.when(wrong, other).otherwise(leaf).alias("claimed")), "merkle-digests")
-    found = climb(build(rows, stride=stride))
-    return found.select(
-        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+    rows = stage(docs.select(docs["doc_id"], docs["lang"], leaf.alias("leaf"), F.when(wrong, other).alias("claimed")), "merkle-digests")
+    return climb(build(rows, stride=stride)).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
 def seventh(doc_id: Column) -> Column:
