@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
+from facetlens.functions.blocks import BLOCK_BYTES, PRODUCT_BYTES, MatrixBlocks, layer_chunks, matrix, matrix_blocks
 from facetlens.functions.hashing import seeded_order
 from facetlens.functions.joins import spread_join
 from facetlens.functions.numeric import cohens_d_from_moments
@@ -26,30 +27,41 @@ CODE_SCHEMA = "layer int, row_id bigint, indices array<int>, values array<double
 
 
 # ---- encoding -----------------------------------------------------------------
-def _topk_rows(acts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top k per row by (activation desc, feature id asc); ``ids`` is ascending."""
-    order = np.argsort(-acts, axis=1, kind="stable")[:, :k]
-    return ids[order], np.take_along_axis(acts, order, axis=1)
-
-
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
-
-
-def weight_bytes(weights: DataFrame) -> int:
-    """Size of a weight table as float64, from its row count and width."""
-    r = weights.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("d")).first()
-    return int(r["n"] or 0) * int(r["d"] or 0) * 8
-
-
-def _weights_by_layer(weights: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    t = weights.select("layer", "feature_id", "w", "b").orderBy("layer", "feature_id").toArrow()
-    layers = t["layer"].to_numpy()
-    ids = t["feature_id"].to_numpy().astype(np.int32)
-    bias = t["b"].to_numpy().astype(np.float64)
-    w = t["w"].combine_chunks()
-    mat = _matrix(w, len(ids)) if len(ids) else np.zeros((0, 0))
-    return {int(x): (ids[layers == x], mat[layers == x].T.copy(), bias[layers == x]) for x in np.unique(layers)}
+def _first_k(acts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Top k per row by (activation desc, feature id asc), ids and activations; ``ids`` is ascending."""
+    n = acts.shape[1]
+    if n <= 4 * k:
+        order = np.argsort(-acts, axis=1, kind="stable")[:, :k]
+        return ids[order], np.take_along_axis(acts, order, axis=1)
+    least = np.partition(acts, n - k, axis=1)[:, n - k, None]
+    chosen = acts >= least
+    # Where more than k reach the k-th value, the smaller ids are meant: those rows are sorted whole.
+    tied = np.flatnonzero(chosen.sum(axis=1) > k)
+    columns = np.empty((len(acts), k), np.int64)
+    plain = np.ones(len(acts), bool)
+    plain[tied] = False
+    columns[plain] = np.nonzero(chosen[plain])[1].reshape(-1, k)
+    columns[tied] = np.argsort(-acts[tied], axis=1, kind="stable")[:, :k]
+    values = np.take_along_axis(acts, columns, axis=1)
+    order = np.lexsort((columns, -values), axis=1)
+    return ids[np.take_along_axis(columns, order, axis=1)], np.take_along_axis(values, order, axis=1)
+
+
+def _merge_k(best: tuple[np.ndarray, np.ndarray] | None, more: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The top k of two results of ``_first_k`` over disjoint features."""
+    if best is None:
+        return more
+    ids, values = (np.concatenate(x, axis=1) for x in zip(best, more))
+    order = np.lexsort((ids, -values), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(values, order, axis=1)
+
+
+def _activations(m: np.ndarray, w: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """relu(m w + b) for as many rows at a time as the bound on a product allows."""
+    step = max(1, PRODUCT_BYTES // (8 * len(w)))
+    for at in range(0, len(m), step):
+        rows = slice(at, at + step)
+        yield rows, np.maximum(m[rows] @ w.T + b, 0.0)
 
 
 def with_decoder_bias(weights: DataFrame, decoder_bias: DataFrame | None) -> DataFrame:
@@ -63,111 +75,60 @@ def with_decoder_bias(weights: DataFrame, decoder_bias: DataFrame | None) -> Dat
     return weights.join(shift, "layer", "left").withColumn("b", F.col("b") - F.coalesce(V.dot("w", "_c"), F.lit(0.0))).drop("_c")
 
 
-def linear_relu_topk(
-    vectors: DataFrame, weights: DataFrame, k: int, max_broadcast_bytes: int = 512 << 20, rows_per_chunk: int = 16384, decoder_bias: DataFrame | None = None
-) -> DataFrame:
-    """(layer, row_id, indices, values): the k largest relu((x - decoder bias) . w + b) per vector.
+def _with_ids(weights: DataFrame, decoder_bias: DataFrame | None = None) -> DataFrame:
+    return with_decoder_bias(weights, decoder_bias).withColumnRenamed("feature_id", "id")
 
-    The weight table has the size of the model, not of the data. Up to
-    ``max_broadcast_bytes`` (measured first) it is broadcast and vectors are encoded where
-    they lie, by matrix products over Arrow batches. Beyond that, vectors and weights meet
-    in (row chunk, feature block) pairs and the per-block winners are merged.
-    """
-    weights = with_decoder_bias(weights, decoder_bias)
-    if weight_bytes(weights) <= max_broadcast_bytes:
-        return _encode_broadcast(vectors, weights, k)
-    return _encode_blocks(vectors, weights, k, max_broadcast_bytes, rows_per_chunk)
 
+def _known(layer: int, store: MatrixBlocks) -> int:
+    if layer not in store.width:
+        raise ValueError(f"no weights for layer {layer}")
+    return layer
 
-def _encode_broadcast(vectors: DataFrame, weights: DataFrame, k: int | None) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(_weights_by_layer(weights))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            layers = batch.column("layer").to_numpy()
-            for layer in np.unique(layers):
-                part = batch.filter(pa.array(layers == layer))
-                if int(layer) not in table:
-                    raise ValueError(f"no weights for layer {layer}")
-                ids, w, b = table[int(layer)]
-                for start in range(0, part.num_rows, 2048):
-                    piece = part.slice(start, 2048)
-                    acts = np.maximum(_matrix(piece.column("vec"), piece.num_rows) @ w + b, 0.0)
-                    if k is None:
-                        idx, val = np.broadcast_to(ids, acts.shape), acts
-                    else:
-                        idx, val = _topk_rows(acts, ids, k)
-                    width = idx.shape[1]
-                    offsets = pa.array(np.arange(0, (piece.num_rows + 1) * width, width, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            piece.column("layer"),
-                            piece.column("row_id"),
-                            pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(idx, dtype=np.int32).ravel())),
-                            pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(val).ravel())),
-                        ],
-                        names=["layer", "row_id", "indices", "values"],
-                    )
+def _vector_rows(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("layer").cast("int").alias("layer"), F.col("row_id").cast("bigint").alias("row_id"), "vec")
 
-    src = vectors.select(F.col("layer").cast("int").alias("layer"), F.col("row_id").cast("bigint").alias("row_id"), "vec")
-    return src.mapInArrow(run, CODE_SCHEMA)
 
+def linear_relu_topk(vectors: DataFrame, weights: DataFrame, k: int, decoder_bias: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(layer, row_id, indices, values): the k largest relu((x - decoder bias) . w + b) per vector.
 
-def _encode_blocks(vectors: DataFrame, weights: DataFrame, k: int, block_bytes: int, rows_per_chunk: int) -> DataFrame:
-    import pandas as pd
+    The weights, of the size of the model, lie in blocks in the shared folder. Vectors are encoded
+    where they lie: a chunk of them meets one block after the other, and each row keeps its
+    best k so far, a state that merges over blocks. Nothing is shuffled or broadcast, whatever the size.
+    """
+    store = matrix_blocks(_with_ids(weights, decoder_bias), "encoder", block_bytes)
 
-    shape = weights.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("d"))
-    top = shape.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
-    per_block = max(1, block_bytes // (8 * top["d"]))
-    blocks = -(-top["n"] // per_block)
-    # Enough chunks for the largest layer: each (chunk, block) pair fits one task.
-    rows = vectors.groupBy("layer").count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, -(-rows // rows_per_chunk))
-    numbered = Window.partitionBy("layer").orderBy("feature_id")
-    right = weights.withColumn("block", F.floor((F.row_number().over(numbered) - 1) / per_block).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    )
-    left = vectors.select("layer", F.col("row_id").cast("bigint").alias("row_id"), "vec").withColumn(
-        "chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def encode(rows_pdf: pd.DataFrame, w_pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["layer", "row_id", "feature_id", "activation"]
-        if rows_pdf.empty or w_pdf.empty:
-            return pd.DataFrame(columns=cols)
-        w_pdf = w_pdf.sort_values("feature_id")
-        ids = w_pdf["feature_id"].to_numpy(dtype=np.int32)
-        acts = np.maximum(np.stack(rows_pdf["vec"].to_numpy()) @ np.stack(w_pdf["w"].to_numpy()).T + w_pdf["b"].to_numpy(), 0.0)
-        idx, val = _topk_rows(acts, ids, k)
-        width = idx.shape[1]
-        return pd.DataFrame(
-            {
-                "layer": np.repeat(rows_pdf["layer"].to_numpy(), width),
-                "row_id": np.repeat(rows_pdf["row_id"].to_numpy(), width),
-                "feature_id": idx.ravel(),
-                "activation": val.ravel(),
-            }
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for layer, part in layer_chunks(batches):
+            m, best = matrix(part.column("vec")), None
+            for ids, w, b in store.blocks(_known(layer, store)):
+                found = [_first_k(acts, ids, k) for _, acts in _activations(m, w, b)]
+                best = _merge_k(best, tuple(np.concatenate(x) for x in zip(*found)), k)
+            n, width = best[0].shape
+            offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x, t).ravel())) for x, t in zip(best, (np.int32, np.float64))]
+            yield pa.RecordBatch.from_arrays([part.column("layer"), part.column("row_id"), *lists], ["layer", "row_id", "indices", "values"])
 
-    keys = ["layer", "chunk", "block"]
-    partial = (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys))
-        .applyInPandas(encode, "layer int, row_id bigint, feature_id int, activation double")
-    )
-    w = Window.partitionBy("layer", "row_id").orderBy(F.desc("activation"), "feature_id")
-    best = partial.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    return best.groupBy("layer", "row_id").agg(
-        F.array_sort(F.collect_list(F.struct("_rn", "feature_id", "activation"))).alias("_a")
-    ).select("layer", "row_id", F.col("_a.feature_id").alias("indices"), F.col("_a.activation").alias("values"))
+    return _vector_rows(vectors).mapInArrow(run, CODE_SCHEMA)
+
+
+def linear_relu_selected(vectors: DataFrame, weights: DataFrame, feature_ids: list[int], decoder_bias: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(layer, row_id, feature_id, activation) for a chosen feature list of any length, zeros included."""
+    chosen = with_decoder_bias(weights, decoder_bias).filter(F.col("feature_id").isin(list(feature_ids)))
+    store = matrix_blocks(chosen.withColumnRenamed("feature_id", "id"), "selected-features", block_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for layer, part in layer_chunks(batches):
+            m, rows = matrix(part.column("vec")), part.column("row_id").to_numpy()
+            for ids, w, b in store.blocks(layer):
+                for at, acts in _activations(m, w, b):
+                    n = acts.size
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, layer, np.int32)), pa.array(np.repeat(rows[at], len(ids))), pa.array(np.tile(ids, len(acts)).astype(np.int32)), pa.array(acts.ravel())],
+                        ["layer", "row_id", "feature_id", "activation"],
+                    )
 
-def linear_relu_selected(vectors: DataFrame, weights: DataFrame, feature_ids: list[int], decoder_bias: DataFrame | None = None) -> DataFrame:
-    """(layer, row_id, feature_id, activation) for a chosen feature list, zeros included."""
-    chosen = with_decoder_bias(weights, decoder_bias).filter(F.col("feature_id").isin(feature_ids))
-    if weight_bytes(chosen) > 512 << 20:
-        raise ValueError("too many selected features; encode with linear_relu_topk instead")
-    return codes_to_long(_encode_broadcast(vectors, chosen, None), positive_only=False)
+    return _vector_rows(vectors).mapInArrow(run, "layer int, row_id bigint, feature_id int, activation double")
 
 
 def codes_to_long(arrays: DataFrame, positive_only: bool = True) -> DataFrame:
@@ -516,27 +477,58 @@ def steer_codes(codes: DataFrame, rows: DataFrame, feature_ids: list[int], alpha
     return codes.unionByName(moved).groupBy("layer", "row_id", "feature_id").agg(F.sum("activation").alias("activation"))
 
 
-def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: float | DataFrame = 0.0) -> DataFrame:
-    """(layer, row_id, vec): codes . decoder + bias; rows without codes give the bias.
+def _add_codes(m: np.ndarray, rows: np.ndarray, ids: np.ndarray, values: np.ndarray, store: MatrixBlocks, layer: int) -> None:
+    """Add to each row of ``m`` its codes times the decoder's rows; ``rows`` is ascending."""
+    for own, w, _ in store.blocks(layer):
+        place = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        here = np.flatnonzero(own[place] == ids)
+        step = max(1, PRODUCT_BYTES // (8 * w.shape[1]))
+        for at in range(0, len(here), step):
+            e = here[at:at + step]
+            first = np.flatnonzero(np.r_[True, rows[e][1:] != rows[e][:-1]])
+            m[rows[e][first]] += np.add.reduceat(w[place[e]] * values[e][:, None], first, axis=0)
 
-    The bias is a number or a table (layer, vec) with one vector a layer.
 
-    One code row becomes one scaled decoder row; they are summed per vector with a partial
-    aggregate, so what is shuffled is one vector per (task, row).
+def _decoded(rows: DataFrame, codes: DataFrame, decoder: DataFrame, bias: float | DataFrame, block_bytes: int) -> DataFrame:
+    """``rows`` with ``vec`` = (their vec, if they have one) + codes . decoder + bias.
+
+    What is shuffled are codes as (feature, activation) pairs, and rows once to meet them; the
+    products are made in the tasks, from decoder blocks in the shared folder.
     """
-    terms = spread_join(codes, decoder.select("layer", "feature_id", "w"), ["layer", "feature_id"], spread_by=["row_id"])
-    summed = (
-        terms.withColumn("_t", V.scale("w", F.col("activation"))).groupBy("layer", "row_id")
-        .agg(mean_vector("_t").alias("_m"), F.count(F.lit(1)).cast("double").alias("_n"))
-    )
-    width = decoder.groupBy("layer").agg(F.max(F.size("w")).alias("_d"))
-    full = rows.select("layer", "row_id").join(summed, ["layer", "row_id"], "left")
-    full = spread_join(full, width, ["layer"], spread_by=["row_id"])
-    total = F.coalesce(V.scale("_m", F.col("_n")), F.array_repeat(F.lit(0.0), F.col("_d")))
-    if isinstance(bias, DataFrame):
-        full = full.withColumn("_v", total).join(bias.select("layer", F.col("vec").alias("_c")), "layer", "left")
-        return full.select("layer", "row_id", F.when(F.col("_c").isNull(), F.col("_v")).otherwise(V.add("_v", "_c")).alias("vec"))
-    return full.select("layer", "row_id", F.transform(total, lambda x: x + F.lit(bias)).alias("vec"))
+    store = matrix_blocks(decoder.select("layer", F.col("feature_id").alias("id"), "w"), "decoder", block_bytes)
+    shift = matrix_blocks(bias.select("layer", F.lit(0).alias("id"), F.col("vec").alias("w")), "decoder-bias") if isinstance(bias, DataFrame) else None
+    number = 0.0 if shift else float(bias)
+    packed = codes.groupBy("layer", "row_id").agg(F.collect_list(F.struct(F.col("feature_id").cast("long").alias("f"), F.col("activation").cast("double").alias("a"))).alias("_codes"))
+    full = rows.join(packed, ["layer", "row_id"], "left").filter(F.col("layer").isin(list(store.width)))
+    kept = [c for c in rows.columns if c != "vec"]
+    full = full.select(*kept, *["vec"] * ("vec" in rows.columns), F.coalesce("_codes.f", F.array().cast("array<bigint>")).alias("_f"), F.coalesce("_codes.a", F.array().cast("array<double>")).alias("_a"))
+    schema = full.select(*kept, F.array(F.lit(0.0)).alias("vec")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for layer, part in layer_chunks(batches):
+            n, width = part.num_rows, store.width[layer]
+            m = matrix(part.column("vec")).copy() if "vec" in part.schema.names else np.zeros((n, width))
+            lists = part.column("_f")
+            count = np.diff(lists.offsets.to_numpy())
+            _add_codes(m, np.repeat(np.arange(n), count), lists.flatten().to_numpy(), part.column("_a").flatten().to_numpy(), store, layer)
+            if shift is None:
+                m += number
+            else:
+                for _, c, _ in shift.blocks(layer):
+                    m += c.sum(axis=0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], vec], [*kept, "vec"])
+
+    return full.mapInArrow(run, schema)
+
+
+def code_decode(codes: DataFrame, rows: DataFrame, decoder: DataFrame, bias: float | DataFrame = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(layer, row_id, vec): codes . decoder + bias; rows without codes give the bias.
+
+    The bias is a number or a table (layer, vec) with one vector a layer. Rows of a layer
+    without decoder give nothing; codes of features that the decoder lacks count as zero.
+    """
+    return _decoded(rows.select("layer", "row_id"), codes, decoder, bias, block_bytes)
 
 
 def code_difference(edited: DataFrame, original: DataFrame) -> DataFrame:
@@ -544,7 +536,6 @@ def code_difference(edited: DataFrame, original: DataFrame) -> DataFrame:
     return both.groupBy("layer", "row_id", "feature_id").agg(F.sum("activation").alias("activation")).filter("activation <> 0")
 
 
-def patch_residual(vectors: DataFrame, edited: DataFrame, original: DataFrame, decoder: DataFrame) -> DataFrame:
-    """x + decode(edited) - decode(original), by decoding only the code difference."""
-    change = code_decode(code_difference(edited, original), vectors, decoder).withColumnRenamed("vec", "_delta")
-    return vectors.join(change, ["layer", "row_id"]).withColumn("vec", V.add("vec", "_delta")).drop("_delta")
+def patch_residual(vectors: DataFrame, edited: DataFrame, original: DataFrame, decoder: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """x + decode(edited) - decode(original), by decoding only the code difference onto x."""
+    return _decoded(vectors, code_difference(edited, original), decoder, 0.0, block_bytes)

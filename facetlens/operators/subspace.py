@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
-from facetlens.functions.joins import spread_join
+from facetlens.functions.blocks import BLOCK_BYTES, PRODUCT_BYTES, layer_chunks, matrix, matrix_blocks
 from facetlens.operators import geometry as G
 from facetlens.operators.means import VariantMeans, standardize
 
@@ -187,13 +188,79 @@ def vector_edit(vectors: DataFrame, edits: DataFrame) -> DataFrame:
     return j.withColumn("vec", out).drop("_u", "edit_vec", "alpha", "mode")
 
 
-def inner_product_extremes(queries: DataFrame, rows: DataFrame, n: int = 20) -> DataFrame:
-    """For each query (layer, query_id, q): the n rows with the largest and smallest dot products."""
-    packed = queries.groupBy("layer").agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
-    joined = spread_join(rows.select("layer", "row_id", "vec"), packed, ["layer"], spread_by=["row_id"])
-    s = joined.select("layer", "row_id", F.explode(F.transform("_qs", lambda q: F.struct(q["query_id"].alias("query_id"), V.dot(F.col("vec"), q["q"]).alias("score")))).alias("_s"))
-    s = s.select("layer", "_s.query_id", "row_id", "_s.score")
-    w = Window.partitionBy("layer", "query_id")
-    # Two ranked limits, each pruned inside every task.
-    side = lambda name, order: s.withColumn("rank", F.row_number().over(w.orderBy(order, "row_id"))).filter(F.col("rank") <= n).withColumn("side", F.lit(name))
-    return side("top", F.desc("score")).unionByName(side("bottom", F.asc("score")))
+class Extremes:
+    """The n largest and n smallest products of each query of a block with the rows met so far.
+
+    A state of queries x 2n entries that merges with any other of the same queries.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, n: int):
+        self.ids, self.q, self.n, self.met = ids, q, n, 0
+        self.norm = np.linalg.norm(q, axis=1)
+        # Both sides as largest values: of the product, and of its negative.
+        self.best = np.full((2, len(ids), n), -np.inf)
+        self.rows = np.zeros((2, len(ids), n), np.int64)
+
+    def meet(self, m: np.ndarray, rows: np.ndarray, norm: np.ndarray) -> None:
+        """``norm`` falls along the rows, so |q| |x| of a stretch's first row bounds the products from there on."""
+        step = max(1, PRODUCT_BYTES // (8 * len(self.ids)))
+        for at in range(0, len(m), step):
+            bound = self.norm * norm[at] * (1 + 1e-9)
+            live = np.flatnonzero(bound >= self.best[:, :, -1].min(axis=0))
+            if len(live) == 0:
+                return
+            here = slice(at, at + step)
+            score = self.q[live] @ m[here].T
+            self.met += score.size
+            for side, sign in enumerate((1.0, -1.0)):
+                least = self.best[side, live, -1]
+                for i in np.flatnonzero((sign * score >= least[:, None]).any(axis=1)):
+                    own = np.flatnonzero(sign * score[i] >= least[i])
+                    values = np.concatenate([self.best[side, live[i]], sign * score[i, own]])
+                    ids = np.concatenate([self.rows[side, live[i]], rows[here][own]])
+                    first = np.lexsort((ids, -values))[: self.n]
+                    self.best[side, live[i]], self.rows[side, live[i]] = values[first], ids[first]
+
+    def result(self, layer: int) -> pa.RecordBatch:
+        side, query, place = np.nonzero(np.isfinite(self.best))
+        sign = np.where(side == 0, 1.0, -1.0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(side), layer, np.int32)), pa.array(self.ids[query]), pa.array(self.rows[side, query, place]),
+                pa.array(sign * self.best[side, query, place]), pa.array(np.array(["top", "bottom"])[side]),
+            ],
+            ["layer", "query_id", "row_id", "score", "side"],
+        )
+
+
+def inner_product_extremes(queries: DataFrame, rows: DataFrame, n: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each query (layer, query_id, q): the n rows with the largest and smallest dot products, ranked; ties by row_id.
+
+    Exact maximum inner product search. Queries lie in blocks in the shared folder; a task takes
+    its rows by falling norm, multiplies them with a block at a time and keeps the n best of either
+    side so far. By Cauchy-Schwarz a query is left out as soon as no later row of a chunk can
+    reach its n-th best. Only 2n rows a query and task are shuffled.
+    """
+    store = matrix_blocks(queries.select("layer", F.col("query_id").alias("id"), F.col("q").alias("w")), "queries", block_bytes)
+
+    def run(batches):
+        states: dict[tuple[int, int], Extremes] = {}
+        for layer, part in layer_chunks(batches):
+            m, ids = matrix(part.column("vec")), part.column("row_id").to_numpy()
+            norm = np.linalg.norm(m, axis=1)
+            order = np.argsort(-norm, kind="stable")
+            m, ids, norm = m[order], ids[order], norm[order]
+            for block, (own, q, _) in enumerate(store.blocks(layer)):
+                if (layer, block) not in states:
+                    states[layer, block] = Extremes(own.copy(), q.copy(), n)
+                states[layer, block].meet(m, ids, norm)
+        for (layer, _), state in states.items():
+            yield state.result(layer)
+
+    found = rows.select(F.col("layer").cast("int").alias("layer"), F.col("row_id").cast("bigint").alias("row_id"), "vec").filter("vec IS NOT NULL")
+    found = found.mapInArrow(run, "layer int, query_id bigint, row_id bigint, score double, side string")
+    key = F.when(F.col("side") == "top", -F.col("score")).otherwise(F.col("score"))
+    w = Window.partitionBy("layer", "query_id", "side").orderBy(key, "row_id")
+    ids = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    kind = queries.schema["query_id"].dataType
+    return ids.select("layer", F.col("query_id").cast(kind).alias("query_id"), "row_id", "score", "rank", "side")

@@ -9,12 +9,14 @@ from facetlens.operators import codes as C, geometry as G, means as M
 from facetlens.plans.geometry_queries import K_SQL, directions, explode_vec, r_cols, variant_means
 from facetlens.plans.registry import query
 from facetlens.plans.sqlviews import R, TOP_N, metric_sql
-from facetlens.plans.views import RESID_KEYS
+from facetlens.plans.views import RESID_KEYS, TOP_K
 
 SEL = ["mean_a", "mean_b", "freq_a", "freq_b", "mean_nonzero_a", "mean_nonzero_b", "diff_mean", "cohens_d", "auc"]
 ALN = ["decoder_norm", "cosine_with_direction", "signed_dot"]
 STEER_IDS = [3, 17, 40]
 RECON_KS = [5, 10, 20]
+#: The fixture's weights are small; this makes several blocks of them.
+BLOCK_BYTES = 8 << 10
 
 
 def rsql(cols):
@@ -41,9 +43,15 @@ def candidates(v):
     return C.intervention_candidates(joined(v), 5)
 
 
-@query("linear_relu_topk", f"SELECT layer, row_id, feature_id, {R('activation')} AS activation FROM v_codes")
+@query(
+    "linear_relu_topk",
+    f"""SELECT layer, row_id, feature_id, {R('activation')} AS activation FROM (
+ SELECT *, row_number() OVER (PARTITION BY layer, row_id ORDER BY activation DESC, feature_id) AS rn FROM v_pre_centred) WHERE rn <= {TOP_K} AND activation > 0""",
+)
 def linear_relu_topk(v):
-    return r_cols(v.codes, ["activation"])
+    """Encoded in many blocks, with a decoder bias."""
+    arrays = C.linear_relu_topk(v.vectors, v.enc_weights, TOP_K, v.dec_bias, BLOCK_BYTES)
+    return r_cols(C.codes_to_long(arrays), ["activation"])
 
 
 @query(
@@ -57,9 +65,9 @@ def codes_to_long(v):
     return r_cols(long.filter("activation > 0"), ["activation"])
 
 
-@query("linear_relu_selected", f"SELECT layer, row_id, feature_id, {R('activation')} AS activation FROM v_pre WHERE feature_id IN (3, 17, 40)")
+@query("linear_relu_selected", f"SELECT layer, row_id, feature_id, {R('activation')} AS activation FROM v_pre_centred WHERE feature_id IN (3, 17, 40)")
 def linear_relu_selected(v):
-    return r_cols(C.linear_relu_selected(v.vectors, v.enc_weights, STEER_IDS), ["activation"])
+    return r_cols(C.linear_relu_selected(v.vectors, v.enc_weights, STEER_IDS, v.dec_bias), ["activation"])
 
 
 @query(
@@ -251,11 +259,11 @@ def code_edit(v):
 
 @query(
     "code_decode",
-    f"""SELECT v.layer, v.row_id, v.pos, {R('coalesce(d.x, 0)')} AS x FROM v_long v LEFT JOIN (
+    f"""SELECT v.layer, v.row_id, v.pos, {R('coalesce(d.x, 0) + b.c')} AS x FROM v_long v JOIN v_bdec b USING (layer, pos) LEFT JOIN (
  SELECT c.layer, c.row_id, w.pos, sum(c.activation * w.w) AS x FROM v_codes c JOIN v_wdec w USING (feature_id) GROUP BY ALL) d USING (layer, row_id, pos)""",
 )
 def code_decode(v):
-    return explode_vec(C.code_decode(v.codes, v.layer_meta, v.dec_weights), ["layer", "row_id"], F.col("vec"), "x")
+    return explode_vec(C.code_decode(v.codes, v.layer_meta, v.dec_weights, v.dec_bias, BLOCK_BYTES), ["layer", "row_id"], F.col("vec"), "x")
 
 
 @query(
@@ -265,5 +273,5 @@ def code_decode(v):
 def patch_residual(v):
     """Steering adds alpha times three decoder rows, whatever the codes are."""
     steered = C.steer_codes(v.codes, v.layer_meta, STEER_IDS, 0.75)
-    out = C.patch_residual(v.vectors.select("layer", "row_id", "vec"), steered, v.codes, v.dec_weights)
+    out = C.patch_residual(v.vectors.select("layer", "row_id", "vec"), steered, v.codes, v.dec_weights, BLOCK_BYTES)
     return explode_vec(out, ["layer", "row_id"], F.col("vec"), "x")

@@ -150,6 +150,14 @@ VIEWS["v_pre"] = """
 SELECT v.layer, v.row_id, e.feature_id::INT AS feature_id, greatest(0.0::DOUBLE, list_dot_product(v.vec, e.w) + e.b) AS activation
 FROM v_vec v, v_wenc e"""
 
+# The decoder bias, and what the encoder gives when its input is centred by it.
+VIEWS["v_bdec"] = f"""
+SELECT l.layer, i AS pos, (((i * 5 + l.layer) % 7) - 3) / 20.0::DOUBLE AS c FROM v_layers l, (SELECT unnest(range(0, {DIM})) AS i)"""
+
+VIEWS["v_pre_centred"] = """
+SELECT v.layer, v.row_id, e.feature_id::INT AS feature_id, greatest(0.0::DOUBLE, list_dot_product(v.vec, e.w) - list_dot_product(c.c, e.w) + e.b) AS activation
+FROM v_vec v JOIN (SELECT layer, list(c ORDER BY pos) AS c FROM v_bdec GROUP BY layer) c USING (layer), v_wenc e"""
+
 VIEWS["v_codes"] = f"""
 SELECT layer, row_id, feature_id, activation FROM (
   SELECT *, row_number() OVER (PARTITION BY layer, row_id ORDER BY activation DESC, feature_id) AS rn FROM v_pre)

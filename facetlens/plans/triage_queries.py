@@ -10,6 +10,7 @@ from facetlens.operators import grid, tokens as K, triage as T
 from facetlens.plans import code_queries as CQ
 from facetlens.plans.geometry_queries import explode_vec, r_cols
 from facetlens.plans.registry import query
+from facetlens.plans.views import N_FEATURES
 from facetlens.plans.sqlviews import PORDER, PRI, R
 
 
@@ -215,11 +216,11 @@ def kept_features(v):
 @query(
     "rare_prompt_selection",
     f"""SELECT layer, feature_id, row_id, {R('activation')} AS activation, entity FROM (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY activation DESC, row_id) AS rn, max(activation) OVER (PARTITION BY layer, feature_id) AS mx
- FROM v_pre WHERE feature_id IN (3, 17, 40)) JOIN v_meta USING (row_id) WHERE rn <= 20 AND (activation > 0 OR mx <= 0)""",
+ FROM v_pre) JOIN v_meta USING (row_id) WHERE rn <= 20 AND (activation > 0 OR mx <= 0)""",
 )
 def rare_prompt_selection(v):
-    vals = CQ.C.linear_relu_selected(v.vectors, v.enc_weights, CQ.STEER_IDS)
-    feats = v.enc_weights.filter(F.col("feature_id").isin(CQ.STEER_IDS)).select("layer", "feature_id")
+    vals = CQ.C.linear_relu_selected(v.vectors, v.enc_weights, list(range(N_FEATURES)))
+    feats = v.enc_weights.select("layer", "feature_id")
     out = T.rare_prompt_selection(vals, v.layer_meta, feats, 20)
     return r_cols(out.select("layer", "feature_id", "row_id", "activation", "entity"), ["activation"])
 

@@ -146,6 +146,12 @@ class Views:
             F.transform(_positions(), lambda i: ((F.col("feature_id") * 13 + i * 7) % 19 - 9) / F.lit(9.0)).alias("w")
         )
 
+    @cached_property
+    def dec_bias(self) -> DataFrame:
+        """(layer, vec): a decoder bias that is not zero, from the fixture rule."""
+        layers = self.spark.createDataFrame([(x,) for x in LAYERS], "layer int")
+        return layers.select("layer", F.transform(_positions(), lambda i: ((i * 5 + F.col("layer")) % 7 - 3) / F.lit(20.0)).alias("vec"))
+
     def _weights(self, *cols: Column) -> DataFrame:
         ids = self.spark.range(N_FEATURES).select(F.col("id").cast("int").alias("feature_id"))
         layers = F.explode(F.array(*[F.lit(x) for x in LAYERS])).alias("layer")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetlens.functions.blocks import matrix_blocks
 from facetlens.operators import codes as C
 from helpers import brute_auc, brute_d
 
@@ -37,13 +38,42 @@ def as_map(codes):
     return {(r["layer"], r["row_id"], r["feature_id"]): r["activation"] for r in codes.collect()}
 
 
-def test_both_encoders_match_numpy(spark, data):
+def test_encoder_matches_numpy_whatever_the_blocks(spark, data):
     vectors, weights, _, want = data
-    broadcast = as_map(C.codes_to_long(C.linear_relu_topk(vectors, weights, K)))
-    blocks = as_map(C.codes_to_long(C.linear_relu_topk(vectors, weights, K, max_broadcast_bytes=4 * D * 8, rows_per_chunk=17)))
-    assert broadcast.keys() == want.keys() == blocks.keys()
-    for k in want:
-        assert broadcast[k] == pytest.approx(want[k]) and blocks[k] == pytest.approx(want[k])
+    for block_bytes in (1, 4 * D * 8, 64 << 20):
+        got = as_map(C.codes_to_long(C.linear_relu_topk(vectors.repartition(3), weights, K, block_bytes=block_bytes)))
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k])
+
+
+def test_running_top_k_with_ties():
+    rng = np.random.default_rng(1)
+    acts = rng.integers(0, 4, size=(50, 40)).astype(float)
+    ids = np.sort(rng.choice(1000, 40, replace=False))
+    for k in (1, 3, 9):
+        want = np.argsort(-acts, axis=1, kind="stable")[:, :k]
+        whole = C._first_k(acts, ids, k)
+        best = None
+        deal = rng.integers(0, 3, 40)
+        for block in range(3):
+            best = C._merge_k(best, C._first_k(acts[:, deal == block], ids[deal == block], k), k)
+        for got in (whole, best):
+            assert (got[0] == ids[want]).all() and (got[1] == np.take_along_axis(acts, want, axis=1)).all()
+
+
+def test_blocks_hold_every_row_once(spark):
+    table = spark.createDataFrame([(l, f, [float(f), 1.0], 0.5 * f) for l, n in ((3, 50), (9, 1)) for f in range(n)], "layer int, id int, w array<double>, b double")
+    for size in (1, 100, 1 << 20):
+        store = matrix_blocks(table, "test", size)
+        assert store.width == {3: 2, 9: 2} and (size > 1 or len(store.files[3]) > 20)
+        for layer, n in ((3, 50), (9, 1)):
+            blocks = list(store.blocks(layer))
+            assert sorted(f for ids, _, _ in blocks for f in ids) == list(range(n))
+            assert all((w[:, 0] == ids).all() and (b == 0.5 * ids).all() and (np.diff(ids) > 0).all() for ids, w, b in blocks)
+    assert matrix_blocks(table.limit(0), "test").files == {}
+    with pytest.raises(ValueError):
+        matrix_blocks(table.withColumn("w", F.slice("w", 1, F.least(F.col("id") + 1, F.lit(2)))), "test")
 
 
 def dense(want, meta):
@@ -96,13 +126,14 @@ def test_edit_and_decode(spark, data):
     codes = C.codes_to_long(C.linear_relu_topk(vectors, weights, K))
     dec = weights.select("layer", "feature_id", "w")
     w = {(r["layer"], r["feature_id"]): np.array(r["w"]) for r in dec.collect()}
-    back = {(r["layer"], r["row_id"]): np.array(r["vec"]) for r in C.code_decode(codes, meta, dec, bias=0.5).collect()}
+    back = {(r["layer"], r["row_id"]): np.array(r["vec"]) for r in C.code_decode(codes, meta, dec, bias=0.5, block_bytes=100).collect()}
     assert len(back) == 180
     for l, i in back:
         ref = sum((v * w[ll, f] for (ll, ii, f), v in want.items() if (ll, ii) == (l, i)), np.zeros(D)) + 0.5
         assert np.allclose(back[l, i], ref)
     assert not C.ablate_codes(codes, [4, 7]).filter("feature_id IN (4, 7)").count()
     patched = {(r["layer"], r["row_id"]): np.array(r["vec"]) for r in C.patch_residual(vectors, C.ablate_codes(codes, [4]), codes, dec).collect()}
+    assert len(patched) == 180
     for r in vectors.collect():
         key = (r["layer"], r["row_id"])
         assert np.allclose(patched[key], np.array(r["vec"]) - want.get((*key, 4), 0.0) * w[key[0], 4])
@@ -115,8 +146,8 @@ def test_decoder_bias_vector(spark):
     weights = spark.createDataFrame([(2, f, w[:, f].tolist(), float(b[f])) for f in range(9)], "layer int, feature_id int, w array<double>, b double")
     bias = spark.createDataFrame([(2, c.tolist())], "layer int, vec array<double>")
     want = np.maximum((x - c) @ w + b, 0)
-    for limit in (512 << 20, 64):
-        got = C.linear_relu_topk(vectors, weights, 9, max_broadcast_bytes=limit, decoder_bias=bias).collect()
+    for limit in (64 << 20, 64):
+        got = C.linear_relu_topk(vectors, weights, 9, bias, limit).collect()
         for r in got:
             own = np.zeros(9)
             own[r["indices"]] = r["values"]
@@ -125,6 +156,10 @@ def test_decoder_bias_vector(spark):
     assert all(abs(r["activation"] - want[r["row_id"], r["feature_id"]]) < 1e-9 for r in chosen)
     codes = spark.createDataFrame([(2, i, f, float(want[i, f])) for i in range(29) for f in range(9) if want[i, f] > 0], "layer int, row_id bigint, feature_id int, activation double")
     dec = spark.createDataFrame([(2, f, w[:, f].tolist()) for f in range(9)], "layer int, feature_id int, w array<double>")
-    for r in C.code_decode(codes, vectors, dec, bias).collect():
+    plan = C.code_decode(codes, vectors, dec, bias)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # Codes travel as pairs; no exchange carries a vector a code.
+    assert not any("Exchange" in line and "w#" in line for line in text.splitlines())
+    for r in plan.collect():
         base = want[r["row_id"]] @ w.T if r["row_id"] < 29 else 0
         assert np.allclose(r["vec"], base + c)

@@ -171,3 +171,29 @@ def test_pca(spark, data):
     assert got == pytest.approx(list(vals[:4] / vals.sum()), abs=1e-9)
     assert np.allclose(p.mean(0), 0, atol=1e-9)
     assert np.allclose((p**2).sum(0), vals[:4])
+
+
+def test_inner_product_extremes_against_all_products(spark):
+    from facetlens.operators.subspace import Extremes, inner_product_extremes
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) * rng.uniform(0.1, 3, size=(300, 1))
+    x[200:230] = x[10]  # ties, by row id
+    q = rng.normal(size=(25, 6))
+    q[3] = 0
+    rows = spark.createDataFrame([(layer, i, v.tolist()) for layer in (1, 2, 5) for i, v in enumerate(x)], "layer int, row_id bigint, vec array<double>").repartition(4)
+    queries = spark.createDataFrame([(layer, j, v.tolist()) for layer in (1, 2) for j, v in enumerate(q)], "layer int, query_id int, q array<double>")
+    for block_bytes in (100, 1 << 20):
+        got = inner_product_extremes(queries, rows, 7, block_bytes).collect()
+        assert len(got) == 2 * 25 * 2 * 7
+        for r in got:
+            s = np.round(x @ q[r["query_id"]], 12)
+            order = np.lexsort((np.arange(300), -s if r["side"] == "top" else s))
+            assert abs(r["score"] - s[r["row_id"]]) < 1e-9 and abs(s[order[r["rank"] - 1]] - r["score"]) < 1e-9
+    # Short rows are left out once the best ones are long.
+    m = x[np.argsort(-np.linalg.norm(x, axis=1))]
+    state = Extremes(np.arange(2), q[:2], 1)
+    for at in range(0, 300, 10):
+        state.meet(m[at:at + 10], np.arange(at, at + 10), np.linalg.norm(m[at:at + 10], axis=1))
+    assert state.met < 600 and np.allclose(state.best[0, :, 0], (q[:2] @ m.T).max(axis=1))
+    assert inner_product_extremes(queries.limit(0), rows, 3).count() == 0
