@@ -1,17 +1,21 @@
 """A language model in a log-frequency Bloom filter: smoothed probabilities from membership probes.
 
-Texts are split into blocks of bounded size. Each block has a dictionary of its words; word counts
-travel as (block, bucket) blobs to the task of a bucket of the word hash and back, so the unigram
-counts are exact and no task or broadcast holds the vocabulary. Bigrams of the training texts go the
-same way; a bucket adds up its counts, quantises them to q = 1 + floor(2 log2 c) and sets the bits of
-(bigram, 1), ..., (bigram, q) in its own stretch of the filter. The filter has at most
-``max_filter_bytes``, whatever the corpus, and is broadcast; a count is read by probing levels 1, 2,
-... until one is absent. When a corpus outgrows the filter, more probes are false: the measured rate
-lowers the weight of the bigram term, the same formula at every size.
-
-p(w | v) = r max(c(v,w) - d, 0) / c(v) + (1 - r (1 - d T(v) / c(v))) p(w), with p(w) the base model,
-r = 1 - rate of false probes, d = 0.75 and T(v) = c(v)^beta the expected number of followers, where
-beta makes the sum of T(v) the number of distinct bigrams. Unseen contexts give p(w).
+Texts are split into blocks of bounded size. A block sends its distinct bigrams (v, w), with their counts in
+training texts, to the bucket of v. The task of a bucket adds them up, which also gives the count c(v) of
+the word itself, as every word has one successor. It quantises each bigram's count to a level q = 1 +
+floor(2 log2 count), sets the bits of (bigram, 1), ..., (bigram, q) in its own stretch of the filter, and reads
+every asked bigram by probing levels 1, 2, ... until one is absent. What it has read goes back to the
+blocks, which then score their texts. So the filter grows with the distinct bigrams, no task or driver
+holds it whole, and nothing of it is broadcast.
+
+p(w | v) = max(r(v,w) - d, 0) / D(v) + d T(v) / D(v) p(w), with p(w) the base model, r the count that the
+filter gives, D(v) the sum of r and T(v) the number over all followers of v in training, d = 0.75. Over the
+vocabulary and one unknown word it sums to 1. A false probe adds to that sum: a bigram is probed
+log2(vocabulary) + 7 times, so that a context has 1/128 false followers on average, at every size.
+Contexts unseen in training give p(w).
+
+A word with more than ``HOT`` tokens is dealt over several buckets by its followers; its few sums (at most
+one word per HOT tokens of the corpus) are added up and sent to all blocks.
 
 Null and empty texts are the end token alone; a null doc_id counts as the empty string in the split.
 Repeated rows count each. An empty table gives no row; without training text all counts are zero.
@@ -30,11 +34,14 @@ from facetlens.llm.common import Words, mix, stage, text_slices
 
 #: A block's bytes of text: larger blocks repeat fewer words and bigrams on their way.
 BLOCK_BYTES = 8 << 20
-#: Entries that one bucket's task is meant to hold.
-BUCKET_ENTRIES = 4 << 20
-PROBES, DISCOUNT = 4, 0.75
+#: Training tokens that one bucket is meant for, and beyond which a word is dealt over several of them.
+BUCKET_TOKENS, HOT = 1 << 20, 1 << 24
+#: A block reports words with at least this share of its training tokens as possibly hot.
+HOT_SHARE = 1 / 16384
+DISCOUNT = 0.75
 #: Fixed hash values of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def split_remainder(doc_id, modulus: int = 5):
@@ -42,7 +49,7 @@ def split_remainder(doc_id, modulus: int = 5):
 
 
 def _blocks(docs: DataFrame, held_out) -> DataFrame:
-    """One row a block: its documents, word codes (compressed) and the hashes and training counts of its words."""
+    """One row a block: its documents, word codes (compressed), the hashes of its words, and its frequent words."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held_out.alias("held_out"))
 
     def run(batches):
@@ -50,205 +57,245 @@ def _blocks(docs: DataFrame, held_out) -> DataFrame:
         for batch in text_slices(batches, limit=BLOCK_BYTES):
             words = Words(batch.column(1))
             learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(words.codes[learn[words.owner()]], minlength=len(words.values)).astype("<u4")
-            one = pa.array([[*batch.column(0).to_pylist()]], pa.list_(pa.int64()))
+            counts = np.bincount(words.codes[learn[words.owner()]], minlength=len(words.values))
+            hashes, tokens = words.hashes(), int(counts.sum()) + int(learn.sum())
+            often = np.flatnonzero(counts >= max(1, HOT_SHARE * tokens)) if tokens >= 1 / HOT_SHARE else np.zeros(0, np.int64)
+            # The place before the first word is a context like a word, as often as there are texts.
+            frequent = [{"word": int(w), "n": int(n)} for w, n in zip([*hashes[often].view(np.int64), BEGIN.view(np.int64)], [*counts[often], learn.sum()])]
             yield pa.RecordBatch.from_arrays([
-                pa.array([part << 32 | serial]), one, pa.array([(~learn).tolist()], pa.list_(pa.bool_())), pa.array([words.counts.tolist()], pa.list_(pa.int32())),
-                pa.array([squeeze.compress(words.codes.astype("<u4").tobytes())], pa.binary()), pa.array([words.hashes().astype("<u8").tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-                pa.array([int(counts.sum()) + int(learn.sum())]), pa.array([int(learn.sum())]), pa.array([len(words.values)]),
-            ], ["block", "doc_ids", "held", "lengths", "codes", "hashes", "counts", "learned", "learned_docs", "distinct"])
+                pa.array([part << 32 | serial]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([(~learn).tolist()], pa.list_(pa.bool_())), pa.array([words.counts.tolist()], pa.list_(pa.int32())),
+                pa.array([squeeze.compress(words.codes.astype("<u4").tobytes())], pa.binary()), pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
+                pa.array([frequent], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), pa.array([tokens]), pa.array([int(learn.sum())]), pa.array([len(hashes)]),
+            ], ["block", "doc_ids", "held", "lengths", "codes", "hashes", "frequent", "learned", "learned_docs", "distinct"])
             serial += 1
 
-    return rows.mapInArrow(run, "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, hashes binary, counts binary, learned long, learned_docs long, distinct long")
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, hashes binary, frequent array<struct<word:long,n:long>>, learned long, learned_docs long, distinct long")
+
+
+class Bigrams:
+    """The distinct bigrams of a block, ordered by bucket, context and follower; the same at both ends of the way.
+
+    Words have numbers; the next one is the place before a text as a context, and its end as a follower.
+    pair: of each token, its bigram's place; v: of each bigram, its context's place in ``contexts``.
+    """
+
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray, buckets: int, hot: dict[int, int]):
+        d = len(hashes)
+        self.off = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.here = np.empty(self.off[-1], np.int64)
+        is_end = np.zeros(self.off[-1], bool)
+        is_end[self.off[1:] - 1] = True
+        self.here[~is_end], self.here[is_end] = codes, d
+        before = np.empty_like(self.here)
+        before[1:] = self.here[:-1]
+        before[self.off[:-1]] = d
+        kinds, pair = np.unique(before * (d + 1) + self.here, return_inverse=True)
+        v, w = kinds // (d + 1), kinds % (d + 1)
+        context = mix(np.append(hashes, BEGIN))
+        follower = mix(np.append(hashes, END) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        home = context % np.uint64(buckets)
+        bucket = home[v]
+        for word, splits in hot.items():
+            for k in np.flatnonzero(np.append(hashes, BEGIN) == np.uint64(word)):
+                own = np.flatnonzero(v == k)
+                bucket[own] = (home[k] + follower[w[own]] % np.uint64(splits)) % np.uint64(buckets)
+        bucket = bucket.astype(np.int64)
+        key = (follower & np.uint64(0xFFFFFFFF)).astype("<u4")
+        order = np.lexsort((key[w], context[v], bucket))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.pair, self.bucket, self.key = place[pair], bucket[order], key[w[order]]
+        v = v[order]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.first = np.flatnonzero(new)
+        self.contexts, self.context = v[self.first], context[v[self.first]] & _LOW48
+        self.size = np.diff(np.append(self.first, len(v)))
+        self.own_bucket = self.bucket[self.first]
+
+
+def _wide(x: np.ndarray) -> bytes:
+    """48-bit numbers as 6 bytes."""
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Numbers as bytes; those above 254 follow as 32-bit values."""
+    return np.minimum(x, 255).astype("u1").tobytes() + x[x > 254].astype("<u4").tobytes()
+
+
+def _read_small(blob: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    x = np.frombuffer(blob, "u1", n, at).astype(np.int64)
+    big = np.flatnonzero(x == 255)
+    x[big] = np.frombuffer(blob, "<u4", len(big), at + n)
+    return x, at + n + 4 * len(big)
+
+
+def _pack(context: np.ndarray, size: np.ndarray, key: np.ndarray, count: np.ndarray) -> bytes:
+    return np.array([len(context), len(key)], "<u4").tobytes() + _wide(context) + _small(size) + key.tobytes() + _small(count)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m, n = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    context = np.frombuffer(blob, "<u4", m, 8).astype(np.uint64) | np.frombuffer(blob, "<u2", m, 8 + 4 * m).astype(np.uint64) << np.uint64(32)
+    size, at = _read_small(blob, m, 8 + 6 * m)
+    key = np.frombuffer(blob, "<u4", n, at)
+    return context, size, key, _read_small(blob, n, at + 4 * n)[0]
+
+
+class Stretch:
+    """A bucket's part of the filter: ``probes`` bits for each level of each bigram."""
+
+    def __init__(self, kinds: np.ndarray, level: np.ndarray, probes: int):
+        self.probes, self.top = probes, int(level.max(initial=0))
+        # With k probes, a filter half full holds one entry per k / ln 2 bits.
+        self.room = max(64, int(level.sum() * probes * 1.443)) // 8 * 8
+        bits = np.zeros(self.room, bool)
+        for q in range(1, self.top + 1):
+            for at in self._places(kinds[level >= q], q):
+                bits[at] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
+    def _places(self, key: np.ndarray, level: int):
+        g = mix(key + np.uint64(level * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+        return (((a + np.uint64(i) * b) % np.uint64(self.room)).astype(np.int64) for i in range(self.probes))
 
-def _buckets(total: int, spark) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ENTRIES))
+    def read(self, key: np.ndarray) -> np.ndarray:
+        level, live = np.zeros(len(key), np.int64), np.arange(len(key))
+        for q in range(1, self.top + 1):
+            g = mix(key[live] + np.uint64(q * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+            a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+            for i in range(self.probes):
+                at = ((a + np.uint64(i) * b) % np.uint64(self.room)).astype(np.int64)
+                held = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                if not held.all():
+                    live, a, b = live[held], a[held], b[held]
+            if not len(live):
+                break
+            level[live] = q
+        return level
 
 
-def _word_totals(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, totals (of the block's words of the bucket, in the block's order), found, tally:
-    the bucket's number of words seen in training and their counts by power of two, in one row of it."""
+def _value(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 1, 2.0 ** ((level - 1) / 2 + 0.25), level)
 
-    def send(batches):
-        for batch in batches:
-            for block, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                h, c = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<u4")
-                b = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-                own = np.flatnonzero(np.diff(cuts))
-                h, c = h[order], c[order]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(own), pa.array([h[cuts[k]:cuts[k + 1]].tobytes() for k in own], pa.binary()), pa.array([c[cuts[k]:cuts[k + 1]].tobytes() for k in own], pa.binary())], ["block", "bucket", "hashes", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        blobs = table.column("hashes").to_pylist()
-        h = np.frombuffer(b"".join(blobs), "<u8")
-        c = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
-        kinds, which = np.unique(h, return_inverse=True)
-        total = np.bincount(which, c, len(kinds)).astype("<i8")
-        cuts = np.concatenate([[0], np.cumsum([len(x) >> 3 for x in blobs])])
-        seen = total[total > 0]
-        tally = np.bincount(np.log2(seen).astype(np.int64), minlength=48).tolist()
-        back = total[which]
-        n = len(blobs)
-        return pa.table([table.column("block"), table.column("bucket"), pa.array([back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.array([len(seen)] + [0] * (n - 1)), pa.array([tally] + [[]] * (n - 1), pa.list_(pa.int64()))], ["block", "bucket", "totals", "found", "tally"])
-
-    sent = blocks.select("block", "hashes", "counts").mapInArrow(send, "block long, bucket long, hashes binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block long, bucket long, totals binary, found long, tally array<long>")
-
-
-def _positions(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray):
-    """Of every token (words, then an end, a text): its hash and the hash before it, and text offsets."""
-    off = np.concatenate([[0], np.cumsum(lengths + 1)])
-    here = np.empty(off[-1], np.uint64)
-    is_end = np.zeros(off[-1], bool)
-    is_end[off[1:] - 1] = True
-    here[~is_end], here[is_end] = hashes[codes], END
-    before = np.empty_like(here)
-    before[1:] = here[:-1]
-    before[off[:-1]] = BEGIN
-    return here, before, is_end, off
-
-
-def _bigram(before: np.ndarray, here: np.ndarray) -> np.ndarray:
-    return mix(mix(before) * np.uint64(3) + here)
-
-
-def _bits(key48: np.ndarray, level: int, room: int) -> list[np.ndarray]:
-    """Places of (bigram, level) in the bucket's stretch of ``room`` bits."""
-    g = mix(key48 + np.uint64(level * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-    a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) % np.uint64(room)).astype(np.int64) for i in range(PROBES)]
-
-
-def _filter_parts(blocks: DataFrame, buckets: int, room: int) -> DataFrame:
-    """bucket, bits, kinds, top: each bucket's stretch of the filter, its number of distinct bigrams and largest level."""
 
-    def send(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for held, lengths, codes, hashes in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                lengths, learn = np.array(lengths, np.int64), ~np.array(held, bool)
-                codes = np.frombuffer(unpack.decompress(codes), "<u4")
-                here, before, _, off = _positions(lengths, codes, np.frombuffer(hashes, "<u8"))
-                take = np.repeat(learn, np.diff(off))
-                key, count = np.unique(_bigram(before[take], here[take]), return_counts=True)
-                b = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                key, count = key[order] >> np.uint64(16), count[order].astype("<u4")
-                cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-                own = np.flatnonzero(np.diff(cuts))
-                # 48 bits of each key travel; counts above 254 follow as 32-bit values.
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([_pack(key[cuts[k]:cuts[k + 1]], count[cuts[k]:cuts[k + 1]]) for k in own], pa.binary())], ["bucket", "blob"])
-
-    def build(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("blob").to_pylist()]
-        key = np.concatenate([k for k, _ in parts])
-        kinds, which = np.unique(key, return_inverse=True)
-        total = np.bincount(which, np.concatenate([c for _, c in parts]), len(kinds))
-        level = 1 + np.floor(2 * np.log2(total)).astype(np.int64)
-        bits = np.zeros(room, bool)
-        for q in range(1, int(level.max()) + 1):
-            for at in _bits(kinds[level >= q], q, room):
-                bits[at] = True
-        return pa.table([table.column("bucket").slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([len(kinds)]), pa.array([int(level.max())])], ["bucket", "bits", "kinds", "top"])
+def _levels(total: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, 1 + np.floor(2 * np.log2(np.maximum(total, 1))), 0).astype(np.int64)
 
-    sent = blocks.select("held", "lengths", "codes", "hashes").mapInArrow(send, "bucket long, blob binary")
-    return sent.groupBy("bucket").applyInArrow(build, "bucket long, bits binary, kinds long, top long")
 
+_READ = "block long, bucket long, read binary, words long, hot array<struct<word:long,c:long,t:long,d:double>>"
 
-def _pack(key: np.ndarray, count: np.ndarray) -> bytes:
-    big = count[count > 254]
-    return np.array([len(key)], "<u4").tobytes() + (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (key >> np.uint64(32)).astype("<u2").tobytes() + np.minimum(count, 255).astype("u1").tobytes() + big.tobytes()
 
+def _read_back(blocks: DataFrame, buckets: int, hot: dict[int, int], probes: int) -> DataFrame:
+    """block, bucket, read (of each context c, D, T / D, of each bigram its level), words and hot of the bucket in one row of it."""
+    split = {int(mix(np.array([w], np.uint64))[0] & _LOW48): w for w in hot}
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    low, high = np.frombuffer(blob, "<u4", n, 4), np.frombuffer(blob, "<u2", n, 4 + 4 * n)
-    count = np.frombuffer(blob, "u1", n, 4 + 6 * n).astype(np.int64)
-    count[count == 255] = np.frombuffer(blob, "<u4", -1, 4 + 7 * n)
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), count
-
+    def send(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for block, held, lengths, codes, hashes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                b = Bigrams(np.array(lengths, np.int64), np.frombuffer(unpack.decompress(codes), "<u4"), np.frombuffer(hashes, "<u8"), buckets, hot)
+                learn = np.repeat(~np.array(held, bool), np.diff(b.off))
+                count = np.bincount(b.pair[learn], minlength=len(b.key))
+                own, at = np.unique(b.bucket, return_index=True)
+                of = np.searchsorted(b.own_bucket, own)
+                at, of = np.append(at, len(b.key)), np.append(of, len(b.contexts))
+                blobs = [_pack(b.context[of[k]:of[k + 1]], b.size[of[k]:of[k + 1]], b.key[at[k]:at[k + 1]], count[at[k]:at[k + 1]]) for k in range(len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(own), pa.array(blobs, pa.binary())], ["block", "bucket", "blob"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py()) for x in table.column("blob")]
+        size = np.concatenate([p[1] for p in parts])
+        contexts, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        of = np.repeat(which, size)
+        key = mix(mix(contexts)[of] * np.uint64(3) + np.concatenate([p[2] for p in parts]).astype(np.uint64))
+        count = np.concatenate([p[3] for p in parts])
+        lengths = [(len(p[0]), len(p[2])) for p in parts]
+        del parts
+        kinds, first, back = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(back, count, len(kinds)).astype(np.int64)
+        learned = total > 0
+        level = Stretch(kinds[learned], _levels(total[learned]), probes).read(kinds)
+        owner = of[first]
+        n = len(contexts)
+        c, t = np.bincount(owner, total, n).astype(np.int64), np.bincount(owner[learned], minlength=n)
+        d = np.bincount(owner[learned], _value(level[learned]), n)
+        out, at, to = [], 0, 0
+        for m, k in lengths:
+            own = which[at:at + m]
+            out.append(b"".join((c[own].astype("<i8" if c[own].max(initial=0) >> 31 else "<i4").tobytes(), d[own].astype("<f4").tobytes(), np.divide(t[own], d[own], out=np.zeros(m), where=d[own] > 0).astype("<f4").tobytes(), level[back[to:to + k]].astype("u1").tobytes())))
+            at, to = at + m, to + k
+        hot_here = [(split[int(x)], i) for i, x in enumerate(contexts) if int(x) in split] if split else []
+        sums = [{"word": int(np.uint64(w).view(np.int64)), "c": int(c[i]), "t": int(t[i]), "d": float(d[i])} for w, i in hot_here]
+        begin = mix(np.array([BEGIN]))[0] & _LOW48
+        words = int((c > 0).sum()) - sum(c[i] > 0 for _, i in hot_here if int(contexts[i]) != int(begin)) - int(((contexts == begin) & (c > 0)).sum())
+        rows = table.num_rows
+        return pa.table([
+            table.column("block"), table.column("bucket"), pa.array(out, pa.binary()), pa.array([words] + [0] * (rows - 1)),
+            pa.array([sums] + [[]] * (rows - 1), pa.list_(pa.struct([("word", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("d", pa.float64())]))),
+        ], ["block", "bucket", "read", "words", "hot"])
 
-def _followers(tally: list[int], kinds: int) -> float:
-    """beta with sum over words of c^beta = kinds, the words' counts known by power of two."""
-    low, high = 0.0, 1.0
-    middle = [1.0 if k == 0 else 1.5 * 2.0 ** k for k in range(len(tally))]
-    for _ in range(50):
-        beta = (low + high) / 2
-        low, high = (beta, high) if sum(n * m ** beta for n, m in zip(tally, middle)) < kinds else (low, beta)
-    return (low + high) / 2
+    sent = blocks.select("block", "held", "lengths", "codes", "hashes").mapInArrow(send, "block long, bucket long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(answer, _READ)
 
 
-def score_texts(docs: DataFrame, held_out=None, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every text."""
     spark = docs.sparkSession
     held_out = split_remainder(docs["doc_id"]) == 1 if held_out is None else held_out
     blocks = stage(_blocks(docs, held_out), "lm-blocks")
-    size = blocks.agg(F.sum("distinct"), F.sum("learned"), F.sum("learned_docs")).first()
-    distinct, learned, texts = (int(x or 0) for x in size)
-    totals = stage(_word_totals(blocks, _buckets(distinct, spark)), "lm-totals")
-    found = totals.agg(F.sum("found"), *[F.sum(F.get("tally", F.lit(k))) for k in range(48)]).first()
-    vocabulary, tally = int(found[0] or 0) + (texts > 0), [int(x or 0) for x in found[1:]]
-    buckets = _buckets(learned, spark)
-    room = max(8, min(max_filter_bytes, learned) * 8 // buckets // 8 * 8)
-    # The filter is bounded by max_filter_bytes and is all that comes to the driver.
-    parts = _filter_parts(blocks, buckets, room).collect()
-    bits = np.zeros(buckets * room // 8, np.uint8)
-    for part in parts:
-        bits[part["bucket"] * room // 8:(part["bucket"] + 1) * room // 8] = np.frombuffer(part["bits"], np.uint8)
-    kinds = sum(part["kinds"] for part in parts)
-    top = max((part["top"] for part in parts), default=0)
-    fill = float(np.bitwise_count(bits).sum()) / max(1, len(bits) * 8)
-    trust, beta = 1 - fill ** PROBES, _followers(tally, kinds)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-    word_buckets = _buckets(distinct, spark)
-
-    def count(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        level, live = np.zeros(len(key), np.int64), np.arange(len(key))
-        base, key = (key % np.uint64(buckets)).astype(np.int64) * room, key >> np.uint64(16)
-        # In a stretch with all bits set no level is absent: none above the largest stored one is asked for.
-        for _ in range(top):
-            if not len(live):
-                break
-            held = np.ones(len(live), bool)
-            for at in _bits(key, int(level[live[0]]) + 1, room):
-                at = at + base
-                held &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            live, base, key = live[held], base[held], key[held]
-            level[live] += 1
-        return np.where(level > 1, 2.0 ** ((level - 1) / 2 + 0.25), level)
+    distinct, learned, texts = (int(x or 0) for x in blocks.agg(F.sum("distinct"), F.sum("learned"), F.sum("learned_docs")).first())
+    # At most one word per HOT training tokens comes to the driver.
+    frequent = blocks.select(F.explode("frequent").alias("f")).groupBy("f.word").agg(F.sum("f.n").alias("n")).where(F.col("n") > HOT)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-learned // BUCKET_TOKENS))
+    hot = {int(np.int64(r["word"]).view(np.uint64)): min(buckets, -(-r["n"] // HOT)) for r in frequent.collect()}
+    read = stage(_read_back(blocks, buckets, hot, distinct.bit_length() + 7), "lm-read")
+    sums = {int(np.int64(r["word"]).view(np.uint64)): (r["c"], r["t"], r["d"]) for r in read.select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.c").alias("c"), F.sum("h.t").alias("t"), F.sum("h.d").alias("d")).collect()}
+    vocabulary = int(read.agg(F.sum("words")).first()[0] or 0) + sum(c > 0 and w != int(BEGIN) for w, (c, _, _) in sums.items()) + (texts > 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        bits, unpack = np.frombuffer(shared.value, np.uint8), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         row = left.slice(0, 1).to_pylist()[0]
         hashes = np.frombuffer(row["hashes"], "<u8")
-        order = np.argsort((hashes % np.uint64(word_buckets)).astype(np.int64), kind="stable")
-        c_word = np.zeros(len(hashes), np.int64)
-        if right.num_rows:
-            right = right.sort_by("bucket")
-            c_word[order] = np.frombuffer(b"".join(right.column("totals").to_pylist()), "<i8")
-        codes = np.frombuffer(unpack.decompress(row["codes"]), "<u4")
-        here, before, is_end, off = _positions(np.array(row["lengths"], np.int64), codes, hashes)
-        c = np.empty(len(here), np.int64)
-        c[~is_end], c[is_end] = c_word[codes], texts
-        c_before = np.empty_like(c)
-        c_before[1:] = c[:-1]
-        c_before[off[:-1]] = texts
-        p = (c + 0.5) / (learned + 0.5 * (vocabulary + 1))
-        kinds_here, which = np.unique(_bigram(before, here), return_inverse=True)
-        pair = np.minimum(count(kinds_here, bits)[which], np.minimum(c, c_before))
+        b = Bigrams(np.array(row["lengths"], np.int64), np.frombuffer(unpack.decompress(row["codes"]), "<u4"), hashes, buckets, hot)
+        right = right.sort_by("bucket")
+        c, d, share = (np.zeros(len(hashes) + 1, t) for t in (np.int64, np.float64, np.float64))
+        levels, at, m_at = [], 0, 0
+        for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("read").to_pylist()):
+            m = int(np.searchsorted(b.own_bucket, bucket, "right")) - m_at
+            k = int(np.searchsorted(b.bucket, bucket, "right")) - at
+            wide = 4 if len(blob) == 12 * m + k else 8
+            own = b.contexts[m_at:m_at + m]
+            c[own] = np.frombuffer(blob, f"<i{wide}", m)
+            d[own] = np.frombuffer(blob, "<f4", m, wide * m)
+            share[own] = np.frombuffer(blob, "<f4", m, (wide + 4) * m)
+            levels.append(np.frombuffer(blob, "u1", k, (wide + 8) * m))
+            at, m_at = at + k, m_at + m
+        # Words dealt over several buckets have their sums from all of them.
+        known = np.append(hashes, BEGIN)
+        for word, (cw, tw, dw) in sums.items():
+            k = np.flatnonzero(known == np.uint64(word))
+            c[k], d[k], share[k] = cw, dw, tw / dw if dw else 0
+        before = np.empty_like(b.here)
+        before[1:] = b.here[:-1]
+        before[b.off[:-1]] = len(hashes)
+        of_word = c.copy()
+        of_word[-1] = texts  # the end of a text, as a follower
+        seen = of_word[b.here]
+        p = (seen + 0.5) / (learned + 0.5 * (vocabulary + 1))
+        r = np.where(seen > 0, _value(np.concatenate(levels).astype(np.int64))[b.pair], 0)
+        own = d[before]
         with np.errstate(divide="ignore", invalid="ignore"):
-            away = np.minimum(1.0, DISCOUNT * c_before ** beta / c_before)
-            mixed = trust * np.maximum(pair - DISCOUNT, 0) / c_before + (1 - trust * (1 - away)) * p
-        q = np.where(c_before > 0, mixed, p)
-        n = np.diff(off)
+            q = np.where(own > 0, np.maximum(r - DISCOUNT, 0) / own + DISCOUNT * share[before] * p, p)
+        n = np.diff(b.off)
         return pa.table([
-            pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), off[:-1])), pa.array(np.full(len(n), learned)),
-            pa.array(np.add.reduceat(np.log10(p), off[:-1])), pa.array(np.add.reduceat(np.log10(q), off[:-1])),
+            pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(n), pa.array(np.add.reduceat((seen > 0).astype(np.int64), b.off[:-1])), pa.array(np.full(len(n), learned)),
+            pa.array(np.add.reduceat(np.log10(p), b.off[:-1])), pa.array(np.add.reduceat(np.log10(q), b.off[:-1])),
         ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     left = blocks.select("block", "doc_ids", "held", "lengths", "codes", "hashes").groupBy("block")
-    right = totals.select("block", "bucket", "totals").groupBy("block")
+    right = read.select("block", "bucket", "read").groupBy("block")
     return left.cogroup(right).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

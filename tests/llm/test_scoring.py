@@ -42,31 +42,71 @@ def test_base_scores_by_brute_force(spark, odd_docs, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_filter_counts_are_near_the_counts(spark, docs):
-    # A roomy filter reads every training bigram at its level, so a text's score is that of exact counts.
-    rows = docs.select("doc_id", "text").limit(60).collect()
-    small = spark.createDataFrame(rows)
-    learned = [r for r in rows if part(r["doc_id"]) != 1]
-    uni, bi = Counter(), Counter()
-    for r in learned:
-        t = [*words(r["text"]), None]
+def model(texts):
+    """p(word | context) by exact counts, quantised as the filter does; None is a text's end, 0 the place before it."""
+    uni, follow = Counter(), defaultdict(Counter)
+    for t in texts:
+        t = [*words(t), None]
         uni.update(t)
-        bi.update(zip([0, *t], t))
-    n, v, texts = sum(uni.values()), len(uni), len(learned)
-    tally = Counter(int(math.log2(c)) for c in uni.values() if c)
-    end = int(math.log2(texts))
-    tally[end] -= 1  # the end token is not a word of a dictionary
-    beta = lm_scoring._followers([tally[k] for k in range(48)], len(bi))
-    for r in lm_scoring.score_texts(small).collect():
-        t = [*words(next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])), None]
-        score = 0
-        for a, b in zip([0, *t], t):
-            c, p = (texts if a == 0 else uni[a]), (uni[b] + 0.5) / (n + 0.5 * (v + 1))
-            q = 0 if not bi[a, b] else 1 + int(2 * math.log2(bi[a, b]))
-            pair = min(2 ** ((q - 1) / 2 + 0.25) if q > 1 else q, uni[b], c)
-            away = min(1, lm_scoring.DISCOUNT * c ** beta / c) if c else 1
-            score += math.log10(max(pair - lm_scoring.DISCOUNT, 0) / c + away * p if c else p)
-        assert abs(r["score"] - score) < 0.06 * abs(score) + 1
+        for v, w in zip([0, *t], t):
+            follow[v][w] += 1
+    n, v_size = sum(uni.values()), len(uni)
+
+    def value(c):
+        q = 0 if not c else 1 + int(2 * math.log2(c))
+        return 2 ** ((q - 1) / 2 + 0.25) if q > 1 else q
+
+    def p(w, v):
+        base = (uni[w] + 0.5) / (n + 0.5 * (v_size + 1))
+        if not follow[v]:
+            return base
+        total = sum(value(c) for c in follow[v].values())
+        return max(value(follow[v][w]) - lm_scoring.DISCOUNT, 0) / total + lm_scoring.DISCOUNT * len(follow[v]) / total * base
+
+    return uni, p
+
+
+def by_model(text, p):
+    t = [*words(text), None]
+    return sum(math.log10(p(w, v)) for v, w in zip([0, *t], t))
+
+
+@pytest.mark.parametrize("hot", [1 << 24, 50])
+def test_scores_by_exact_counts(spark, docs, monkeypatch, hot):
+    # With a low limit frequent words are dealt over several buckets.
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 1 / 256)
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    _, p = model([r["text"] for r in rows if part(r["doc_id"]) != 1])
+    text = {r["doc_id"]: r["text"] for r in rows}
+    for r in lm_scoring.score_texts(spark.createDataFrame(rows).repartition(4)).collect():
+        want = by_model(text[r["doc_id"]], p)
+        assert abs(r["score"] - want) < 1e-4 * abs(want)
+
+
+def test_probabilities_sum_to_one(spark):
+    learned = ["a b a c a b d", "b a b e f a", "a a a b", "c", "g a b a b a"] * 3 + ["a rare one"]
+    uni, p = model(learned)
+    asked = {v: [f"{v} {w}" for w in [*filter(None, uni), "unknown"]] for v in ("a", "b", "rare", "new")}
+    rows = [(k, t, False) for k, t in enumerate(learned)] + [(1000 + k, t, True) for k, t in enumerate(x for v in asked.values() for x in v)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(table, table["held"]).collect()}
+    at = 1000
+    for v, texts in asked.items():
+        total = p(None, v)
+        for t in texts:
+            total += 10 ** (score[at] - math.log10(p(v, 0)) - math.log10(p(None, t.split()[1])))
+            at += 1
+        assert abs(total - 1) < 0.01
+
+
+def test_false_probes_are_few():
+    rng = np.random.default_rng(2)
+    kinds = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    total = rng.geometric(0.3, len(kinds)) * rng.integers(1, 50, len(kinds))
+    stretch = lm_scoring.Stretch(kinds, lm_scoring._levels(total), 20)
+    assert (stretch.read(kinds) >= lm_scoring._levels(total)).all() and (stretch.read(kinds) == lm_scoring._levels(total)).mean() > 0.999
+    assert (stretch.read(rng.integers(0, 1 << 63, 200_000).astype(np.uint64)) > 0).sum() < 20
 
 
 def test_lm_empty(spark):
