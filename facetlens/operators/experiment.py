@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
 from facetlens.functions.constants import AXIS_PREFIX_MAP
-from facetlens.functions.hashing import seeded_hash
 
 ROLES = {
     "stereotyped": "stereotyped_answer_idx",
@@ -153,36 +154,92 @@ def interpretation_label() -> Column:
 POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
-def _poisson_weight(u: Column) -> Column:
-    """Poisson(1) count by inversion of a 32-bit uniform; its largest value gives 13, so nothing is cut off."""
-    return reduce(lambda a, b: a + b, [(u >= F.lit(c)).cast("int") for c in POISSON_CDF])
+#: Fixed multipliers of the weights' generator; products of 32-bit numbers with them stay below 2^63.
+MIX, STEP = 73244475, 2654435769
+#: Items weighted at a time, and groups whose sums a task keeps before it sends them.
+WEIGHT_ROWS, KEPT_GROUPS = 2048, 2048
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(MIX) & np.uint64(0xFFFFFFFF)
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(MIX) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+def replicate_weights(first: np.ndarray, second: np.ndarray, samples: int) -> np.ndarray:
+    """Poisson(1) weights (items x samples) from two 32-bit seeds an item, by inversion of a 32-bit uniform.
+
+    Counter-based: a weight follows from the seeds and the replicate's number alone.
+    """
+    steps = np.arange(samples, dtype=np.uint64) * np.uint64(STEP)
+    u = _mixed(_mixed((first.astype(np.uint64)[:, None] + steps) & np.uint64(0xFFFFFFFF)) ^ second.astype(np.uint64)[:, None])
+    # The largest uniform gives 13, so nothing is cut off.
+    return np.searchsorted(np.array(POISSON_CDF), u / 2.0**32, side="right").astype(np.float64)
+
+
+def replicate_sums(items: DataFrame, samples: int) -> DataFrame:
+    """(_g, _sums, _weights) per task and group of ``items`` (_g, _a, _b, _x): weighted sums of each replicate.
+
+    The weights of a batch are a matrix that never leaves the task; its products with the
+    values are added up by group, so no row stands for an (item, replicate).
+    """
+
+    def run(batches):
+        kept: dict[str, np.ndarray] = {}
+
+        def send():
+            names = list(kept)
+            lists = [pa.array([kept[g][j] for g in names], pa.list_(pa.float64())) for j in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *lists], ["_g", "_sums", "_weights"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, WEIGHT_ROWS):
+                part = batch.slice(at, WEIGHT_ROWS)
+                group = part.column("_g").dictionary_encode()
+                code = group.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+                w = replicate_weights(part.column("_a").to_numpy()[order], part.column("_b").to_numpy()[order], samples)
+                sums = np.add.reduceat(w * part.column("_x").to_numpy()[order][:, None], first, axis=0), np.add.reduceat(w, first, axis=0)
+                for k, g in enumerate(code[order][first]):
+                    name = group.dictionary[int(g)].as_py()
+                    if name in kept:
+                        kept[name] += (sums[0][k], sums[1][k])
+                    else:
+                        kept[name] = np.array((sums[0][k], sums[1][k]))
+                if len(kept) > KEPT_GROUPS:
+                    yield send()
+                    kept.clear()
+        if kept:
+            yield send()
+
+    return items.select("_g", "_a", "_b", "_x").mapInArrow(run, "_g string, _sums array<double>, _weights array<double>")
 
 
 def bootstrap_mean_ci(
-    rows: DataFrame, keys: list[str], item: str, value: str, samples: int, seed: int = 0
+    rows: DataFrame, keys: list[str], item: str, value: str, samples: int = 500, seed: int = 0
 ) -> DataFrame:
     """(keys, ci_low, ci_high): cluster bootstrap of the mean over items, 2.5 and 97.5 percentiles.
 
     Rows are averaged per item first. Every item gets a Poisson(1) weight in each replicate, the
-    distributed form of resampling, at every group size: tasks add weighted sums per replicate,
-    so nothing but (group, replicate) totals is shuffled. A replicate in which no item has a
-    weight is left out. One item gives (mean, mean).
+    distributed form of resampling, at every group size. An item has the same weights in all
+    groups. Tasks add up the replicates' sums as products of weight matrices; only one row of sums
+    a (task, group) is shuffled. A replicate in which no item has a weight is left out. One
+    item gives (mean, mean). NULL keys are groups of their own; a group without values has no row.
     """
-    # NULL keys are groups of their own, so joins below compare keys null-safely.
+    name = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
     per_item = rows.filter(F.col(value).isNotNull()).groupBy(*keys, item).agg(F.avg(value).alias("_x"))
-    size = per_item.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_rep")
-    u = seeded_hash(seed, F.col("_rep"), F.col(item)) / F.lit(float(2**32))
-    weighted = per_item.select(*keys, item, "_x", reps).withColumn("_w", _poisson_weight(u))
-    stats = weighted.groupBy(*keys, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_stat"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    items = per_item.select(*keys, name.alias("_g"), number(1).alias("_a"), number(9).alias("_b"), F.col("_x").cast("double").alias("_x"))
+    size = items.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
+    parts = replicate_sums(items, samples).select("_g", F.posexplode(F.arrays_zip("_sums", "_weights")).alias("_rep", "_z"))
+    stats = parts.groupBy("_g", "_rep").agg(F.try_divide(F.sum("_z._sums"), F.sum("_z._weights")).alias("_stat"))
     # At most ``samples`` numbers per group from here on.
-    ci = stats.groupBy(*keys).agg(F.percentile("_stat", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    joined = size.join(ci, reduce(lambda x, y: x & y, [size[k].eqNullSafe(ci[k]) for k in keys]))
+    ci = stats.groupBy("_g").agg(F.percentile("_stat", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
     one = F.col("_n") <= 1
-    return joined.select(
-        *[size[k] for k in keys],
-        F.when(one, F.col("_mean")).otherwise(F.col("_q")[0]).alias("ci_low"),
-        F.when(one, F.col("_mean")).otherwise(F.col("_q")[1]).alias("ci_high"),
+    return size.join(ci, "_g").select(
+        *keys, F.when(one, F.col("_mean")).otherwise(F.col("_q")[0]).alias("ci_low"), F.when(one, F.col("_mean")).otherwise(F.col("_q")[1]).alias("ci_high"),
     )
 
 
@@ -205,8 +262,11 @@ SUMMARIES = {
 }
 
 
-def experiment_summary(results: DataFrame, keys: list[str], samples: int | None = None) -> DataFrame:
-    """Mean deltas, interval, counts, change rates and label per ``keys``; NULL keys stay."""
+def experiment_summary(results: DataFrame, keys: list[str], samples: int | None = 500) -> DataFrame:
+    """Mean deltas, interval, counts, change rates and label per ``keys``; NULL keys stay.
+
+    ``samples=None`` leaves the bootstrap interval of the margin change out.
+    """
     disambig = F.col("context_condition") == "disambig"
     gain = F.col("correct_intervened").cast("double") - F.col("correct_base").cast("double")
     g = results.groupBy(*keys).agg(

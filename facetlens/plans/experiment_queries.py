@@ -88,12 +88,28 @@ SUMS = ["mean_stereotyped_delta", "mean_unknown_delta", "mean_nonstereotyped_del
 SUM_ID = ["n_items", "n_rows", "n_featuresets", "interpretation_label"]
 
 
+#: Replicates of the bootstrap, and what keeps exact halves from being rounded by the order of sums.
+SAMPLES, NUDGE = 500, "1e-11::DOUBLE"
+
+
+def _interval(df):
+    return df.withColumns({c: F.col(c) + F.lit(1e-11) for c in ("ci_low", "ci_high")})
+
+
+def interval_sql(keys, samples):
+    same = " AND ".join(f"s.{k} IS NOT DISTINCT FROM b.{k}" for k in keys.split(", "))
+    return f"""WITH s AS ({summary_sql(keys)}), b AS {boot_sql(keys, samples, X.POISSON_CDF)}
+SELECT {', '.join('s.' + k for k in keys.split(', '))}, {', '.join(f'{R("s." + c)} AS {c}' for c in SUMS)}, {', '.join('s.' + c for c in SUM_ID)}, {R(f'b.ci_low + {NUDGE}')} AS ci_low, {R(f'b.ci_high + {NUDGE}')} AS ci_high FROM s LEFT JOIN b ON {same}"""
+
+
 def _register_summary(name, keys):
     k = ", ".join(keys)
 
-    @query(f"experiment_summary_{name}", f"SELECT {k}, {rs(SUMS)}, {', '.join(SUM_ID)} FROM ({summary_sql(k)})")
+    @query(f"experiment_summary_{name}" if name else "experiment_summary", interval_sql(k, SAMPLES))
     def run(v, keys=keys):
-        return r_cols(X.experiment_summary(v.labelled_results, keys).select(*keys, *SUMS, *SUM_ID), SUMS)
+        """With bootstrap intervals."""
+        out = X.experiment_summary(v.labelled_results, keys, SAMPLES)
+        return r_cols(_interval(out.select(*keys, *SUMS, *SUM_ID, "ci_low", "ci_high")), [*SUMS, "ci_low", "ci_high"])
 
 
 for _n, _k in X.SUMMARIES.items():
@@ -103,23 +119,14 @@ _BY_SET = X.SUMMARIES["by_set"]
 _DETAIL = X.SUMMARIES["by_set_detail"]
 
 
-@query(
-    "experiment_summary",
-    f"""WITH s AS ({summary_sql(', '.join(_BY_SET))}), b AS {boot_sql(', '.join(_BY_SET), 20, X.POISSON_CDF)}
-SELECT s.feature_set_id, s.feature_role, {', '.join(f'{R("s." + c)} AS {c}' for c in SUMS)}, {', '.join('s.' + c for c in SUM_ID)}, {R('b.ci_low')} AS ci_low, {R('b.ci_high')} AS ci_high FROM s LEFT JOIN b USING (feature_set_id, feature_role)""",
-)
-def experiment_summary(v):
-    """With bootstrap intervals."""
-    out = X.experiment_summary(v.labelled_results, _BY_SET, samples=20)
-    return r_cols(out.select(*_BY_SET, *SUMS, *SUM_ID, "ci_low", "ci_high"), [*SUMS, "ci_low", "ci_high"])
-
+_register_summary("", _BY_SET)
 
 _BOOT = "mapped_contrast_name, axis_mapped"
 
 
-@query("bootstrap_mean_ci", f"SELECT {_BOOT}, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM {boot_sql(_BOOT, 50, X.POISSON_CDF)}")
+@query("bootstrap_mean_ci", f"SELECT {_BOOT}, {R(f'ci_low + {NUDGE}')} AS ci_low, {R(f'ci_high + {NUDGE}')} AS ci_high FROM {boot_sql(_BOOT, SAMPLES, X.POISSON_CDF)}")
 def bootstrap_mean_ci(v):
-    return r_cols(X.bootstrap_mean_ci(v.labelled_results, ["mapped_contrast_name", "axis_mapped"], "item_uid", "bias_margin_delta", 50), ["ci_low", "ci_high"])
+    return r_cols(_interval(X.bootstrap_mean_ci(v.labelled_results, ["mapped_contrast_name", "axis_mapped"], "item_uid", "bias_margin_delta", SAMPLES)), ["ci_low", "ci_high"])
 
 
 @query(
@@ -127,7 +134,7 @@ def bootstrap_mean_ci(v):
     f"SELECT mapped_contrast_name, alpha, interpretation_label FROM ({summary_sql('mapped_contrast_name, alpha')})",
 )
 def interpretation_label(v):
-    return X.experiment_summary(v.labelled_results, ["mapped_contrast_name", "alpha"]).select("mapped_contrast_name", "alpha", "interpretation_label")
+    return X.experiment_summary(v.labelled_results, ["mapped_contrast_name", "alpha"], None).select("mapped_contrast_name", "alpha", "interpretation_label")
 
 
 _COV = " UNION ALL ".join(f"SELECT '{c}' AS field, {c}::VARCHAR AS value FROM v_cov" for c in X.COVERAGE_FIELDS)
@@ -168,7 +175,7 @@ def tradeoff_by_set(v):
 SELECT * FROM (SELECT 'best' AS side, * FROM s ORDER BY m, {', '.join(_DETAIL)} LIMIT 100) UNION ALL SELECT * FROM (SELECT 'harmful' AS side, * FROM s ORDER BY m DESC, {', '.join(_DETAIL)} LIMIT 100)""",
 )
 def best_worst_interventions(v):
-    s = r_cols(X.experiment_summary(v.labelled_results, _DETAIL).select(*_DETAIL, "mean_bias_margin_delta"), ["mean_bias_margin_delta"])
+    s = r_cols(X.experiment_summary(v.labelled_results, _DETAIL, None).select(*_DETAIL, "mean_bias_margin_delta"), ["mean_bias_margin_delta"])
     return X.best_worst(s).withColumnRenamed("mean_bias_margin_delta", "m")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, TEMPLATE_WORDS, UNKNOWN_ALIASES
+from facetlens.operators.experiment import MIX, STEP
 from facetlens.plans.views import (
     CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, RESULT_ALPHAS, RESULT_POSITIONS,
     RESULT_SET_COLS, RESULT_SETS, TOKEN_FEATURES, TOP_K,
@@ -630,12 +631,19 @@ FROM (SELECT {keys}, avg(stereotyped_delta) AS mean_stereotyped_delta, avg(unkno
 
 
 def boot_sql(keys: str, samples: int, cdf: list[float]) -> str:
-    """Percentiles of item means under Poisson weights."""
-    h = lambda x: f"('0x' || substr(md5(concat_ws(':', '0', rep, {x})), 1, 8))::UBIGINT"
-    w = " + ".join(f"({h('item_uid')} / 4294967296.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in cdf)
-    cond = " AND ".join(f"z.{k.strip()} IS NOT DISTINCT FROM y.{k.strip()}" for k in keys.split(","))
+    """Percentiles of item means under Poisson weights, which follow from the item and the replicate."""
+    names = [k.strip() for k in keys.split(",")]
+    seed = lambda at: f"('0x' || substr(md5(concat_ws(':', '0', item_uid)), {at}, 8))::BIGINT"
+    step = lambda x: f"(xor({x}, {x} >> 16) * {MIX}) & 4294967295"
+    w = " + ".join(f"(xor(x, x >> 16) / 4294967296.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in cdf)
+    cond = " AND ".join(f"z.{k} IS NOT DISTINCT FROM y.{k}" for k in names)
     return f"""(WITH it AS (SELECT {keys}, item_uid, avg(bias_margin_delta) AS x FROM v_labelled WHERE bias_margin_delta IS NOT NULL GROUP BY {keys}, item_uid),
  sz AS (SELECT {keys}, count(*) AS n, avg(x) AS m FROM it GROUP BY {keys}),
- st AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS s FROM (SELECT z.*, rep, {w} AS w FROM it z, (SELECT unnest(range(0, {samples})) AS rep)) GROUP BY {keys}, rep),
+ sd AS (SELECT item_uid, {seed(1)} AS a, {seed(9)} AS b FROM (SELECT DISTINCT item_uid FROM it)),
+ x0 AS (SELECT item_uid, rep, b, (a + rep * {STEP}) & 4294967295 AS x FROM sd, (SELECT unnest(range(0, {samples})) AS rep)),
+ x1 AS (SELECT item_uid, rep, b, {step('x')} AS x FROM x0), x2 AS (SELECT item_uid, rep, b, {step('x')} AS x FROM x1), x3 AS (SELECT item_uid, rep, xor(xor(x, x >> 16), b) AS x FROM x2),
+ x4 AS (SELECT item_uid, rep, {step('x')} AS x FROM x3), x5 AS (SELECT item_uid, rep, {step('x')} AS x FROM x4),
+ wt AS MATERIALIZED (SELECT item_uid, rep, {w} AS w FROM x5),
+ st AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS s FROM it JOIN wt USING (item_uid) GROUP BY {keys}, rep),
  q AS (SELECT {keys}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY {keys})
-SELECT {', '.join('z.' + k.strip() for k in keys.split(','))}, CASE WHEN z.n <= 1 THEN z.m ELSE y.lo END AS ci_low, CASE WHEN z.n <= 1 THEN z.m ELSE y.hi END AS ci_high FROM sz z JOIN q y ON {cond})"""
+SELECT {', '.join('z.' + k for k in names)}, CASE WHEN z.n <= 1 THEN z.m ELSE y.lo END AS ci_low, CASE WHEN z.n <= 1 THEN z.m ELSE y.hi END AS ci_high FROM sz z JOIN q y ON {cond})"""

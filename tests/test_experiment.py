@@ -55,6 +55,34 @@ def test_bootstrap(spark):
     assert got["big"]["ci_high"] == pytest.approx(m.mean() + 1.96 * se, abs=0.5 * se)
 
 
+def test_bootstrap_by_all_weights(spark, monkeypatch):
+    """Every replicate by hand, with batches cut small and sums sent often."""
+    import hashlib
+
+    monkeypatch.setattr(X, "WEIGHT_ROWS", 3)
+    monkeypatch.setattr(X, "KEPT_GROUPS", 2)
+    rows = [(g, h, f"i{i}", float(i * i % 17)) for g in ("a", None, "b", "c") for h in (1.5, None) for i in range(11)]
+    got = X.bootstrap_mean_ci(spark.createDataFrame(rows, "g string, h double, item string, x double").repartition(5), ["g", "h"], "item", "x", 40).collect()
+    assert len(got) == 8
+    digest = [hashlib.md5(f"0:i{i}".encode()).hexdigest() for i in range(11)]
+    w = X.replicate_weights(*(np.array([int(d[k:k + 8], 16) for d in digest]) for k in (0, 8)), 40)
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 16) * X.MIX % 2**32
+        return x ^ x >> 16
+
+    for i, d in enumerate(digest):
+        for rep in range(40):
+            u = mix(mix((int(d[:8], 16) + rep * X.STEP) % 2**32) ^ int(d[8:16], 16)) / 2**32
+            assert w[i, rep] == sum(u >= c for c in X.POISSON_CDF)
+    x = np.array([i * i % 17 for i in range(11)])
+    low, high = np.percentile((w * x[:, None]).sum(0) / w.sum(0), [2.5, 97.5])
+    assert all(r["ci_low"] == pytest.approx(low) and r["ci_high"] == pytest.approx(high) for r in got)
+    big = X.replicate_weights(np.arange(20_000) * 7919, np.arange(20_000), 50)
+    assert abs(big.mean() - 1) < 0.01 and abs(big.var() - 1) < 0.02 and abs(np.corrcoef(big[:, 0], big[:, 1])[0, 1]) < 0.03
+
+
 def test_samples_and_folds(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", f"t{i % 11}") for i in range(600)]
     df = spark.createDataFrame(rows, "row_id long, s string, g string")
