@@ -17,9 +17,12 @@ from facetlens.operators.sampling import group_kfold
 from facetlens.operators.subspace import pca
 
 
-def probe_features(vectors: DataFrame, layer: int, dims: int) -> DataFrame:
-    """Standardised vectors reduced to ``dims`` principal components, once per layer."""
-    return settle(pca(vectors, layer, dims)[0], "probe-features")
+def probe_features(vectors: DataFrame, dims: int) -> DataFrame:
+    """Standardised vectors of every layer reduced to ``dims`` principal components.
+
+    Columns without variance and entries that are not finite count as 0.
+    """
+    return settle(pca(vectors, dims)[0], "probe-features")
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:

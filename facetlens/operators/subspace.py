@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
 from facetlens.functions.blocks import BLOCK_BYTES, PRODUCT_BYTES, layer_chunks, matrix, matrix_blocks
 from facetlens.operators import geometry as G
-from facetlens.operators.means import VariantMeans, standardize
+from facetlens.operators.means import VariantMeans
 
 KEYS = G.KEYS
 SVD_SCHEMA = "layer int, resid string, component int, singular_value double, explained_variance_ratio double, vec array<double>"
@@ -140,31 +143,144 @@ def loading_pivots(loadings: DataFrame, pcs: list[int]) -> tuple[DataFrame, Data
 
 
 # ---- principal components of the vectors --------------------------------------------
-MAX_PCA_DIM = 8192
+#: Columns of the sketch (all of them in narrower vectors, which makes it exact), and passes that sharpen it.
+SKETCH, SHARPEN = 256, 4
+#: Rows of a sketch that are summed up in one group, and groups that meet before the driver's last step.
+STRIPE, FAN = 256, 16
+
+
+@dataclass(frozen=True)
+class LayerScale:
+    """What standardises a layer: means, factors (0 for constant columns), row count, sum of squares after scaling."""
+
+    mean: np.ndarray
+    factor: np.ndarray
+    n: int
+
+    @property
+    def power(self) -> float:
+        return float(self.n * (self.factor > 0).sum())
+
+    def apply(self, m: np.ndarray) -> np.ndarray:
+        return (np.where(np.isfinite(m), m, 0.0) - self.mean) * self.factor
 
 
-def pca(vectors: DataFrame, layer: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Scaled PCA of one layer: (row scores, explained ratios).
+def layer_scales(vectors: DataFrame) -> dict[int, LayerScale]:
+    """Of every layer, two vectors of the model's width; entries that are not finite count as 0."""
+    clean = F.transform("vec", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
+    column = array_to_vector(clean)
+    stats = vectors.groupBy("layer").agg(
+        vector_to_array(Summarizer.mean(column)).alias("mean"), vector_to_array(Summarizer.variance(column)).alias("var"), F.count(F.lit(1)).alias("n"))
+    out = {}
+    for r in stats.collect():
+        # The sample variance, of which rounding may leave a rest in constant columns.
+        mean, var = np.array(r["mean"]), np.array(r["var"]) * (r["n"] - 1) / max(1, r["n"])
+        alive = var > 1e-24 * np.maximum(1.0, mean**2)
+        out[int(r["layer"])] = LayerScale(mean, np.where(alive, 1 / np.sqrt(np.where(alive, var, 1.0)), 0.0), int(r["n"]))
+    return out
+
+
+def _per_task(vectors: DataFrame, scales: dict[int, LayerScale], step, finish) -> DataFrame:
+    """(layer, part, fan, m): ``step`` folds scaled chunks into a state per layer, ``finish`` cuts it into matrices."""
+
+    def run(batches):
+        states: dict[int, np.ndarray] = {}
+        for layer, part in layer_chunks(batches):
+            states[layer] = step(layer, states.get(layer), scales[layer].apply(matrix(part.column("vec"))))
+        fan = TaskContext.get().partitionId() % FAN
+        for layer, state in states.items():
+            for at, m in finish(state):
+                yield pa.RecordBatch.from_arrays([pa.array([layer], pa.int32()), pa.array([at], pa.int32()), pa.array([fan], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["layer", "part", "fan", "m"])
+
+    return vectors.select(F.col("layer").cast("int").alias("layer"), "vec").mapInArrow(run, "layer int, part int, fan int, m binary")
 
-    ``ml.PCA`` aggregates the d x d covariance over the cluster and factors it on the
-    driver, so d is capped (``MAX_PCA_DIM``); the rows never leave the executors. The
-    largest loading of a component is made positive. A layer without variance gives zeros.
+
+def _met(parts: DataFrame, width: dict[int, int], merge) -> dict[tuple[int, int], np.ndarray]:
+    """The matrices of all tasks merged in a tree: by (layer, part, fan) on the executors, then FAN of them here."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        layer = table["layer"][0].as_py()
+        whole = merge([np.frombuffer(m.as_py()).reshape(-1, width[layer]) for m in table["m"]])
+        return pa.table([table["layer"].slice(0, 1), table["part"].slice(0, 1), table["fan"].slice(0, 1), pa.array([np.ascontiguousarray(whole).tobytes()], pa.binary())], ["layer", "part", "fan", "m"])
+
+    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    for r in parts.groupBy("layer", "part", "fan").applyInArrow(meet, "layer int, part int, fan int, m binary").orderBy("layer", "part", "fan").collect():
+        out.setdefault((r["layer"], r["part"]), []).append(np.frombuffer(r["m"]).reshape(-1, width[r["layer"]]))
+    return {k: merge(v) for k, v in out.items()}
+
+
+def _triangle(parts: list[np.ndarray]) -> np.ndarray:
+    return np.linalg.qr(np.vstack(parts), mode="r")
+
+
+def range_basis(vectors: DataFrame, scales: dict[int, LayerScale], width: int, passes: int = SHARPEN, seed: int = 0) -> dict[int, np.ndarray]:
+    """Of every layer, an orthonormal basis (d x width) near the span of the leading components.
+
+    Randomized range finder: Z'Z is applied to a random matrix, a pass over all layers at a time. Layers
+    that are no wider than the sketch have the whole space and need no pass.
+    """
+    rng = np.random.default_rng(seed)
+    basis = {k: np.eye(len(s.mean)) if len(s.mean) <= width else np.linalg.qr(rng.normal(size=(len(s.mean), width)))[0] for k, s in sorted(scales.items())}
+    wide = [k for k, q in basis.items() if q.shape[0] > q.shape[1]]
+    for _ in range(passes if wide else 0):
+        now = {k: basis[k] for k in wide}
+        shared = vectors.sparkSession.sparkContext.broadcast(now)
+
+        def step(layer, state, z):
+            w = z.T @ (z @ shared.value[layer])
+            return w if state is None else state + w
+
+        cut = lambda w: ((at, np.ascontiguousarray(w[at:at + STRIPE])) for at in range(0, len(w), STRIPE))
+        sums = _met(_per_task(vectors.filter(F.col("layer").isin(wide)), scales, step, cut), {k: q.shape[1] for k, q in now.items()}, lambda parts: np.sum(parts, axis=0))
+        for k in wide:
+            basis[k] = np.linalg.qr(np.vstack([sums[key] for key in sorted(sums) if key[0] == k]))[0]
+        shared.destroy()
+    return basis
+
+
+def pca(vectors: DataFrame, k: int, sketch: int = SKETCH, passes: int = SHARPEN) -> tuple[DataFrame, DataFrame]:
+    """Scaled PCA of every layer: (row scores ``pcs`` beside all columns but ``vec``, explained ratios).
+
+    All layers go through the same passes, for vectors of any width: the driver and a task hold matrices of
+    width x sketch only. Rows are projected on the range of the leading components; the
+    projections' triangular factor is made by a tree of tall and skinny QR steps, batch by batch, task by
+    task, and its singular values and vectors give the components. Where a layer is no
+    wider than the sketch this is exact. Constant columns count as 0, as do entries that
+    are not finite. The largest loading of a component is made positive. A layer without variance gives
+    zeros.
     """
-    one = vectors.filter(F.col("layer") == layer)
-    info = one.select(F.max(F.size("vec")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if info["d"] is None:
-        raise ValueError(f"no vectors for layer {layer}")
-    if info["d"] > MAX_PCA_DIM:
-        raise ValueError(f"dimension {info['d']} exceeds {MAX_PCA_DIM}; project to fewer dimensions first")
-    k = min(k, info["d"], info["n"])
-    scaled = standardize(one).withColumn("_f", array_to_vector("vec"))
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(scaled)
-    load = model.pc.toArray()
-    flip = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
-    signs = F.array(*[F.lit(float(s if s != 0 else 1.0)) for s in flip])
-    scores = model.transform(scaled).withColumn("pcs", F.zip_with(vector_to_array("_p"), signs, lambda x, s: x * s)).drop("_f", "_p", "vec")
-    ratios = [(layer, i + 1, float(r)) for i, r in enumerate(model.explainedVariance)]
-    return scores, vectors.sparkSession.createDataFrame(ratios, "layer int, component int, explained_variance_ratio double")
+    if k < 1:
+        raise ValueError("k must be positive")
+    spark = vectors.sparkSession
+    scales = layer_scales(vectors)
+    basis = range_basis(vectors, scales, max(sketch, k), passes)
+    shared = spark.sparkContext.broadcast(basis)
+
+    def step(layer, state, z):
+        y = z @ shared.value[layer]
+        return _triangle([y] if state is None else [state, y])
+
+    triangles = _met(_per_task(vectors, scales, step, lambda r: [(0, np.ascontiguousarray(r))]), {x: q.shape[1] for x, q in basis.items()}, _triangle)
+    shared.destroy()
+    loads, ratios = {}, []
+    for (layer, _), r in sorted(triangles.items()):
+        _, s, vt = np.linalg.svd(r, full_matrices=False)
+        keep, power = min(k, len(s)), scales[layer].power
+        load = basis[layer] @ vt[:keep].T
+        sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(keep)])
+        loads[layer] = load * np.where(sign == 0, 1.0, sign) * (power > 0)
+        ratios += [(layer, i + 1, float(s[i] ** 2 / power) if power > 0 else 0.0) for i in range(keep)]
+    found = spark.sparkContext.broadcast(loads)
+    kept = [c for c in vectors.columns if c != "vec"]
+
+    def project(batches):
+        for layer, part in layer_chunks(batches):
+            p = scales[layer].apply(matrix(part.column("vec"))) @ found.value[layer]
+            pcs = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pcs], [*kept, "pcs"])
+
+    scores = vectors.mapInArrow(project, vectors.select(*kept, F.array(F.lit(0.0)).alias("pcs")).schema)
+    return scores, spark.createDataFrame(ratios, "layer int, component int, explained_variance_ratio double")
 
 
 def pca_group_centroids(scores: DataFrame, group: list[str]) -> DataFrame:

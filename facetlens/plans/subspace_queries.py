@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetlens.functions import vec as V
 from facetlens.functions.settle import settle
 from facetlens.operators import probes as P, subspace as S
 from facetlens.plans.geometry_queries import directions, r_cols, variant_means
 from facetlens.plans.registry import query
-from facetlens.plans.views import RESID_KEYS
+from facetlens.plans.sqlviews import R
+from facetlens.plans.views import DIM, RESID_KEYS
 
 PCS = [1, 2, 3, 4, 5, 6]
 
@@ -25,8 +27,8 @@ def decomposition(v):
     return v.memo("decomposition", lambda: settle(build(), "decomposition"))
 
 
-def layer_pca(v, layer=24, k=8):
-    return v.memo(("pca", layer, k), lambda: S.pca(v.vectors, layer, k))
+def layer_pca(v, k=8):
+    return v.memo(("pca", k), lambda: S.pca(v.vectors, k))
 
 
 @query("shared_subspace_svd")
@@ -101,15 +103,55 @@ def pca_group_centroids(v):
     return r_cols(S.pca_group_centroids(layer_pca(v)[0], ["entity"]), ["mean_score"])
 
 
+# What does not depend on the choice of a basis: all components of every layer, against the scaled vectors.
+Z_SQL = f"""z AS (SELECT layer, row_id, pos, CASE WHEN sd > 1e-12 THEN (x - m) / sd ELSE 0 END AS z
+ FROM (SELECT *, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd FROM v_long WINDOW w AS (PARTITION BY layer, pos)))"""
+
+
+@query("pca_row_norms", f"WITH {Z_SQL} SELECT layer, row_id, {R('sum(z * z)')} AS squared_norm, count(*) AS components FROM z GROUP BY layer, row_id")
+def pca_row_norms(v):
+    """A row's scores on all components have the norm of its scaled vector."""
+    s = layer_pca(v, DIM)[0]
+    return r_cols(s.select("layer", "row_id", V.sq_norm("pcs").alias("squared_norm"), F.size("pcs").cast("long").alias("components")), ["squared_norm"])
+
+
+@query(
+    "pca_spectrum_moments",
+    f"""WITH {Z_SQL}, c AS (SELECT a.layer, a.pos AS i, b.pos AS j, sum(a.z * b.z) AS c FROM z a JOIN z b USING (layer, row_id) GROUP BY a.layer, a.pos, b.pos),
+ t AS (SELECT layer, sum(c) AS trace FROM c WHERE i = j GROUP BY layer)
+SELECT layer, {R('sum((c / trace) ** 2)')} AS ratios_squared, {R('1.0')} AS ratios FROM c JOIN t USING (layer) GROUP BY layer""",
+)
+def pca_spectrum_moments(v):
+    """The explained ratios add up to 1, their squares to the squared norm of the correlation matrix over its squared trace."""
+    r = layer_pca(v, DIM)[1].groupBy("layer").agg(F.sum(F.pow("explained_variance_ratio", F.lit(2.0))).alias("ratios_squared"), F.sum("explained_variance_ratio").alias("ratios"))
+    return r_cols(r, ["ratios_squared", "ratios"])
+
+
+@query(
+    "pca_centroid_distances",
+    f"""WITH {Z_SQL}, m AS (SELECT layer, entity, pos, avg(z) AS m, count(*) AS n FROM z JOIN v_meta USING (row_id) GROUP BY layer, entity, pos)
+SELECT a.layer, a.entity AS entity_a, b.entity AS entity_b, any_value(a.n) AS n_a, {R('sum((a.m - b.m) ** 2)')} AS squared_distance
+FROM m a JOIN m b ON a.layer = b.layer AND a.pos = b.pos AND a.entity < b.entity GROUP BY a.layer, a.entity, b.entity""",
+)
+def pca_centroid_distances(v):
+    """Distances of group centroids on all components are those of the scaled vectors."""
+    c = S.pca_group_centroids(layer_pca(v, DIM)[0], ["entity"])
+    side = lambda x: c.select("layer", "component", F.col("entity").alias(f"entity_{x}"), F.col("n").alias(f"n_{x}"), F.col("mean_score").alias(f"m_{x}"))
+    pairs = side("a").join(side("b"), ["layer", "component"]).filter("entity_a < entity_b")
+    gap = F.col("m_a") - F.col("m_b")
+    return r_cols(pairs.groupBy("layer", "entity_a", "entity_b").agg(F.max("n_a").alias("n_a"), F.sum(gap * gap).alias("squared_distance")), ["squared_distance"])
+
+
 @query("probe_features")
 def probe_features(v):
-    f = v.memo("probe-features", lambda: P.probe_features(v.vectors, 24, 8))
+    f = v.memo("probe-features", lambda: P.probe_features(v.vectors, 8))
     return r_cols(f.select("layer", "row_id", "axis", "family", F.posexplode("pcs").alias("component", "x")), ["x"])
 
 
-def _probe(v, label, group, task):
-    f = v.memo("probe-features", lambda: P.probe_features(v.vectors, 24, 8))
-    return v.memo(("probe", task), lambda: settle(P.grouped_probe(f, 24, label, group, 3, task), "probe"))
+def _probe(v, label, group, task, layer=24):
+    f = v.memo("probe-features", lambda: P.probe_features(v.vectors, 8))
+    build = lambda: P.grouped_probe(f.filter(F.col("layer") == layer), layer, label, group, 3, task)
+    return v.memo(("probe", task, layer), lambda: settle(build(), "probe"))
 
 
 SCORES = ["accuracy_mean", "accuracy_sd", "macro_f1_mean", "macro_f1_sd"]

@@ -162,7 +162,9 @@ def test_shared_subspace(spark, data):
 
 def test_pca(spark, data):
     rows, df, _ = data
-    scores, ratios = S.pca(df, 2, 4)
+    scores, ratios = S.pca(df, 4)
+    assert {r["layer"] for r in ratios.select("layer").distinct().collect()} == {r[0] for r in rows}
+    scores, ratios = scores.filter("layer = 2"), ratios.filter("layer = 2")
     p = np.array([r["pcs"] for r in scores.orderBy("row_id").collect()])
     x = np.array([r[7] for r in sorted((r for r in rows if r[0] == 2), key=lambda r: r[1])])
     z = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), 1)
@@ -173,6 +175,32 @@ def test_pca(spark, data):
     assert np.allclose((p**2).sum(0), vals[:4])
 
 
+def test_pca_by_a_sketch_narrower_than_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRIPE", 7)
+    rng = np.random.default_rng(8)
+    x = {}
+    for layer, d in ((1, 40), (2, 12)):
+        m = rng.normal(size=(200, 5)) @ rng.normal(size=(5, d)) * 3 + rng.normal(size=(200, d)) * 0.05
+        m[:, 3] = 2.5  # a constant column
+        x[layer] = m
+    x[3] = np.ones((6, 4))
+    rows = [(k, i, v.tolist()) for k, m in x.items() for i, v in enumerate(m)]
+    rows[0][2][5] = float("nan")
+    x[1][0, 5] = 0
+    df = spark.createDataFrame(rows, "layer int, row_id long, vec array<double>").repartition(6)
+    scores, ratios = S.pca(df, 3, sketch=10)
+    got = {(r["layer"], r["component"]): r["explained_variance_ratio"] for r in ratios.collect()}
+    pcs = {(r["layer"], r["row_id"]): np.array(r["pcs"]) for r in scores.collect()}
+    for layer in (1, 2):
+        m = x[layer]
+        z = np.where(m.std(0) > 1e-9, (m - m.mean(0)) / np.where(m.std(0) > 1e-9, m.std(0), 1), 0)
+        _, s, vt = np.linalg.svd(z, full_matrices=False)
+        assert np.allclose([got[layer, i] for i in (1, 2, 3)], s[:3] ** 2 / (s**2).sum(), rtol=1e-6)
+        p = np.array([pcs[layer, i] for i in range(200)])
+        assert np.allclose(np.abs(p), np.abs(z @ vt[:3].T), atol=1e-3)
+    assert all(got[3, i] == 0 for i in (1, 2, 3)) and not pcs[3, 0].any()
+
+
 def test_inner_product_extremes_against_all_products(spark):
     from facetlens.operators.subspace import Extremes, inner_product_extremes
 
