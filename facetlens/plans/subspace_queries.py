@@ -148,10 +148,17 @@ def probe_features(v):
     return r_cols(f.select("layer", "row_id", "axis", "family", F.posexplode("pcs").alias("component", "x")), ["x"])
 
 
-def _probe(v, label, group, task, layer=24):
+TASKS = [
+    P.Task("axis_by_family", "axis", "family"), P.Task("axis_by_template", "axis", "template_id"), P.Task("entity_by_template", "entity", "template_id"),
+    *[P.Task(f"entity_in_{x}_by_template", "entity", "template_id", f"axis = '{x}'") for x in ("ax0", "ax1", "ax2")],
+    P.Task("family_by_entity", "family", "entity"), P.Task("form_by_entity", "required_form", "entity"),
+]
+
+
+def probes(v):
+    """Every task on every layer."""
     f = v.memo("probe-features", lambda: P.probe_features(v.vectors, 8))
-    build = lambda: P.grouped_probe(f.filter(F.col("layer") == layer), layer, label, group, 3, task)
-    return v.memo(("probe", task, layer), lambda: settle(build(), "probe"))
+    return v.memo("probes", lambda: settle(P.grouped_probe(f, TASKS, 3), "probes"))
 
 
 SCORES = ["accuracy_mean", "accuracy_sd", "macro_f1_mean", "macro_f1_sd"]
@@ -159,10 +166,21 @@ SCORES = ["accuracy_mean", "accuracy_sd", "macro_f1_mean", "macro_f1_sd"]
 
 @query("grouped_probe")
 def grouped_probe(v):
-    return r_cols(_probe(v, "axis", "family", "axis_by_family"), SCORES)
+    return r_cols(probes(v), SCORES)
+
+
+@query(
+    "probe_sizes",
+    "WITH t AS (SELECT l.layer, m.*, u FROM v_meta m, v_layers l, (SELECT unnest(["
+    + ", ".join(f"{{'split_type': '{t.name}', 'label': '{t.label}', 'only': '{t.where.split(chr(39))[1] if chr(39) in t.where else ''}'}}" for t in TASKS)
+    + """]) AS u)) SELECT layer, u.split_type, count(DISTINCT CASE u.label WHEN 'axis' THEN axis WHEN 'entity' THEN entity WHEN 'family' THEN family ELSE required_form END) AS n_classes, count(*) AS n_samples
+FROM t WHERE u.only = '' OR axis = u.only GROUP BY layer, u.split_type""",
+)
+def probe_sizes(v):
+    """What each probe was fitted on: classes and rows."""
+    return probes(v).select("layer", "split_type", "n_classes", "n_samples")
 
 
 @query("probe_score_summary")
 def probe_score_summary(v):
-    both = _probe(v, "axis", "family", "axis_by_family").unionByName(_probe(v, "entity", "template_id", "entity_by_template"))
-    return r_cols(P.probe_score_summary(both, ["layer", "split_type"]), ["macro_f1"])
+    return r_cols(P.probe_score_summary(probes(v), ["layer", "split_type"]), ["macro_f1"])

@@ -100,15 +100,50 @@ def test_samples_and_folds(spark):
 def test_probe_has_no_leak_and_learns(spark):
     rng = np.random.default_rng(2)
     rows = []
-    for i in range(240):
-        y = i % 3
-        rows.append((i, f"c{y}", f"t{i // 3 % 8}", [float(v) for v in rng.normal(size=4) * 0.3 + np.eye(4)[y] * 2]))
-    df = spark.createDataFrame(rows, "row_id long, cls string, grp string, pcs array<double>")
-    pred = probes.cross_validated_predictions(df, "cls", "grp", 4)
-    per_group = pred.join(df, "row_id").groupBy("grp").agg(F.countDistinct("fold").alias("n")).collect()
-    assert all(r["n"] == 1 for r in per_group) and pred.count() == 240
-    r = probes.grouped_probe(df, 5, "cls", "grp", 4, "task").first()
-    assert 0.9 < r["accuracy_mean"] <= 1 and 0.9 < r["macro_f1_mean"] <= 1
+    for layer in (5, 6):
+        for i in range(240):
+            y = i % 3
+            spread = 0.3 if layer == 5 else 1.5
+            rows.append((layer, i, f"c{y}", f"t{i // 3 % 8}", "odd" if i % 2 else "even", [float(v) for v in rng.normal(size=4) * spread + np.eye(4)[y] * 2]))
+    df = spark.createDataFrame(rows, "layer int, row_id long, cls string, grp string, half string, pcs array<double>").repartition(5)
+    tasks = [probes.Task("all", "cls", "grp"), probes.Task("odd", "cls", "grp", "half = 'odd'"), probes.Task("one class", "half", "grp", "half = 'odd'")]
+    pred = probes.cross_validated_predictions(df, tasks, 4)
+    every = pred.filter("task = 'all'").join(df, ["layer", "row_id"])
+    per_group = every.groupBy("layer", "grp").agg(F.countDistinct("fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in per_group) and every.count() == 480
+    got = {(r["layer"], r["split_type"]): r for r in probes.grouped_probe(df, tasks, 4).collect()}
+    assert set(got) == {(k, t) for k in (5, 6) for t in ("all", "odd")}
+    assert 0.9 < got[5, "all"]["accuracy_mean"] <= 1 and 0.9 < got[5, "odd"]["macro_f1_mean"] <= 1 and got[6, "all"]["accuracy_mean"] < 1
+    assert [(r["n_classes"], r["n_samples"], r["n_folds"]) for r in (got[5, "all"], got[6, "odd"])] == [(3, 240, 4), (3, 120, 4)]
+
+    # Against single fits by another optimiser, on uneven classes.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    uneven = df.filter("layer = 6 AND NOT (cls = 'c1' AND row_id % 5 < 3)")
+    pred = probes.cross_validated_predictions(uneven, tasks[:1], 3)
+    for fold in range(3):
+        test = pred.filter(F.col("fold") == fold)
+        rows = uneven.join(test.select("row_id", "label", "prediction"), "row_id", "left").withColumn("y", F.substring("cls", 2, 1).cast("double"))
+        train = rows.filter("label IS NULL").drop("label", "prediction").withColumn("v", array_to_vector("pcs"))
+        n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+        weight = F.create_map(*[F.lit(x) for y, c in n.items() for x in (y, sum(n.values()) / (3 * c))])
+        fit = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", family="multinomial", maxIter=200, tol=1e-9, regParam=1 / sum(n.values()), standardization=False).fit(train.withColumn("w", weight[F.col("y")]))
+        held = rows.filter("label IS NOT NULL").withColumn("v", array_to_vector("pcs")).withColumnRenamed("prediction", "own")
+        assert fit.transform(held).filter("own <> prediction").count() == 0
+
+
+def test_quasi_newton_step_reaches_the_minimum():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(30, 12))
+    h, b = a.T @ a + np.eye(12), rng.normal(size=12)
+    m = probes.Model(np.ones(2), np.zeros(12), 1.0)
+    for _ in range(100):
+        x = m.trial
+        m.take(0.5 * x @ h @ x - b @ x, h @ x - b, 1e-9)
+        if m.done:
+            break
+    assert np.allclose(m.point, np.linalg.solve(h, b), atol=1e-7)
 
 
 def test_grid_controls_and_pending(spark):
