@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
 from facetlens.functions.constants import AXIS_PREFIX_MAP
+from facetlens.functions.hashing import MIX, STEP
 
 ROLES = {
     "stereotyped": "stereotyped_answer_idx",
@@ -154,8 +155,6 @@ def interpretation_label() -> Column:
 POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
-#: Fixed multipliers of the weights' generator; products of 32-bit numbers with them stay below 2^63.
-MIX, STEP = 73244475, 2654435769
 #: Items weighted at a time, and groups whose sums a task keeps before it sends them.
 WEIGHT_ROWS, KEPT_GROUPS = 2048, 2048
 

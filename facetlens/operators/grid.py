@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
 from facetlens.functions.constants import PRIORITY_ORDER
-from facetlens.functions.hashing import job_key, seeded_hash
+from facetlens.functions import vec as V
+from facetlens.functions.hashing import counter_hashes, job_key, normal_values, seeded_hash
 from facetlens.functions.joins import spread_join
 
 
@@ -146,7 +147,6 @@ def feature_sets(triage: DataFrame, top_ks: list[int], artifact_top: int = 20) -
 
 def feature_set_vector(sets: DataFrame, decoder: DataFrame, normalize: bool = True) -> DataFrame:
     """(layer, set_id, vec): unit length signed mean of the set's (normalised) decoder rows."""
-    from facetlens.functions import vec as V
     from facetlens.operators.means import mean_vector
 
     members = sets.select("layer", "set_id", F.explode(F.arrays_zip("feature_ids", "signs")).alias("_m")).select(
@@ -205,9 +205,23 @@ def experiment_grid(
 CONTROLS = ["sign_flip", "random_direction_norm_matched", "random_feature_matched"]  # fixed values
 
 
-def control_rows(items: DataFrame, sets: DataFrame, alphas: list[float], scoring: str, n_features: int) -> DataFrame:
+def random_directions(rows: DataFrame, seed: str, width: int, out: str = "vec") -> DataFrame:
+    """``rows`` with a unit vector of ``width`` normal values, NULL where the seed is.
+
+    The values follow from the 32-bit seed and their place alone, so a direction is the same
+    in every engine and for any partitioning; its length is that of a feature set's vector.
+    """
+    drawn = rows.withColumn("_h", F.when(F.col(seed).isNotNull(), counter_hashes(F.col(seed), 2 * width)))
+    drawn = drawn.withColumn("_z", F.when(F.col(seed).isNotNull(), normal_values(F.col("_h"), width)))
+    return drawn.withColumn(out, V.scale("_z", F.lit(1.0) / F.greatest(V.norm("_z"), F.lit(1e-9)))).drop("_h", "_z")
+
+
+def control_rows(items: DataFrame, sets: DataFrame, alphas: list[float], scoring: str, n_features: int, width: int | None = None) -> DataFrame:
     """Sign-flip, random-direction and random-feature controls per item, set and alpha.
 
+    With ``width`` random directions have their unit vector of that width in ``vec``; the vectors of
+    the other controls follow from their features and signs (``feature_set_vector``).
+
     The seed is read from a hash of the job key. Random features are the first values of a seeded
     permutation (a * i + b modulo the least prime from the dictionary size on) inside the
     dictionary: distinct by construction, for any set size, free of partitioning effects.
@@ -229,7 +243,11 @@ def control_rows(items: DataFrame, sets: DataFrame, alphas: list[float], scoring
     drawn = F.slice(F.filter(values, lambda f: f < n_features), 1, size)
     ids = F.when(F.col("control_type") == "random_feature_matched", drawn).otherwise(F.col("feature_ids"))
     signs = F.when(F.col("control_type") == "sign_flip", F.transform("signs", lambda s: -s)).otherwise(F.col("signs"))
-    return rows.withColumn("feature_ids", ids).withColumn("signs", signs)
+    rows = rows.withColumn("feature_ids", ids).withColumn("signs", signs)
+    if width is None:
+        return rows
+    own = F.when(F.col("control_type") == "random_direction_norm_matched", F.col("seed"))
+    return random_directions(rows.withColumn("_own", own), "_own", width).drop("_own")
 
 
 def pending(jobs: DataFrame, done: DataFrame, key: str = "job_id") -> DataFrame:

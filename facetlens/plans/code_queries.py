@@ -214,7 +214,7 @@ def direction_reconstruction(v):
 @query(
     "dense_top_features",
     f"""WITH t AS (SELECT layer, feature_id, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, feature_id) AS col FROM v_codes GROUP BY layer, feature_id)
-SELECT d.layer, d.row_id, t.col - 1 AS col, d.feature_id, {R('d.activation')} AS activation FROM v_dense d JOIN t USING (layer, feature_id) WHERE t.col <= 16""",
+SELECT t.layer, m.row_id, t.col - 1 AS col, t.feature_id, {R('coalesce(c.activation, 0)')} AS activation FROM v_meta m CROSS JOIN t LEFT JOIN v_codes c ON c.layer = t.layer AND c.row_id = m.row_id AND c.feature_id = t.feature_id WHERE t.col <= 16""",
 )
 def dense_top_features(v):
     d = C.dense_top_features(v.codes, v.layer_meta, 16)
@@ -222,7 +222,7 @@ def dense_top_features(v):
     return r_cols(z.select("layer", "row_id", "col", F.col("z.feature_ids").alias("feature_id"), F.col("z.values").alias("activation")), ["activation"])
 
 
-@query("feature_values_for_id", f"SELECT layer, row_id, entity, {R('activation')} AS activation FROM v_dense JOIN v_meta USING (row_id) WHERE feature_id = 17")
+@query("feature_values_for_id", f"SELECT l.layer, m.row_id, m.entity, {R('coalesce(c.activation, 0)')} AS activation FROM v_meta m CROSS JOIN v_layers l LEFT JOIN (SELECT * FROM v_codes WHERE feature_id = 17) c ON c.layer = l.layer AND c.row_id = m.row_id")
 def feature_values_for_id(v):
     return r_cols(C.feature_values_for_id(v.codes, v.layer_meta, 17).select("layer", "row_id", "entity", "activation"), ["activation"])
 

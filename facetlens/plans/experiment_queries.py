@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
-from facetlens.functions.hashing import job_key
+from facetlens.functions.hashing import MIX, STEP, job_key
 from facetlens.functions.settle import settle
 from facetlens.operators import experiment as X, grid
 from facetlens.plans import geometry_queries, sqlviews, triage_queries as TQ
 from facetlens.plans.registry import query
 from facetlens.plans.sqlviews import boot_sql, summary_sql
-from facetlens.plans.views import RESULT_ALPHAS, RESULT_POSITIONS, N_FEATURES
+from facetlens.plans.views import DIM, LAYERS, N_FEATURES, RESULT_ALPHAS, RESULT_POSITIONS
 
 
 # The scores are short decimals, so their means can fall exactly between two values at six
@@ -294,19 +294,40 @@ def resume_incremental(v):
 
 
 _P = 97  # the least prime from N_FEATURES on
-CTL_SQL = f"""WITH b AS (SELECT r.item_uid, s.layer, s.set_id, s.feature_ids, s.signs, a.alpha, c.control_type,
+#: Feature sets of the controls, by a rule: layer, set_id, axis, feature ids, signs.
+CONTROL_SETS = [
+    (LAYERS[k % 3], f"L{LAYERS[k % 3]:02d}_control_{k}", ("race_ethnicity", "age", "socioeconomic_status", "none")[k % 4], [(k * 7 + j * 11) % N_FEATURES for j in range(2 + k)], [1.0 if (j + k) % 3 else -1.0 for j in range(2 + k)])
+    for k in range(6)
+]
+_CSETS = ", ".join(f"({layer}, '{name}', '{axis}', {ids}, {[int(s) for s in signs]})" for layer, name, axis, ids, signs in CONTROL_SETS)
+_MIXED = "list_transform({}, lambda x: (xor(x, x >> 16) * " + str(MIX) + ") & 4294967295)"
+_HASHES = f"list_transform(range(0, {2 * DIM}), lambda i: (seed + i * {STEP}) & 4294967295)"
+for _ in range(2):
+    _HASHES = f"list_transform({_MIXED.format(_MIXED.format(_HASHES))}, lambda x: xor(x, x >> 16))"
+
+CTL_SQL = f"""WITH s AS (SELECT * FROM (VALUES {_CSETS}) t(layer, set_id, axis, ids, signs)),
+ b AS (SELECT r.item_uid, s.*, a.alpha, c.control_type,
   substr(sha1(concat_ws('|', r.item_uid, s.layer, s.set_id, a.alpha, 'final_prompt_token', c.control_type, 'answer_logprob')), 1, 16) AS job_id
- FROM v_rawaxis r JOIN (SELECT * FROM {SET_SQL}) s ON s.axis = r.axis_mapped, (VALUES (0.5::DOUBLE)) a(alpha), (VALUES ('sign_flip'), ('random_direction_norm_matched'), ('random_feature_matched')) c(control_type)),
- k AS (SELECT *, len(string_split(feature_ids, ',')) AS n FROM b),
- d AS (SELECT job_id, n, i, (((1 + ('0x' || substr(sha1(job_id), 1, 8))::BIGINT % {_P - 1}) * i + ('0x' || substr(md5(concat_ws(':', 'draw', job_id)), 1, 8))::BIGINT % {_P}) % {_P})::INT AS f FROM (SELECT job_id, n, unnest(range(0, n + {_P - N_FEATURES})) AS i FROM k WHERE control_type = 'random_feature_matched')),
- f AS (SELECT job_id, string_agg(f::VARCHAR, ',' ORDER BY i) AS ids FROM (SELECT job_id, n, f, i, row_number() OVER (PARTITION BY job_id ORDER BY i) AS rn FROM d WHERE f < {N_FEATURES}) WHERE rn <= n GROUP BY job_id)
-SELECT item_uid, layer, set_id, alpha, control_type, job_id, ('0x' || substr(sha1(job_id), 1, 8))::BIGINT AS seed, coalesce(f.ids, feature_ids) AS feature_ids,
- CASE WHEN control_type = 'sign_flip' THEN array_to_string(list_transform(string_split(signs, ','), lambda x: (-x::INT)::VARCHAR), ',') ELSE signs END AS signs
-FROM k LEFT JOIN f USING (job_id)"""
+ FROM v_rawaxis r JOIN s ON s.axis = r.axis_mapped, (VALUES {', '.join(f'({a}::DOUBLE)' for a in RESULT_ALPHAS)}) a(alpha), (VALUES ('sign_flip'), ('random_direction_norm_matched'), ('random_feature_matched')) c(control_type)),
+ k AS (SELECT *, ('0x' || substr(sha1(job_id), 1, 8))::BIGINT AS seed, ('0x' || substr(md5(concat_ws(':', 'draw', job_id)), 1, 8))::BIGINT % {_P} AS start FROM b),
+ d AS (SELECT *, list_filter(list_transform(range(0, len(ids) + {_P - N_FEATURES}), lambda i: ((1 + seed % {_P - 1}) * i + start) % {_P}), lambda f: f < {N_FEATURES})[1:len(ids)] AS drawn FROM k),
+ h AS (SELECT *, CASE WHEN control_type = 'random_direction_norm_matched' THEN {_HASHES} END AS h FROM d),
+ z AS (SELECT *, CASE WHEN h IS NOT NULL THEN list_transform(range(1, {DIM + 1}), lambda i: sqrt(-2 * ln((h[2 * i - 1] + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * h[2 * i] / 4294967296.0::DOUBLE)) END AS z FROM h),
+ n AS (SELECT *, greatest(sqrt(list_sum(list_transform(z, lambda x: x * x))), 1e-9) AS norm FROM z)
+SELECT item_uid, layer, set_id, alpha, control_type, job_id, seed, array_to_string(CASE WHEN control_type = 'random_feature_matched' THEN drawn ELSE ids END, ',') AS feature_ids,
+ array_to_string(CASE WHEN control_type = 'sign_flip' THEN list_transform(signs, lambda x: -x) ELSE signs END, ',') AS signs,
+ {R('z[1] / norm')} AS vec_first, {R(f'z[{DIM}] / norm')} AS vec_last, {R(f'list_sum(list_transform(range(1, {DIM + 1}), lambda i: i * z[i])) / norm')} AS vec_weighted
+FROM n"""
 
 
 @query("control_rows", CTL_SQL)
 def control_rows(v):
-    c = grid.control_rows(v.prepared.select("item_uid", "axis_mapped"), _small_sets(v), [0.5], "answer_logprob", N_FEATURES)
+    """All alphas, with the random directions' vectors (first and last value, and their sum weighted by place)."""
+    sets = v.spark.createDataFrame(CONTROL_SETS, "layer int, set_id string, axis string, feature_ids array<int>, signs array<double>")
+    c = grid.control_rows(v.prepared.select("item_uid", "axis_mapped"), sets, RESULT_ALPHAS, "answer_logprob", N_FEATURES, DIM)
     join = lambda x: F.array_join(F.transform(x, lambda e: e.cast("int").cast("string")), ",").alias(x)
-    return c.select("item_uid", "layer", "set_id", "alpha", "control_type", "job_id", "seed", join("feature_ids"), join("signs"))
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    out = c.select(
+        "item_uid", "layer", "set_id", "alpha", "control_type", "job_id", "seed", join("feature_ids"), join("signs"),
+        F.get("vec", F.lit(0)).alias("vec_first"), F.get("vec", F.lit(DIM - 1)).alias("vec_last"), F.when(F.col("vec").isNotNull(), weighted).alias("vec_weighted"))
+    return r_cols(out, ["vec_first", "vec_last", "vec_weighted"])

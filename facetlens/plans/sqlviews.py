@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from facetlens.functions.constants import AXIS_MAP, AXIS_PREFIX_MAP, MANUAL_ALIASES, TEMPLATE_WORDS, UNKNOWN_ALIASES
-from facetlens.operators.experiment import MIX, STEP
+from facetlens.functions.hashing import MIX, STEP
 from facetlens.plans.views import (
     CONTRASTS, DIM, FORM_COLUMNS, ITEM_CATEGORIES, ITEM_CONTRASTS, ITEM_LABELS, LAYERS, N_FEATURES, RESULT_ALPHAS, RESULT_POSITIONS,
     RESULT_SET_COLS, RESULT_SETS, TOKEN_FEATURES, TOP_K,

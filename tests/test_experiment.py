@@ -1,3 +1,5 @@
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +148,19 @@ def test_quasi_newton_step_reaches_the_minimum():
     assert np.allclose(m.point, np.linalg.solve(h, b), atol=1e-7)
 
 
+def test_random_directions_are_normal_and_portable(spark):
+    df = spark.range(400).selectExpr("id", "CASE WHEN id > 0 THEN id * 7919 END AS seed")
+    got = {r["id"]: r["vec"] for r in grid.random_directions(df.repartition(7), "seed", 24).collect()}
+    again = {r["id"]: r["vec"] for r in grid.random_directions(df.coalesce(1), "seed", 24).collect()}
+    assert got == again and got[0] is None
+    m = np.array([got[i] for i in range(1, 400)])
+    assert np.allclose((m**2).sum(1), 1) and abs(m.mean()) < 0.01
+    z = np.sort((m * np.sqrt(24)).ravel())
+    normal = np.array([statistics.NormalDist().cdf(x) for x in z])
+    assert np.abs(normal - np.arange(len(z)) / len(z)).max() < 0.03
+    assert np.abs(np.corrcoef(m.T) - np.eye(24)).max() < 0.25
+
+
 def test_grid_controls_and_pending(spark):
     items = spark.createDataFrame([(f"i{n}", "age" if n % 2 else "ses") for n in range(6)], "item_uid string, axis_mapped string")
     sets = spark.createDataFrame(
