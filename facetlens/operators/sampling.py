@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions.hashing import seeded_order
 from facetlens.functions.joins import spread_join
+from facetlens.functions.numbering import numbered
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -38,14 +39,13 @@ def stratified_sample(df: DataFrame, stratum: Column, key: str, max_rows: int, s
 def group_kfold(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, n, fold): whole groups dealt to folds, largest first, in snake order.
 
-    The deal runs over the group sizes (templates or entities), not over the rows. The
-    number of folds is at most the number of groups.
+    Groups are numbered by falling size without a window over all of them (``numbered``), and the
+    number alone gives the fold. The number of folds is at most the number of groups.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), group)
-    n_groups = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    k = F.least(F.lit(folds), n_groups)
-    at = F.pmod(F.row_number().over(order) - 1, 2 * k)
-    return sizes.withColumn("_k", k).withColumn("_at", at).select(
+    placed = numbered(sizes, [F.desc("n"), F.col(group).asc_nulls_first()], "group-folds")
+    k = F.least(F.lit(folds).cast("bigint"), F.col("_total"))
+    at = F.pmod(F.col("_rn"), 2 * k)
+    return placed.withColumn("_k", k).withColumn("_at", at).select(
         group, "n", F.when(F.col("_at") < F.col("_k"), F.col("_at")).otherwise(2 * F.col("_k") - 1 - F.col("_at")).cast("int").alias("fold")
     )

@@ -7,6 +7,8 @@ afterwards, so a feature that fires on most tokens is reduced inside each task.
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,25 +31,70 @@ def content_only(tokens: DataFrame) -> DataFrame:
     )
 
 
+#: Terms of one automaton, and characters of terms whose automata a task keeps.
+AUTOMATON_TERMS, KEPT_CHARS = 20_000, 1 << 20
+
+
+class TermFinder:
+    """Aho-Corasick automata of term lists, kept for the lists that come again."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, ...], list] = {}
+        self.chars = 0
+
+    def automata(self, terms: tuple[str, ...]) -> list:
+        if terms not in self.known:
+            made = []
+            for at in range(0, len(terms), AUTOMATON_TERMS):
+                a = ahocorasick.Automaton()
+                for t in terms[at:at + AUTOMATON_TERMS]:
+                    a.add_word(t, t)
+                a.make_automaton()
+                made.append(a)
+            if self.chars > KEPT_CHARS:
+                self.known.clear()
+                self.chars = 0
+            self.known[terms] = made
+            self.chars += sum(map(len, terms))
+        return self.known[terms]
+
+    def spans(self, text: str, terms: tuple[str, ...]) -> list[tuple[str, int, int]]:
+        """(term, start, end) of the leftmost non-overlapping occurrences of each term, in one pass a group of terms."""
+        out, upto = [], {}
+        for a in self.automata(terms):
+            for last, term in a.iter(text):
+                start = last + 1 - len(term)
+                if start >= upto.get(term, 0):
+                    out.append((term, start, last + 1))
+                    upto[term] = last + 1
+        return out
+
+
 def all_term_spans(prompts: DataFrame, key: str, text: str, terms: str) -> DataFrame:
     """(key, term, start, end): non-overlapping, case-insensitive occurrences of each term.
 
-    The text between occurrences is what splitting by the term gives, so the offsets are
-    running sums of piece lengths; one (text, term) is one window.
+    Every text is read once by the automaton of its own terms, in the task that has it; nothing is
+    shuffled. ``key`` names a text. Null texts, null and blank terms give nothing; a term
+    listed twice counts once.
     """
-    term = F.lower(T.strip(F.col("_t")))
-    rows = prompts.select(key, F.lower(F.col(text)).alias("_p"), F.explode(F.array_distinct(F.col(terms))).alias("_t"))
-    rows = rows.withColumn("term", term).filter("term <> ''").dropDuplicates([key, "term"])
-    # Only texts that contain the term are cut up.
-    rows = rows.filter(F.position(F.col("term"), F.col("_p")) > 0)
-    quoted = F.concat(F.lit("\\Q"), "term", F.lit("\\E"))
-    pieces = rows.select(key, "term", F.posexplode(F.transform(F.split("_p", quoted, -1), F.length)).alias("_i", "_len"))
-    w = Window.partitionBy(key, "term").orderBy("_i")
-    before = F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.lead("_i").over(w).isNull()
-    out = pieces.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_last", last).filter(~F.col("_last"))
-    start = F.col("_before") + F.col("_len") + F.col("_i") * F.length("term")
-    return out.select(key, "term", start.cast("int").alias("start_char"), (start + F.length("term")).cast("int").alias("end_char"))
+    own = F.array_distinct(F.filter(F.transform(F.col(terms), lambda t: F.lower(T.strip(t))), lambda t: t != ""))
+    rows = prompts.select(key, F.lower(F.col(text)).alias("_p"), own.alias("_t")).filter("_p IS NOT NULL AND size(_t) > 0")
+    schema = prompts.select(key, F.lit("").alias("term"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char")).schema
+
+    def run(batches):
+        finder = TermFinder()
+        for batch in batches:
+            found, of = [], []
+            for i, (p, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                spans = finder.spans(p, tuple(sorted(t)))
+                found += spans
+                of += [i] * len(spans)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of, pa.int64())), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())],
+                [key, "term", "start_char", "end_char"],
+            )
+
+    return rows.mapInArrow(run, schema)
 
 
 def overlaps(start: Column, end: Column, spans: Column) -> Column:

@@ -97,6 +97,16 @@ def test_samples_and_folds(spark):
     folds = sampling.group_kfold(df, "g", 4).collect()
     assert len(folds) == 11 and {r["fold"] for r in folds} == {0, 1, 2, 3}
     assert {r["fold"] for r in sampling.group_kfold(df.filter("g IN ('t1', 't2')"), "g", 5).collect()} == {0, 1}
+    # Many groups of many sizes, null among them: every group once, folds within one largest group.
+    many = spark.range(3000).selectExpr("CASE WHEN id < 40 THEN NULL ELSE concat('g', CAST(pow(id, 0.75) AS INT)) END AS g")
+    dealt = sampling.group_kfold(many, "g", 7).collect()
+    assert len(dealt) == len({r["g"] for r in dealt}) and sum(r["n"] for r in dealt) == 3000
+    size = {}
+    for r in dealt:
+        size[r["fold"]] = size.get(r["fold"], 0) + r["n"]
+    assert max(size.values()) - min(size.values()) <= max(r["n"] for r in dealt)
+    assert [r["n"] for r in sorted(dealt, key=lambda r: (-r["n"], r["g"] is not None, r["g"]))][0] == 40
+    assert sampling.group_kfold(many.limit(0), "g", 3).count() == 0
 
 
 def test_probe_has_no_leak_and_learns(spark):

@@ -99,3 +99,29 @@ def test_token_tables_reach_localization(spark, tmp_path):
     assert (r["max_token_activation"], r["span_localization_score"], r["final_token_activation"]) == (0.8, 0.5, 0.25)
     p = {x["prompt_id"]: x for x in K.prompt_activation(t, filled=False).collect()}
     assert p["1"]["final_token_activation"] is None and p["2"]["final_token_activation"] == 0.5
+
+
+def test_all_term_spans_by_splitting(spark, monkeypatch):
+    import random
+
+    from facetlens.operators import tokens
+
+    monkeypatch.setattr(tokens, "AUTOMATON_TERMS", 3)
+    monkeypatch.setattr(tokens, "KEPT_CHARS", 40)
+    draw = random.Random(3)
+    words = ["ab", "a", "aba", "É", "é b", " B ", "", "  ", None, "ba", "x.y", "\\E"]
+    rows = [(k, "".join(draw.choice("abÉé xy.\\E") for _ in range(draw.randint(0, 60))) if k % 9 else None, draw.sample(words, draw.randint(0, 8)) if k % 7 else None) for k in range(200)]
+    rows.append((200, "ab" * 50_000, ["AB", "ab", "ba"]))
+    df = spark.createDataFrame(rows, "k long, p string, t array<string>")
+    want = set()
+    for k, p, t in rows:
+        for term in {x.strip().lower() for x in t or [] if x and x.strip()}:
+            at, text = 0, (p or "").lower()
+            while (at := text.find(term, at)) >= 0:
+                want.add((k, term, at, at + len(term)))
+                at += len(term)
+    out = tokens.all_term_spans(df.repartition(5), "k", "p", "t")
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = tokens.all_term_spans(df, "k", "p", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
