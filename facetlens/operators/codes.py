@@ -440,7 +440,11 @@ def direction_reconstruction(
     extra = ["selection_method", "k"]
     ready = built.filter(F.col("dir").isNotNull()).select(*group, "dir")
     metrics = G.endpoint_component_metrics(vm, ready, extra).select(*group, "auc", "cohens_d")
-    return built.select(*group, "n_features", "cosine_with_full_direction", "fraction_norm_captured").join(metrics, group, "left")
+    # What the whole direction reaches, beside what its parts reach.
+    whole = G.endpoint_component_metrics(vm, directions.select(*G.KEYS, *G.CONTRAST, F.lit("full").alias("part"), "dir"), ["part"])
+    whole = whole.select(*G.KEYS, "contrast_name", F.col("auc").alias("full_direction_auc"), F.col("cohens_d").alias("full_direction_cohens_d"))
+    out = built.select(*group, "n_features", "cosine_with_full_direction", "fraction_norm_captured").join(metrics, group, "left")
+    return out.join(whole, part, "left")
 
 
 # ---- edits in code space and back ---------------------------------------------

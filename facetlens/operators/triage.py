@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from facetlens.functions import constants as K
 from facetlens.functions.numeric import clip01, null_safe_mean, safe_ratio
@@ -125,14 +126,35 @@ def entity_specificity(selectivity: DataFrame) -> DataFrame:
     )
 
 
-def shared_loading_score(tables: list[DataFrame], by_feature: bool = True) -> DataFrame:
-    """|abs_loading| over its global maximum: max per (layer, feature), or mean per layer."""
-    src = union_sources(*tables).withColumn("_s", F.abs("abs_loading"))
+#: Words of which one occurs in the name of a column that can stand in for the loadings (fixed values).
+LOADING_WORDS = ["loading", "shared", "projection", "variance", "score"]
+
+
+def loading_column(df: DataFrame) -> str | None:
+    """``abs_loading``, or else the first numeric column whose name holds one of ``LOADING_WORDS``."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in FEATURE and any(w in f.name.lower() for w in LOADING_WORDS)]
+    return "abs_loading" if "abs_loading" in numeric else next(iter(numeric), None)
+
+
+def shared_loading_score(tables: list[DataFrame], by_feature: bool | None = None) -> DataFrame:
+    """The absolute loading (``loading_column``) over its global maximum: max per (layer, feature), or mean per layer.
+
+    ``by_feature`` None: per feature where any row names one. Tables without a layer give one mean over
+    all; without a usable column there are no rows.
+    """
+    src = union_sources(*tables)
+    column = loading_column(src)
+    if column is None:
+        return src.sparkSession.createDataFrame([], "layer int, shared_pc_loading_score double")
+    src = src.withColumn("_s", F.abs(F.col(column).cast("double")))
     top = src.agg(F.max("_s").alias("m")).select("m").scalar()
     score = F.col("_s") / F.when(top > 0, top).otherwise(F.lit(1.0))
+    if by_feature is None:
+        by_feature = set(FEATURE) <= set(src.columns) and not src.filter("layer IS NOT NULL AND feature_id IS NOT NULL").isEmpty()
     if by_feature:
         return src.filter("layer IS NOT NULL AND feature_id IS NOT NULL").groupBy(*FEATURE).agg(F.max(score).alias("shared_pc_loading_score"))
-    return src.groupBy("layer").agg(F.avg(score).alias("shared_pc_loading_score"))
+    keys = ["layer"] if "layer" in src.columns else []
+    return src.groupBy(*keys).agg(F.avg(score).alias("shared_pc_loading_score"))
 
 
 def feature_key_spine(*tables: DataFrame) -> DataFrame:
@@ -145,7 +167,8 @@ def triage_scores(spine: DataFrame, shared: DataFrame) -> DataFrame:
     """Specificity, sharedness, artifact, polysemanticity and cross-axis scores in [0, 1]."""
     df = spine.join(shared, FEATURE, "left")
     have = set(df.columns)
-    c = lambda name, default=0.0: F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)
+    # An absent column counts as 0 whatever a row's missing value counts as.
+    c = lambda name, default=0.0: F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(0.0)
     # A column that is missing in a row leaves the score undefined, which clips to 0.
     raw = lambda name: F.col(name).cast("double") if name in have else F.lit(0.0)
     cap = lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), x))

@@ -198,9 +198,12 @@ ru AS (SELECT r.*, d.d, d.axis, d.entity_a, d.entity_b, sqrt(sum(r * r) OVER (PA
 hd AS (SELECT layer, resid, contrast_name, axis, entity_a, entity_b, selection_method, k, any_value(nf) AS n_features, sum(d * r / nr) AS cosf, any_value(nr * nr) AS fr FROM ru GROUP BY layer, resid, contrast_name, axis, entity_a, entity_b, selection_method, k),
 sc AS (SELECT r.layer, r.resid, u.contrast_name, u.selection_method, u.k, r.row_id, r.entity = u.entity_a AS is_a, sum((r.x - g.gm) * u.r / u.nr) AS score
  FROM v_resid r JOIN v_gm g USING (layer, resid, pos) JOIN ru u ON u.layer = r.layer AND u.resid = r.resid AND u.pos = r.pos AND (r.entity = u.entity_a OR r.entity = u.entity_b) GROUP BY ALL),
-mt AS ({metric_sql('sc', 'layer, resid, contrast_name, selection_method, k')})
-SELECT hd.layer, hd.resid, hd.contrast_name, hd.axis, hd.entity_a, hd.entity_b, hd.selection_method, hd.k, hd.n_features, {R('cosf')} AS cosine_with_full_direction, {R('fr')} AS fraction_norm_captured, {R('mt.auc')} AS auc, {R('mt.cohens_d')} AS cohens_d
-FROM hd LEFT JOIN mt USING (layer, resid, contrast_name, selection_method, k)""",
+mt AS ({metric_sql('sc', 'layer, resid, contrast_name, selection_method, k')}),
+fs AS (SELECT r.layer, r.resid, d.contrast_name, r.row_id, r.entity = d.entity_a AS is_a, sum((r.x - g.gm) * d.d) AS score
+ FROM v_resid r JOIN v_gm g USING (layer, resid, pos) JOIN v_dir d ON d.layer = r.layer AND d.resid = r.resid AND d.pos = r.pos AND (r.entity = d.entity_a OR r.entity = d.entity_b) GROUP BY ALL),
+fm AS ({metric_sql('fs', 'layer, resid, contrast_name')})
+SELECT hd.layer, hd.resid, hd.contrast_name, hd.axis, hd.entity_a, hd.entity_b, hd.selection_method, hd.k, hd.n_features, {R('cosf')} AS cosine_with_full_direction, {R('fr')} AS fraction_norm_captured, {R('mt.auc')} AS auc, {R('mt.cohens_d')} AS cohens_d, {R('fm.auc')} AS full_direction_auc, {R('fm.cohens_d')} AS full_direction_cohens_d
+FROM hd LEFT JOIN mt USING (layer, resid, contrast_name, selection_method, k) LEFT JOIN fm ON fm.layer = hd.layer AND fm.resid = hd.resid AND fm.contrast_name = hd.contrast_name""",
 )
 def direction_reconstruction(v):
     vm = variant_means(v, extra=())
@@ -208,7 +211,7 @@ def direction_reconstruction(v):
     # Rounded cosines keep equal decoder rows tied, so the feature id decides.
     a = r_cols(C.decoder_alignment(v.dec_weights, d), ["cosine_with_direction"])
     out = C.direction_reconstruction(vm, d, v.dec_weights, a, joined(v), RECON_KS)
-    return r_cols(out, ["cosine_with_full_direction", "fraction_norm_captured", "auc", "cohens_d"])
+    return r_cols(out, ["cosine_with_full_direction", "fraction_norm_captured", "auc", "cohens_d", "full_direction_auc", "full_direction_cohens_d"])
 
 
 @query(

@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from facetlens.functions.settle import shared_root
-from facetlens.operators import effects, geometry as G, sampling
+from facetlens.operators import effects, geometry as G, items, sampling
 from facetlens.plans.geometry_queries import explode_vec, r_cols
-from facetlens.plans.item_queries import prompt_grid
+from facetlens.plans.item_queries import ROLE_COLS, prompt_grid
 from facetlens.plans.registry import query
 from facetlens.plans.sqlviews import R
 from facetlens.sources import tables as S
@@ -114,6 +114,50 @@ def read_items_jsonl(v):
     )
 
 
+_RAW_TEXT, _RAW_LABEL = "[ans0, ans1, ans2]", "CASE WHEN doc_id % 6 = 5 THEN [ans0, ans1, ans2] ELSE [l0, l1, l2] END"
+
+
+def _raw_lines(v, name, sparse):
+    """The items as JSON lines, with lines that are none; with ``sparse`` some items lack fields."""
+    path = out_path(v, name)
+    lacks = lambda n, c: F.when(~F.lit(sparse) | (F.col("doc_id") % n != n - 1), c)
+    info = F.struct(*[
+        F.when(F.lit(sparse) & (F.col("doc_id") % 6 == 5), F.array(F.get("answer_texts", i))).otherwise(F.array(F.get("answer_texts", i), F.get("answer_labels", i))).alias(f"ans{i}") for i in range(3)
+    ])
+    meta = F.struct(F.lit("s").alias("subcategory"), F.col("stereotyped_groups"))
+    line = F.to_json(F.struct(
+        "example_id", "question_index", F.col("category_raw").alias("category"), "context_condition", "question_polarity", lacks(7, F.col("context")).alias("context"), "question",
+        "ans0", "ans1", "ans2", F.col("correct_answer_idx").alias("label"), info.alias("answer_info"), lacks(4, meta).alias("additional_metadata")))
+    odd = F.when(F.col("doc_id") % 50 == 0, F.array(line, F.lit('{"example_id": 1, '))).when(F.col("doc_id") % 50 == 1, F.array(F.lit("[1, 2]"), line, F.lit("  "))).otherwise(F.array(line))
+    v.raw_items.select(F.explode(odd)).write.text(path)
+    return S.read_raw_items(v.spark, path)
+
+
+@query(
+    "read_raw_items",
+    f"""SELECT doc_id::VARCHAR AS example_id, (doc_id % 7)::VARCHAR AS question_index, category_raw, CASE WHEN doc_id % 4 <> 3 THEN 's' ELSE '' END AS subcategory,
+ CASE WHEN doc_id % 7 <> 6 THEN coalesce(context, '') ELSE '' END AS context, question, ans2, correct_answer_idx, array_to_string({_RAW_TEXT}, '|') AS texts, array_to_string({_RAW_LABEL}, '|') AS labels,
+ CASE WHEN doc_id % 4 <> 3 THEN array_to_string(stereotyped_groups, '|') ELSE '' END AS groups, (SELECT count(*) FILTER (doc_id % 50 < 2) FROM v_raw) AS bad_lines FROM v_raw""",
+)
+def read_raw_items(v):
+    """Items of lines that lack fields, and the number of lines that hold none."""
+    i, bad = _raw_lines(v, "raw-items-sparse", True)
+    join = lambda c, name: F.array_join(c, "|").alias(name)
+    out = i.select("example_id", "question_index", "category_raw", "subcategory", "context", "question", "ans2", "correct_answer_idx", join("answer_texts", "texts"), join("answer_labels", "labels"), join("stereotyped_groups", "groups"))
+    return out.withColumn("bad_lines", bad.agg(F.count(F.lit(1)).alias("n")).select("n").scalar())
+
+
+@query(
+    "prepare_raw_items",
+    f"SELECT w.doc_id::VARCHAR AS example_id, {', '.join('r.' + c for c in ROLE_COLS if c != 'item_uid')} FROM v_roles r JOIN v_raw w USING (item_uid)",
+)
+def prepare_raw_items(v):
+    """From JSON lines to the roles of the answers."""
+    i, _ = _raw_lines(v, "raw-items", False)
+    roles = items.assign_answer_roles(i.withColumn("item_uid", F.col("example_id")), v.aliases)
+    return roles.select(F.col("item_uid").alias("example_id"), *[c for c in ROLE_COLS if c != "item_uid"])
+
+
 @query(
     "conform_columns",
     """SELECT l_linenumber::DOUBLE AS feature_id, CASE WHEN l_orderkey % 5 <> 0 THEN l_tax END AS combined_score, l_discount AS auc, l_returnflag AS contrast_name, l_quantity AS cosine_with_direction FROM lineitem""",

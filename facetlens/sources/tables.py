@@ -150,6 +150,42 @@ def read_items_jsonl(spark: SparkSession, folder: str, categories: list[str] | N
     return df.filter(norm_stem.isin(wanted))
 
 
+def read_raw_items(spark: SparkSession, folder: str, categories: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, bad lines) of JSON lines whose fields may be absent or of another kind.
+
+    Lines are read as VARIANT values, so that no schema has to hold for all of them. Items have the input
+    columns of ``assign_answer_roles`` and their descriptive fields. Defaults: the file's stem
+    as category, a hash of the line as example id, empty texts and lists; an answer's label
+    falls back to its text; a label that is no whole number is NULL. Bad lines (line, source_file) are
+    those that hold no JSON object; blank lines are neither.
+    """
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("source_file")).filter(F.trim("value") != "")
+    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    is_item = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    bad = parsed.filter(~is_item).select(F.col("value").alias("line"), "source_file")
+    text = lambda path: F.try_variant_get("v", path, "string")
+    stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
+    items = parsed.filter(is_item)
+    if categories is not None:
+        plain = lambda c: F.replace(norm_text(c), F.lit(" "), F.lit("_"))
+        items = items.filter(plain(stem).isin([plain(F.lit(c)) for c in categories]))
+    info = [F.try_variant_get("v", f"$.answer_info.ans{i}", "array<string>") for i in range(3)]
+    answer = [F.coalesce(F.get(a, F.lit(0)), F.lit("")) for a in info]
+    label = [F.when(F.size(a) > 1, F.coalesce(F.get(a, F.lit(1)), F.lit(""))).otherwise(t) for a, t in zip(info, answer)]
+    groups = F.try_variant_get("v", "$.additional_metadata.stereotyped_groups", "array<string>")
+    whole = F.try_variant_get("v", "$.label", "int")
+    plain_text = lambda name: F.coalesce(text(f"$.{name}"), F.lit("")).alias(name)
+    out = items.select(
+        F.coalesce(text("$.example_id"), F.md5("value")).alias("example_id"), plain_text("question_index"), F.coalesce(text("$.category"), stem).alias("category_raw"),
+        F.coalesce(text("$.additional_metadata.subcategory"), F.lit("")).alias("subcategory"),
+        *[plain_text(c) for c in ("context_condition", "question_polarity", "context", "question", "ans0", "ans1", "ans2")],
+        whole.alias("correct_answer_idx"), F.array(*answer).alias("answer_texts"), F.array(*label).alias("answer_labels"),
+        F.coalesce(F.filter(groups, lambda g: g.isNotNull()), F.array().cast("array<string>")).alias("stereotyped_groups"), "source_file", stem.alias("_stem"),
+    )
+    uid = F.concat_ws(":", "_stem", "example_id", "question_index", "context_condition", "question_polarity", "source_file")
+    return out.select(uid.alias("item_uid"), *[c for c in out.columns if c != "_stem"]), bad
+
+
 def conform_columns(df: DataFrame, aliases: dict[str, list[str]] = K.METRIC_ALIASES, numeric: list[str] = K.METRIC_NUMERIC) -> DataFrame:
     """First existing alias becomes the canonical column; numeric columns are coerced, bad text to NULL."""
     out = df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})

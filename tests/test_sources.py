@@ -85,3 +85,32 @@ def test_incremental(spark, tmp_path):
     spark.range(2).write.mode("append").parquet(src)
     I.ingest_new_parts(spark, src, spark.range(1).schema, out, cp)
     assert spark.read.parquet(out).count() == 5
+
+
+def test_raw_items_of_any_shape(spark, tmp_path):
+    import json
+
+    from facetlens.sources.tables import read_raw_items
+
+    whole = {
+        "example_id": 7, "question_index": "2", "category": "SES", "context_condition": "ambig", "question_polarity": "neg", "context": "c", "question": "q", "ans0": "x", "ans1": "y", "ans2": "z", "label": 1,
+        "answer_info": {"ans0": ["The x", "poor"], "ans1": ["The y", "rich"], "ans2": ["Unknown", "unknown"]}, "additional_metadata": {"subcategory": "s", "stereotyped_groups": ["poor", None]},
+    }
+    lines = [
+        json.dumps(whole), json.dumps({"answer_info": {"ans0": ["only text"], "ans1": "no list", "ans2": []}, "label": "two", "additional_metadata": None, "more": {"deep": [1]}}),
+        json.dumps({"example_id": "id", "answer_info": [], "additional_metadata": {"stereotyped_groups": "poor"}, "label": 2.0}), "{}", "", "   ", "[]", "3", "null", '{"a":', "no json",
+    ]
+    (tmp_path / "Age.jsonl").write_text("\n".join(lines))
+    (tmp_path / "Race_ethnicity.jsonl").write_text(json.dumps(whole))
+    items, bad = read_raw_items(spark, str(tmp_path))
+    got = [r for r in items.collect() if r["source_file"] == "Age.jsonl"]
+    assert len(got) == 4 and items.count() == 5 and sorted(r["line"] for r in bad.collect()) == sorted(lines[6:])
+    one = next(r for r in got if r["example_id"] == "7")
+    assert one["item_uid"] == "Age:7:2:ambig:neg:Age.jsonl" and one["category_raw"] == "SES" and one["correct_answer_idx"] == 1
+    assert one["answer_labels"] == ["poor", "rich", "unknown"] and one["stereotyped_groups"] == ["poor"] and one["subcategory"] == "s"
+    bare = next(r for r in got if r["answer_texts"][0] == "only text")
+    assert bare["answer_labels"] == ["only text", "", ""] and bare["category_raw"] == "Age" and bare["stereotyped_groups"] == [] and bare["correct_answer_idx"] is None
+    odd = next(r for r in got if r["example_id"] == "id")
+    assert odd["answer_texts"] == ["", "", ""] and odd["context"] == "" and len({r["item_uid"] for r in got}) == 4
+    chosen, _ = read_raw_items(spark, str(tmp_path), ["race ethnicity"])
+    assert [r["source_file"] for r in chosen.collect()] == ["Race_ethnicity.jsonl"]

@@ -125,3 +125,27 @@ def test_all_term_spans_by_splitting(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     plan = tokens.all_term_spans(df, "k", "p", "t")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_shared_loadings_fall_back_to_other_columns(spark):
+    from facetlens.operators import triage
+
+    a = spark.createDataFrame([(1, 5, -4.0), (1, 5, 1.0), (2, None, 2.0)], "layer int, feature_id int, shared_part double")
+    got = {(r["layer"], r["feature_id"]): r["shared_pc_loading_score"] for r in triage.shared_loading_score([a]).collect()}
+    assert got == {(1, 5): 1.0}
+    by_layer = {r["layer"]: r["shared_pc_loading_score"] for r in triage.shared_loading_score([a.drop("feature_id")]).collect()}
+    assert by_layer == {1: 0.625, 2: 0.5}
+    both = a.withColumn("abs_loading", F.col("layer") * 1.0)
+    assert {r["shared_pc_loading_score"] for r in triage.shared_loading_score([both], False).collect()} == {0.5, 1.0}
+    assert triage.shared_loading_score([a.select("shared_part")]).count() == 1
+    assert triage.shared_loading_score([a.select("layer")]).count() == 0
+
+
+def test_absent_entropy_columns_count_as_zero(spark):
+    from facetlens.operators import triage
+
+    spine = spark.createDataFrame([(1, 5, 0.0)], "layer int, feature_id int, span_localization_score double")
+    shared = spark.createDataFrame([], "layer int, feature_id int, shared_pc_loading_score double")
+    assert abs(triage.triage_scores(spine, shared).first()["template_artifact_score"] - 0.6) < 1e-12
+    full = spine.withColumns({"family_entropy": F.lit(None).cast("double"), "template_entropy": F.lit(0.25)})
+    assert abs(triage.triage_scores(full, shared).first()["template_artifact_score"] - (0.2 * 0.75 + 0.1)) < 1e-12
