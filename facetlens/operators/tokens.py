@@ -128,24 +128,36 @@ def token_span_overlap(tokens: DataFrame, spans: DataFrame, key: str) -> DataFra
     )
 
 
-def token_positions(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def token_positions(tokens: DataFrame, spans: DataFrame, key: str, every: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, position, token_idx): last token overlapping each span kind, else the final one.
 
     ``tokens``: key, token_idx and offsets. ``spans``: key, position, start_char, end_char;
-    a listed position without a span falls back to the final content token.
+    a listed position without a span falls back to the final content token. ``every`` names positions that
+    take all tokens overlapping any span of the listed kinds, one row each, with the same
+    fallback. A text without content tokens has its last token at all positions.
     """
-    content = tokens.filter("token_end_char > token_start_char")
-    final = content.groupBy(key).agg(F.max("token_idx").alias("_final"))
-    kinds = spans.select(key, "position").distinct()
-    hit = (
-        spans.filter("start_char IS NOT NULL").join(content, key)
-        .filter((F.col("token_end_char") > F.col("start_char")) & (F.col("token_start_char") < F.col("end_char")))
-        .groupBy(key, "position").agg(F.max("token_idx").alias("_last"))
-    )
-    named = kinds.join(final, key).join(hit, [key, "position"], "left").select(
+    is_content = F.col("token_end_char") > F.col("token_start_char")
+    content = tokens.filter(is_content)
+    final = tokens.groupBy(key).agg(F.coalesce(F.max(F.when(is_content, F.col("token_idx"))), F.max("token_idx")).alias("_final"))
+    met = spans.filter("start_char IS NOT NULL").join(content, key).filter(
+        (F.col("token_end_char") > F.col("start_char")) & (F.col("token_start_char") < F.col("end_char"))
+    ).select(key, "position", "token_idx")
+    hit = met.groupBy(key, "position").agg(F.max("token_idx").alias("_last"))
+    named = spans.select(key, "position").distinct().join(final, key).join(hit, [key, "position"], "left").select(
         key, "position", F.coalesce("_last", "_final").alias("token_idx")
     )
-    return named.unionByName(final.select(key, F.lit("final_prompt_token").alias("position"), F.col("_final").alias("token_idx")))
+    out = named.unionByName(final.select(key, F.lit("final_prompt_token").alias("position"), F.col("_final").alias("token_idx")))
+    if every:
+        kinds: dict[str, list[str]] = {}
+        for name, members in every.items():
+            for kind in members:
+                kinds.setdefault(kind, []).append(name)
+        names = F.explode(F.create_map(*[x for kind, n in kinds.items() for x in (F.lit(kind), F.array(*[F.lit(v) for v in n]))])[F.col("position")])
+        asked = spans.select(key, names.alias("position")).distinct()
+        tokens_of = met.select(key, names.alias("position"), "token_idx").distinct()
+        whole = asked.join(final, key).join(tokens_of, [key, "position"], "left").select(key, "position", F.coalesce("token_idx", "_final").alias("token_idx"))
+        out = out.unionByName(whole)
+    return out
 
 
 def token_ranks(tokens: DataFrame) -> DataFrame:

@@ -71,10 +71,13 @@ def token_span_overlap(v):
     "token_positions",
     f"""WITH sp AS ({SPANS_SQL}), k AS (SELECT *, CASE WHEN start_char = 15 AND end_char = 31 THEN 'target' WHEN end_char - start_char = 20 THEN 'nontarget' ELSE 'terms' END AS position FROM sp),
  k2 AS (SELECT prompt_id, position, CASE WHEN prompt_id % 5 <> 0 THEN start_char END AS start_char, CASE WHEN prompt_id % 5 <> 0 THEN end_char END AS end_char FROM k),
- c AS (SELECT * FROM v_doctok WHERE token_end_char > token_start_char), f AS (SELECT prompt_id, max(token_idx) AS fin FROM c GROUP BY prompt_id),
+ c AS (SELECT * FROM v_doctok WHERE token_end_char > token_start_char), f AS (SELECT prompt_id, coalesce(max(token_idx) FILTER (token_end_char > token_start_char), max(token_idx)) AS fin FROM v_doctok GROUP BY prompt_id),
+ e AS (SELECT * FROM (VALUES ('target', 'all_identity_tokens'), ('nontarget', 'all_identity_tokens'), ('terms', 'all_stereotype_language_tokens')) t(position, name)),
+ h2 AS (SELECT DISTINCT k2.prompt_id, e.name, c.token_idx FROM k2 JOIN e USING (position) JOIN c ON c.prompt_id = k2.prompt_id AND c.token_end_char > k2.start_char AND c.token_start_char < k2.end_char),
  h AS (SELECT k2.prompt_id, position, max(token_idx) AS last FROM k2 JOIN c ON c.prompt_id = k2.prompt_id AND c.token_end_char > k2.start_char AND c.token_start_char < k2.end_char GROUP BY ALL)
 SELECT d.prompt_id, d.position, coalesce(h.last, f.fin) AS token_idx FROM (SELECT DISTINCT prompt_id, position FROM k2) d JOIN f USING (prompt_id) LEFT JOIN h USING (prompt_id, position)
-UNION ALL SELECT prompt_id, 'final_prompt_token', fin FROM f""",
+UNION ALL SELECT prompt_id, 'final_prompt_token', fin FROM f
+UNION ALL SELECT d.prompt_id, d.name, coalesce(h2.token_idx, f.fin) FROM (SELECT DISTINCT prompt_id, name FROM k2 JOIN e USING (position)) d JOIN f USING (prompt_id) LEFT JOIN h2 USING (prompt_id, name)""",
 )
 def token_positions(v):
     wide = F.col("end_char") - F.col("start_char")
@@ -82,7 +85,8 @@ def token_positions(v):
     keep = F.col("prompt_id") % 5 != 0
     s = _spans(v).withColumn("position", kind)
     s = s.withColumns({c: F.when(keep, F.col(c)) for c in ("start_char", "end_char")})
-    return K.token_positions(v.doc_tokens, s, "prompt_id")
+    every = {"all_identity_tokens": ["target", "nontarget"], "all_stereotype_language_tokens": ["terms"]}
+    return K.token_positions(v.doc_tokens, s, "prompt_id", every)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from facetlens.functions import constants as K
 from facetlens.functions.text import norm_text
+from facetlens.sources.records import read_csv_ranges
 
 PROMPT_COLUMNS = [
     "prompt_id", "template_id", "family", "template_text", "required_form", "form_used", "number", "entity", "axis",
@@ -48,8 +49,11 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def read_prompt_metadata(spark: SparkSession, path: str, required: list[str] = PROMPT_REQUIRED) -> DataFrame:
-    """Prompt table from CSV; missing required columns or blank prompts are errors."""
-    df = read_csv_text(spark, path)
+    """Prompt table from CSV; missing required columns or blank prompts are errors.
+
+    One large file is read by many tasks, whatever line breaks its quoted fields hold.
+    """
+    df = read_csv_ranges(spark, path).na.fill("")
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"prompt metadata lacks columns {missing}")

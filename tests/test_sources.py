@@ -114,3 +114,38 @@ def test_raw_items_of_any_shape(spark, tmp_path):
     assert odd["answer_texts"] == ["", "", ""] and odd["context"] == "" and len({r["item_uid"] for r in got}) == 4
     chosen, _ = read_raw_items(spark, str(tmp_path), ["race ethnicity"])
     assert [r["source_file"] for r in chosen.collect()] == ["Race_ethnicity.jsonl"]
+
+
+def test_csv_records_over_many_byte_ranges(spark, tmp_path):
+    import csv
+    import random
+
+    from facetlens.sources.records import csv_records, read_csv_ranges
+
+    draw = random.Random(4)
+    rows = [[str(k), "".join(draw.choice(['a', 'é', ',', '"', "\n", " ", "\r\n", '""', "b,\n\n"]) for _ in range(draw.choice([0, 3, 30, 400 if k % 40 else 6000]))), draw.choice(["x", " y ", ""])] for k in range(400)]
+    for name, end, part in (("one.csv", "\n", rows[:300]), ("two.csv", "\r\n", rows[300:])):
+        with open(tmp_path / name, "w", newline="") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["id", "the text", "last"])
+            w.writerows(part)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # Ranges shorter than the longest records, and several ranges of two files in a task.
+        for size, cost in (("2000", "0"), ("50000", "10"), ("134217728", "4194304")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            got = {r["id"]: tuple(r) for r in read_csv_ranges(spark, str(tmp_path)).na.fill("").collect()}
+            assert len(got) == 400
+            for r in rows:
+                assert got[r[0]] == tuple(r), (size, r)
+            assert csv_records(spark, str(tmp_path)).filter("first").count() == 2
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert read_csv_ranges(spark, str(tmp_path / "one.csv")).rdd.getNumPartitions() > 20
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "none.csv").write_text("")
+    with pytest.raises(ValueError):
+        read_csv_ranges(spark, str(tmp_path / "empty"))
