@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="facetlens-llm-"))
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="facetlens-llm-")
+    return _LOCAL[sc.applicationId]
 
 
 def small_batches(spark: SparkSession) -> None:
