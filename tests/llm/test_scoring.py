@@ -218,8 +218,12 @@ def test_trees_learn_and_keep_their_constraints(spark, sf_dir, docs):
     assert quality_rules.apply_rules(docs.limit(0), quality_rules.train(docs, none)).count() == 0
 
 
-def test_levels_end_in_a_full_filter(spark):
-    """With all bits set the levels end at the largest stored one, and the bigram term has no weight."""
-    rows = [(i, " ".join(f"w{i * k % 50}" for k in range(60))) for i in range(200)]
-    out = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), max_filter_bytes=1).collect()
-    assert len(out) == 200 and all(abs(r["score"] - r["base_score"]) < 1e-6 for r in out)
+def test_levels_end_in_a_full_filter():
+    """With all bits set the levels end at the largest stored one."""
+    kinds = np.arange(1, 100, dtype=np.uint64)
+    stretch = lm_scoring.Stretch(kinds, lm_scoring._levels(np.arange(1, 100)), 5)
+    stretch.bits[:] = 255
+    assert stretch.top == lm_scoring._levels(np.array([99]))[0]
+    assert (stretch.read(np.arange(5000, 5100, dtype=np.uint64)) == stretch.top).all()
+    empty = lm_scoring.Stretch(kinds[:0], np.zeros(0, np.int64), 5)
+    assert not empty.read(kinds).any()
