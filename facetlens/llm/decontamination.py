@@ -2,35 +2,45 @@
 
 Every training passage (windows of twice the longest item's words, half overlapping, over whole texts) is
 a query. A term's weight in an item is its BM25 impact as a share of the item's total, so the score of an
-item that is wholly inside a passage is 1. Three bounds follow one another: the sum of the passage's terms'
-largest weights anywhere, then their largest weights in each block of items, then the true scores of the
-blocks left. All items with a score of at least ``threshold`` are checked: of the five-word shingles of
+item that is wholly inside a passage is 1. A passage none of whose blocks of items can reach the threshold,
+by its terms' largest weights anywhere or in the block, is left at once. For the others the posting lists
+of their terms (items ascending) are walked by block-max WAND: the pivot is the first item at which the
+lists' largest weights reach the threshold; if the largest weights in its block reach it too, the item is
+scored, else the lists skip to the block's end or the next list's item. All items with a score of at least ``threshold`` are checked: of the five-word shingles of
 the question and of the answer, ``overlap`` of each must be in the document. A part of at most eight words
 has so few shingles that one changed word breaks them all; so many of its words may instead be, in order,
 in the document beside a place of the other part. Words are what signs and white space part, so signs
 glued to an item's ends, in it or in the document, do not hide it; words of signs alone stay whole.
 
-Items are indexed in groups of bounded bytes, one pass over the documents each, whatever their number. An
+Document frequencies, mean length and the longest item are those of all items, counted by Spark. Items are
+indexed in groups of bounded bytes, each built by a task as a file in the shared folder, which the tasks
+over the documents read: one pass over the documents a group, and the same results whatever the groups. An
 item's answer is what follows its last question mark; without one, its last sentence; of a single
-sentence, its last third. Null, empty and blank texts and items match nothing. Rows with a null doc_id are
-searched like others. Repeated rows give repeated results. Empty tables give no row.
+sentence, its last third. Null, empty and blank texts and items match nothing; items with a null item_id
+are not looked for. Document rows with a null doc_id are searched like others. Repeated rows of documents
+give repeated results, repeated rows of items count once. Empty tables give no row.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetlens.llm.common import Words, runs, shingles, text_slices
+from facetlens.llm.common import Words, runs, shared_dir, shingles, stage, text_slices
 
 K1, B = 1.2, 0.75
-#: Items of a block, and bytes of items that are indexed together.
-BLOCK, GROUP_BYTES = 16, 8 << 20
+#: Items of a block (so few that its maxima are near the scores), and bytes of items that are indexed together.
+BLOCK, GROUP_BYTES = 4, 8 << 20
 SHINGLE = 5
 #: Parts of up to so many words are also sought beside the other part, at most SHINGLE words off their place.
 SHORT = 2 * (SHINGLE - 1)
@@ -100,45 +110,56 @@ def parts(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Weights of terms by block of items, with the maxima that bound a passage's score."""
+    """Posting lists of the items' terms, with the maxima that bound a passage's score.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``known``: words in the order of bytes and the number of items that hold each; ``total``, ``mean`` and
+    ``longest``: items with words, their mean words and the most words. Without them these are the items' own.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], known: tuple[list[bytes], list[int]] | None = None, total: int = 0, mean: float = 0.0, longest: int = 0):
         self.items = sorted((i, t) for i, t in items if t and t.split())
         n = len(self.items)
         words = bare_words(pa.array([t for _, t in self.items], pa.string()))
-        self.longest = int(words.counts.max()) if n else 0
         self.term = {w: k for k, w in enumerate(words.values)}
         owner = words.owner()
-        order = np.lexsort((words.codes, owner))
+        order = np.lexsort((owner, words.codes))
         item, term = owner[order], words.codes[order]
-        first = runs(item, term)
+        first = runs(term, item)
         tf = np.diff(np.append(first, len(item)))
         item, term = item[first], term[first]
         df = np.bincount(term, minlength=len(self.term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, len(owner) / max(1, n))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words.counts[item] / mean))
+        if known is None:
+            total, mean, longest = n, len(owner) / max(1, n), int(words.counts.max()) if n else 0
+        else:
+            for w, c in zip(*known):
+                df[self.term[w]] = c
+        self.longest = longest
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words.counts[item] / max(1.0, mean)))
         weight = weight / np.bincount(item, weight, max(n, 1))[item] if n else weight
+        #: Item and weight of each posting, by term and item; where each term's begin.
+        self.post, self.weight = item, weight
+        self.begin = np.searchsorted(term, np.arange(len(self.term) + 1))
+        # The largest weight of each (term, block) that occurs, a term's blocks one after the other.
         self.blocks = -(-n // BLOCK)
-        # One row of BLOCK weights for each (term, block) that occurs.
         key = term * max(1, self.blocks) + item // BLOCK
-        self.keys, row = np.unique(key, return_inverse=True)
-        self.weights = np.zeros((len(self.keys) + 1, BLOCK))
-        self.weights[row, item % BLOCK] = weight
-        top = self.weights[:-1].max(axis=1) if len(self.keys) else np.zeros(0)
-        self.highest = np.zeros(len(self.term) + 1)
-        np.maximum.at(self.highest, self.keys // max(1, self.blocks), top)
-        # A term's blocks one after the other, for the second bound.
-        self.begin = np.searchsorted(self.keys, np.arange(len(self.term) + 1) * max(1, self.blocks))
-        self.top = top
-        split = [parts(t) for _, t in self.items]
-        self.sides = []
-        for k in (0, 1):
-            own = bare_words(pa.array([p[k] for p in split], pa.string()))
-            h, who = shingles(own, SHINGLE)
-            cut = np.searchsorted(who, np.arange(n + 1))
-            each = own.hashes()[own.codes] if len(own.codes) else np.zeros(0, np.uint64)
-            self.sides.append([(h[a:b], each[c:d]) for a, b, c, d in zip(cut[:-1], cut[1:], own.off[:-1], own.off[1:])])
+        first = runs(key)
+        self.keys = key[first]
+        self.top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.highest = np.zeros(len(self.term))
+        np.maximum.at(self.highest, term, weight)
+        self.row = np.searchsorted(self.keys, np.arange(len(self.term) + 1) * max(1, self.blocks))
+        self.sides: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def parts_of(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Shingle hashes and word hashes of an item's question and answer."""
+        if k not in self.sides:
+            out = []
+            for part in parts(self.items[k][1]):
+                own = bare_words(pa.array([part], pa.string()))
+                out.append((shingles(own, SHINGLE)[0], own.hashes()[own.codes] if len(own.codes) else np.zeros(0, np.uint64)))
+            self.sides[k] = out
+        return self.sides[k]
 
     def passages(self, words: Words):
         """(passage, term) once each, sorted, and the text of each passage."""
@@ -159,43 +180,89 @@ class Index:
         pair = np.unique(passage[keep] * len(self.term) + term[keep]) if keep.any() else np.zeros(0, np.int64)
         return pair // max(1, len(self.term)), pair % max(1, len(self.term)), np.repeat(np.arange(len(count)), number)
 
+    def reachable(self, passage: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+        """Which rows are of passages with a block whose maxima add up to ``least``."""
+        first = runs(passage)
+        use = np.repeat(np.add.reduceat(self.highest[term], first) >= least, np.diff(np.append(first, len(passage))))
+        rows = np.flatnonzero(use)
+        stops = np.append(runs(passage[rows]), len(rows))
+        # So many rows at a time that what a term spreads to stays small.
+        step = max(1, (1 << 21) // max(1, self.blocks))
+        out, at = np.zeros(len(passage), bool), 0
+        while at < len(stops) - 1:
+            to = max(at + 1, int(np.searchsorted(stops, stops[at] + step, "right")) - 1)
+            own = rows[stops[at]:stops[to]]
+            at = to
+            t = term[own]
+            number = np.cumsum(np.append(0, passage[own][1:] != passage[own][:-1]))
+            n = self.row[t + 1] - self.row[t]
+            row = np.repeat(self.row[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            bound = np.bincount(np.repeat(number, n) * self.blocks + self.keys[row] % self.blocks, self.top[row], (number[-1] + 1) * self.blocks)
+            out[own] = (bound.reshape(-1, self.blocks).max(axis=1) >= least)[number]
+        return out
+
+    def wand(self, terms: list[int], slack: float) -> list[tuple[int, float]]:
+        """(item, score) of a passage's items with a score of ``slack`` or more, by block-max WAND."""
+        post, keys, weight, top = memoryview(self.post), memoryview(self.keys), self.weight, self.top
+        # A list: its item, its place, its end, its largest weight, its term.
+        lists = [[post[a], a, z, h, t] for a, z, h, t in zip(self.begin[terms].tolist(), self.begin[np.add(terms, 1)].tolist(), self.highest[terms].tolist(), terms)]
+        low, out = slack - 1e-9, []
+
+        def block_top(t: int, block: int) -> float:
+            key = t * self.blocks + block
+            r = bisect_left(keys, key, self.row[t], self.row[t + 1])
+            return top[r] if r < self.row[t + 1] and keys[r] == key else 0.0
+
+        def move(some: list, item: int) -> None:
+            for x in some:
+                if x[0] < item:
+                    x[1] = bisect_left(post, item, x[1], x[2])
+                    x[0] = post[x[1]] if x[1] < x[2] else -1
+
+        while lists:
+            lists.sort()
+            bound, pivot = 0.0, -1
+            for k, x in enumerate(lists):
+                bound += x[3]
+                if bound >= low:
+                    pivot = k
+                    break
+            if pivot < 0:
+                break
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+                pivot += 1
+            ahead = lists[:pivot + 1]
+            if sum(block_top(x[4], item // BLOCK) for x in ahead) < low:
+                skip = (item // BLOCK + 1) * BLOCK
+                move(ahead, min(skip, lists[pivot + 1][0]) if pivot + 1 < len(lists) else skip)
+            elif lists[0][0] == item:
+                score = math.fsum(weight[x[1]] for x in ahead)
+                if score >= slack:
+                    out.append((item, score))
+                move(ahead, item + 1)
+            else:
+                move(ahead, item)
+            lists = [x for x in lists if x[0] >= 0]
+        return out
+
     def search(self, words: Words, threshold: float) -> list[tuple[int, int, float]]:
         """(text, item, score) of the passages' items at or above the threshold, the best of each text."""
         if not self.items:
             return []
         passage, term, text = self.passages(words)
-        slack = threshold - 1e-9
-        best: dict[tuple[int, int], float] = {}
-        first = runs(passage)
-        if len(first) == 0:
+        if len(passage) == 0:
             return []
-        high = np.add.reduceat(self.highest[term], first)
-        use = np.repeat(high >= slack, np.diff(np.append(first, len(passage))))
+        slack = threshold - 1e-9
+        use = self.reachable(passage, term, slack - 1e-9)
         passage, term = passage[use], term[use]
         stops = np.append(runs(passage), len(passage))
-        # So many rows at a time that what a term spreads to stays small.
-        step = max(1, (1 << 21) // max(1, self.blocks))
-        at = 0
-        while at < len(stops) - 1:
-            to = max(at + 1, int(np.searchsorted(stops, stops[at] + step, "right")) - 1)
-            p, t = passage[stops[at]:stops[to]], term[stops[at]:stops[to]]
-            at = to
-            n = self.begin[t + 1] - self.begin[t]
-            row = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pair = np.repeat(p, n) * self.blocks + self.keys[row] % self.blocks
-            kinds, which = np.unique(pair, return_inverse=True)
-            good = np.bincount(which, self.top[row], len(kinds)) >= slack
-            keep = good[which]
-            if not keep.any():
-                continue
-            order = np.flatnonzero(keep)[np.argsort(which[keep], kind="stable")]
-            begin = runs(which[order])
-            score = np.add.reduceat(self.weights[row[order]], begin, axis=0)
-            own = kinds[which[order[begin]]]
-            for i, k in zip(*np.nonzero(score >= slack)):
-                found = (int(text[own[i] // self.blocks]), int(own[i] % self.blocks * BLOCK + k))
-                best[found] = max(best.get(found, 0.0), float(score[i, k]))
-        return sorted((d, k, s) for (d, k), s in best.items())
+        best: dict[tuple[int, int], float] = {}
+        for a, z in zip(stops[:-1], stops[1:]):
+            for k, score in self.wand(term[a:z].tolist(), slack):
+                found = (int(text[passage[a]]), k)
+                best[found] = max(best.get(found, 0.0), score)
+        return sorted((d, k, round(s, 9)) for (d, k), s in best.items())
 
     def leaks(self, texts: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
         """(text, item_id, score, question overlap, answer overlap) of the checked items."""
@@ -212,7 +279,7 @@ class Index:
                 return grams[size]
 
             for k, score in ((k, s) for e, k, s in found if e == d):
-                (_, question), (_, answer) = both = [side[k] for side in self.sides]
+                (_, question), (_, answer) = both = self.parts_of(k)
                 share = [float(np.isin(h, grams_of(min(SHINGLE, len(part)))).mean()) if len(part) else 1.0 for h, part in both]
                 for low, other, ahead in ((0, 1, -len(question)), (1, 0, len(question))):
                     h, part = both[other]
@@ -227,24 +294,72 @@ class Index:
         return out
 
 
-def _groups(items: DataFrame):
-    """Indexes of groups of items; each group has GROUP_BYTES of text or little more."""
-    rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = -(-total // GROUP_BYTES)
-    for g in range(groups):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g) if groups > 1 else rows
-        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.collect()]))
+def _words_of_items(batches):
+    """Per group and word the items that hold it; per group, with a null word, items, words and most words."""
+    for batch in text_slices(batches):
+        words = bare_words(batch.column(2))
+        group = batch.column(0).to_numpy()
+        owner = words.owner()
+        order = np.lexsort((words.codes, owner))
+        o, c = owner[order], words.codes[order]
+        first = runs(o, c)
+        key, items = np.unique(group[o[first]].astype(np.int64) * max(1, len(words.values)) + c[first], return_counts=True)
+        full = words.counts > 0
+        groups = np.unique(group[full])
+        rows = [(int(k) // len(words.values), words.values[int(k) % len(words.values)], int(n), 0, 0) for k, n in zip(key, items)]
+        rows += [(int(g), None, int(own.sum()), int(words.counts[own].sum()), int(words.counts[own].max())) for g in groups for own in [full & (group == g)]]
+        if rows:
+            columns = list(zip(*rows))
+            types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["g", "word", "items", "words", "longest"])
+
+
+def _indexes(items: DataFrame) -> list[str]:
+    """Files of the indexes of groups of items; each group has GROUP_BYTES of text or little more."""
+    rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = -(-size // GROUP_BYTES)
+    if not groups:
+        return []
+    dealt = stage(rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int").alias("g"), "item_id", "text"), "items")
+    counted = dealt.mapInArrow(_words_of_items, "g int, word binary, items long, words long, longest long")
+    counted = stage(counted.groupBy("g", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "item-words")
+    total, words, longest = counted.where("word is null").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    if not total:
+        return []
+    of_all = counted.where("word is not null").groupBy("word").agg(F.sum("items").alias("df"))
+    known = counted.where("word is not null").select("g", "word").join(of_all, "word").select("g", "word", "df")
+    folder = f"{shared_dir(items.sparkSession)}/llm/item-index-{uuid.uuid4().hex}"
+
+    def build(key, own: pa.Table, known: pa.Table) -> pa.Table:
+        index = Index(list(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), (known.column("word").to_pylist(), known.column("df").to_pylist()), total, words / total, longest)
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        # A repeated attempt writes a file of its own; only names that Spark returned are read.
+        name = f"{key[0].as_py()}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write(pickle.dumps(index, 5))
+        return pa.table([pa.array([name])], ["name"])
+
+    made = dealt.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(build, "name string").collect()
+    return [f"{folder}/{r['name']}" for r in made]
+
+
+def _load(file: str) -> Index:
+    fs, path = pafs.FileSystem.from_uri(file)
+    with fs.open_input_stream(path) as source:
+        return pickle.loads(source.read())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.75) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every test item found in a document."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows, out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), None
-    for index in _groups(items):
-        def run(batches, index=index):
+    for file in _indexes(items):
+        def run(batches, file=file):
+            index = _load(file)
             for batch in text_slices(batches):
-                found = index.value.leaks(batch.column(1), threshold, overlap)
+                found = index.leaks(batch.column(1), threshold, overlap)
                 if found:
                     columns = list(zip(*found))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *[pa.array(c) for c in columns[1:]]], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -256,10 +371,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.75) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, all columns as they are."""
-    for index in _groups(items):
-        def run(batches, index=index):
+    for file in _indexes(items):
+        def run(batches, file=file):
+            index = _load(file)
             for batch in text_slices(batches):
-                bad = {d for d, *_ in index.value.leaks(batch.column(batch.schema.get_field_index("text")), threshold, overlap)}
+                bad = {d for d, *_ in index.leaks(batch.column(batch.schema.get_field_index("text")), threshold, overlap)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)]))
 
         docs = docs.mapInArrow(run, docs.schema)
