@@ -9,8 +9,9 @@ first document of their own: where a passage's minimizers each occur in other ea
 is still tied to the first that has it, or to texts that each have SHORTEST words of it or more. (Words
 at its ends that no such seed reaches may then stay unreported, up to WINDOW at either end.) The matches of two documents are chained: a chain's score is its seeds' words less the gaps
 on both sides, and the best chain ending at a match is found with a Fenwick tree of prefix maxima; where that one is out of reach, among the matches within reach. Chains
-are aligned word by word between and beyond their seeds. Passages next to one another in a document,
-whatever their sources, form a stretch; stretches of at least ``least`` words are reported.
+are aligned word by word between and beyond their seeds. Passages of one source that lie less than SHORTEST
+words apart are one repetition, reported if they cover ``least`` words or more; passages of different
+sources next to one another do not add up. Repetitions that touch form a stretch.
 
 Null and empty texts, and texts of fewer than ``least`` words, hold no passage. Rows with a null doc_id are
 not looked at; repeated rows of one doc_id count once. An empty table gives no row.
@@ -321,12 +322,21 @@ def passages(docs: DataFrame, least: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end", "source_doc_id", "source_begin", "source_end", "common_words"])
 
     found = both.select("doc", "src", "pos", "spos", "low", "slow", "x", "y").mapInArrow(run, "doc_id long, begin long, end long, source_doc_id long, source_begin long, source_end long, common_words long")
-    order = Window.partitionBy("doc_id").orderBy("begin", "end", "source_doc_id", "source_begin")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    parted = found.withColumn("new", F.coalesce((F.col("begin") > F.max("end").over(before)).cast("int"), F.lit(1))).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Dealt by doc_id once; both windows use that.
+    found = found.repartition("doc_id")
+    first, now = Window.unboundedPreceding, Window.currentRow
+    order = Window.partitionBy("doc_id", "source_doc_id").orderBy("begin", "end", "source_begin", "source_end")
+    run = Window.partitionBy("doc_id", "source_doc_id", "k")
+    one = found.withColumn("upto", F.coalesce(F.max("end").over(order.rowsBetween(first, -1)), F.lit(-SHORTEST)))
+    one = one.withColumn("k", F.sum((F.col("begin") >= F.col("upto") + SHORTEST).cast("int")).over(order.rowsBetween(first, now)))
+    one = one.withColumn("covers", F.sum(F.greatest(F.col("end") - F.greatest("begin", "upto"), F.lit(0))).over(run))
+    one = one.withColumn("low", F.min("begin").over(run)).withColumn("high", F.max("end").over(run)).where(F.col("covers") >= least)
+    order = Window.partitionBy("doc_id").orderBy("low", "high", "source_doc_id", "begin", "end", "source_begin")
+    parted = one.withColumn("new", F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(first, -1))).cast("int"), F.lit(1)))
+    parted = parted.withColumn("k", F.sum("new").over(order.rowsBetween(first, now)))
     stretch = Window.partitionBy("doc_id", "k")
-    whole = parted.withColumn("stretch_begin", F.min("begin").over(stretch)).withColumn("stretch_end", F.max("end").over(stretch))
-    return whole.where(F.col("stretch_end") - F.col("stretch_begin") >= least).drop("new", "k")
+    whole = parted.withColumn("stretch_begin", F.min("low").over(stretch)).withColumn("stretch_end", F.max("high").over(stretch))
+    return whole.drop("new", "k", "upto", "covers", "low", "high")
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -65,14 +65,14 @@ def found_table(spark, pandas):
 
 
 def test_documents_by_exact_brute_force(spark, sf_dir):
-    """Every run of 60 words that an earlier document holds lies in a reported stretch."""
+    """Every run of 50 words that an earlier document holds lies in a reported stretch."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted((r["doc_id"], words(r["text"])) for r in df.collect())
     found = substring_dedup.passages(df).toPandas()
     cover = {}
     for r in found.itertuples():
         cover.setdefault(r.doc_id, set()).update(range(r.stretch_begin, r.stretch_end))
-    seen, n = set(), 60
+    seen, n = set(), 50
     for d, t in rows:
         own = [tuple(t[i:i + n]) for i in range(len(t) - n + 1)]
         for i, w in enumerate(own):
@@ -150,3 +150,16 @@ def test_fuzzy_passage_after_a_long_one(spark):
         edited = a + text(5) + b
         found = spans(spark, [(1, text(10) + first + text(150) + a + b + text(9)), (2, text(30) + first + text(150) + edited)])
         assert set(range(282, 332)) <= found[2], k
+
+
+def test_neighbours_of_different_sources(spark):
+    """Passages of three sources in a row are no repetition; the pieces of one source are."""
+    rng = random.Random(16)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    a, b, c, long = text(30), text(30), text(30), text(90)
+    edited = long[:28] + text(9) + long[30:58] + text(9) + long[60:]
+    rows = [(1, text(40) + a + text(40)), (2, text(50) + b + text(40)), (3, text(60) + c + text(40)), (4, text(40) + long + text(30))]
+    found = spans(spark, rows + [(10, text(40) + a + b + c + text(40)), (11, text(40) + edited + text(40)), (12, text(40) + a + text(2) + long + b + text(40))])
+    assert set(found) == {11, 12}
+    assert set(range(40, 68)) | set(range(40 + 74, 40 + 104)) <= found[11] and max(found[11]) <= 40 + 106
+    assert set(range(72, 162)) <= found[12] and len(found[12]) <= 92
