@@ -150,6 +150,30 @@ def test_language_held_out(spark, docs, odd_docs):
     assert set(language_id.identify(odd_docs, {}, ["doc_id"]).toPandas().lang_pred) == {"und"}
 
 
+def test_language_distances_by_brute_force(spark, docs, odd_docs):
+    """Predictions and scores from profiles and ranks kept in plain dictionaries."""
+    import pyarrow as pa
+
+    docs = docs.select("doc_id", "text", "lang")
+    profile = language_id.profiles(docs, F.lit(True), 40)
+    grams = defaultdict(Counter)
+    for r in docs.where("text is not null and lang is not null").collect():
+        for g in language_id._grams(language_id._padded(r["text"].encode())).tolist():
+            grams[r["lang"]][g] += 1
+    assert profile == {x: sorted(c, key=lambda g: (-c[g], g))[:40] for x, c in grams.items()}
+    texts = docs.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(texts, profile, ["doc_id"], 40).collect())
+    want = Counter()
+    for r in texts.collect():
+        own = language_id.ranked(pa.array([r["text"]], pa.string()), 40)[1].tolist()
+        far = [(sum(abs(i - p.index(g)) if g in p else 40 for i, g in enumerate(own)), x) for x, p in sorted(profile.items())]
+        best = min(far)
+        want[(r["doc_id"], best[1], round(1 - best[0] / (40 * len(own)), 9)) if own else (r["doc_id"], "und", 0.0)] += 1
+    assert got == want
+    empty = docs.limit(0)
+    assert language_id.profiles(empty, F.lit(True)) == {} and language_id.identify(empty, profile, ["doc_id"], 40).count() == 0
+
+
 def test_chat_round_trip(spark):
     trick = r"\### Assistant: </turn> ok"
     rows = [
@@ -218,6 +242,26 @@ def test_trees_learn_and_keep_their_constraints(spark, sf_dir, docs):
     assert quality_rules.apply_rules(docs.limit(0), quality_rules.train(docs, none)).count() == 0
 
 
+def test_flat_trees_by_walking_node_by_node(spark, sf_dir, docs):
+    """The arrays' scores are those of single walks; verdicts hold for labelled rows that were not trained on."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = lm_scoring.split_remainder(F.col("doc_id")) == 0
+    trees = quality_rules.train(docs, labels.where(~held))
+    rng = np.random.default_rng(2)
+    x = rng.random((200, 8)) * [8, 8, 0.5, 0.5, 1, 0.3, 1, 60]
+    assert len(trees.roots) == trees.rounds
+    for row, score in zip(x, trees.score(x)):
+        total = trees.start
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        assert abs(total - score) < 1e-9
+    got = quality_rules.apply_rules(docs, trees).join(labels.where(held & F.col("quality").isNotNull()).withColumnRenamed("quality", "label"), "doc_id").toPandas()
+    passed = got[~got.base_failed]
+    assert len(passed) >= 10 and (passed.kept == (passed.label == 1)).mean() > 0.85
+
+
 def test_levels_end_in_a_full_filter():
     """With all bits set the levels end at the largest stored one."""
     kinds = np.arange(1, 100, dtype=np.uint64)

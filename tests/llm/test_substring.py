@@ -163,3 +163,14 @@ def test_neighbours_of_different_sources(spark):
     assert set(found) == {11, 12}
     assert set(range(40, 68)) | set(range(40 + 74, 40 + 104)) <= found[11] and max(found[11]) <= 40 + 106
     assert set(range(72, 162)) <= found[12] and len(found[12]) <= 92
+
+
+def test_passages_in_very_long_texts(spark):
+    """Passages of an earlier very long text, one of which a later long text holds at both ends and in the middle."""
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(40000)}" for _ in range(n)]
+    long, passage = text(120_000), text(60)
+    later = passage + text(30_000) + passage + text(30_000) + long[70_000:70_080] + text(500) + passage
+    found = spans(spark, [(1, long[:90_000] + passage + long[90_000:]), (2, later)])
+    want = {*range(60), *range(30_060, 30_120), *range(60_120, 60_200), *range(60_700, 60_760)}
+    assert set(found) == {2} and want <= found[2] and len(found[2] - want) <= 16
