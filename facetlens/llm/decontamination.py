@@ -314,6 +314,10 @@ def _words_of_items(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["g", "word", "items", "words", "longest"])
 
 
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def _indexes(items: DataFrame) -> list[str]:
     """Files of the indexes of groups of items; each group has GROUP_BYTES of text or little more."""
     rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
@@ -333,7 +337,7 @@ def _indexes(items: DataFrame) -> list[str]:
 
     def build(key, own: pa.Table, known: pa.Table) -> pa.Table:
         index = Index(list(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), (known.column("word").to_pylist(), known.column("df").to_pylist()), total, words / total, longest)
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = _store(folder)
         fs.create_dir(path, recursive=True)
         # A repeated attempt writes a file of its own; only names that Spark returned are read.
         name = f"{key[0].as_py()}-{uuid.uuid4().hex}"
@@ -346,7 +350,7 @@ def _indexes(items: DataFrame) -> list[str]:
 
 
 def _load(file: str) -> Index:
-    fs, path = pafs.FileSystem.from_uri(file)
+    fs, path = _store(file)
     with fs.open_input_stream(path) as source:
         return pickle.loads(source.read())
 
