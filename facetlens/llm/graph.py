@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,40 +35,47 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: Bits of a membership filter; its size does not depend on the data.
-FILTER_BITS = 1 << 24
-_STRETCH = FILTER_BITS // 64
+#: Bits of a membership filter for each id, and of the smallest and the largest filter (32 MiB).
+ID_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+_STRETCHES = 64
 
 
-def _places(ids: np.ndarray) -> list[np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64))
-    return [(h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+    last = np.uint64(bits - 1)
+    return [(h & last).astype(np.int64), (h >> np.uint64(32) & last).astype(np.int64)]
 
 
 def id_filter(ids: DataFrame) -> bytes:
-    """Bits of all values of the only column of ``ids``; 2 MiB come to the driver, whatever their number."""
+    """Bits of all values of the only column of ``ids``, a staged table: ID_BITS for each distinct one, MOST_BITS
+    together at most. A fuller filter lets more other ids through, never fewer of these."""
+    wanted = ids.agg(F.approx_count_distinct(ids.columns[0])).first()[0]
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (ID_BITS * wanted).bit_length()))
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             own = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for at in _places(own):
-                bits[at] = True
-        if bits.any():
-            packed = np.packbits(bits).reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([row.tobytes() for row in packed], pa.binary())], ["k", "bits"])
-
-    def union(table: pa.Table) -> pa.Table:
-        rows = np.stack([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
-        return pa.table([table.column("k").slice(0, 1), pa.array([np.bitwise_or.reduce(rows, axis=0).tobytes()], pa.binary())], ["k", "bits"])
+            for at in _places(own, size):
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        stretch = bits.reshape(_STRETCHES, -1)
+        some = np.flatnonzero(stretch.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([stretch[k].tobytes() for k in some], pa.binary())], ["k", "bits"])
+
+    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size // 8 // _STRETCHES, np.uint8)
+        for batch in batches:
+            for b in batch.column(1):
+                total |= np.frombuffer(b.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "bits"])
 
     out = {r["k"]: r["bits"] for r in ids.mapInArrow(mark, "k long, bits binary").groupBy("k").applyInArrow(union, "k long, bits binary").collect()}
-    return b"".join(bytes(out.get(k, bytes(_STRETCH // 8))) for k in range(64))
+    return b"".join(bytes(out.get(k, bytes(size // 8 // _STRETCHES))) for k in range(_STRETCHES))
 
 
 def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for at in _places(ids):
+    for at in _places(ids, 8 * len(bits)):
         out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 

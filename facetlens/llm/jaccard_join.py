@@ -34,6 +34,8 @@ from facetlens.llm.graph import components, id_filter, may_hold, split_by_ids
 SLOTS, PARITY = 1 << 23, 2048
 #: Members of a block; a group of up to so many is compared at once.
 BLOCK = 256
+#: Signatures of a bucket, and rows of small groups, that a task holds at once; their number grows with the data.
+BUCKET_SIGNATURES, GROUP_ROWS = 1 << 22, 1 << 16
 _CHUNKS = 64
 
 
@@ -112,6 +114,10 @@ class Bound:
         """The features that may be in one of the two sets only: |A| + |B| - 2 |A n B| at most."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def signatures(self, shingles: int, sets: int) -> int:
+        """How many signatures so many sets with so many shingles together have, with those for the band below."""
+        return 2 * (shingles * (100 - self.percent) // self.percent + sets)
+
 
 def signatures(h: np.ndarray, off: np.ndarray, power: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
     """Signature and set of each, for sets laid out one after the other."""
@@ -170,14 +176,14 @@ def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets:
             sig, own = signatures(h[take], np.concatenate([[0], np.cumsum(n)]), rarity, bound)
             b = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((sig, b))
-            sig, own, cuts = sig[order] >> np.uint64(16), own[order], np.searchsorted(b[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
+            sig, own, b = sig[order] >> np.uint64(16), own[order], b[order]
+            first = runs(b)
             blobs = []
-            for k in full:
-                s, o = sig[cuts[k]:cuts[k + 1]], own[cuts[k]:cuts[k + 1]]
+            for x, y in zip(first, np.append(first[1:], len(b))):
+                s, o = sig[x:y], own[x:y]
                 sets, o = np.unique(o, return_inverse=True)
                 blobs.append(np.array([len(s), len(sets)], "<u4").tobytes() + fp[kept][sets].astype("<i8").tobytes() + (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes() + o.astype("<u2" if len(sets) < 65536 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(b[first], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
         sig, fp = [], []
@@ -223,7 +229,7 @@ def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets:
         ], ["a", "b", "sig"])
 
     sent = docs.mapInArrow(send, "bucket long, blob binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long, sig long")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, sig long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, bound: Bound) -> DataFrame:
@@ -298,7 +304,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, reached: DataFrame, bound:
         return *(table.column(x).to_numpy() for x in names), bits
 
     # Small groups, many at a time.
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // GROUP_ROWS))
 
     def within(table: pa.Table) -> pa.Table:
         sig, a, c, n, bits = arrays(table.sort_by("sig"), "sig", "a", "c", "n")
@@ -335,7 +341,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     own = first.where("kind = 0").select("doc_id", "n", "fp", "sketch")
     sets = stage(own.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "distinct-sets")
     named = rows.where("doc_id is not null")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = own.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("sets")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bound.signatures(total["shingles"], total["sets"]) // BUCKET_SIGNATURES))
     found = stage(_candidates(named, words, bound, _rarity(first), buckets), "candidates")
     links = _verified(found.where("sig is null").select("a", "b").distinct(), sets, named, words, bound)
     groups = found.where("sig is not null").select("sig", "a")
@@ -355,7 +362,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     group = stage(jaccard_components(docs, words, percent), "groups")
     gone = group.where("component_id <> doc_id").select("doc_id").distinct()
     twice = group.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    sure, rest = split_by_ids(docs, gone.unionByName(twice))
+    sure, rest = split_by_ids(docs, stage(gone.unionByName(twice), "gone"))
     rest = rest.join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return sure.unionByName(rest.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row"))

@@ -34,6 +34,8 @@ GAP_COST = 0.1
 REACH = 48
 #: A passage by itself has so many words at least, and so much of both its sides is alike.
 SHORTEST, IDENTITY = 16, 0.75
+#: Bytes of text whose seeds make a bucket, which a task holds at once; the number of buckets grows with the texts.
+BUCKET_TEXT = 64 << 20
 
 
 def _slide(x: np.ndarray, f) -> np.ndarray:
@@ -77,7 +79,8 @@ def _tie(h: np.ndarray, doc: np.ndarray, pos: np.ndarray):
 
 def _matches(rows: DataFrame, least: int) -> DataFrame:
     """doc, pos, src, spos: a seed of a document and its earlier occurrence in another one."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    length = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-length // BUCKET_TEXT))
 
     def batch_of(bucket, blob, doc, pos, src, spos):
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blob, pa.binary()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(src, pa.int64()), pa.array(spos, pa.int64())], ["bucket", "blob", "doc", "pos", "src", "spos"])
@@ -94,16 +97,16 @@ def _matches(rows: DataFrame, least: int) -> DataFrame:
             h, doc, pos = h[first], doc[first], pos[first]
             b = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
+            full = b[order]
+            cuts = runs(full)
             blobs = []
-            for k in full:
-                own = order[cuts[k]:cuts[k + 1]]
+            for x, y in zip(cuts, np.append(cuts[1:], len(order))):
+                own = order[x:y]
                 ids, which = np.unique(doc[own], return_inverse=True)
                 s = h[own] >> np.uint64(16)
                 blobs.append(np.array([len(own), len(ids)], "<u4").tobytes() + ids.astype("<i8").tobytes() + (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + pos[own].astype("<u4").tobytes() + which.astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes())
-            none = [None] * len(full)
-            yield batch_of(full, blobs, none, none, none, none)
+            none = [None] * len(cuts)
+            yield batch_of(full[cuts], blobs, none, none, none, none)
 
     def meet(table: pa.Table) -> pa.Table:
         seed, doc, pos = [], [], []
@@ -120,7 +123,7 @@ def _matches(rows: DataFrame, least: int) -> DataFrame:
 
     sent = stage(rows.mapInArrow(send, "bucket long, blob binary, doc long, pos long, src long, spos long"), "seeds")
     near = sent.where("bucket is null").select("doc", "pos", "src", "spos")
-    far = sent.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(meet, "doc long, pos long, src long, spos long")
+    far = sent.where("bucket is not null").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "doc long, pos long, src long, spos long")
     return near.unionByName(far)
 
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from facetlens.llm import jaccard_join
+from facetlens.llm import graph, jaccard_join
 from llm_helpers import words
 
 
@@ -53,10 +53,12 @@ def test_components_of_documents(spark, sf_dir):
     assert got(df) == sorted(brute(rows))
 
 
-@pytest.mark.parametrize("block", [8, 256])
-def test_components_of_edited_copies(spark, monkeypatch, block):
-    """Many edited copies around the limit, a frequent passage, short texts; also with small blocks."""
+@pytest.mark.parametrize("block, bucket, rows", [(8, 700, 16), (256, 1 << 22, 1 << 16)])
+def test_components_of_edited_copies(spark, monkeypatch, block, bucket, rows):
+    """Many edited copies around the limit, a frequent passage, short texts; also with small blocks and many buckets."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BUCKET_SIGNATURES", bucket)
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", rows)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], [rng.choice(vocabulary) for _ in range(60)]
@@ -83,6 +85,30 @@ def test_odd_rows(spark, odd_docs):
     assert jaccard_join.jaccard_components(odd_docs.limit(0)).count() == 0
 
 
+def test_no_set_has_more_signatures_than_counted():
+    rng, bound = np.random.default_rng(5), jaccard_join.Bound(75)
+    power = np.zeros(jaccard_join.SLOTS, np.uint8)
+    for n in (1, 2, 3, 7, 8, 30, 64, 100, 1000):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sig, _ = jaccard_join.signatures(h, np.array([0, len(h)]), power, bound)
+        assert len(sig) <= 2 * bound.signatures(n, 1)
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 28])
+def test_id_filter_grows_and_loses_no_id(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_BITS", most)
+    monkeypatch.setattr(graph, "LEAST_BITS", 1 << 10)
+    every = spark.range(0, 60_000, 1, 5).toDF("doc_id")
+    wanted = every.where("doc_id % 3 = 0").unionByName(every.limit(9)).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id"))
+    bits = np.frombuffer(graph.id_filter(wanted), np.uint8)
+    held = graph.may_hold(bits, np.arange(60_000))
+    assert held[::3].all() and len(bits) * 8 == min(most, 1 << 18)
+    assert most == 1 << 10 or held.mean() < 0.40
+    sure, rest = graph.split_by_ids(every, wanted)
+    assert sure.where("doc_id % 3 = 0").count() == 0 and sure.count() + rest.count() == 60_000
+    assert graph.id_filter(wanted.limit(0)) == bytes(128)
+
+
 def test_signatures_meet_for_all_similar_sets():
     rng = np.random.default_rng(2)
     bound, power = jaccard_join.Bound(75), rng.integers(0, 20, jaccard_join.SLOTS).astype(np.uint8)

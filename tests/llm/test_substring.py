@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from facetlens.llm import substring_dedup
 from llm_helpers import words
 
@@ -44,7 +46,9 @@ def corpus():
     return rows, passage
 
 
-def test_repeated_passages_and_no_others(spark):
+@pytest.mark.parametrize("bucket", [500, 64 << 20])
+def test_repeated_passages_and_no_others(spark, monkeypatch, bucket):
+    monkeypatch.setattr(substring_dedup, "BUCKET_TEXT", bucket)
     rows, passage = corpus()
     df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(4)
     found = substring_dedup.passages(df).toPandas()
