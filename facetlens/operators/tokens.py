@@ -203,7 +203,8 @@ def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, fill
     act = F.coalesce(ACT, F.lit(0.0))
     in_span = F.coalesce("is_entity_span_token", F.lit(False))
     best = F.max_by(F.struct("token_idx", "token_str", in_span.alias("in_span")), F.struct(act, -F.col("token_idx")))
-    return content_rows(tokens).groupBy(*FEATURE, "prompt_id").agg(
+    # Strings in the state make tasks sort their rows; with the prompt in front, rows in text order are nearly sorted.
+    return content_rows(tokens).groupBy("prompt_id", *FEATURE).agg(
         F.max(act).alias("max_token_activation"),
         final.alias("final_token_activation"),
         F.coalesce(F.max(F.when(in_span, act)), F.lit(0.0)).alias("max_span_activation"),
@@ -211,9 +212,10 @@ def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, fill
         best.alias("_best"),
         *[F.min(c).alias(c) for c in labels],
     ).select(
-        "*", F.col("_best.token_idx").alias("token_idx_of_max"), F.col("_best.token_str").alias("token_str_of_max"),
+        *FEATURE, "prompt_id", "max_token_activation", "final_token_activation", "max_span_activation", "mean_span_activation", *labels,
+        F.col("_best.token_idx").alias("token_idx_of_max"), F.col("_best.token_str").alias("token_str_of_max"),
         F.col("_best.in_span").alias("max_inside_span"),
-    ).drop("_best")
+    )
 
 
 TOKEN_FLAGS = ["is_special_token", "is_entity_span_token"]

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -285,20 +288,29 @@ class Views:
     @cached_property
     def doc_tokens(self) -> DataFrame:
         """Every token of every document with offsets, a zero-width special token first."""
-        return _text_tokens(self.table("documents").withColumnRenamed("doc_id", "prompt_id"), "prompt_id", "text", [])
+        return self._doc_tokens([])
+
+    def _doc_tokens(self, carry: list[str]) -> DataFrame:
+        d = F.col("prompt_id")
+        labels = {
+            "entity": F.concat(F.lit("g"), _s(d % 10)), "axis": F.concat(F.lit("ax"), _s(d % 3)),
+            "family": F.concat(F.lit("fam"), _s(d % 5)), "template_id": F.concat(F.lit("t"), _s(d % 25)),
+        }
+        docs = self.table("documents").select(F.col("doc_id").alias("prompt_id"), "text")
+        return _text_tokens(docs.withColumns({c: labels[c] for c in carry}) if carry else docs, "prompt_id", "text", carry)
 
     @cached_property
     def tokens(self) -> DataFrame:
         d, i, f = F.col("prompt_id"), F.col("token_idx"), F.col("feature_id")
-        t = self.doc_tokens.withColumn("feature_id", _token_features())
+        labels = ["entity", "axis", "family", "template_id"]
+        t = self._doc_tokens(labels).withColumn("feature_id", _token_features())
         return t.select(
             F.lit(24).alias("layer"), "feature_id", "prompt_id", "token_idx", "token_str", "token_start_char", "token_end_char",
             _token_activation(d).alias("token_feature_activation"),
             (F.col("token_end_char") <= F.col("token_start_char")).alias("is_special_token"),
             i.between(3, 5).alias("is_entity_span_token"),
             F.when(d % 3 != 0, ((d * 7 + f * 29) % 97) / F.lit(100.0)).alias("final_token_feature_activation"),
-            F.concat(F.lit("g"), _s(d % 10)).alias("entity"), F.concat(F.lit("ax"), _s(d % 3)).alias("axis"),
-            F.concat(F.lit("fam"), _s(d % 5)).alias("family"), F.concat(F.lit("t"), _s(d % 25)).alias("template_id"),
+            *labels,
         )
 
     @cached_property
@@ -317,20 +329,57 @@ class Views:
         )
 
 
+#: Characters of text in a part; their tokens are multiplied by features.
+TEXT_CHARS = 4 << 20
+
+
 def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
-    """Space-separated tokens of a text with character offsets, after a special token."""
-    t = src.select(
-        key, *carry, F.posexplode(F.concat(F.array(F.lit("<|begin_of_text|>")), F.split(text, " "))).alias("token_idx", "token_str")
-    )
+    """Space-separated tokens of a text with character offsets, after a special token.
+
+    The texts are dealt into parts of about TEXT_CHARS, and offsets are summed up where a text lies: its
+    tokens are neither shuffled nor sorted for them, and what a task makes of its part stays in memory. Texts
+    that share a key go on in one another's offsets: those alone are numbered by a window.
+    """
+    size = src.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    parts = max(src.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_CHARS))
+    tokens = F.concat(F.array(F.lit("<|begin_of_text|>")), F.split(text, " "))
+    twice = settle(src.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "repeated-keys")
+    same = F.col(key).eqNullSafe(F.col("_key"))
     special = F.col("token_idx") == 0
+
+    once = src.select(key, *carry, text).join(twice, same, "left_anti").filter(F.col(text).isNotNull()).repartition(parts, key)
+    schema = once.withColumn("_starts", F.array(F.lit(0))).schema
+    placed = once.mapInArrow(_with_starts, schema).select(key, *carry, F.posexplode(F.arrays_zip(tokens.alias("s"), F.col("_starts").alias("a"))).alias("token_idx", "_t"))
+    placed = placed.select(key, *carry, "token_idx", F.col("_t.s").alias("token_str"), F.col("_t.a").alias("token_start_char"))
+
+    many = src.select(key, *carry, text).join(twice, same, "left_semi").select(key, *carry, F.posexplode(tokens).alias("token_idx", "token_str"))
     width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
     w = Window.partitionBy(key).orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int")
-    return t.withColumn("token_start_char", start).withColumn(
+    many = many.withColumn("token_start_char", F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int"))
+    return placed.unionByName(many).withColumn(
         "token_end_char", F.when(special, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
     )
 
 
+def _with_starts(batches):
+    """Batches whose last column is a text, with the starts of the special token and of every space-separated token."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            parts = pc.split_pattern(part.column(part.num_columns - 1), " ")
+            first = parts.offsets.to_numpy().astype(np.int64)
+            width = pc.utf8_length(parts.flatten()).to_numpy().astype(np.int64) + 1
+            first -= first[0]
+            upto = np.r_[0, np.cumsum(width)]
+            # Each text has one start more than tokens: the special token's, which is 0 as the first token's is.
+            starts = np.zeros(len(width) + part.num_rows, np.int64)
+            inner = np.ones(len(starts), bool)
+            inner[first[:-1] + np.arange(part.num_rows)] = False
+            starts[inner] = upto[:-1] - np.repeat(upto[first[:-1]], np.diff(first))
+            lists = pa.ListArray.from_arrays(pa.array(first + np.arange(part.num_rows + 1), pa.int32()), pa.array(starts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "_starts"])
+
+
 def _token_features() -> Column:
     return F.explode(F.array(*[F.lit(x) for x in TOKEN_FEATURES]))
 

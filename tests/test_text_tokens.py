@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -149,3 +150,47 @@ def test_absent_entropy_columns_count_as_zero(spark):
     assert abs(triage.triage_scores(spine, shared).first()["template_artifact_score"] - 0.6) < 1e-12
     full = spine.withColumns({"family_entropy": F.lit(None).cast("double"), "template_entropy": F.lit(0.25)})
     assert abs(triage.triage_scores(full, shared).first()["template_artifact_score"] - (0.2 * 0.75 + 0.1)) < 1e-12
+
+
+def test_token_offsets_where_the_text_lies(spark):
+    from facetlens.plans.views import _text_tokens
+
+    rows = [(1, "ab  c é\nx", "p"), (2, "", "q"), (3, None, "r"), (None, "n m", "s"), (4, "a bc", "t"), (4, "a bc", "t"), (5, "w " * 1500, "u")]
+    src = spark.createDataFrame(rows, "k long, text string, c string")
+    got = [tuple(r) for r in _text_tokens(src, "k", "text", ["c"]).select("k", "c", "token_idx", "token_str", "token_start_char", "token_end_char").collect()]
+    want = []
+    for k, text, c in rows:
+        if text is not None and k != 4:
+            want.append((k, c, 0, "<|begin_of_text|>", 0, 0))
+            at = 0
+            for i, t in enumerate(text.split(" "), 1):
+                want.append((k, c, i, t, at, at + len(t)))
+                at += len(t) + 1
+    # Texts with one key go on in one another's offsets.
+    want += [(4, "t", 0, "<|begin_of_text|>", 0, 0)] * 2
+    want += [(4, "t", 1, "a", 0, 1), (4, "t", 1, "a", 2, 3), (4, "t", 2, "bc", 4, 6), (4, "t", 2, "bc", 7, 9)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    once = _text_tokens(src.filter("k < 4"), "k", "text", [])
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Window")
+
+
+def test_prompt_activation_by_brute_force(spark):
+    rows = [(24, f, p, i, f"t{i}", float((p * 7 + i * 13 + f) % 11), i in (3, 4), False, 0.5 if p % 2 else None, "a" if i % 2 else "b") for p in range(40) for i in range(60) for f in (1, 2)]
+    rows += [(24, 1, None, i, None, None if i else float("nan"), False, False, None, None) for i in range(3)]
+    names = "layer int, feature_id int, prompt_id long, token_idx int, token_str string, token_feature_activation double, is_entity_span_token boolean, is_special_token boolean, final_token_feature_activation double, family string"
+    tokens = spark.createDataFrame(rows, names).coalesce(1)
+    for filled in (True, False):
+        got = {(r["feature_id"], r["prompt_id"]): r for r in K.prompt_activation(tokens, ["family"], filled).collect()}
+        assert len(got) == 81
+        assert math.isnan(got[1, None]["max_token_activation"]) and got[1, None]["token_idx_of_max"] == 0 and got[1, None]["max_span_activation"] == 0.0
+        for f in (1, 2):
+            for p in range(40):
+                own = [r for r in rows if r[1] == f and r[2] == p]
+                best = min(own, key=lambda r: (-r[5], r[3]))
+                r = got[f, p]
+                assert (r["max_token_activation"], r["token_idx_of_max"], r["token_str_of_max"], r["max_inside_span"]) == (best[5], best[3], best[4], best[6])
+                assert r["max_span_activation"] == max(x[5] for x in own if x[6]) and r["mean_span_activation"] == sum(x[5] for x in own if x[6]) / 2
+                assert r["family"] == "a" and r["final_token_activation"] == (0.5 if p % 2 else 0.0 if filled else None)
+    no_final = tokens.drop("final_token_feature_activation").filter("prompt_id IS NOT NULL")
+    assert all(r["final_token_activation"] == float((r["prompt_id"] * 7 + 59 * 13 + r["feature_id"]) % 11) for r in K.prompt_activation(no_final, ["family"]).collect())
