@@ -35,9 +35,20 @@ MAGIC = 0x314E4152
 NO_ID = -(1 << 63)
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and their shares of 2**PRECISION, none below 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
+#: Ids below it are counted and numbered by tables, without a sort or a search for each id.
+TABLE_IDS = 1 << 22
+
+
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, their shares of 2**PRECISION, none below 1, and each id's place among the distinct ones."""
+    if ids.max() < TABLE_IDS:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        rank = np.zeros(len(counts), np.int64)
+        rank[symbols] = np.arange(len(symbols))
+        counts, symbols, code = counts[symbols], symbols.astype(ids.dtype), rank[ids]
+    else:
+        symbols, code, counts = np.unique(ids, return_inverse=True, return_counts=True)
     total = 1 << PRECISION
     if len(symbols) > total:
         raise ValueError(f"{len(symbols)} distinct ids do not fit a table of {total}")
@@ -53,16 +64,15 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             spare += give
             if spare == 0:
                 break
-    return symbols, share
+    return symbols, share, code
 
 
 def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment's bytes; lengths are the documents' ids, ids those of all of them."""
-    symbols, share = frequencies(ids)
+    symbols, share, code = frequencies(ids)
     first = np.cumsum(share) - share
     n = len(ids)
     blocks = -(-n // BLOCK)
-    code = np.searchsorted(symbols, ids)
     padded = np.concatenate([code, np.full(blocks * BLOCK - n, code[0])]).reshape(blocks, STEPS, LANES)
     f_of, c_of = share.astype(np.uint64), first.astype(np.uint64)
     x = np.full((blocks, LANES), LOW, np.uint64)

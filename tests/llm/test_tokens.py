@@ -99,3 +99,28 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(none, PATH).count() == 0
     assert packing.packed_digest(none, PATH).count() == 0
     assert rans_files.read_files(rans_files.write_files(none, PATH)).count() == 0
+
+
+def test_segments_neither_sort_nor_search_their_ids(monkeypatch):
+    import numpy as np
+
+    from facetlens.llm import rans_files as R
+
+    draw = np.random.default_rng(5)
+    ids = np.minimum(draw.zipf(1.3, 200_000), 49_999).astype(np.uint32)
+    docs, lengths = np.arange(2), np.array([150_000, 50_000])
+
+    def slow(*_, **__):
+        raise AssertionError("a sort or search over all ids")
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "unique", slow)
+        m.setattr(np, "searchsorted", slow)
+        data = R.encode_segment(docs, lengths, ids)
+    assert (R.Segment(data).decode() == ids).all()
+    # Ids beyond the table give the same bytes.
+    monkeypatch.setattr(R, "TABLE_IDS", 0)
+    assert R.encode_segment(docs, lengths, ids) == data
+    large = draw.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
+    monkeypatch.undo()
+    assert (R.Segment(R.encode_segment(docs, np.array([400, 100]), large)).decode() == large).all()
