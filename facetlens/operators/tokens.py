@@ -27,7 +27,8 @@ def content_only(tokens: DataFrame) -> DataFrame:
     """Without zero-width and ``<|...|>`` tokens."""
     return tokens.filter(
         (F.coalesce("token_end_char", F.lit(0)) > F.coalesce("token_start_char", F.lit(0)))
-        & ~F.coalesce(F.col("token_str").rlike(r"<\|.*\|>"), F.lit(False))
+        # Hardly a token gets as far as the pattern.
+        & ~F.coalesce(F.col("token_str").contains("<|") & F.col("token_str").rlike(r"<\|.*\|>"), F.lit(False))
     )
 
 
@@ -196,20 +197,26 @@ def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, fill
     included, and 0 where the column is absent.
     """
     name = "final_token_feature_activation"
+    act = F.coalesce(ACT, F.lit(0.0))
+    # The final activation of a part of the prompt's rows, where it stands, and how parts go together.
     if name in tokens.columns:
-        final = F.max(F.coalesce(name, F.lit(0.0))) if filled else F.min_by(name, "token_idx")
+        final, at, whole = (F.max(F.coalesce(name, F.lit(0.0))), F.lit(0), F.max("_final")) if filled else (F.min_by(name, "token_idx"), F.min("token_idx"), F.min_by("_final", "_at"))
     else:
-        final = F.max_by(F.coalesce(ACT, F.lit(0.0)), "token_idx") if filled else F.max(F.lit(0.0))
-    act = F.coalesce(ACT, F.lit(0.0))
+        final, at, whole = (F.max_by(act, "token_idx"), F.max("token_idx"), F.max_by("_final", "_at")) if filled else (F.max(F.lit(0.0)), F.lit(0), F.max("_final"))
     in_span = F.coalesce("is_entity_span_token", F.lit(False))
     best = F.max_by(F.struct("token_idx", "token_str", in_span.alias("in_span")), F.struct(act, -F.col("token_idx")))
+    # Labels are keys at first, since a prompt hardly has several: the least string of every token's would cost more than all the rest.
     # Strings in the state make tasks sort their rows; with the prompt in front, rows in text order are nearly sorted.
-    return content_rows(tokens).groupBy("prompt_id", *FEATURE).agg(
-        F.max(act).alias("max_token_activation"),
-        final.alias("final_token_activation"),
-        F.coalesce(F.max(F.when(in_span, act)), F.lit(0.0)).alias("max_span_activation"),
-        F.coalesce(F.avg(F.when(in_span, act)), F.lit(0.0)).alias("mean_span_activation"),
-        best.alias("_best"),
+    parts = content_rows(tokens).groupBy("prompt_id", *FEATURE, *labels).agg(
+        F.max(act).alias("_max"), final.alias("_final"), at.alias("_at"), best.alias("_best"),
+        F.max(F.when(in_span, act)).alias("_span_max"), F.sum(F.when(in_span, act)).alias("_span_sum"), F.count(F.when(in_span, act)).alias("_span_n"),
+    )
+    return parts.groupBy("prompt_id", *FEATURE).agg(
+        F.max("_max").alias("max_token_activation"),
+        whole.alias("final_token_activation"),
+        F.coalesce(F.max("_span_max"), F.lit(0.0)).alias("max_span_activation"),
+        F.coalesce(F.try_divide(F.sum("_span_sum"), F.sum("_span_n")), F.lit(0.0)).alias("mean_span_activation"),
+        F.max_by("_best", F.struct("_max", -F.col("_best.token_idx"))).alias("_best"),
         *[F.min(c).alias(c) for c in labels],
     ).select(
         *FEATURE, "prompt_id", "max_token_activation", "final_token_activation", "max_span_activation", "mean_span_activation", *labels,

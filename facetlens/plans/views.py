@@ -331,6 +331,7 @@ class Views:
 
 #: Characters of text in a part; their tokens are multiplied by features.
 TEXT_CHARS = 4 << 20
+BEGIN = "<|begin_of_text|>"
 
 
 def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
@@ -342,15 +343,15 @@ def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataF
     """
     size = src.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     parts = max(src.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_CHARS))
-    tokens = F.concat(F.array(F.lit("<|begin_of_text|>")), F.split(text, " "))
+    tokens = F.concat(F.array(F.lit(BEGIN)), F.split(text, " "))
     twice = settle(src.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "repeated-keys")
     same = F.col(key).eqNullSafe(F.col("_key"))
     special = F.col("token_idx") == 0
 
     once = src.select(key, *carry, text).join(twice, same, "left_anti").filter(F.col(text).isNotNull()).repartition(parts, key)
-    schema = once.withColumn("_starts", F.array(F.lit(0))).schema
-    placed = once.mapInArrow(_with_starts, schema).select(key, *carry, F.posexplode(F.arrays_zip(tokens.alias("s"), F.col("_starts").alias("a"))).alias("token_idx", "_t"))
-    placed = placed.select(key, *carry, "token_idx", F.col("_t.s").alias("token_str"), F.col("_t.a").alias("token_start_char"))
+    schema = once.drop(text).withColumns({"_tokens": F.array(F.lit("")), "_starts": F.array(F.lit(0))}).schema
+    placed = once.mapInArrow(_with_starts, schema).select(key, *carry, "_tokens", F.posexplode("_starts").alias("token_idx", "token_start_char"))
+    placed = placed.select(key, *carry, "token_idx", F.get("_tokens", "token_idx").alias("token_str"), "token_start_char")
 
     many = src.select(key, *carry, text).join(twice, same, "left_semi").select(key, *carry, F.posexplode(tokens).alias("token_idx", "token_str"))
     width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
@@ -362,22 +363,22 @@ def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataF
 
 
 def _with_starts(batches):
-    """Batches whose last column is a text, with the starts of the special token and of every space-separated token."""
+    """Batches whose last column, a text, becomes its tokens (the special one and the space-separated ones) and their starts."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            parts = pc.split_pattern(part.column(part.num_columns - 1), " ")
-            first = parts.offsets.to_numpy().astype(np.int64)
-            width = pc.utf8_length(parts.flatten()).to_numpy().astype(np.int64) + 1
+            text = part.column(part.num_columns - 1)
+            tokens = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(BEGIN, text.type), text, pa.scalar(" ", text.type)), " ")
+            first = tokens.offsets.to_numpy().astype(np.int64)
+            words = tokens.flatten()
+            width = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
             first -= first[0]
+            # The special token, each text's first, takes no place.
+            width[first[:-1]] = 0
             upto = np.r_[0, np.cumsum(width)]
-            # Each text has one start more than tokens: the special token's, which is 0 as the first token's is.
-            starts = np.zeros(len(width) + part.num_rows, np.int64)
-            inner = np.ones(len(starts), bool)
-            inner[first[:-1] + np.arange(part.num_rows)] = False
-            starts[inner] = upto[:-1] - np.repeat(upto[first[:-1]], np.diff(first))
-            lists = pa.ListArray.from_arrays(pa.array(first + np.arange(part.num_rows + 1), pa.int32()), pa.array(starts, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "_starts"])
+            starts = upto[:-1] - np.repeat(upto[first[:-1]], np.diff(first))
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), x) for x in (words, pa.array(starts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], [*part.schema.names[:-1], "_tokens", "_starts"])
 
 
 def _token_features() -> Column:

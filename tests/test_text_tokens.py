@@ -194,3 +194,28 @@ def test_prompt_activation_by_brute_force(spark):
                 assert r["family"] == "a" and r["final_token_activation"] == (0.5 if p % 2 else 0.0 if filled else None)
     no_final = tokens.drop("final_token_feature_activation").filter("prompt_id IS NOT NULL")
     assert all(r["final_token_activation"] == float((r["prompt_id"] * 7 + 59 * 13 + r["feature_id"]) % 11) for r in K.prompt_activation(no_final, ["family"]).collect())
+
+
+def test_labels_are_no_state_of_token_rows(spark):
+    """A label is compared once a (prompt, label), not once a token; parts of a prompt with labels of their own go together."""
+    names = "layer int, feature_id int, prompt_id long, token_idx int, token_str string, token_feature_activation double, is_entity_span_token boolean, is_special_token boolean, family string"
+    rows = [(1, 1, 7, 2, "x", 0.5, True, False, "b"), (1, 1, 7, 1, "y", 0.5, False, False, "c"), (1, 1, 7, 3, "z", 0.25, True, False, None), (1, 1, 8, 0, None, None, None, False, None)]
+    tokens = spark.createDataFrame(rows, names)
+    out = K.prompt_activation(tokens, ["family"])
+    got = {r["prompt_id"]: r for r in out.collect()}
+    assert len(got) == 2 and got[8]["family"] is None and got[8]["token_idx_of_max"] == 0 and got[8]["mean_span_activation"] == 0.0
+    r = got[7]
+    assert (r["family"], r["token_idx_of_max"], r["token_str_of_max"], r["max_inside_span"]) == ("b", 1, "y", False)
+    assert (r["max_token_activation"], r["final_token_activation"], r["max_span_activation"], r["mean_span_activation"]) == (0.5, 0.25, 0.5, 0.375)
+    aggregates = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert len(aggregates) == 2 and "min(family" in aggregates[0] and "min(family" not in aggregates[1]
+
+
+def test_texts_are_split_once(spark):
+    from facetlens.plans.views import _text_tokens
+
+    src = spark.createDataFrame([(1, "a b"), (2, " ")], "k long, text string")
+    out = _text_tokens(src, "k", "text", [])
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [(1, 0, "<|begin_of_text|>"), (1, 1, "a"), (1, 2, "b"), (2, 0, "<|begin_of_text|>"), (2, 1, ""), (2, 2, "")]
+    # Only the texts that share a key are split in the plan; the others come split from the task that sums up their offsets.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
