@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from facetlens.functions import text as T
 from facetlens.functions.constants import AXIS_PREFIX_MAP
 from facetlens.functions.hashing import MIX, STEP
+from facetlens.functions.settle import settle
 
 ROLES = {
     "stereotyped": "stereotyped_answer_idx",
@@ -226,8 +227,12 @@ def bootstrap_mean_ci(
     a (task, group) is shuffled. A replicate in which no item has a weight is left out. One
     item gives (mean, mean). NULL keys are groups of their own; a group without values has no row.
     """
+    return _item_ci(rows.filter(F.col(value).isNotNull()).groupBy(*keys, item).agg(F.avg(value).alias("_x")), keys, item, samples, seed)
+
+
+def _item_ci(per_item: DataFrame, keys: list[str], item: str, samples: int, seed: int = 0) -> DataFrame:
+    """The intervals from one mean (_x) for each (keys, item)."""
     name = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
-    per_item = rows.filter(F.col(value).isNotNull()).groupBy(*keys, item).agg(F.avg(value).alias("_x"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")))
     number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
     items = per_item.select(*keys, name.alias("_g"), number(1).alias("_a"), number(9).alias("_b"), F.col("_x").cast("double").alias("_x"))
@@ -268,19 +273,32 @@ def experiment_summary(results: DataFrame, keys: list[str], samples: int | None
     """
     disambig = F.col("context_condition") == "disambig"
     gain = F.col("correct_intervened").cast("double") - F.col("correct_base").cast("double")
-    g = results.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in MEAN_COLS],
-        F.countDistinct("item_uid").alias("n_items"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("feature_set_id").alias("n_featuresets"),
-        F.avg(F.coalesce("prediction_changed", F.lit(False)).cast("double")).alias("prediction_change_rate"),
-        F.avg(F.when(disambig, gain)).alias("accuracy_change_disambig"),
-    ).withColumn("interpretation_label", interpretation_label())
+    means = {f"mean_{c}": F.col(c) for c in MEAN_COLS} | {
+        "prediction_change_rate": F.coalesce("prediction_changed", F.lit(False)).cast("double"), "accuracy_change_disambig": F.when(disambig, gain),
+    }
+    # Sums of each item first: its rows are counted once, with no copy of them for every distinct count.
+    items = results.groupBy(*keys, F.col("item_uid").alias("_item")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[f(x).alias(f"_{n}_{m}") for m, x in means.items() for n, f in (("s", F.sum), ("n", F.count))],
+    )
+    if samples is not None:
+        items = settle(items, "item-sums")
+    g = items.groupBy(*keys).agg(
+        F.count("_item").alias("n_items"), F.sum("_rows").alias("n_rows"), *[F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_n_{m}")).alias(m) for m in means],
+    )
+    same = lambda x, y: reduce(lambda p, q: p & q, [x[k].eqNullSafe(y[k]) for k in keys])
+    if "feature_set_id" in keys:
+        g = g.withColumn("n_featuresets", F.col("feature_set_id").isNotNull().cast("long"))
+    else:
+        sets = results.groupBy(*keys).agg(F.countDistinct("feature_set_id").alias("n_featuresets"))
+        g = g.join(sets, same(g, sets)).select(*[g[c] for c in g.columns], sets["n_featuresets"])
+    g = g.withColumn("interpretation_label", interpretation_label()).select(
+        *keys, *[f"mean_{c}" for c in MEAN_COLS], "n_items", "n_rows", "n_featuresets", "prediction_change_rate", "accuracy_change_disambig", "interpretation_label",
+    )
     if samples is None:
         return g
-    ci = bootstrap_mean_ci(results, keys, "item_uid", "bias_margin_delta", samples)
-    same = reduce(lambda x, y: x & y, [g[k].eqNullSafe(ci[k]) for k in keys])
-    return g.join(ci, same, "left").select(*[g[c] for c in g.columns], ci["ci_low"], ci["ci_high"])
+    x = F.try_divide(F.col("_s_mean_bias_margin_delta"), F.col("_n_mean_bias_margin_delta"))
+    ci = _item_ci(items.filter("_n_mean_bias_margin_delta > 0").select(*keys, "_item", x.alias("_x")), keys, "_item", samples)
+    return g.join(ci, same(g, ci), "left").select(*[g[c] for c in g.columns], ci["ci_low"], ci["ci_high"])
 
 
 def best_worst(summary: DataFrame, n: int = 100) -> DataFrame:

@@ -268,8 +268,10 @@ class Views:
             "item_uid", "doc_id", "axis_mapped", "category_raw", "context_condition", "question_polarity", "mapped_contrast_name",
             "stereotyped_answer_idx", "nonstereotyped_answer_idx", "unknown_answer_idx", "correct_answer_idx",
         ]
-        # An item turns into dozens of rows, so the narrow items are spread out first.
-        spread = self.prepared.select(*keep).repartition(self.spread(), "item_uid")
+        # Scores need no text: items are written without their contexts and prompts. An item turns
+        # into dozens of rows, so the narrow items are spread out first.
+        narrow = settle(items.prepare_items(self.raw_items, self.aliases, self.item_contrasts).select(*keep), "scored-items")
+        spread = narrow.repartition(self.spread(), "item_uid")
         r = spread.select(*keep, F.explode(sets).alias("_s")).select(*keep, "_s.*")
         r = r.withColumn("alpha", arr(RESULT_ALPHAS)).withColumn("intervention_position", arr(RESULT_POSITIONS))
         s = F.col("set_no")
@@ -284,6 +286,11 @@ class Views:
     def labelled_results(self) -> DataFrame:
         return settle(experiment.experiment_labels(self.results), "results")
 
+    def labelled(self, cols: list[str], once: bool = False) -> DataFrame:
+        """Some columns of the labelled results; written, unless they are read only ``once``."""
+        out = experiment.experiment_labels(self.results).select(*dict.fromkeys(cols))
+        return out if once else settle(out, "results")
+
     # ---- tokens ---------------------------------------------------------------
     @cached_property
     def doc_tokens(self) -> DataFrame:

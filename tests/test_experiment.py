@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import numpy as np
@@ -201,3 +202,49 @@ def test_control_rows_takes_every_feature_set(views):
     got = Q.control_rows(views).groupBy("layer", "set_id").agg(F.countDistinct("alpha").alias("a"), F.countDistinct("control_type").alias("c")).collect()
     assert wanted and {(r["layer"], r["set_id"]) for r in got} == wanted
     assert all((r["a"], r["c"]) == (len(Q.RESULT_ALPHAS), len(grid.CONTROLS)) for r in got)
+
+
+def test_summary_counts_items_once_and_sets_apart(spark):
+    """Means, distinct counts and intervals by hand, with null items and sets; no copy of the rows for each distinct count."""
+    rng = random.Random(3)
+    names = ["k", "item_uid", "feature_set_id", "context_condition", "prediction_changed", "correct_base", "correct_intervened", *X.MEAN_COLS]
+    pick = lambda *xs: rng.choice(xs)
+    rows = [
+        (pick("a", "b", None), pick("i1", "i2", "i3", None), pick("s1", "s2", None), pick("ambig", "disambig", None), pick(True, False, None), pick(True, False), pick(True, False, None),
+         *[pick(None, float(rng.randrange(-8, 9))) for _ in X.MEAN_COLS])
+        for _ in range(120)
+    ] + [("empty", None, None, None, None, None, None, *[None] * 5)]
+    types = ["string"] * 4 + ["boolean"] * 3 + ["double"] * 5
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types))).repartition(5)
+    rows = [dict(zip(names, r)) for r in rows]
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for keys in (["k"], ["k", "feature_set_id"]):
+        out = X.experiment_summary(df, keys, 30)
+        assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {tuple(r[k] for k in keys): r for r in out.collect()}
+        plain = {tuple(r[k] for k in keys): r for r in X.bootstrap_mean_ci(df, keys, "item_uid", "bias_margin_delta", 30).collect()}
+        assert got.keys() == {tuple(r[k] for k in keys) for r in rows}
+        for key, r in got.items():
+            own = [x for x in rows if tuple(x[k] for k in keys) == key]
+            distinct = lambda c: len({x[c] for x in own} - {None})
+            assert (r["n_rows"], r["n_items"], r["n_featuresets"]) == (len(own), distinct("item_uid"), distinct("feature_set_id"))
+            for c in X.MEAN_COLS:
+                assert r[f"mean_{c}"] == pytest.approx(mean([x[c] for x in own if x[c] is not None]))
+            assert r["prediction_change_rate"] == pytest.approx(mean([float(bool(x["prediction_changed"])) for x in own]))
+            gain = [float(x["correct_intervened"]) - float(x["correct_base"]) for x in own if x["context_condition"] == "disambig" and x["correct_intervened"] is not None]
+            assert r["accuracy_change_disambig"] == (pytest.approx(mean(gain)) if gain else None)
+            for c in ("ci_low", "ci_high"):
+                want = plain[key][c] if key in plain else None
+                assert r[c] == (pytest.approx(want) if want is not None else None)
+
+
+def test_scores_are_written_without_texts_and_labels_nobody_reads(spark, sf_dir, monkeypatch):
+    from facetlens.plans import experiment_queries, views
+
+    written, real = {}, views.settle
+    monkeypatch.setattr(views, "settle", lambda df, name: written.setdefault(name, df.columns) and real(df, name))
+    v = views.Views(spark, sf_dir)
+    assert experiment_queries.strongest_examples(v).count() == 20
+    assert "results" not in written and not {"context", "prompt", "question"} & set(written["scored-items"])
+    experiment_queries.bootstrap_mean_ci(v)
+    assert len(written["results"]) == 4
