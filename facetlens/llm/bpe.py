@@ -8,7 +8,7 @@ text's ids are its chunks' ids one after the other, and each distinct chunk is e
 from __future__ import annotations
 
 from functools import lru_cache
-from struct import pack
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,15 @@ CACHE_CHUNKS = 300_000
 #: White space of the byte-level pattern beyond ASCII.
 WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _WIDE = [chr(c).encode() for c in WIDE_SPACE]
-_LEAD = np.zeros(256, bool)
-_LEAD[[b[0] for b in _WIDE]] = True
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: The class of each byte, as a table for bytes.translate.
+_SPACE, _ALNUM, _SIGN, _LEAD = 1, 2, 4, 8
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = _SPACE
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _ALNUM
+_CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SIGN
+_CLASS[[b[0] for b in _WIDE]] = _LEAD
+_CLASS = _CLASS.tobytes()
 
 
 @lru_cache(maxsize=None)
@@ -72,9 +72,10 @@ def token_bytes(path: str) -> list[bytes]:
 def chunks(texts: pa.Array, special: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Code of every chunk in text order, the distinct chunks, where each text's chunks begin, byte offsets."""
     raw, off = flat(texts)
-    n = len(raw)
-    space = _SPACE[raw]
-    lead = np.flatnonzero(_LEAD[raw])
+    n, whole = len(raw), raw.tobytes()
+    kind = np.frombuffer(whole.translate(_CLASS), np.uint8)
+    space = (kind & _SPACE).astype(bool)
+    lead = np.flatnonzero(kind & _LEAD)
     if len(lead):
         head = [raw[np.minimum(lead + j, n - 1)] for j in range(3)]
         for b in _WIDE:
@@ -83,9 +84,8 @@ def chunks(texts: pa.Array, special: list[bytes]) -> tuple[np.ndarray, list[byte
                 space[hit + j] = True
     cut = np.zeros(n + 1, bool)
     if n:
-        cut[1:n] = (space[1:] & ~space[:-1]) | (_ALNUM[raw[:-1]] & _SIGN[raw[1:]])
+        cut[1:n] = (space[1:] & ~space[:-1]) | ((kind[:-1] & _ALNUM) << 1 & kind[1:]).astype(bool)
     if special and n:
-        whole = raw.tobytes()
         for s in special:
             at = whole.find(s)
             while at >= 0:
@@ -103,26 +103,25 @@ def chunks(texts: pa.Array, special: list[bytes]) -> tuple[np.ndarray, list[byte
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist(), np.searchsorted(starts, off), off
 
 
-class Recent(dict):
+class Recent:
     """A memory of at most two generations of ``size`` entries; what is used again stays."""
 
     def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def missing(self, keys: list) -> list:
-        """The keys that neither generation has; those of the old one come back into the new."""
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-        out = []
-        for k in keys:
-            if k not in self:
-                v = self.old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    self[k] = v
+        self.size, self.new, self.old = size, {}, {}
+
+    def fetch(self, keys: list, learn) -> list:
+        """The values of distinct ``keys``; ``learn`` gives those of the keys that neither generation has."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        out = list(map(self.new.get, keys))
+        gone = [i for i, v in enumerate(out) if v is None]
+        if gone:
+            for i, v in zip(gone, map(self.old.get, [keys[i] for i in gone])):
+                out[i] = v
+            lost = [i for i in gone if out[i] is None]
+            for i, v in zip(lost, learn([keys[i] for i in lost])):
+                out[i] = v
+            self.new.update((keys[i], out[i]) for i in gone)
         return out
 
 
@@ -133,36 +132,50 @@ class Encoder:
         self.path, self.tokenizer = path, load(path)
         self.special = list(specials(path))
         self.split, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
+        self.holds_special = regex.compile(b"|".join(map(regex.escape, self.special)) or b"(?!)").search
+        # Letters alone or digits alone are one piece, if no special string can lie in them.
+        self.whole = not any(s.lstrip(b" ").isalnum() or s.isspace() for s in self.special)
         # The model spells bytes as printable characters.
         self.spelling = {i: c for c, i in byte_letters().items()}
         self.known = Recent(CACHE_CHUNKS)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> list[bytes]:
         """Latin chunks go to the library's merges piece by piece, others through its whole encoding."""
-        split, merge, spelling, known, alone = self.split, self.merge, self.spelling, self.known, []
+        split, merge, spelling, special, space = self.split, self.merge, self.spelling, self.holds_special, self.spelling[32]
+        out, alone = [], []
         for c in new:
+            if self.whole and c.isascii():
+                body = c[1:] if c[0] == 32 else c
+                if body.isalpha() or body.isdigit():
+                    t = body.decode()
+                    out.append(_packed([k.id for k in merge(t if body is c else space + t)]))
+                    continue
             t = c.decode()
-            if not t.isascii() and max(t) > "\u024f" or any(s in c for s in self.special):
-                alone.append(c)
+            if not t.isascii() and max(t) > "\u024f" or special(c):
+                alone.append(len(out))
+                out.append(t)
                 continue
-            ids = [k.id for p in split(t) for k in merge(p.encode().decode("latin-1").translate(spelling))]
-            known[c] = pack(f"<{len(ids)}I", *ids)
+            out.append(_packed([k.id for p in split(t) for k in merge(p.encode().decode("latin-1").translate(spelling))]))
         if alone:
-            for c, e in zip(alone, self.tokenizer.encode_batch([c.decode() for c in alone], add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+            for i, e in zip(alone, self.tokenizer.encode_batch([out[i] for i in alone], add_special_tokens=False)):
+                out[i] = _packed(e.ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) in text order, and where each text's ids begin."""
         codes, values, off, _ = chunks(texts, self.special)
-        self._learn(self.known.missing(values))
-        packed = [self.known[c] for c in values]
-        size = np.array([len(p) >> 2 for p in packed], np.int64)
-        pool = np.frombuffer(b"".join(packed), "<u4")
-        begin = np.cumsum(size) - size
-        per = size[codes]
-        ends = np.concatenate([[0], np.cumsum(per)])
-        take = np.repeat(begin[codes] - ends[:-1], per) + np.arange(ends[-1])
-        return pool[take], ends[off]
+        packed = pa.array(self.known.fetch(values, self._learn), pa.large_binary())
+        every = packed.take(pa.array(codes))
+        ends = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1) >> 2
+        data = every.buffers()[2]
+        return np.frombuffer(data, "<u4", int(ends[-1])) if ends[-1] else np.zeros(0, "<u4"), ends[off]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 @lru_cache(maxsize=None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlens.llm.bpe import encoder
-from facetlens.llm.common import ids_and_text, stage, text_slices
+from facetlens.llm.common import free_unused, ids_and_text, stage, text_slices
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -54,6 +54,9 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> Dat
     bases = {r["part"]: r["base"] for r in part_offsets(kept.groupBy("part").agg(F.sum("n_tokens").alias("total"))).collect()}
 
     def cut(batches):
+        # Workers of the first pass live on; what they remember of its texts is not needed any more.
+        encoder.cache_clear()
+        free_unused()
         for batch in batches:
             out = []
             for part, place, doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
@@ -70,6 +73,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> Dat
                     out = []
             if out:
                 yield _records(out)
+            free_unused()
 
     return kept.select("part", "place", "doc_id", "n_tokens", "ids").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

@@ -136,7 +136,9 @@ class PrefixCounter:
         self.split = regex.compile(PATTERN).findall
         self.known = Recent(CACHE_CHUNKS)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> list[np.ndarray]:
+        if not new:
+            return []
         pieces: dict[bytes, int] = {}
         parts = []
         for c in new:
@@ -152,6 +154,7 @@ class PrefixCounter:
             pieces.setdefault(p, len(pieces))
         count, off = self.table.counts(list(pieces))
         of = {p: count[off[i]:off[i + 1]] for p, i in pieces.items()}
+        learned = []
         for c, own in zip(new, parts):
             if len(own) == 1 and own[0][:1] != b"'":
                 out = of[own[0]]
@@ -173,15 +176,13 @@ class PrefixCounter:
                 if c.endswith(s):
                     out = out.copy()
                     out[-1] = (out[-len(s) - 1] if len(c) > len(s) else 0) + 1
-            self.known[c] = out
+            learned.append(out)
+        return learned
 
     def look_up(self, texts: pa.Array):
         """Chunk codes, prefix counts of each distinct chunk, chunk offsets of the texts, byte offsets."""
         codes, values, off, byte_off = chunks(texts, self.special)
-        new = self.known.missing(values)
-        if new:
-            self._learn(new)
-        return codes, values, [self.known[c] for c in values], off, byte_off
+        return codes, values, self.known.fetch(values, self._learn), off, byte_off
 
 
 @lru_cache(maxsize=None)

@@ -124,3 +124,27 @@ def test_segments_neither_sort_nor_search_their_ids(monkeypatch):
     large = draw.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
     monkeypatch.undo()
     assert (R.Segment(R.encode_segment(docs, np.array([400, 100]), large)).decode() == large).all()
+
+
+def test_plain_words_skip_the_split_and_memory_keeps_two_generations(monkeypatch):
+    own = ["word another 12 1984", "Zebra  x\ty", "don't <|endoftext|> end", "é word 12", ""]
+    want = [bpe.load(PATH).encode(t, add_special_tokens=False).ids for t in own]
+    tool = bpe.Encoder(PATH)
+    tool.known = bpe.Recent(2)
+    for _ in range(3):
+        ids, off = tool.encode(pa.array(own))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+    memory, asked = bpe.Recent(2), []
+    learn = lambda keys: asked.append(keys) or [k * 2 for k in keys]
+    for keys in (["a", "b", "c"], ["a", "d"], ["e", "f"], ["a", "b"]):
+        assert memory.fetch(keys, learn) == [k * 2 for k in keys]
+    # a came back from the old generation; b was not used again and went.
+    assert asked == [["a", "b", "c"], ["d"], ["e", "f"], ["b"]]
+
+    def slow(_):
+        raise AssertionError("a regular expression over a plain word")
+
+    tool = bpe.Encoder(PATH)
+    tool.split = slow
+    ids, off = tool.encode(pa.array(own[:1]))
+    assert ids.tolist() == want[0]
