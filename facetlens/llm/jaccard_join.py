@@ -34,6 +34,9 @@ from facetlens.llm.graph import components, id_filter, may_hold, split_by_ids
 SLOTS, PARITY = 1 << 23, 2048
 #: Members of a block; a group of up to so many is compared at once.
 BLOCK = 256
+#: Of signatures with more members than this, one in so many ties its members at once; the ties of the others
+#: are compared only where those leave sets apart.
+LARGE_GROUP, AT_ONCE = 64, 4
 #: Signatures of a bucket, and rows of small groups, that a task holds at once; their number grows with the data.
 BUCKET_SIGNATURES, GROUP_ROWS = 1 << 22, 1 << 16
 _CHUNKS = 64
@@ -161,7 +164,8 @@ def signatures(h: np.ndarray, off: np.ndarray, power: np.ndarray, bound: Bound)
 
 
 def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets: int) -> DataFrame:
-    """a, b (fingerprints): candidate pairs; where ``sig`` is not null, a is a member of that group of three or more."""
+    """a, b (fingerprints): candidate pairs, ``late`` ones if a large group can do without them at first; where ``sig``
+    is not null, a is a member of that group of three or more."""
     shared = docs.sparkSession.sparkContext.broadcast(power)
 
     def send(batches):
@@ -215,21 +219,26 @@ def _candidates(docs: DataFrame, size: int, bound: Bound, power: bytes, buckets:
         s, f = sig[inside], fp[inside]
         order = np.lexsort((mix(f.view(np.uint64) ^ mix(s)), s))
         s, f = s[order], f[order]
-        pivot = f[np.repeat(runs(s), np.diff(np.append(runs(s), len(s))))]
+        members = np.diff(np.append(runs(s), len(s)))
+        pivot = f[np.repeat(runs(s), members)]
         rest = f != pivot
+        late = (np.repeat(members, members) > LARGE_GROUP) & ((mix(s + np.uint64(1)) >> np.uint64(20)) % np.uint64(AT_ONCE) > 0)
+        late = np.concatenate([np.zeros(len(two), bool), late[rest]])
         pairs.append(np.stack([np.minimum(f, pivot)[rest], np.maximum(f, pivot)[rest]]))
         hs, hf = s, f
         pair = np.concatenate(pairs, axis=1)
-        order = np.lexsort((pair[1], pair[0]))
-        pair = pair[:, order]
-        pair = pair[:, runs(pair[0], pair[1])]
+        order = np.lexsort((late, pair[1], pair[0]))
+        pair, late = pair[:, order], late[order]
+        one = runs(pair[0], pair[1])
+        pair, late = pair[:, one], late[one]
         return pa.table([
             pa.array(np.concatenate([pair[0], hf])), pa.array(np.concatenate([pair[1], hf])),
             pa.array(np.concatenate([np.zeros(pair.shape[1], np.int64), hs.astype(np.int64)]), mask=np.concatenate([np.ones(pair.shape[1], bool), np.zeros(len(hs), bool)])),
-        ], ["a", "b", "sig"])
+            pa.array(np.concatenate([late, np.zeros(len(hs), bool)])),
+        ], ["a", "b", "sig", "late"])
 
     sent = docs.mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, sig long")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, sig long, late boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, bound: Bound) -> DataFrame:
@@ -279,6 +288,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, bou
     return stage(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
 
 
+def _apart(pairs: DataFrame, sets: DataFrame, reached: DataFrame) -> DataFrame:
+    """The pairs of fingerprints that the links do not connect yet."""
+    of = stage(sets.join(reached, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("c")), "reached")
+    side = lambda x: of.select(F.col("fp").alias(x), F.col("c").alias(f"c_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b").select("a", "b")
+
+
 def _open_pairs(members: DataFrame, sets: DataFrame, reached: DataFrame, bound: Bound) -> DataFrame:
     """Pairs of fingerprints inside groups (sig, a) that the links do not connect yet, in blocks."""
     named = members.join(sets.select(F.col("fp").alias("a"), "rep"), "a").join(reached, F.col("rep") == F.col("node"), "left")
@@ -344,10 +360,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     total = own.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("sets")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bound.signatures(total["shingles"], total["sets"]) // BUCKET_SIGNATURES))
     found = stage(_candidates(named, words, bound, _rarity(first), buckets), "candidates")
-    links = _verified(found.where("sig is null").select("a", "b").distinct(), sets, named, words, bound)
+    ties = lambda late: found.where(F.col("sig").isNull() & (F.col("late") == late)).select("a", "b").distinct()
+    links = _verified(ties(False), sets, named, words, bound)
     groups = found.where("sig is not null").select("sig", "a")
     if not groups.isEmpty():
-        more = stage(_open_pairs(groups, sets, components(links), bound).distinct(), "open-pairs")
+        reached = components(links)
+        if not (late := ties(True)).isEmpty():
+            apart = stage(_apart(late, sets, reached), "late-ties")
+            if not apart.isEmpty():
+                links = links.unionByName(_verified(apart, sets, named, words, bound))
+                reached = components(links)
+        more = stage(_open_pairs(groups, sets, reached, bound).distinct(), "open-pairs")
         if not more.isEmpty():
             links = links.unionByName(_verified(more, sets, named, words, bound))
     # A doc_id with several texts ties their sets together.

@@ -120,3 +120,28 @@ def test_signatures_meet_for_all_similar_sets():
         if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
             sig, own = jaccard_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), power, bound)
             assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
+
+
+def test_ties_of_large_groups_wait_and_lose_no_link(spark, monkeypatch):
+    """Near copies share many signatures; what one in four of them connects is not compared by the others."""
+    rng = random.Random(8)
+    text = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(150):
+        own = list(text)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10_000)}"
+        rows.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    compared, real = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    want = sorted(brute(list(enumerate(rows))))
+    assert got(df) == want
+    few, compared[:] = sum(compared), []
+    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", 1 << 30)
+    assert got(df) == want
+    assert 2 * few < sum(compared), (few, compared)
+    # Ties that connect nothing at first are all compared later.
+    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", 2)
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 1 << 30)
+    assert got(df) == want
