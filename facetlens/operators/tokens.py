@@ -3,14 +3,25 @@
 A token table has one row per (layer, feature_id, prompt_id, token_idx) with offsets,
 text, activation and flags. Aggregations go to (feature, prompt) first and to the feature
 afterwards, so a feature that fires on most tokens is reduced inside each task.
+
+The same table may come as token lists: a row per (layer, prompt_id), or per part of a prompt, whose
+``feature_id`` is a list, as are its token columns; its activations are listed feature by feature (all tokens of
+the first, then of the second), its final activations have an entry a feature. Texts and labels are there once for all
+features, and a task sums lists up without making rows of them. ``TokenLists`` are lists that are made in that task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from facetlens.functions import constants as K
 from facetlens.functions import text as T
@@ -186,31 +197,169 @@ def localization_label(span_max: Column, final: Column, overall: Column, outside
     return out.when(rest, F.lit("template_context")).otherwise(F.lit("diffuse_or_unclear"))
 
 
-PROMPT_LABELS = ["family", "template_id", "axis", "entity"]
-
+FINAL = "final_token_feature_activation"
 
-def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, filled: bool = True) -> DataFrame:
-    """(feature, prompt): max, final, span max and mean, arg-max token, label columns.
 
-    The final activation is its column with 0 for missing values, or the last token's where
-    the column is absent. Without ``filled`` it is the first token's value as it stands, NULL
-    included, and 0 where the column is absent.
-    """
-    name = "final_token_feature_activation"
+def _row_parts(tokens: DataFrame, labels: list[str], filled: bool) -> DataFrame:
+    """(prompt, feature, labels): what ``prompt_activation`` puts together, of token rows."""
     act = F.coalesce(ACT, F.lit(0.0))
-    # The final activation of a part of the prompt's rows, where it stands, and how parts go together.
-    if name in tokens.columns:
-        final, at, whole = (F.max(F.coalesce(name, F.lit(0.0))), F.lit(0), F.max("_final")) if filled else (F.min_by(name, "token_idx"), F.min("token_idx"), F.min_by("_final", "_at"))
+    # The final activation of a part of the prompt's rows, and where it stands.
+    if FINAL in tokens.columns:
+        final, at = (F.max(F.coalesce(FINAL, F.lit(0.0))), F.lit(0)) if filled else (F.min_by(FINAL, "token_idx"), F.min("token_idx"))
     else:
-        final, at, whole = (F.max_by(act, "token_idx"), F.max("token_idx"), F.max_by("_final", "_at")) if filled else (F.max(F.lit(0.0)), F.lit(0), F.max("_final"))
+        final, at = (F.max_by(act, "token_idx"), F.max("token_idx")) if filled else (F.max(F.lit(0.0)), F.lit(0))
     in_span = F.coalesce("is_entity_span_token", F.lit(False))
     best = F.max_by(F.struct("token_idx", "token_str", in_span.alias("in_span")), F.struct(act, -F.col("token_idx")))
     # Labels are keys at first, since a prompt hardly has several: the least string of every token's would cost more than all the rest.
     # Strings in the state make tasks sort their rows; with the prompt in front, rows in text order are nearly sorted.
-    parts = content_rows(tokens).groupBy("prompt_id", *FEATURE, *labels).agg(
+    return content_rows(tokens).groupBy("prompt_id", *FEATURE, *labels).agg(
         F.max(act).alias("_max"), final.alias("_final"), at.alias("_at"), best.alias("_best"),
         F.max(F.when(in_span, act)).alias("_span_max"), F.sum(F.when(in_span, act)).alias("_span_sum"), F.count(F.when(in_span, act)).alias("_span_n"),
     )
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+@dataclass(frozen=True)
+class TokenLists:
+    """Token lists that tasks make of the batches of ``source``, where they are read; ``rest``: a table of further ones.
+
+    ``schema`` names the columns that ``make`` gives; ``rest`` has them too.
+    """
+
+    source: DataFrame
+    make: Callable[[Batches], Batches]
+    schema: StructType
+    rest: DataFrame
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+    def map_lists(self, columns: list[str], run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+        make = self.make
+        made = self.source.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches)), schema)
+        return made.unionByName(self.rest.select(*columns).mapInArrow(run, schema))
+
+
+def is_lists(tokens: DataFrame | TokenLists) -> bool:
+    return isinstance(tokens.schema["feature_id"].dataType, ArrayType)
+
+
+def _map_lists(tokens: DataFrame | TokenLists, columns: list[str], run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+    """``run`` over the lists' columns that the sums of content tokens need, and ``columns``."""
+    kept = ["is_special_token"] if "is_special_token" in tokens.columns else ["token_start_char", "token_end_char"]
+    columns = [*FEATURE, "token_idx", "token_str", "is_entity_span_token", ACT, *kept, *columns]
+    if isinstance(tokens, TokenLists):
+        return tokens.map_lists(columns, run, schema)
+    return tokens.select(*columns).mapInArrow(run, schema)
+
+
+#: Rows of token lists whose activations a task looks at at a time, and tokens whose equal ones it sums up.
+LIST_ROWS, LIST_TOKENS = 1024, 1 << 20
+
+
+def _schema(tokens: DataFrame | TokenLists, **columns: str | None) -> StructType:
+    """Nullable columns of the given types; without one, of the type the lists have."""
+    known = {f.name: f.dataType for f in tokens.schema.fields} | {"feature_id": tokens.schema["feature_id"].dataType.elementType}
+    return StructType([StructField(c, known[c] if t is None else DataType.fromDDL(t)) for c, t in columns.items()])
+
+
+def _feature_tokens(part: pa.RecordBatch, content: bool):
+    """Of each (feature, token) of some lists in their order: segment (a row's feature), token, activation; and the row of each segment."""
+    n, m = (part.column(c).value_lengths().fill_null(0).to_numpy().astype(np.int64) for c in ("token_idx", "feature_id"))
+    row = np.repeat(np.arange(len(n)), m)
+    size = n[row]
+    seg = np.repeat(np.arange(len(row)), size)
+    token = np.arange(len(seg)) - np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n)[row], size)
+    act = part.column(ACT).flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    if len(act) != len(seg):
+        raise ValueError("token lists need an activation a feature and token")
+    if content:
+        keep = _content(part)[token]
+        seg, token, act = seg[keep], token[keep], act[keep]
+    return seg, token, act, row
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.flatten().fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _content(part: pa.RecordBatch) -> np.ndarray:
+    if "is_special_token" in part.schema.names:
+        return ~_flags(part.column("is_special_token"))
+    return pc.greater(part.column("token_end_char").flatten(), part.column("token_start_char").flatten()).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _list_parts(tokens: DataFrame, labels: list[str], filled: bool) -> DataFrame:
+    """What ``_row_parts`` gives, of token lists, a row per list and feature with content tokens."""
+    has_final = FINAL in tokens.columns
+    keys = ["prompt_id", *FEATURE, *labels]
+    schema = _schema(
+        tokens, **dict.fromkeys(keys), _max="double", _final="double", _at="int", _best="struct<token_idx: int, token_str: string, in_span: boolean>",
+        _span_max="double", _span_sum="double", _span_n="bigint",
+    )
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, LIST_ROWS):
+                part = batch.slice(at, LIST_ROWS)
+                seg, token, act, row = _feature_tokens(part, True)
+                if not len(seg):
+                    continue
+                cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+                width = np.diff(np.r_[cut, len(seg)])
+                own = seg[cut]
+                idx = part.column("token_idx").flatten().to_numpy()[token].astype(np.int64)
+                inside = _flags(part.column("is_entity_span_token"))
+                # As in Spark, a NaN is the largest value.
+                top = np.maximum.reduceat(act, cut)
+                hit = (act == np.repeat(top, width)) | np.isnan(act)
+                first = np.minimum.reduceat(np.where(hit, idx, np.iinfo(np.int64).max), cut)
+                places = np.flatnonzero(hit & (idx == np.repeat(first, width)))
+                best = token[places[np.r_[True, seg[places][1:] != seg[places][:-1]]]]
+                span = inside[token]
+                span_n = np.add.reduceat(span.astype(np.int64), cut)
+                span_max = pa.array(np.maximum.reduceat(np.where(span, act, -np.inf), cut), mask=span_n == 0)
+                span_sum = np.add.reduceat(np.where(span, act, 0.0), cut)
+                where = np.zeros(len(own), np.int64)
+                if has_final:
+                    final = part.column(FINAL).flatten().take(pa.array(own))
+                    final, where = (final.fill_null(0.0), where) if filled else (final, np.minimum.reduceat(idx, cut))
+                elif filled:
+                    where = np.maximum.reduceat(idx, cut)
+                    last = np.flatnonzero(idx == np.repeat(where, width))
+                    final = pa.array(act[last[np.r_[True, seg[last][1:] != seg[last][:-1]]]])
+                else:
+                    final = pa.array(np.zeros(len(own)))
+                rows = pa.array(row[own])
+                chosen = pa.StructArray.from_arrays(
+                    [pa.array(first, pa.int32()), part.column("token_str").flatten().take(pa.array(best)).cast(pa.string()), pa.array(inside[best])], ["token_idx", "token_str", "in_span"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("prompt_id").take(rows), part.column("layer").take(rows), part.column("feature_id").flatten().take(pa.array(own)),
+                        *[part.column(c).take(rows) for c in labels], pa.array(top), final, pa.array(where, pa.int32()), chosen, span_max, pa.array(span_sum), pa.array(span_n),
+                    ],
+                    schema.names,
+                )
+
+    return _map_lists(tokens, ["prompt_id", *labels, *[FINAL] * has_final], run, schema)
+
+
+PROMPT_LABELS = ["family", "template_id", "axis", "entity"]
+
+
+def prompt_activation(tokens: DataFrame, labels: list[str] = PROMPT_LABELS, filled: bool = True) -> DataFrame:
+    """(feature, prompt): max, final, span max and mean, arg-max token, label columns.
+
+    The final activation is its column with 0 for missing values, or the last token's where
+    the column is absent. Without ``filled`` it is the first token's value as it stands, NULL
+    included, and 0 where the column is absent.
+    """
+    # How the final activations of a prompt's parts go together.
+    whole = F.max("_final") if filled == (FINAL in tokens.columns) else F.min_by("_final", "_at") if FINAL in tokens.columns else F.max_by("_final", "_at")
+    parts = _list_parts(tokens, labels, filled) if is_lists(tokens) else _row_parts(tokens, labels, filled)
     return parts.groupBy("prompt_id", *FEATURE).agg(
         F.max("_max").alias("max_token_activation"),
         whole.alias("final_token_activation"),
@@ -246,14 +395,69 @@ def content_rows(tokens: DataFrame) -> DataFrame:
     return tokens.filter("token_end_char > token_start_char")
 
 
-def token_totals(tokens: DataFrame) -> DataFrame:
-    """(feature, token_norm): summed activation and share inside the entity span."""
-    return tokens.groupBy(*FEATURE, T.token_norm(F.col("token_str")).alias("token_norm")).agg(
+def token_totals(tokens: DataFrame, content: bool = False) -> DataFrame:
+    """(feature, token_norm): summed activation and share inside the entity span; of ``content`` tokens only, or of all."""
+    if is_lists(tokens):
+        # Dealt by word before its features part, so that all of them are summed up in one place.
+        words = _list_totals(tokens, content).withColumn("token_norm", T.token_norm(F.col("token_str"))).repartition("token_norm")
+        long = words.select("layer", "token_norm", "_sum", "_inside", "_n", F.posexplode("feature_id").alias("_at", "feature_id"))
+        sums = long.select(*FEATURE, "token_norm", *[F.get(c, F.col("_at")).alias(c) for c in ("_sum", "_inside", "_n")]).groupBy(*FEATURE, "token_norm")
+        return sums.agg(F.sum("_sum").alias("activation"), (F.sum("_inside") / F.sum("_n")).alias("span_fraction"))
+    return (content_rows(tokens) if content else tokens).groupBy(*FEATURE, T.token_norm(F.col("token_str")).alias("token_norm")).agg(
         F.sum(F.coalesce(ACT, F.lit(0.0))).alias("activation"),
         F.avg(F.coalesce("is_entity_span_token", F.lit(False)).cast("double")).alias("span_fraction"),
     )
 
 
+def _gathered(batches: Batches, tokens: int) -> Batches:
+    """Batches of token lists in one, up to about so many tokens."""
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(batch)
+        size += len(batch.column("token_idx").flatten())
+        if size >= tokens:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            parts, size = [], 0
+    if size:
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _list_totals(tokens: DataFrame | TokenLists, content: bool) -> DataFrame:
+    """(layer, token as it stands): lists of features and of their sums, over LIST_TOKENS tokens of a task."""
+    schema = _schema(tokens, layer=None, token_str="string", feature_id=None, _sum="double", _inside="bigint", _n="bigint")
+    schema = StructType([f if f.name in ("layer", "token_str") else StructField(f.name, ArrayType(f.dataType)) for f in schema.fields])
+
+    def run(batches):
+        for part in _gathered(batches, LIST_TOKENS):
+            seg, token, act, row = _feature_tokens(part, content)
+            if not len(seg):
+                continue
+            words = part.column("token_str").flatten().dictionary_encode(null_encoding="encode")
+            layers, features = part.column("layer").dictionary_encode(null_encoding="encode"), part.column("feature_id").flatten().dictionary_encode(null_encoding="encode")
+            # Equal (word, layer, feature) have one number, in this order.
+            n_layers, n_features = len(layers.dictionary), len(features.dictionary)
+            of_segment = layers.indices.to_numpy().astype(np.int64)[row] * n_features + features.indices.to_numpy()
+            number = words.indices.to_numpy().astype(np.int64)[token] * (n_layers * n_features) + of_segment[seg]
+            met, at = None, number
+            if len(words.dictionary) * n_layers * n_features > 8 * len(number):
+                met, at = np.unique(number, return_inverse=True)
+            n = np.bincount(at)
+            there = np.flatnonzero(n)
+            inside = np.bincount(at, _flags(part.column("is_entity_span_token"))[token])[there].astype(np.int64)
+            total = np.bincount(at, act)[there]
+            met = there if met is None else met
+            own = met // n_features
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            upto = pa.array(np.r_[cut, len(own)], pa.int32())
+            lists = [features.dictionary.take(pa.array(met % n_features)), pa.array(total), pa.array(inside), pa.array(n[there])]
+            yield pa.RecordBatch.from_arrays(
+                [layers.dictionary.take(pa.array(own[cut] % n_layers)), words.dictionary.take(pa.array(own[cut] // n_layers)).cast(pa.string()), *[pa.ListArray.from_arrays(upto, x) for x in lists]],
+                schema.names,
+            )
+
+    return _map_lists(tokens, [], run, schema)
+
+
 def _entropy(values: Column) -> Column:
     """Shannon entropy of the positive entries of an array over ln(count); 0 below two."""
     v = F.filter(values, lambda x: x > 0)
@@ -323,7 +527,7 @@ def token_localization(tokens: DataFrame) -> DataFrame:
         F.avg(F.col("max_inside_span").cast("double")).alias("fraction_top_tokens_inside_span"),
     )
     entropies = _label_entropies(prompts, {"family": "family_entropy", "template_id": "template_entropy", "axis": "cross_axis_activation_score"})
-    tops = top_token_metrics(token_totals(content_rows(tokens)))
+    tops = top_token_metrics(token_totals(tokens, content=True))
     out = base.join(medians, FEATURE).join(entropies, FEATURE).join(tops, FEATURE)
     for c in ("span_localization_score", "span_localization_score_mean", "final_token_integration_score"):
         out = out.withColumn(c, clip01(F.col(c)))

@@ -106,7 +106,7 @@ def token_ranks(v):
     f"SELECT layer, feature_id, prompt_id, {PA_SQL}, best_idx AS token_idx_of_max, best_str AS token_str_of_max, {LABEL_SQL.format(outside='AND NOT best_in')} AS localization FROM v_pact",
 )
 def localization_label(v):
-    p = K.prompt_activation(v.tokens)
+    p = K.prompt_activation(v.token_lists)
     lab = K.localization_label(F.col("max_span_activation"), F.col("final_token_activation"), F.col("max_token_activation"), ~F.col("max_inside_span"))
     return r_cols(p.select("layer", "feature_id", "prompt_id", *PA, "token_idx_of_max", "token_str_of_max", lab.alias("localization")), PA)
 
@@ -120,12 +120,12 @@ LOC = [
 
 @query("token_localization", f"SELECT layer, feature_id, top_token_strings, feature_localization_type, {rs(LOC)} FROM v_loc")
 def token_localization(v):
-    return r_cols(K.token_localization(v.tokens).select("layer", "feature_id", "top_token_strings", "feature_localization_type", *LOC), LOC)
+    return r_cols(K.token_localization(v.token_lists).select("layer", "feature_id", "top_token_strings", "feature_localization_type", *LOC), LOC)
 
 
 @query("top_token_fallback", f"SELECT layer, feature_id, top_token_strings, {R('tw')} AS fraction_top_tokens_template_words, {R('te')} AS token_entropy FROM v_top30_all")
 def top_token_fallback(v):
-    return r_cols(K.top_token_fallback(v.tokens), ["fraction_top_tokens_template_words", "token_entropy"])
+    return r_cols(K.top_token_fallback(v.token_lists), ["fraction_top_tokens_template_words", "token_entropy"])
 
 
 @query(
@@ -134,7 +134,7 @@ def top_token_fallback(v):
 FROM (SELECT *, sum(a) OVER (PARTITION BY layer, feature_id) AS t FROM (SELECT layer, feature_id, token_norm, sum(act) AS a FROM v_tn GROUP BY ALL) WHERE a > 0) GROUP BY layer, feature_id""",
 )
 def normalized_entropy(v):
-    return r_cols(K.normalized_entropy(K.token_totals(v.tokens), K.FEATURE, "activation", "entropy"), ["entropy"])
+    return r_cols(K.normalized_entropy(K.token_totals(v.token_lists), K.FEATURE, "activation", "entropy"), ["entropy"])
 
 
 @query(
@@ -142,7 +142,7 @@ def normalized_entropy(v):
     f"SELECT layer, feature_id, l AS localization_type, {R('count(*) / sum(count(*)) OVER (PARTITION BY layer, feature_id)')} AS share FROM (SELECT layer, feature_id, {LABEL_SQL.format(outside='AND NOT best_in')} AS l FROM v_pact) GROUP BY layer, feature_id, l",
 )
 def localization_share(v):
-    p = K.prompt_activation(v.tokens)
+    p = K.prompt_activation(v.token_lists)
     lab = K.localization_label(F.col("max_span_activation"), F.col("final_token_activation"), F.col("max_token_activation"), ~F.col("max_inside_span"))
     return r_cols(K.localization_share(p.withColumn("feature_localization_type", lab)), ["share"])
 
@@ -153,7 +153,7 @@ def localization_share(v):
 FROM (SELECT *, row_number() OVER (PARTITION BY layer, feature_id ORDER BY mx DESC, fi DESC, prompt_id) AS rn FROM (SELECT * REPLACE (fr AS fi) FROM v_pact)) WHERE rn <= 25""",
 )
 def exemplar_prompts(v):
-    e = K.exemplar_prompts(K.prompt_activation(v.tokens, filled=False), 25)
+    e = K.exemplar_prompts(K.prompt_activation(v.token_lists, filled=False), 25)
     return r_cols(e.select("layer", "feature_id", "prompt_id", "rank", *PA, "token_idx_of_max", "feature_localization_type"), PA)
 
 

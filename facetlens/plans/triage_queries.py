@@ -48,7 +48,7 @@ def specificity(v):
 
 
 def localization(v):
-    return settled(v, "localization", lambda: K.token_localization(v.tokens))
+    return settled(v, "localization", lambda: K.token_localization(v.token_lists))
 
 
 def spine(v):

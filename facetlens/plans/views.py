@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from facetlens.functions.settle import settle
 from facetlens.operators import codes, experiment, grid, items
 from facetlens.operators.means import residualize
+from facetlens.operators.tokens import TokenLists
 
 LAYERS = [8, 16, 24]
 RESID = {"raw": None, "family": "family", "template": "template_id", "form": "required_form"}
@@ -298,13 +299,16 @@ class Views:
         return self._doc_tokens([])
 
     def _doc_tokens(self, carry: list[str]) -> DataFrame:
+        return _text_tokens(self._labelled_docs(carry), "prompt_id", "text", carry)
+
+    def _labelled_docs(self, carry: list[str]) -> DataFrame:
         d = F.col("prompt_id")
         labels = {
             "entity": F.concat(F.lit("g"), _s(d % 10)), "axis": F.concat(F.lit("ax"), _s(d % 3)),
             "family": F.concat(F.lit("fam"), _s(d % 5)), "template_id": F.concat(F.lit("t"), _s(d % 25)),
         }
         docs = self.table("documents").select(F.col("doc_id").alias("prompt_id"), "text")
-        return _text_tokens(docs.withColumns({c: labels[c] for c in carry}) if carry else docs, "prompt_id", "text", carry)
+        return docs.withColumns({c: labels[c] for c in carry}) if carry else docs
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -320,6 +324,12 @@ class Views:
             *labels,
         )
 
+    @cached_property
+    def token_lists(self) -> TokenLists:
+        """The rows of ``tokens`` as token lists: one a text, made where the text lies."""
+        labels = ["entity", "axis", "family", "template_id"]
+        return _text_token_lists(self._labelled_docs(labels), "prompt_id", "text", labels)
+
     @cached_property
     def item_tokens(self) -> DataFrame:
         """Positive token activations of items; item columns travel with the text, no join."""
@@ -348,25 +358,83 @@ def _text_tokens(src: DataFrame, key: str, text: str, carry: list[str]) -> DataF
     tokens are neither shuffled nor sorted for them, and what a task makes of its part stays in memory. Texts
     that share a key go on in one another's offsets: those alone are numbered by a window.
     """
+    once, many = _dealt_texts(src, key, text, carry)
+    schema = once.drop(text).withColumns({"_tokens": F.array(F.lit("")), "_starts": F.array(F.lit(0))}).schema
+    placed = once.mapInArrow(_with_starts, schema).select(key, *carry, "_tokens", F.posexplode("_starts").alias("token_idx", "token_start_char"))
+    placed = placed.select(key, *carry, "token_idx", F.get("_tokens", "token_idx").alias("token_str"), "token_start_char")
+    return placed.unionByName(many).withColumn("token_end_char", _token_end())
+
+
+def _token_end() -> Column:
+    return F.when(F.col("token_idx") == 0, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
+
+
+def _dealt_texts(src: DataFrame, key: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Texts with a key of their own, in parts of about TEXT_CHARS, and the numbered token rows of those that share one."""
     size = src.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     parts = max(src.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_CHARS))
     tokens = F.concat(F.array(F.lit(BEGIN)), F.split(text, " "))
     twice = settle(src.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "repeated-keys")
     same = F.col(key).eqNullSafe(F.col("_key"))
-    special = F.col("token_idx") == 0
 
     once = src.select(key, *carry, text).join(twice, same, "left_anti").filter(F.col(text).isNotNull()).repartition(parts, key)
-    schema = once.drop(text).withColumns({"_tokens": F.array(F.lit("")), "_starts": F.array(F.lit(0))}).schema
-    placed = once.mapInArrow(_with_starts, schema).select(key, *carry, "_tokens", F.posexplode("_starts").alias("token_idx", "token_start_char"))
-    placed = placed.select(key, *carry, "token_idx", F.get("_tokens", "token_idx").alias("token_str"), "token_start_char")
 
     many = src.select(key, *carry, text).join(twice, same, "left_semi").select(key, *carry, F.posexplode(tokens).alias("token_idx", "token_str"))
-    width = F.when(special, F.lit(0)).otherwise(F.length("token_str") + 1)
+    width = F.when(F.col("token_idx") == 0, F.lit(0)).otherwise(F.length("token_str") + 1)
     w = Window.partitionBy(key).orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
-    many = many.withColumn("token_start_char", F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int"))
-    return placed.unionByName(many).withColumn(
-        "token_end_char", F.when(special, F.col("token_start_char")).otherwise(F.col("token_start_char") + F.length("token_str"))
-    )
+    return once, many.withColumn("token_start_char", F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int"))
+
+
+#: Columns of token lists: by token, by feature and token (all tokens of the first feature, then of the second), by feature.
+LISTS = {
+    "token_idx": "int", "token_str": "string", "token_start_char": "int", "token_end_char": "int",
+    "is_special_token": "boolean", "is_entity_span_token": "boolean",
+    "token_feature_activation": "double", "feature_id": "int", "final_token_feature_activation": "double",
+}
+
+
+def _text_token_lists(src: DataFrame, key: str, text: str, carry: list[str]) -> TokenLists:
+    """The tokens of ``_text_tokens`` with flags and activations, a list a text; of texts that share a key, every token is a list."""
+    once, many = _dealt_texts(src, key, text, carry)
+    schema = once.drop(text).withColumns({"layer": F.lit(24), **{c: F.array().cast(f"array<{t}>") for c, t in LISTS.items()}}).schema
+
+    def make(batches):
+        m = len(TOKEN_FEATURES)
+        for batch in _with_starts(batches):
+            words, starts = (batch.column(c).flatten() for c in ("_tokens", "_starts"))
+            n = batch.column("_tokens").value_lengths().to_numpy().astype(np.int64)
+            upto = np.r_[0, np.cumsum(n)]
+            first = np.repeat(upto[:-1], n)
+            idx = np.arange(len(words)) - first
+            starts = starts.to_numpy()
+            ends = starts + np.where(idx == 0, 0, pc.utf8_length(words).to_numpy())
+            doc = batch.column(key).fill_null(0).to_numpy().astype(np.int64)
+            unknown = batch.column(key).is_null().to_numpy(zero_copy_only=False)
+            act, place, step = np.empty(m * len(words)), m * first + idx, np.repeat(n, n)
+            base = np.repeat(doc * 7, n) + idx * 13
+            for i, f in enumerate(TOKEN_FEATURES):
+                act[place + i * step] = np.fmod(base + f * 29, 101) / 100.0
+            final = np.fmod(doc[:, None] * 7 + np.array(TOKEN_FEATURES) * 29, 97) / 100.0
+            by_feature = pa.array(np.arange(0, m * len(n) + 1, m), pa.int32())
+            by_token = [
+                pa.array(idx, pa.int32()), words, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(ends <= starts), pa.array((idx >= 3) & (idx <= 5)),
+            ]
+            lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), x) for x in by_token]
+            lists.append(pa.ListArray.from_arrays(pa.array(m * upto, pa.int32()), pa.array(act, mask=np.repeat(unknown, m * n))))
+            lists.append(pa.ListArray.from_arrays(by_feature, pa.array(np.tile(TOKEN_FEATURES, len(n)), pa.int32())))
+            lists.append(pa.ListArray.from_arrays(by_feature, pa.array(final.ravel(), mask=np.repeat(unknown | (np.fmod(doc, 3) == 0), m))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.full(len(n), 24), pa.int32()), *lists], schema.names)
+
+    d, t = F.col(key), F.col("token_idx")
+    many = many.withColumn("token_end_char", _token_end()).withColumns({
+        "layer": F.lit(24), "is_special_token": F.col("token_end_char") <= F.col("token_start_char"), "is_entity_span_token": t.between(3, 5),
+    })
+    by_feature = {
+        "token_feature_activation": lambda f: ((d * 7 + t * 13 + f * 29) % 101) / F.lit(100.0), "feature_id": F.lit,
+        "final_token_feature_activation": lambda f: F.when(d % 3 != 0, ((d * 7 + f * 29) % 97) / F.lit(100.0)),
+    }
+    lists = [F.array(*[by_feature[c](f) for f in TOKEN_FEATURES] if c in by_feature else [F.col(c)]).alias(c) for c in LISTS]
+    return TokenLists(once, make, schema, many.select(key, *carry, "layer", *lists))
 
 
 def _with_starts(batches):

@@ -219,3 +219,50 @@ def test_texts_are_split_once(spark):
     assert sorted(tuple(r)[:3] for r in out.collect()) == [(1, 0, "<|begin_of_text|>"), (1, 1, "a"), (1, 2, "b"), (2, 0, "<|begin_of_text|>"), (2, 1, ""), (2, 2, "")]
     # Only the texts that share a key are split in the plan; the others come split from the task that sums up their offsets.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_token_lists_give_what_their_rows_give(spark):
+    import random
+
+    from pyspark.sql import types as X
+
+    draw = random.Random(5)
+    rows, lists = [], []
+    for p in [*range(30), 7, None]:
+        features, n = draw.sample(range(5), draw.randint(0, 3)), draw.randint(0, 40)
+        words = [draw.choice(["The", "the ", "Ġa", "b", "", None]) for _ in range(n)]
+        special, span = ([draw.choice([True, False, False, None]) for _ in range(n)] for _ in range(2))
+        acts = [[draw.choice([0.0, 0.25, 0.5, None] + [float("nan")] * (p == 3)) for _ in range(n)] for _ in features]
+        finals = [draw.choice([0.5, 0.75, None]) for _ in features]
+        lists.append((p % 2 if p else 1, features, p, list(range(n)), words, special, span, [a for x in acts for a in x], finals, draw.choice(["u", "v", None])))
+        rows += [(p % 2 if p else 1, f, p, i, words[i], special[i], span[i], acts[j][i], finals[j], lists[-1][-1]) for j, f in enumerate(features) for i in range(n)]
+    kinds = dict(layer="int", feature_id="int", prompt_id="long", token_idx="int", token_str="string", is_special_token="boolean", is_entity_span_token="boolean")
+    kinds |= dict(token_feature_activation="double", final_token_feature_activation="double", family="string")
+    of_lists = {c: t if c in ("layer", "prompt_id", "family") else f"array<{t}>" for c, t in kinds.items()}
+    by_row, by_list = (spark.createDataFrame(r, X.DataType.fromDDL(", ".join(f"{c} {t}" for c, t in k.items()))) for r, k in ((rows, kinds), (lists, of_lists)))
+    plain = lambda df: sorted(str(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in df.select(*sorted(df.columns)).collect())
+    # A text given twice has two tokens of each place; which of two equal ones is named is open.
+    named = ("token_str_of_max", "max_inside_span")
+    for drop in ((), (K.FINAL,)):
+        a, b = by_row.drop(*drop), by_list.drop(*drop)
+        for filled in (True, False):
+            once = F.coalesce(F.col("prompt_id") != 7, F.lit(True))
+            assert plain(K.prompt_activation(a.filter(once), ["family"], filled)) == plain(K.prompt_activation(b.filter(once), ["family"], filled))
+        assert plain(K.prompt_activation(a, ["family"]).drop(*named, K.FINAL.replace("_feature", ""))) == plain(K.prompt_activation(b, ["family"]).drop(*named, K.FINAL.replace("_feature", "")))
+    for content in (True, False):
+        assert plain(K.token_totals(by_row, content)) == plain(K.token_totals(by_list, content))
+
+
+def test_localization_makes_no_row_of_a_token(spark, tmp_path):
+    from facetlens.plans.views import Views
+
+    texts = [(i, " ".join(["the", "A", f"w{i % 7}", "", "é"] * (1 + i % 4))) for i in range(60)] + [(60, None), (61, ""), (5, "once more")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    v = Views(spark, str(tmp_path))
+    plain = lambda df: sorted(str(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in df.select(*sorted(df.columns)).collect())
+    assert plain(K.token_localization(v.token_lists)) == plain(K.token_localization(v.tokens))
+    assert plain(K.prompt_activation(v.token_lists).filter("prompt_id <> 5")) == plain(K.prompt_activation(v.tokens).filter("prompt_id <> 5"))
+    # Tokens are exploded for the texts that share a key only, not for the others.
+    for table in (K.prompt_activation(v.token_lists), K.token_totals(v.token_lists, content=True)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode(_starts" not in plan and "explode([3,17,40]" not in plan and "MapInArrow" in plan
