@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions import vec as V
 from facetlens.functions.joins import spread_join
+from facetlens.functions.settle import settle
 from facetlens.operators.effects import endpoint_metrics
 from facetlens.operators.means import VariantMeans, group_vector_mean, pooled_mean
 
@@ -121,13 +122,18 @@ def projection_scores(vm: VariantMeans, directions: DataFrame, rows: str = "axis
 
 
 def endpoint_component_metrics(vm: VariantMeans, directions: DataFrame, extra: list[str]) -> DataFrame:
-    """Endpoint metrics of several directions per contrast, told apart by ``extra`` columns."""
-    placed = by_endpoint(with_offsets(directions, vm.overall, vm.shifts, ["layer"]))
+    """Endpoint metrics of several directions per contrast, told apart by ``extra`` columns.
+
+    Scores carry a direction's number, and its names come back to the metrics: a scored row is
+    a few numbers instead of all names. Numbers follow the contrast list, not the rows.
+    """
+    ids = [*KEYS, *CONTRAST, *extra]
+    numbered = settle(directions.withColumn("number", F.dense_rank().over(Window.orderBy(*ids))), "directions")
+    placed = by_endpoint(with_offsets(numbered, vm.overall, vm.shifts, ["layer"])).withColumn("is_a", F.col("entity") == F.col("entity_a"))
     pack = ["layer", "entity"]
-    scores = _score_rows(
-        vm, vm.vectors.drop("axis"), pack_directions(placed, pack, extra), pack, EVERY, [*CONTRAST, *extra], [*pack, "row_id"]
-    ).withColumn("is_a", F.col("entity") == F.col("entity_a"))
-    return endpoint_metrics(scores, [*KEYS, *CONTRAST, *extra])
+    out = ["number", "is_a"]
+    scores = _score_rows(vm, vm.vectors.drop("axis"), pack_directions(placed, pack, out), pack, EVERY, out, ["row_id"]).drop("resid")
+    return numbered.select("number", *ids).distinct().join(endpoint_metrics(scores, ["number"]), "number").drop("number")
 
 
 def tag_endpoints(vectors: DataFrame, contrasts: DataFrame, spread_by: list[str] = ["row_id"]) -> DataFrame:

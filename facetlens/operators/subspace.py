@@ -89,10 +89,14 @@ def subspace_decomposition(
         F.pow("_p.component_norm", F.lit(2.0)).alias("fraction_norm"), V.dot(F.col("dir"), F.col("_p.part")).alias("cosine_with_full"),
         F.col("_p.part").alias("part"),
     )
-    extra = ["k", "component_type"]
-    ready = long.filter("part IS NOT NULL").select(*KEYS, *G.CONTRAST, *extra, F.col("part").alias("dir"))
+    # The whole direction is the same for every k: it is scored once.
+    long = long.withColumn("_k", F.when(F.col("component_type") != "full", F.col("k")).otherwise(F.lit(0)))
+    extra = ["_k", "component_type"]
+    ready = long.filter(F.col("part").isNotNull() & ((F.col("_k") > 0) | (F.col("k") == ks[0]))).select(*KEYS, *G.CONTRAST, *extra, F.col("part").alias("dir"))
     m = G.endpoint_component_metrics(vm, ready, extra)
-    return long.drop("part").join(m, [*KEYS, *G.CONTRAST, *extra], "left")
+    out = long.drop("part").join(m, [*KEYS, *G.CONTRAST, *extra], "left").drop("_k")
+    ids = [*KEYS, *G.CONTRAST, "k", "component_type"]
+    return out.select(*ids, *[c for c in out.columns if c not in ids])
 
 
 def axis_sharedness(decomposition: DataFrame) -> DataFrame:

@@ -225,3 +225,26 @@ def test_inner_product_extremes_against_all_products(spark):
         state.meet(m[at:at + 10], np.arange(at, at + 10), np.linalg.norm(m[at:at + 10], axis=1))
     assert state.met < 600 and np.allclose(state.best[0, :, 0], (q[:2] @ m.T).max(axis=1))
     assert inner_product_extremes(queries.limit(0), rows, 3).count() == 0
+
+
+def test_component_scores_carry_numbers_instead_of_names(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(1, i, f"g{i % 3}", f"fam{i % 2}", [float(x) for x in draw.normal(size=4) + i % 3]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "layer int, row_id int, entity string, family string, vec array<double>").withColumn("axis", F.lit("ax"))
+    vm = M.VariantMeans(vectors, {"raw": None, "family": "family"}, ["entity"])
+    contrasts = spark.createDataFrame([("a", "ax", "g0", "g1"), ("b", "ax", "g1", "g2")], "contrast_name string, axis string, entity_a string, entity_b string")
+    dirs = G.contrast_directions(vm.means, contrasts, G.KEYS)
+    seen = []
+    metrics = G.endpoint_metrics
+    monkeypatch.setattr(G, "endpoint_metrics", lambda scores, keys: (seen.append((scores, keys)), metrics(scores, keys))[1])
+    dec = S.subspace_decomposition(vm, dirs, S.shared_subspace_svd(dirs), ks=[1, 2]).collect()
+    (scores, keys), = seen
+    assert keys == ["number"] and set(scores.columns) == {"row_id", "number", "is_a", "score"}
+    # Two variants and contrasts; shared parts of both sizes, a rest of the smaller, the whole direction once and not for every size.
+    assert scores.select("number").distinct().count() == 2 * 2 * 4
+    whole = {(r["resid"], r["contrast_name"]): r for r in metrics(G.projection_scores(vm, dirs, "endpoints"), [*G.KEYS, *G.CONTRAST]).collect()}
+    full = [r for r in dec if r["component_type"] == "full"]
+    assert len(dec) == 24 and len(full) == 8
+    for r in full:
+        want = whole[r["resid"], r["contrast_name"]]
+        assert all(abs(r[c] - want[c]) < 1e-9 for c in ("auc", "cohens_d", "accuracy_midpoint", "mean_a", "sd_b")) and (r["n_a"], r["n_b"]) == (20, 20)
