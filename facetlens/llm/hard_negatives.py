@@ -173,7 +173,8 @@ def _join(rows: DataFrame, anchors: DataFrame, key: Column, more: list[str], cel
     dealt = anchors.withColumn("__key", key).repartitionByRange(max(1, -(-n // BLOCK_ANCHORS)), "__key", "rid").sortWithinPartitions("__key", "rid")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sent = _blocks(dealt, BLOCK_ANCHORS, more).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("cell", spread(cells))
-    both = rows.withColumn("group", spread(groups)).alias("x").join(sent.alias("q"), ["cell", "group"])
+    # Blocks are far larger than Spark takes them for, and anchors go to every cell: never by way of the driver.
+    both = rows.withColumn("group", spread(groups)).alias("x").join(sent.hint("merge").alias("q"), ["cell", "group"])
     both = both.select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in ("n", "kind", "vecs", "rid", "vec_id", "label")], *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "kind", "vecs", *more)])
 
     def run(batches):
@@ -277,7 +278,7 @@ def mine(rows: DataFrame, is_anchor, k_positives: int = 5, k_negatives: int = 5,
     windows, done = pairs.select("anchor_rid", "window").distinct(), None
     for share in NEGATIVE_SHARES:
         lists = windows.groupBy(F.col("anchor_rid").alias("rid")).agg(F.collect_set("window").alias("windows"))
-        t = anchors.join(lists, "rid").withColumn("t", F.greatest(F.array_min("windows") * ((share or floor / 100) * (1 - 1e-12)) - 1, F.lit(0.0)))
+        t = anchors.hint("merge").join(lists, "rid").withColumn("t", F.greatest(F.array_min("windows") * ((share or floor / 100) * (1 - 1e-12)) - 1, F.lit(0.0)))
         low = round(share * 100) or floor
         found = _join(blocks, t, F.col("t") / F.greatest("norm", F.lit(1.0)), ["rid", "label", "t", "windows"], cells, _negatives(k_negatives, low), "anchor_rid long, window long, id long, score long")
         found = _first(found, ["anchor_rid", "window"], k_negatives)

@@ -95,3 +95,18 @@ def test_other_windows(spark, floor=50):
     rows = [(k * 50, [draw.gauss(0, 1) for _ in range(4)], k % 2) for k in range(30)]
     got = H.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, 3, 2, floor).collect()
     assert sorted(map(tuple, got)) == sorted(expected([dict(zip(("vec_id", "embedding", "label"), r)) for r in rows], 3, floor, 2))
+
+
+def test_blocks_do_not_pass_the_driver(spark, monkeypatch):
+    """However small Spark takes blocks for, a join of them is no broadcast: anchors stand in it once a cell."""
+    joins = []
+    join = H._join
+    monkeypatch.setattr(H, "_join", lambda *a, **b: joins.append(join(*a, **b)) or joins[-1])
+    draw = random.Random(4)
+    rows = [(k * 20, [draw.gauss(0, 1) for _ in range(8)], k % 3) for k in range(120)]
+    assert H.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0).count()
+    assert len(joins) >= 2
+    for df in joins:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
