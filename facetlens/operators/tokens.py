@@ -32,6 +32,8 @@ from facetlens.operators.quantiles import exact_medians
 
 FEATURE = ["layer", "feature_id"]
 ACT = "token_feature_activation"
+RANKS = ["token_rank_within_prompt", "feature_rank_within_prompt", "is_top_token_for_feature"]
+RANKED_BY = [*FEATURE, "prompt_id", "token_idx", "token_start_char", "token_end_char", ACT]
 
 
 def content_only(tokens: DataFrame) -> DataFrame:
@@ -172,19 +174,22 @@ def token_positions(tokens: DataFrame, spans: DataFrame, key: str, every: dict[s
     return out
 
 
-def token_ranks(tokens: DataFrame) -> DataFrame:
-    """Rank among the content tokens of a prompt (-1 otherwise), ordinal rank, top flag."""
-    part = [*FEATURE, "prompt_id"]
-    content = F.col("token_end_char") > F.col("token_start_char")
-    order = [F.col(ACT).desc(), F.col("token_idx")]
-    ranked = F.row_number().over(Window.partitionBy(*part, content).orderBy(*order))
-    ordinal = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    rank = F.when(content, ranked).otherwise(F.lit(-1))
-    return tokens.withColumns({
-        "token_rank_within_prompt": rank,
-        "feature_rank_within_prompt": ordinal,
-        "is_top_token_for_feature": rank == 1,
-    })
+def token_ranks(tokens: DataFrame | TokenLists, columns: list[str] | None = None) -> DataFrame:
+    """Rank among the content tokens of a prompt (-1 otherwise), ordinal rank, top flag; beside ``columns`` of the tokens, or all.
+
+    Lists that tasks make are ranked there; prompts that come in several lists, or as rows, are put together first.
+    """
+    columns = columns or [c for c in tokens.columns if c not in RANKS]
+    if isinstance(tokens, TokenLists):
+        return _list_ranks(tokens, columns).unionByName(token_ranks(tokens.rest, columns))
+    if is_lists(tokens):
+        tokens = _list_rows(tokens, list(dict.fromkeys([*columns, *RANKED_BY])))
+    # One order of a prompt's rows gives both ranks: among content tokens, it is their number so far.
+    order = Window.partitionBy(*FEATURE, "prompt_id").orderBy(F.col(ACT).desc(), F.col("token_idx"))
+    content = F.coalesce(F.col("token_end_char") > F.col("token_start_char"), F.lit(False))
+    so_far = F.sum(content.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.when(content, so_far.cast("int")).otherwise(F.lit(-1))
+    return tokens.select(*columns, rank.alias(RANKS[0]), F.row_number().over(order).alias(RANKS[1]), (rank == 1).alias(RANKS[2]))
 
 
 def localization_label(span_max: Column, final: Column, overall: Column, outside: Column | None = None) -> Column:
@@ -225,7 +230,8 @@ Batches = Iterator[pa.RecordBatch]
 class TokenLists:
     """Token lists that tasks make of the batches of ``source``, where they are read; ``rest``: a table of further ones.
 
-    ``schema`` names the columns that ``make`` gives; ``rest`` has them too.
+    ``schema`` names the columns that ``make`` gives; ``rest`` has them too. A prompt of ``source`` is one list and
+    not in ``rest``, where prompts may come in parts; the features of a list differ.
     """
 
     source: DataFrame
@@ -237,10 +243,12 @@ class TokenLists:
     def columns(self) -> list[str]:
         return self.schema.names
 
-    def map_lists(self, columns: list[str], run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+    def map_made(self, columns: list[str], run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
         make = self.make
-        made = self.source.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches)), schema)
-        return made.unionByName(self.rest.select(*columns).mapInArrow(run, schema))
+        return self.source.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches)), schema)
+
+    def map_lists(self, columns: list[str], run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+        return self.map_made(columns, run, schema).unionByName(self.rest.select(*columns).mapInArrow(run, schema))
 
 
 def is_lists(tokens: DataFrame | TokenLists) -> bool:
@@ -292,6 +300,67 @@ def _content(part: pa.RecordBatch) -> np.ndarray:
     return pc.greater(part.column("token_end_char").flatten(), part.column("token_start_char").flatten()).fill_null(False).to_numpy(zero_copy_only=False)
 
 
+#: Token rows that a task makes of lists at a time, and rows of the batches it gives.
+ROWS_AT_ONCE, ROWS_GIVEN = 1 << 20, 1 << 16
+
+
+def _row_schema(tokens: DataFrame | TokenLists, columns: list[str]) -> StructType:
+    known = {f.name: f.dataType for f in tokens.schema.fields}
+    return StructType([StructField(c, known[c].elementType if isinstance(known[c], ArrayType) else known[c]) for c in columns])
+
+
+def _token_rows(batches: Batches, columns: list[str], more: Callable[..., list[pa.Array]], names: list[str]) -> Batches:
+    """The token rows that lists stand for: ``columns``, and what ``more`` has of (lists, segment and token of each row)."""
+    for batch in batches:
+        n, m = (batch.column(c).value_lengths().fill_null(0).to_numpy().astype(np.int64) for c in ("token_idx", "feature_id"))
+        ends, at = np.cumsum(n * m), 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + ROWS_AT_ONCE, "right")))
+            part, at = batch.slice(at, to - at), to
+            seg, token, _, row = _feature_tokens(part, False)
+            found = []
+            for c in columns:
+                x = part.column(c)
+                if not pa.types.is_list(x.type):
+                    x = x.take(pa.array(row[seg]))
+                elif c != ACT:
+                    x = x.flatten().take(pa.array(seg if c in ("feature_id", FINAL) else token))
+                else:
+                    x = x.flatten()
+                found.append(x.cast(pa.string()) if c == "token_str" else x)
+            out = pa.RecordBatch.from_arrays([*found, *more(part, seg, token)], names)
+            for low in range(0, out.num_rows, ROWS_GIVEN):
+                yield out.slice(low, ROWS_GIVEN)
+
+
+def _list_rows(lists: DataFrame, columns: list[str]) -> DataFrame:
+    """The token rows of token lists."""
+    return lists.select(*columns).mapInArrow(lambda batches: _token_rows(batches, columns, lambda *_: [], columns), _row_schema(lists, columns))
+
+
+def _list_ranks(tokens: TokenLists, columns: list[str]) -> DataFrame:
+    """``token_ranks`` of the prompts of ``source``, where their lists are made."""
+    schema = StructType([*_row_schema(tokens, columns), *[StructField(c, DataType.fromDDL(t)) for c, t in zip(RANKS, ("int", "int", "boolean"))]])
+
+    def ranks(part, seg, token):
+        act, idx = part.column(ACT).flatten(), part.column("token_idx").flatten().cast(pa.int64())
+        null, act = act.is_null().to_numpy(zero_copy_only=False), act.fill_null(0.0).to_numpy(zero_copy_only=False)
+        idx = idx.fill_null(np.iinfo(np.int64).min).to_numpy()[token]
+        # As in Spark, a NaN is the largest value and a missing one comes last.
+        nan = np.isnan(act)
+        order = np.lexsort((idx, np.where(nan, 0.0, -act), *[~nan] * int(nan.any()), *[null] * int(null.any()), seg))
+        first = np.searchsorted(seg, seg, "left")
+        ordinal = np.empty(len(seg), np.int64)
+        ordinal[order] = np.arange(1, len(seg) + 1)
+        content = pc.greater(part.column("token_end_char").flatten(), part.column("token_start_char").flatten()).fill_null(False).to_numpy(zero_copy_only=False)[token]
+        upto = np.r_[0, np.cumsum(content[order])]
+        rank = np.where(content, upto[ordinal] - upto[first], -1)
+        return [pa.array(rank, pa.int32()), pa.array(ordinal - first, pa.int32()), pa.array(rank == 1)]
+
+    return tokens.map_made(list(dict.fromkeys([*columns, *RANKED_BY])), lambda batches: _token_rows(batches, columns, ranks, schema.names), schema)
+
+
 def _list_parts(tokens: DataFrame, labels: list[str], filled: bool) -> DataFrame:
     """What ``_row_parts`` gives, of token lists, a row per list and feature with content tokens."""
     has_final = FINAL in tokens.columns

@@ -96,9 +96,7 @@ FROM (SELECT *, token_end_char > token_start_char AS c, row_number() OVER (PARTI
   row_number() OVER (PARTITION BY layer, feature_id, prompt_id ORDER BY act DESC, token_idx) AS o FROM v_tok)""",
 )
 def token_ranks(v):
-    return K.token_ranks(v.tokens).select(
-        "layer", "feature_id", "prompt_id", "token_idx", "token_rank_within_prompt", "feature_rank_within_prompt", "is_top_token_for_feature"
-    )
+    return K.token_ranks(v.token_lists, ["layer", "feature_id", "prompt_id", "token_idx"])
 
 
 @query(

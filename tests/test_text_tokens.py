@@ -266,3 +266,57 @@ def test_localization_makes_no_row_of_a_token(spark, tmp_path):
     for table in (K.prompt_activation(v.token_lists), K.token_totals(v.token_lists, content=True)):
         plan = table._jdf.queryExecution().optimizedPlan().toString()
         assert "posexplode(_starts" not in plan and "explode([3,17,40]" not in plan and "MapInArrow" in plan
+
+
+def test_token_ranks_by_brute_force(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import types as X
+
+    monkeypatch.setattr(K, "ROWS_AT_ONCE", 50)
+    monkeypatch.setattr(K, "ROWS_GIVEN", 7)
+    draw = random.Random(8)
+    rows, lists, want = [], [], []
+    for p in [*range(40), None]:
+        features, n = draw.sample([*range(5), None], draw.randint(0, 3)), draw.randint(0, 30)
+        idx = draw.sample(range(-5, 60), n)
+        ends = [draw.choice([0, 2, 2, None]) for _ in idx]
+        acts = [[draw.choice([0.0, -0.0, -1.5, 0.5, 2.0, None, float("nan")]) for _ in idx] for _ in features]
+        lists.append((24, features, p, idx, ["x"] * n, [0] * n, ends, [a for x in acts for a in x], f"l{p}"))
+        for f, act in zip(features, acts):
+            order = sorted(range(n), key=lambda i: (act[i] is None, -math.inf if act[i] != act[i] else -(act[i] or 0.0), idx[i]))
+            content = [i for i in order if ends[i]]
+            for i in range(n):
+                rank = content.index(i) + 1 if i in content else -1
+                rows.append((24, f, p, idx[i], "x", 0, ends[i], act[i], f"l{p}"))
+                want.append((24, f, p, idx[i], f"l{p}", rank, order.index(i) + 1, rank == 1))
+    kinds = dict(layer="int", feature_id="int", prompt_id="long", token_idx="int", token_str="string", token_start_char="int", token_end_char="int", token_feature_activation="double", family="string")
+    of_lists = {c: t if c in ("layer", "prompt_id", "family") else f"array<{t}>" for c, t in kinds.items()}
+    by_row, by_list = (spark.createDataFrame(r, X.DataType.fromDDL(", ".join(f"{c} {t}" for c, t in k.items()))) for r, k in ((rows, kinds), (lists, of_lists)))
+    made = K.TokenLists(by_list.filter("prompt_id % 4 > 0"), lambda batches: batches, by_list.schema, by_list.filter("prompt_id % 4 = 0 OR prompt_id IS NULL"))
+    kept = ["layer", "feature_id", "prompt_id", "token_idx", "family"]
+    for table in (by_row, by_list, made):
+        got = K.token_ranks(table, kept)
+        assert got.columns == [*kept, *K.RANKS]
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+        whole = K.token_ranks(table)
+        assert whole.columns == [*kinds, *K.RANKS] and sorted(str(tuple(r)) for r in whole.select(*got.columns).collect()) == sorted(map(str, want))
+        assert sorted(str(tuple(r)) for r in whole.select(*kinds).collect()) == sorted(map(str, rows))
+
+
+def test_ranks_shuffle_no_token(spark, tmp_path):
+    from facetlens.plans import token_queries
+    from facetlens.plans.views import Views
+
+    texts = [(i, " ".join(["the", "A", f"w{i % 7}", "", "é"] * (1 + i % 4))) for i in range(60)] + [(60, None), (61, ""), (None, "no key"), (5, "the A w5")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    v = Views(spark, str(tmp_path))
+    out = token_queries.token_ranks(v)
+    by_row = K.token_ranks(v.tokens, ["layer", "feature_id", "prompt_id", "token_idx"])
+    plain = lambda df: sorted(str(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+    assert out.dtypes == by_row.dtypes and plain(out.filter("prompt_id <> 5 OR prompt_id IS NULL")) == plain(by_row.filter("prompt_id <> 5 OR prompt_id IS NULL"))
+    assert out.filter("prompt_id = 5").count() == by_row.filter("prompt_id = 5").count() == 45
+    # Rows of tokens are dealt and sorted once, and only those of texts that share a key; all others are ranked where the text lies.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(_starts" not in plan and "MapInArrow" in plan and plan.count("row_number()") == 1
+    assert by_row._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
